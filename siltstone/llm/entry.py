@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_lsm import exact_groups
+from .katz import katz_scores
 from .tensor_minhash import near_groups
 
 
@@ -19,8 +20,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_minhash_near_dedup, op8_katz_scores)}
 
 
 OP1_SQL = """
