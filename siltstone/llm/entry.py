@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .cnn_toxicity import toxicity_held_out
 from .exact_lsm import exact_groups
 from .katz import katz_scores
+from .langmask import identify_held_out
 from .tensor_minhash import near_groups
 
 
@@ -16,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
@@ -24,8 +30,12 @@ def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_minhash_near_dedup, op8_katz_scores)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_minhash_near_dedup, op8_katz_scores, op10_toxicity_cnn)}
 
 
 OP1_SQL = """
