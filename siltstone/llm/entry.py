@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .bm25_packing import pack_documents
 from .cnn_toxicity import toxicity_held_out
 from .exact_lsm import exact_groups
 from .katz import katz_scores
@@ -26,6 +27,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_minhash_near_dedup, op8_katz_scores, op10_toxicity_cnn)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_minhash_near_dedup, op5_bm25_packing, op8_katz_scores, op10_toxicity_cnn)}
 
 
 OP1_SQL = """
