@@ -13,6 +13,7 @@ from .exact_lsm import exact_groups
 from .katz import katz_scores
 from .langmask import identify_held_out
 from .tensor_minhash import near_groups
+from .unigram_piece import encode_documents
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
@@ -40,7 +45,7 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_minhash_near_dedup, op5_bm25_packing, op8_katz_scores, op10_toxicity_cnn)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op8_katz_scores, op10_toxicity_cnn)}
 
 
 OP1_SQL = """
