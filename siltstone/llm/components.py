@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is two grouped minima with partial aggregation; its edges are written to the shared
-scratch folder.  No edge or label reaches the driver, only a count and a checksum per round.
+scratch folder.  No edge or label reaches the driver, only whether a round was the last.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star over edges (u, v); returns edges with v < u."""
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root hangs on anything."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up + root > 1").isEmpty()
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star over edges (u, v) with v < u; returns edges of that kind."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    large = materialize(large.distinct(), "cc-large")
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u")
-    small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return materialize(small.filter("u <> v").distinct(), "cc-small")
+    small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return materialize(small.distinct(), "cc-edges")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,13 +34,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Loops and rows with a null end are ignored; repeated edges count once.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "cc-edges")
-    state = None
     for _ in range(most_rounds):
-        row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(row) == state or row[0] == 0:
+        if _settled(edges):
             break
-        state = tuple(row)
-        edges = _stars(edges)
+        edges = _round(edges)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

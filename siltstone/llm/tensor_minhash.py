@@ -173,11 +173,12 @@ def _link(rows: DataFrame, num: int, den: int, name: str) -> DataFrame:
     return materialize(dealt.mapInArrow(_cells(num, den), "cell string, doc_id long, root long"), name)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 1000, samples: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 4000, cell_shingles: int = 4_000_000, samples: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, class_id.
 
     threshold: numerator and denominator of the least Jaccard similarity.  recall: probability
-    with which one linked pair shares a table.  cell_rows: members compared in one task.
+    with which one linked pair shares a table.  cell_rows, cell_shingles: members that one task
+    compares, and shingles that their sets hold.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -193,7 +194,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     edges = _table_edges(reps)
     candidate = materialize(components(edges), "mh-candidates")
-    labels = _confirm(rows, candidate, num, den, cell_rows, samples)
+    labels = _confirm(rows, reps.select("doc_id", "n_shingles"), candidate, num, den, cell_rows, cell_shingles, samples)
     nodes = classes.join(labels, classes.rep == labels.node, "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     moved = materialize(nodes.filter("copies > 1 or component <> rep").select("digest", "rep", "component"), "mh-moved")
     out = signed.select("doc_id", "n_shingles", "digest").join(sized(moved), "digest", "left")
@@ -202,17 +203,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(linked, F.col("doc_id") == component).otherwise(True).alias("kept"), F.when(linked, F.coalesce("rep", "doc_id")).alias("class_id"))
 
 
-def _confirm(rows: DataFrame, candidate: DataFrame, num: int, den: int, cell_rows: int, samples: int) -> DataFrame:
+def _confirm(rows: DataFrame, sizes: DataFrame, candidate: DataFrame, num: int, den: int, cell_rows: int, cell_shingles: int, samples: int) -> DataFrame:
     """(node, component) by confirmed links, for the classes of candidate (node, component)."""
-    counted = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = materialize(candidate.join(counted, "component").select(F.col("node").alias("doc_id"), "component", "members"), "mh-members")
+    candidate = candidate.join(sizes, candidate.node == sizes.doc_id).drop("node")
+    counted = candidate.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / cell_rows, F.sum("n_shingles") / cell_shingles)).cast("int").alias("blocks"))
+    members = materialize(candidate.join(counted, "component").select("doc_id", "component", "blocks"), "mh-members")
     texts = rows.join(sized(members), "doc_id")
-    small = texts.filter(F.col("members") <= cell_rows).select(F.col("component").cast("string").alias("cell"), "doc_id", F.lit(None).alias("label"), F.lit(None).alias("outside"), "text")
+    small = texts.filter("blocks = 1").select(F.col("component").cast("string").alias("cell"), "doc_id", F.lit(None).alias("label"), F.lit(None).alias("outside"), "text")
     done = _link(small, num, den, "mh-small").select(F.col("doc_id").alias("node"), F.col("root").alias("component"))
-    if members.filter(F.col("members") > cell_rows).isEmpty():
+    if members.filter("blocks > 1").isEmpty():
         return done
-    blocks = F.ceil(F.col("members") / cell_rows).cast("int")
-    large = materialize(texts.filter(F.col("members") > cell_rows).withColumn("block", F.pmod(F.hash("doc_id"), blocks)), "mh-large")
+    blocks = F.col("blocks")
+    large = materialize(texts.filter("blocks > 1").withColumn("block", F.pmod(F.hash("doc_id"), blocks)), "mh-large")
     one = _link(large.select(F.concat_ws(":", "component", "block").alias("cell"), "doc_id", F.lit(None).alias("label"), F.lit(None).alias("outside"), "text"), num, den, "mh-blocks")
     edges = one.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
     # Samples of the clusters of all blocks meet; cells of samples are as bounded as blocks.
