@@ -11,8 +11,11 @@ from .bm25_packing import pack_documents
 from .cnn_toxicity import toxicity_held_out
 from .exact_lsm import exact_groups
 from .katz import katz_scores
+from .kmeans_tree import tree_neighbours
+from .kn_quality import classify
 from .langmask import identify_held_out
 from .tensor_minhash import near_groups
+from .tiered_shards import shard_table
 from .unigram_piece import encode_documents
 
 
@@ -36,16 +39,28 @@ def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
+def op7_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op8_katz_scores, op10_toxicity_cnn)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn)}
 
 
 OP1_SQL = """
