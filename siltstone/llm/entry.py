@@ -32,7 +32,7 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100))
+    return near_groups(table(spark, sf_dir, "documents"), threshold=(85, 100)).drop("class_id")
 
 
 def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,18 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g ON d.norm = g.norm
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+lk AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.y, r.m FROM r JOIN lk b ON b.x = r.doc_id WHERE r.m < b.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.m) AS component_id, d.doc_id = min(r.m) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL}
