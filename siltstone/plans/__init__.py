@@ -1,0 +1,6 @@
+"""Queries over the synthetic test tables, and the SQL that checks them."""
+
+from . import evaluation
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation"]
