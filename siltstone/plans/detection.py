@@ -230,3 +230,25 @@ def u07_majority_vote(spark, sf):
     n = F.length("text")
     v = table(spark, sf, "conversations").select("conv_id", F.when(n % 5 != 0, n % 2 == 0).alias("vote"), "role")
     return X.majority(v, "conv_id", "vote", "role")
+
+
+_X10 = r"""r AS (SELECT doc_id, substr(text, 1, 500) AS code, regexp_extract(text, '([a-z]{4,})', 1) AS w, doc_id % 9 AS cited, doc_id % 7 + 1 AS line, doc_id % 2 = 0 AS known FROM documents),
+t AS (SELECT *, list_distinct(list_transform(regexp_extract_all(code, '[a-zA-Z_][0-9A-Za-z_]*'), lambda x: lower(x))) AS terms, list_filter(list_distinct(['invented_' || doc_id, w]), lambda x: length(x) > 2 AND x NOT IN ('without', 'which', 'this', 'that', 'could', 'would', 'should')) AS refs FROM r),
+p AS (SELECT *, len(list_filter(refs, lambda t: list_contains(terms, t) OR len(list_filter(terms, lambda c: length(c) > 3 AND (contains(t, c) OR contains(c, t)))) > 0)) AS here FROM t),
+s AS (SELECT *, here / CAST(len(refs) AS DOUBLE) AS grounded, CASE WHEN abs(cited - line) <= 3 THEN 1.0 ELSE 0.0 END AS located FROM p)"""
+
+
+@query(f"WITH {_X10} SELECT doc_id, round(grounded, 4) AS grounded, CAST(len(refs) - here AS BIGINT) AS invented, CAST(located AS DOUBLE) AS located, round((0.5::DOUBLE * grounded + 0.2 + CASE WHEN known THEN 0.2 ELSE 0 END + 0.1 * located) / (0.7::DOUBLE + CASE WHEN known THEN 0.2 ELSE 0.0 END + 0.1), 4) AS composite FROM s")
+def x10_grounding(spark, sf):
+    from siltstone.operators.explain import explanation_scores
+
+    i = F.col("doc_id")
+    reason = F.concat(F.lit("The call `"), F.regexp_extract("text", "([a-z]{4,})", 1), F.lit("(x)` writes past the buffer at line "), i % 9, F.lit(", see invented_"), i)
+    s = explanation_scores(reason, F.substring("text", 1, 500), F.when(i % 2 == 0, "CWE-787"), F.array((i % 7 + 1).cast("int")))
+    return table(spark, sf, "documents").select(i, s.alias("s")).select(i, "s.grounded", "s.invented", "s.located", "s.composite")
+
+
+@query("SELECT sample_id, count(*) FILTER (abs(c - t) <= 3) > 0 AS located FROM (SELECT sample_id, unnest([sample_id % 30, sample_id % 11]) AS c, loc % 25 AS t FROM corpus) GROUP BY 1", "corpus")
+def x12_located(spark, sf):
+    i = F.col("sample_id")
+    return corpus(spark, sf).select(i, F.exists(F.array(i % 30, i % 11), lambda c: F.abs(c - F.col("loc") % 25) <= 3).alias("located"))

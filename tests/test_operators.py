@@ -256,3 +256,15 @@ def test_streams(spark, tmp_path):
     s = running.to_files(running.first_wins(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "config", "ts"), f"{tmp_path}/o", f"{tmp_path}/ck")
     s.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/o").count() == 1
+
+
+def test_explanations(spark):
+    from siltstone.operators.explain import explanation_scores
+
+    code = "void f(char *s) { char buf[8]; strcpy(buf, s); }"
+    rows = [("`strcpy(buf, s)` writes past buf without a bound", code), ("`validateInput` is missing", code), ("", code)]
+    df = spark.createDataFrame(rows, "reason string, code string")
+    got = [r[0] for r in df.select(explanation_scores(F.col("reason"), F.col("code"), F.lit("CWE-787"), F.array(F.lit(1)))).collect()]
+    assert got[0].composite >= 0.8 and got[0].mechanism == 1 and got[0].located is None
+    assert got[1].composite <= 0.2 and got[1].invented >= 1
+    assert got[2].empty and got[2].composite == 0 and got[2].mechanism is None
