@@ -5,9 +5,12 @@ Texts stay UTF-8 bytes.  A null text is the empty text.  All hashes are 64 bits
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+_LIBC = ctypes.CDLL(None)
 U64 = np.uint64
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -31,14 +34,27 @@ def fmix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> np.ndarray:
+    """BASE to the powers 0 .. n - 1."""
     global _POWERS
     if len(_POWERS) < n:
-        p = np.full(max(n, 2 * len(_POWERS)), BASE, U64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
+        _POWERS = _power_table(int(BASE), n)
     return _POWERS[:n]
 
 
+def _power_table(base: int, n: int) -> np.ndarray:
+    p = np.full(1 << max(0, n - 1).bit_length(), U64(base), U64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, nulls as empty strings."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,8 +71,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; equal bytes give equal hashes."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, spans in order; equal bytes give equal hashes."""
+    if len(data) <= most:
+        return _span_hashes(data, start, end)
+    out, a = np.zeros(len(start), U64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + most, "right")))
+        out[a:b] = _span_hashes(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a])
+        a = b
+    return out
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, U64)
     total = np.zeros(len(data) + 1, U64)
@@ -69,11 +96,10 @@ _INVERSE = np.ones(1, U64)
 
 
 def _negative(at: np.ndarray, n: int) -> np.ndarray:
+    """BASE to the powers -at."""
     global _INVERSE
     if len(_INVERSE) < n:
-        p = np.full(max(n, 2 * len(_INVERSE)), U64(pow(int(BASE), -1, 2**64)), U64)
-        p[0] = 1
-        _INVERSE = np.multiply.accumulate(p)
+        _INVERSE = _power_table(pow(int(BASE), -1, 2**64), n)
     return _INVERSE[at]
 
 
