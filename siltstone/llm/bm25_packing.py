@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +36,49 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Encodes documents through their distinct chunks; remembers chunks of earlier shards."""
+    """Encodes documents through their distinct chunks; remembers up to `most` chunks of earlier shards."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Sorted hashes of known chunks, where their ids begin in the pool, how many they are.
+        self.known, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        sizes, flat = [], []
+        for a in range(0, len(texts), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
+            sizes += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        n = np.array(sizes, np.int64)
+        where = len(self.pool) + np.cumsum(n) - n
+        flat = np.concatenate([self.pool, *flat])
+        self.pool = flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.where, self.size = known[order], np.concatenate([self.where, where])[order], np.concatenate([self.size, n])[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all documents with END_ID after each, offsets, terms (chunk numbers), term offsets."""
         start, end, coff = K.chunks(data, off)
         hashes, first, at = np.unique(K.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, raw = self.known, data.tobytes()
-        ids = [known.get(h) for h in hashes.tolist()]
-        new = [k for k, x in enumerate(ids) if x is None]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            texts = [raw[start[first[k]] : end[first[k]]].decode() for k in part]
-            for k, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids[k] = known[int(hashes[k])] = np.array(e.ids, np.uint32)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        where = np.cumsum(sizes) - sizes
-        lens = sizes[at]
+        if len(self.known) + len(hashes) > self.most:
+            self._forget()
+        new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
+        found = np.searchsorted(self.known, hashes)
+        lens = self.size[found][at]
         total = np.append(0, np.cumsum(lens))
-        tokens = flat[np.repeat(where[at] - total[:-1], lens) + np.arange(total[-1])]
+        tokens = self.pool[np.repeat(self.where[found][at] - total[:-1], lens) + np.arange(total[-1])].astype(np.uint32)
         docs = total[coff]
         return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs)), at, coff
 
@@ -169,6 +185,7 @@ def _pack(path: str, window: int, shard_bytes: int, query_terms: int, most: int)
             rows = pa.Table.from_batches(held).combine_chunks()
             out, n = pack_shard(rows.column(0).combine_chunks(), encoder.encode(*K.utf8(rows.column(1))), window, query_terms, most, base)
             base, held, size = base + n, [], 0
+            K.release()
             return out
 
         for batch in batches:
