@@ -284,7 +284,7 @@ def _encode(path: str):
         model = model_of(path)
         for batch in batches:
             data, off = K.utf8(batch.column(1))
-            for a, b in K.pieces(off, 4_000_000):
+            for a, b in K.pieces(off, 2_500_000):
                 piece, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 ids, ioff, score = model.encode(piece, at)
                 text, toff = model.decode_flat(ids, ioff)
@@ -294,6 +294,7 @@ def _encode(path: str):
                 same = [view[x:y] == raw[p:q] for x, y, p, q in zip(toff, toff[1:], at, at[1:])]
                 spelled = np.append(0, np.cumsum(model.is_byte[ids]))[ioff]
                 lists = pa.ListArray.from_arrays(pa.array(ioff.astype(np.int32)), pa.array(ids))
+                K.release()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ioff)), pa.array(np.diff(spelled)), pa.array(score), lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return run
