@@ -184,22 +184,29 @@ def minhashes(shingles: np.ndarray, off: np.ndarray, count: int, seed: int = 7)
     return out
 
 
+#: Bytes that begin characters among which there is white space; printing bytes; ASCII letters; stops.
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_PRINTING = (np.arange(256) > 32) & (np.arange(256) != 127)
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+
+
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut documents before single spaces that stand between printing characters.
+    """Cut documents before single spaces between printing characters, and between a letter of ASCII and a stop.
 
-    No pre-token of the byte-level BPE pattern crosses such a place, so chunks can be encoded
-    alone.  Next to characters that might be other white space no cut is made.
+    No pre-token of the byte-level BPE pattern crosses such places, so chunks can be encoded
+    alone.  Next to characters that might be other white space no cut is made at a space.
     Returns starts, ends, and for each document its first chunk; empty documents have none.
     """
     n = len(data)
     place = np.zeros(n + 1, bool)
     if n > 2:
-        lead = np.isin(data, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8))
-        printing = (data > 32) & (data != 127)
+        lead, printing = _LEAD[data], _PRINTING[data]
         mid = (data[1:-1] == 32) & printing[:-2] & printing[2:] & ~lead[2:]
         mid[1:] &= ~lead[:-3]
         mid[2:] &= ~lead[: len(lead) - 4] if len(lead) > 4 else True
         place[1 : n - 1] = mid
+        place[1:n] |= _LETTER[data[:-1]] & _STOP[data[1:]]
         # a space at the edge of a document has its neighbour in another document
         place[off[:-1]] = False
         last = off[1:] - 1
