@@ -7,8 +7,9 @@
   plus the norm of the query times the node's radius times `slack`, and visits leaves best first.
 * Visits are widened (doubled) until a calibration set of at most `calibration` queries, compared
   with exact search over all vectors, reaches `target` recall; the last resort is all leaves.
-* Vectors of a leaf lie in blocks of at most `block_rows`; queries meet blocks by an equi-join on
-  (leaf, block).  Equal vectors count once: of each, the k + 1 smallest ids are kept, as no other
+* Neighbouring leaves lie in one shard of about `shard_rows` vectors, a larger leaf in several.  A query
+  goes once to each shard that has leaves it visits; a shard meets its queries in blocks of about
+  `block_queries`.  Equal vectors count once: of each, the k + 1 smallest ids are kept, as no other
   can be among anyone's k nearest when ties go to the smaller id.
 
 Semantics: vectors that are null, empty, zero, or hold null or non-finite components take no part,
@@ -118,14 +119,22 @@ def _placed(shared):
     return run
 
 
-def _visits(shared, leaves: int):
-    """(query_id, v) -> a row for each query and leaf that it visits."""
+def _visits(shared, leaves: int, home: dict[int, list[int]]):
+    """(query_id, v) -> a row for each query and shard it needs, with the leaves it visits there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [shared.value.visit(q, leaves) for q in matrix(batch.column(1))]
-            at = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in lists]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for y in lists for x in y], pa.int64())], ["query_id", "v", "leaf"])
+            at, shards, lists = [], [], []
+            for k, q in enumerate(matrix(batch.column(1))):
+                mine: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(q, leaves):
+                    for shard in home.get(leaf, ()):
+                        mine.setdefault(shard, []).append(leaf)
+                at += [k] * len(mine)
+                shards += mine
+                lists += mine.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shards, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["query_id", "v", "shard", "leaves"])
 
     return run
 
@@ -140,19 +149,26 @@ def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q)
 
 
-def _search(k: int):
+def _search(k: int, group: int = 256):
+    """Queries against the visited leaves of a shard: one product per group of queries picks, `scores` decides."""
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, ids, out = np.array(rows["v"].tolist()), rows["vec_id"].to_numpy(), []
-        for query, q in zip(queries["query_id"], queries["v"]):
-            s = scores(x, np.asarray(q))
-            s[ids == query] = -np.inf
-            far = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-            some = np.flatnonzero((s >= far) & (ids != query))
-            best = some[nearest(ids[some], s[some], k)]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": s[best]}))
-        return pd.concat(out)
+        x, ids, leaf = np.array(rows["v"].tolist()), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
+        known, at = np.unique(leaf, return_inverse=True)
+        all_ids, all_q, out = queries["query_id"].to_numpy(), np.array(queries["v"].tolist()), []
+        for a in range(0, len(queries), group):
+            rough = all_q[a : a + group] @ x.T
+            for j, (query, leaves) in enumerate(zip(all_ids[a : a + group], queries["leaves"].iloc[a : a + group])):
+                fine = np.isin(known, leaves)[at] & (ids != query)
+                s = np.where(fine, rough[j], -np.inf)
+                far = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                some = np.flatnonzero(fine & (s >= far - 1e-9 * (1 + abs(far))))
+                exact = scores(x[some], all_q[a + j])
+                best = nearest(ids[some], exact, k)
+                out.append((np.full(len(best), query), ids[some][best], exact[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out)))))
 
     return run
 
@@ -177,17 +193,31 @@ def best_of(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_tree(queries: DataFrame, index: DataFrame, shared, leaves: int, k: int) -> DataFrame:
-    """The k nearest of queries (query_id, v) among the blocks of the leaves they visit."""
-    blocks = index.groupBy("leaf").agg((F.max("block") + 1).alias("blocks"))
-    visits = queries.mapInArrow(_visits(shared, leaves), "query_id long, v array<double>, leaf long")
-    visits = visits.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["leaf", "block"]
-    found = visits.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(lambda a, b: _search(k)(a, b), HITS)
+def search_tree(queries: DataFrame, index: DataFrame, shared, home: dict[int, list[int]], leaves: int, k: int, block_queries: int) -> DataFrame:
+    """The k nearest of queries (query_id, v) in the leaves they visit; shards meet blocks of queries."""
+    visits = queries.mapInArrow(_visits(shared, leaves, home), "query_id long, v array<double>, shard long, leaves array<long>")
+    visits = materialize(visits, "ann-visits")
+    blocks = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("blocks"))
+    asked = visits.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).drop("blocks")
+    rows = index.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("shard", F.col("block").alias("block"), "leaf", "vec_id", "v")
+    keys = ["shard", "block"]
+    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda a, b: _search(k)(a, b), HITS)
     return best_of(found, k)
 
 
-def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20, leaf_rows: int = 250, sample_rows: int = 20_000, block_rows: int = 2_000, calibration: int = 100, target: float = 0.95) -> DataFrame:
+def homes(sizes: list[tuple[int, int]], shard_rows: int) -> dict[int, list[int]]:
+    """Shards of each leaf (leaf, members): neighbouring leaves share one; a leaf beyond shard_rows has several of its own."""
+    out, shard, held = {}, 0, 0
+    for leaf, members in sorted(sizes):
+        if held and held + members > shard_rows:
+            shard, held = shard + 1, 0
+        parts = -(-members // shard_rows)
+        out[leaf] = list(range(shard, shard + parts))
+        shard, held = (shard + parts, 0) if parts > 1 else (shard, held + members)
+    return out
+
+
+def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20, leaf_rows: int = 250, sample_rows: int = 20_000, shard_rows: int = 8_000, block_queries: int = 4_000, calibration: int = 100, target: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -204,10 +234,13 @@ def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_c
         sample = matrix_of(distinct.orderBy("vec_id").limit(sample_rows))
     tree = Tree(sample, max(1, min(n // leaf_rows, len(sample) // 4)))
     shared = spark.sparkContext.broadcast(tree)  # at most 2 * sample_rows centroids
-    placed = distinct.mapInArrow(_placed(shared), "vec_id long, v array<double>, leaf long")
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"))
-    index = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("members") / block_rows)).cast("int"))
-    index = materialize(index.select("vec_id", "v", "leaf", "block"), "ann-index")
+    placed = materialize(distinct.mapInArrow(_placed(shared), "vec_id long, v array<double>, leaf long"), "ann-placed")
+    # one row per leaf, and leaves are bounded by the sample
+    home = homes([tuple(r) for r in placed.groupBy("leaf").count().collect()], shard_rows)
+    first = F.create_map(*[F.lit(x) for leaf, shards in home.items() for x in (leaf, shards[0])])
+    width = {leaf: len(shards) for leaf, shards in home.items() if len(shards) > 1}
+    spread = F.coalesce(F.create_map(*[F.lit(x) for kv in width.items() for x in kv])[F.col("leaf")], F.lit(1)) if width else F.lit(1)
+    index = materialize(placed.withColumn("shard", (first[F.col("leaf")] + F.pmod(F.xxhash64("vec_id"), spread)).cast("long")), "ann-index")
     # the calibration queries are bounded; each task answers them over its own rows
     asked = queries.orderBy(F.xxhash64(F.lit("calibrate"), "query_id"), "query_id").limit(calibration).toPandas()
     leaves = min(tree.leaves, 4)
@@ -217,12 +250,12 @@ def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_c
         cut = truth.groupby("query_id")["score"].min()
         few = queries.join(F.broadcast(spark.createDataFrame([(int(i),) for i in asked["query_id"]], "query_id long")), "query_id", "left_semi")
         while leaves < tree.leaves:
-            got = search_tree(few, index, shared, leaves, k).toPandas()
+            got = search_tree(few, index, shared, home, leaves, k, block_queries).toPandas()
             hits = (got["score"].to_numpy() >= cut.reindex(got["query_id"]).to_numpy()).sum()
             if hits >= target * len(truth):
                 break
             leaves = min(tree.leaves, 2 * leaves)
-    return materialize(search_tree(queries, index, shared, leaves, k), "ann-found")
+    return materialize(search_tree(queries, index, shared, home, leaves, k, block_queries), "ann-found")
 
 
 def matrix_of(df: DataFrame) -> np.ndarray:

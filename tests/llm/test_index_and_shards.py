@@ -15,7 +15,7 @@ def test_neighbours(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * 12), (2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [1.0] * 11), (2080, [None] * 12), (2100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in tree_neighbours(df, leaf_rows=20, block_rows=50).collect():
+    for r in tree_neighbours(df, leaf_rows=20, shard_rows=60, block_queries=20).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 900, 20))
     recall = []
