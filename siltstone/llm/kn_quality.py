@@ -1,16 +1,23 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model learns from trusted text: documents that labels mark as good.  Words become tokens of a
-vocabulary bounded by `vocabulary`: one of the most frequent words of a bounded sample of trusted
-documents, or the word's shape (symbols, capitals, digits, closing punctuation), or "same as the
-word before".  Every trusted document's trigrams are counted.
+The model learns from trusted text: documents that labels mark as good.  The vocabulary is every word
+that two trusted documents or more have in common, and grows with them.  Any other word becomes its
+shape (symbols, capitals, digits, closing punctuation), so that words of one document stand for the
+unknown ones, and has its shape's probability, shared equally by the trusted words that the shape
+stands for; a word may also be "same as the word before".  Every trusted document's trigrams are counted.
+
+Words that few documents share are costly wherever they stand, so that beside them runs of repeats or
+symbols look cheap.  A second model of the same kind therefore sees the `frequent` most frequent words
+and the shapes of all others; a document passes if it passes under both.
 
 Counts are joined in shards, not held in memory: documents are cut into blocks that keep their
 tokens; each block sends its distinct trigrams with their trusted counts; grouping by trigram gives
 the count table, further grouping the continuation counts, totals and counts of counts; joins by
 context give log P(w|uv), (c - D(c))/c(uv) + g(uv) P(w|v) and so on down to the uniform
 distribution, with the three discounts of modified Kneser-Ney per order; and each block gets the
-log-probabilities of its trigrams back, from which each document's perplexity follows.  A document
+log-probabilities of its trigrams back, from which each document's perplexity follows.  A trusted
+document's tokens are scored with one count of their trigram left out, as if the model had not
+learnt from them; otherwise it would know trusted texts better than any other clean one.  A document
 of few words is drawn towards its language's mean by `prior` tokens.
 
 Thresholds: for each language, `margin` times the `quantile` of the perplexities of all its trusted
@@ -38,14 +45,14 @@ from . import kernels as K
 from .common import materialize, prepare, scratch_path, sized
 from .katz import pack, unpack
 
-BITS = 13
+BITS = 31
 START, END, SAME, SHAPES = 0, 1, 2, 3
 #: Marks a token whose word is the one before: it is predicted as SAME, and stands in contexts as itself.
-REPEATED = 1 << 15
+REPEATED = 1 << 31
 #: Bits of a shape: symbols inside, only capitals, digits, closing comma, closing stop, no letter or digit.
 FIRST_WORD = SHAPES + 64
 _IS = {k: np.array([f(chr(i)) if i < 128 else k == "letter" for i in range(256)]) for k, f in {"letter": str.isalpha, "upper": str.isupper, "digit": str.isdigit, "symbol": lambda c: c not in ".,;:'-" and not c.isalnum() and c > " "}.items()}
-BLOCKS = "block long, doc_ids binary, null_ids binary, trusted binary, lens binary, tokens binary"
+BLOCKS = "block long, doc_ids binary, null_ids binary, trusted binary, lens binary, tokens binary, coarse binary"
 NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
 
 
@@ -54,8 +61,8 @@ def _spans_any(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return run[end] - run[start]
 
 
-def tokens(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token of each word, END after each document, and the lengths; known: sorted hashes of the vocabulary."""
+def tokens(data: np.ndarray, off: np.ndarray, *vocabularies: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lengths, and for each vocabulary (sorted hashes) the token of each word, END after each document."""
     raw = data
     data, start, end, woff = K.words(data, off)
     h = K.span_hashes(data, start, end)
@@ -68,31 +75,33 @@ def tokens(data: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.nda
     last = data[end - 1] if len(end) else data[:0]
     comma, stop = np.isin(last, np.frombuffer(b",;:", np.uint8)), last == ord(".")
     shape = (symbols > 0) | ((upper == letters) & (letters > 1)) << 1 | (digits > 0) << 2 | comma << 3 | stop << 4 | (letters + digits == 0) << 5
-    out = SHAPES + shape.astype(np.int64)
-    if len(known):
-        core = K.span_hashes(data, start, core_end)
-        at = np.minimum(np.searchsorted(known, core), len(known) - 1)
-        plain = (known[at] == core) & (symbols == 0) & ~((upper == letters) & (letters > 1))
-        out[plain] = FIRST_WORD + at[plain]
+    core, open_class = K.span_hashes(data, start, core_end), (symbols > 0) | ((upper == letters) & (letters > 1))
     same = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, bool)
     same[woff[:-1][woff[:-1] < len(h)]] = False
-    out[same] |= REPEATED
-    return np.insert(out, woff[1:], END).astype(np.uint16), np.diff(woff) + 1
+    told = []
+    for known in vocabularies:
+        out = SHAPES + shape.astype(np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, core), len(known) - 1)
+            plain = (known[at] == core) & ~open_class
+            out[plain] = FIRST_WORD + at[plain]
+        out[same] |= REPEATED
+        told.append(np.insert(out, woff[1:], END).astype(np.uint32))
+    return np.diff(woff) + 1, *told
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text -> (word, documents) of each batch."""
+    """Text -> (word, shape, documents) of each batch; a document with several shapes of a word counts for one of them."""
     for batch in batches:
-        data, start, end, woff = K.words(*K.utf8(batch.column(0)))
+        raw, off = K.utf8(batch.column(0))
+        data, start, end, woff = K.words(raw, off)
+        _, shape = tokens(raw, off, np.zeros(0, np.uint64))
+        shape = (shape[shape != END] & (REPEATED - 1)).astype(np.int64)
         for _ in range(2):
             end = end - ((end - start > 1) & np.isin(data[end - 1], np.frombuffer(b".,;:", np.uint8)))
-        h = K.span_hashes(data, start, end)
-        doc = np.repeat(np.arange(len(batch)), np.diff(woff))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-        words, n = np.unique(h[once], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "docs"])
+        rows = pd.DataFrame({"word": K.span_hashes(data, start, end).view(np.int64), "shape": shape, "doc": np.repeat(np.arange(len(batch)), np.diff(woff))}).drop_duplicates()
+        rows["docs"] = (~rows.duplicated(["word", "doc"])).astype(np.int64)
+        yield pa.RecordBatch.from_pandas(rows.groupby(["word", "shape"], as_index=False)["docs"].sum(), preserve_index=False)
 
 
 def _blocks(shared, block_tokens: int):
@@ -107,10 +116,10 @@ def _blocks(shared, block_tokens: int):
             data, off = K.utf8(batch.column(2))
             ids, trusted = batch.column(0), batch.column(1)
             for a, b in K.pieces(off):
-                t, lens = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a], shared.value)
+                lens, *t = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a], *shared.value)
                 here = ids.slice(a, b - a)
-                held.append((here.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), here.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), trusted.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), lens.astype(np.uint32), t))
-                size += len(t)
+                held.append((here.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), here.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), trusted.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), lens.astype(np.uint32), *t))
+                size += len(t[0])
                 if size >= block_tokens:
                     yield flush()
                     held, size, number = [], 0, number + 1
@@ -122,9 +131,9 @@ def _blocks(shared, block_tokens: int):
     return run
 
 
-def _trigrams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of each token's trigram, lengths, and trust of each token."""
-    t, lens = unpack(row["tokens"], np.uint16).astype(np.int64), unpack(row["lens"], np.uint32).astype(np.int64)
+def _trigrams(row, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams as u and v << BITS | w, in that order; which one each token has, lengths, and trust of each token."""
+    t, lens = unpack(row[which], np.uint32).astype(np.int64), unpack(row["lens"], np.uint32).astype(np.int64)
     w = np.where(t & REPEATED, SAME, t)
     t &= REPEATED - 1
     first = np.cumsum(lens) - lens
@@ -133,31 +142,50 @@ def _trigrams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     u = np.append(0, v[:-1]) if len(t) else t
     u[first] = START
     u[first[lens > 1] + 1] = START
-    return (u << 2 * BITS) | (v << BITS) | w, lens, np.repeat(unpack(row["trusted"], np.uint8), lens).astype(bool)
+    pairs, at = np.unique(v << BITS | w, return_inverse=True)
+    distinct, at = np.unique(u << BITS | at, return_inverse=True)
+    return distinct >> BITS, pairs[distinct & (1 << BITS) - 1], at, lens, np.repeat(unpack(row["trusted"], np.uint8), lens).astype(bool)
+
+
+def _ask(which: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.to_dict("records"):
+                u, vw, at, _, trusted = _trigrams(row, which)
+                yield pd.DataFrame({"block": row["block"], "u": u, "vw": vw, "n": np.bincount(at[trusted], minlength=len(u)).astype(np.int64)})
+                del u, vw, at, trusted
+                K.release()
+
+    return run
+
 
+def _tell(which: str, shares: np.ndarray):
+    """shares: what is added to the log-probability of END, START, SAME and each shape."""
 
-def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        for row in rows.to_dict("records"):
-            key, _, trusted = _trigrams(row)
-            distinct, at = np.unique(key, return_inverse=True)
-            yield pd.DataFrame({"block": row["block"], "key": distinct, "n": np.bincount(at[trusted], minlength=len(distinct)).astype(np.int64)})
-            del key, distinct, at, trusted
-            K.release()
+    def sums(row, answers: pd.DataFrame) -> np.ndarray:
+        order = np.lexsort((answers["vw"].to_numpy(), answers["u"].to_numpy()))
+        u, vw, at, lens, trusted = _trigrams(row, which)
+        if len(u) != len(order):
+            raise ValueError("a block's trigrams and answers differ")
+        w = vw & (1 << BITS) - 1
+        share = np.where(w < FIRST_WORD, shares[np.minimum(w, FIRST_WORD - 1)], 0)
+        logs, less = (answers[c].to_numpy()[order] + share for c in ("logp", "less"))
+        return np.add.reduceat(np.where(trusted, less[at], logs[at]), np.cumsum(lens) - lens)
 
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"block": row["block"], which: [pack(sums(row, answers))]}) for row in blocks.to_dict("records")]
+        K.release()
+        return pd.concat(out)
 
-def _told(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    answers = answers.sort_values("key")
-    keys, logs = answers["key"].to_numpy(), answers["logp"].to_numpy()
-    out = []
-    for row in blocks.to_dict("records"):
-        key, lens, _ = _trigrams(row)
-        sums = np.add.reduceat(logs[np.searchsorted(keys, key)], np.cumsum(lens) - lens)
-        ids = pd.array(unpack(row["doc_ids"], np.int64), dtype="Int64")
-        ids[unpack(row["null_ids"], np.uint8) == 1] = pd.NA
-        out.append(pd.DataFrame({"doc_id": ids, "trusted": unpack(row["trusted"], np.uint8) == 1, "n_tokens": lens, "logp": sums}))
-    K.release()
-    return pd.concat(out)
+    return run
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for blocks in batches:
+        for row in blocks.to_dict("records"):
+            ids = pd.array(unpack(row["doc_ids"], np.int64), dtype="Int64")
+            ids[unpack(row["null_ids"], np.uint8) == 1] = pd.NA
+            yield pd.DataFrame({"doc_id": ids, "trusted": unpack(row["trusted"], np.uint8) == 1, "n_tokens": unpack(row["lens"], np.uint32).astype(np.int64), "logp": unpack(row["tokens"], np.float64), "coarse": unpack(row["coarse"], np.float64)})
 
 
 def _level(counts: DataFrame, context: list[str]) -> tuple[DataFrame, list[float]]:
@@ -167,69 +195,83 @@ def _level(counts: DataFrame, context: list[str]) -> tuple[DataFrame, list[float
     d = [min(max(r - (r + 1) * y * n[r] / n[r - 1] if n[r - 1] else 0.5 * r, 0.1 * r), 0.95 * r) for r in (1, 2, 3)]
     totals = [F.sum("c").alias("total"), *(F.count_if(test).alias(f"n{r}") for r, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2)))]
     grouped = (counts.groupBy(*context) if context else counts.groupBy()).agg(*totals)
-    return grouped.withColumn("g", (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).drop("n1", "n2", "n3"), d
+    return grouped.withColumn("mass", d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")).drop("n1", "n2", "n3"), d
 
 
-def _kept(d: list[float]) -> F.Column:
-    c = F.col("c")
-    return F.when(c == 1, c - d[0]).when(c == 2, c - d[1]).otherwise(c - d[2])
+def _discount(c: F.Column, d: list[float]) -> F.Column:
+    return F.when(c > 2, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
 
 
-def _interpolated(counts: DataFrame, context: list[str], lower: F.Column, rows: DataFrame, into: str) -> DataFrame:
-    """rows with P(w|context) in `into`, from counts (context..., w, c) and the lower order in rows."""
+def _interpolated(counts: DataFrame, context: list[str], lower: F.Column, left: F.Column, rows: DataFrame, into: str) -> DataFrame:
+    """rows with P(w|context) in `into`, and in `into`_less what it is with one count of (context, w) left out.
+
+    counts: (context..., w, c).  lower, left: the two of the lower order, in rows.
+    """
     totals, d = _level(counts, context)
-    if "c" in rows.columns:  # the rows carry their own counts
-        rows = rows.withColumn("k", F.when(F.col("c") > 0, _kept(d))).drop("c")
-    else:
-        seen = sized(materialize(counts.select(*context, "w", _kept(d).alias("k")), "kn-seen"))
-        rows = rows.join(seen, [*context, "w"], "left")
+    if "c" not in rows.columns:
+        rows = rows.join(sized(counts.select(*context, "w", "c")), [*context, "w"], "left")
     if context:
         rows = rows.join(sized(materialize(totals, "kn-totals")), context, "left")
     else:
         rows = rows.crossJoin(F.broadcast(totals))  # one row of totals
-    p = F.when(F.col("total").isNotNull(), F.coalesce("k", F.lit(0.0)) / F.col("total") + F.col("g") * lower).otherwise(lower)
-    return rows.withColumn(into, p).drop("k", "total", "g")
-
-
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 256, sample_docs: int = 6000, block_tokens: int = 2_000_000) -> DataFrame | None:
-    """doc_id, trusted, n_tokens, logp (natural) of every row; None if nothing is trusted.
+    c, total, mass = F.coalesce("c", F.lit(0)), F.col("total"), F.col("mass")
+    p = F.when(total.isNull(), lower).otherwise((c - _discount(c, d) + mass * lower) / total)
+    # without its last count, a trigram is no longer a type of the lower order
+    rest = (c - 1 - _discount(c - 1, d) + (mass - _discount(c, d) + _discount(c - 1, d)) * F.when(c == 1, left).otherwise(lower)) / (total - 1)
+    less = F.when(c == 0, p).when(total == 1, left).otherwise(rest)
+    return rows.withColumns({into: p, f"{into}_less": less}).drop("c", "total", "mass")
+
+
+def _sums(blocks: DataFrame, which: str, words: int, shares: np.ndarray) -> DataFrame:
+    """(block, which): the packed log-probabilities of each block's documents under the model of these tokens."""
+    asked = materialize(blocks.mapInPandas(_ask(which), "block long, u long, vw long, n long"), "kn-asked")
+    mask = (1 << BITS) - 1
+    grams = asked.groupBy("u", "vw").agg(F.sum("n").alias("c"))
+    grams = materialize(grams.select("u", F.shiftright("vw", BITS).alias("v"), F.col("vw").bitwiseAND(mask).alias("w"), "c"), "kn-grams")
+    three = grams.filter("c > 0").select("u", "v", "w", "c")
+    two = materialize(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "kn-two")
+    one = materialize(two.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "kn-one")
+    uniform = F.lit(1.0 / (FIRST_WORD + words))
+    # every table grows with the vocabulary; sizes are counted
+    p1 = materialize(_interpolated(one, [], uniform, uniform, materialize(grams.select("w").distinct(), "kn-w"), "p1"), "kn-p1")
+    p2 = materialize(_interpolated(two, ["v"], F.col("p1"), F.col("p1_less"), materialize(grams.select("v", "w").distinct(), "kn-vw").join(sized(p1), "w"), "p2"), "kn-p2")
+    p3 = _interpolated(three, ["u", "v"], F.col("p2"), F.col("p2_less"), grams.join(sized(p2), ["v", "w"]), "p3")
+    logs = materialize(p3.select("u", F.shiftleft("v", BITS).bitwiseOR(F.col("w")).alias("vw"), F.ln("p3").alias("logp"), F.ln("p3_less").alias("less")), "kn-logp")
+    told = asked.select("block", "u", "vw").join(logs, ["u", "vw"])
+    return materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_tell(which, shares), f"block long, {which} binary"), "kn-sums")
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 256, block_tokens: int = 2_000_000) -> DataFrame | None:
+    """doc_id, trusted, n_tokens, logp and coarse (natural; trusted rows: counts left out) of every row; None if nothing is trusted.
 
     trusted_ids: a column doc_id of distinct trusted ids.
     """
     spark = docs.sparkSession
     prepare(spark)
-    number = trusted_ids.count()
-    if not number:
+    if trusted_ids.isEmpty():
         return None
     marks = trusted_ids.select(F.col("doc_id").alias("trusted__id"), F.lit(True).alias("trusted__mark"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    roll = F.pmod(F.xxhash64(F.lit("vocabulary"), "trusted__id"), 1_000_000) / 1e6
-    sample = rows.join(F.broadcast(marks.filter(roll < sample_docs / number)), F.col("doc_id") == F.col("trusted__id"), "left_semi")
-    words = sample.select("text").mapInArrow(_cores, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    best = words.filter("docs > 1").orderBy(F.desc("docs"), "word").limit(min(vocabulary, 2**BITS - FIRST_WORD)).toPandas()
-    known = spark.sparkContext.broadcast(np.sort(best["word"].to_numpy(np.int64).view(np.uint64)))
+    learnt = rows.join(sized(marks), F.col("doc_id") == F.col("trusted__id"), "left_semi")
+    words = learnt.select("text").mapInArrow(_cores, "word long, shape long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"), F.collect_set("shape").alias("shapes"))
+    words = materialize(words, "kn-words")
+    shared = words.filter("docs > 1")
+    both = shared.select("word"), shared.orderBy(F.desc("docs"), "word").limit(frequent).select("word")
+    # words with symbols or in capitals have their shape, however frequent
+    unknown = words.select("docs", F.explode("shapes").alias("shape")).filter((F.col("docs") < 2) | ((F.col("shape") - SHAPES).bitwiseAND(3) > 0)).groupBy("shape").count().collect()
+    shares = np.zeros(FIRST_WORD)
+    for shape, n in unknown:
+        shares[shape] = -np.log(n)
+    known = spark.sparkContext.broadcast([np.sort(x.toPandas()["word"].to_numpy(np.int64).view(np.uint64)) for x in both])
     marked = rows.join(sized(marks), F.col("doc_id") == F.col("trusted__id"), "left").select("doc_id", F.coalesce("trusted__mark", F.lit(False)), "text")
     name = f"kn_blocks_{uuid.uuid4().hex}"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked.mapInArrow(_blocks(known, block_tokens), BLOCKS).write.bucketBy(shards, "block").option("path", scratch_path(spark, "kn-blocks")).saveAsTable(name)
     try:
         blocks = spark.table(name)
-        asked = materialize(blocks.mapInPandas(_ask, "block long, key long, n long"), "kn-asked")
-        mask = (1 << BITS) - 1
-        grams = asked.groupBy("key").agg(F.sum("n").alias("c")).select("key", F.shiftright("key", 2 * BITS).alias("u"), F.shiftright("key", BITS).bitwiseAND(mask).alias("v"), F.col("key").bitwiseAND(mask).alias("w"), "c")
-        grams = materialize(grams, "kn-grams")
-        three = grams.filter("c > 0").select("u", "v", "w", "c")
-        two = materialize(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "kn-two")
-        one = materialize(two.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "kn-one")
-        uniform = F.lit(1.0 / (FIRST_WORD + known.value.size))
-        # every table below the trigrams is bounded by powers of the vocabulary; sizes are counted
-        p1 = _interpolated(one, [], uniform, materialize(grams.select("w").distinct(), "kn-w"), "p1")
-        p2 = materialize(_interpolated(two, ["v"], F.col("p1"), materialize(grams.select("v", "w").distinct(), "kn-vw").join(F.broadcast(p1), "w"), "p2"), "kn-p2")
-        p3 = _interpolated(three, ["u", "v"], F.col("p2"), grams.join(sized(p2), ["v", "w"]), "p3")
-        logs = materialize(p3.select("key", F.ln("p3").alias("logp")), "kn-logp")
-        told = asked.select("block", "key").join(logs, "key")
-        out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_told, "doc_id long, trusted boolean, n_tokens long, logp double")
-        return materialize(out, "kn-scores")
+        sums = [_sums(blocks, *x) for x in (("tokens", known.value[0].size, shares), ("coarse", known.value[1].size, np.zeros(FIRST_WORD)))]
+        out = blocks.drop("tokens", "coarse").join(sums[0], "block").join(sums[1], "block")
+        return materialize(out.mapInPandas(_rows, "doc_id long, trusted boolean, n_tokens long, logp double, coarse double"), "kn-scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -248,17 +290,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     one = langs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = materialize(scored.join(one, "doc_id", "left"), "kn-rows")
     trusted = rows.filter("trusted")
-    per = trusted.groupBy("lang").agg((F.sum("logp") / F.sum("n_tokens")).alias("mean"), F.count(F.lit(1)).alias("n"))
-    total = trusted.agg((F.sum("logp") / F.sum("n_tokens")).alias("mean_all"))
+    models = ("logp", "coarse")
+    per = trusted.groupBy("lang").agg(*((F.sum(m) / F.sum("n_tokens")).alias(f"mean_{m}") for m in models), F.count(F.lit(1)).alias("n"))
+    total = trusted.agg(*((F.sum(m) / F.sum("n_tokens")).alias(f"all_{m}") for m in models))
     # languages are few; their tables are joined by Spark's own choice
     rows = rows.join(per.filter((F.col("n") >= least) & F.col("lang").isNotNull()).drop("n"), "lang", "left").crossJoin(F.broadcast(total))
-    mean = F.coalesce("mean", "mean_all")
-    rows = materialize(rows.select("doc_id", "lang", "trusted", "n_tokens", F.exp(-(F.col("logp") + prior * mean) / (F.col("n_tokens") + prior)).alias("perplexity")), "kn-perplexity")
-    cut = rows.filter("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n"))
-    cut = cut.filter((F.col("n") >= least) & F.col("lang").isNotNull()).select("lang", "own")
-    overall = rows.filter("trusted").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("overall"))
-    out = rows.join(cut, "lang", "left").crossJoin(F.broadcast(overall)).withColumn("threshold", margin * F.coalesce("own", "overall"))
-    return out.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
+    perplexity = lambda m: F.exp(-(F.col(m) + prior * F.coalesce(f"mean_{m}", f"all_{m}")) / (F.col("n_tokens") + prior)).alias(m)
+    rows = materialize(rows.select("doc_id", "lang", "trusted", "n_tokens", *map(perplexity, models)), "kn-perplexity")
+    cut = rows.filter("trusted").groupBy("lang").agg(*(F.percentile_approx(m, quantile, 100_000).alias(f"own_{m}") for m in models), F.count(F.lit(1)).alias("n"))
+    cut = cut.filter((F.col("n") >= least) & F.col("lang").isNotNull()).drop("n")
+    overall = rows.filter("trusted").agg(*(F.percentile_approx(m, quantile, 100_000).alias(f"overall_{m}") for m in models))
+    both = rows.join(cut, "lang", "left").crossJoin(F.broadcast(overall))
+    verdict = lambda m: F.struct((F.col(m) / (margin * F.coalesce(f"own_{m}", f"overall_{m}"))).alias("excess"), F.col(m).alias("perplexity"), (margin * F.coalesce(f"own_{m}", f"overall_{m}")).alias("threshold"))
+    # the model under which the document is the more unusual decides
+    out = both.withColumn("worse", F.greatest(*map(verdict, models))).select("doc_id", "lang", "n_tokens", "worse.perplexity", "worse.threshold")
+    return out.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
 
 
 def drop_low(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
