@@ -3,8 +3,10 @@
 The corpus is dealt into shards of about `shard_tokens` tokens; each shard has an inverted index
 of its own.  The document at the start of a window is its seed; the index returns the unused
 documents of the shard with the highest BM25 scores for the seed's `query_terms` weightiest terms,
-and these are appended until the window is full.  A document that overflows is cut there and
-seeds the next window.  With no neighbour left the shard's next unused document follows.  So
+and these are appended until the window is full.  Once they are used, the index is asked for the
+next best unused documents by all of the seed's terms, as often as needed.  A document that
+overflows is cut there and seeds the next window.  Only when no unused document scores above zero
+the shard's next unused document follows.  So
 every window is full but a shard's last one, which is cut into sequences whose lengths are
 powers of two: no token is padding, and none is lost or repeated.
 
@@ -106,7 +108,7 @@ class Index:
     def neighbours(self, seed: int, used: np.ndarray, query_terms: int, most: int) -> np.ndarray:
         a, b = self.doc_off[seed], self.doc_off[seed + 1]
         terms = self.term[a:b]
-        if b - a > query_terms:
+        if query_terms and b - a > query_terms:
             terms = terms[np.argpartition(-self.gain[a:b], query_terms)[:query_terms]]
         spans = [(self.post_off[t], self.post_off[t + 1]) for t in terms]
         if not spans:
@@ -119,15 +121,16 @@ class Index:
 
 
 def order_documents(sizes: np.ndarray, index: Index, window: int, query_terms: int, most: int) -> list[int]:
-    """The order in which documents are laid end to end."""
+    """The order in which documents are laid end to end; terms: how many of the seed's the next question has, 0 for all, -1 for no question."""
     n, used, order, cursor, at = len(sizes), np.zeros(len(sizes), bool), [], 0, 0
     queue: list[int] = []
-    seed, asked = -1, True
+    seed, terms = -1, -1
     while len(order) < n:
         while queue and used[queue[0]]:
             queue.pop(0)
-        if not queue and not asked:
-            queue, asked = [int(x) for x in index.neighbours(seed, used, query_terms, most)], True
+        while not queue and terms >= 0:
+            queue = [int(x) for x in index.neighbours(seed, used, terms, most)]
+            terms = 0 if queue or terms > 0 else -1
         if queue:
             doc = queue.pop(0)
         else:
@@ -138,9 +141,9 @@ def order_documents(sizes: np.ndarray, index: Index, window: int, query_terms: i
         order.append(doc)
         before, at = at // window, at + int(sizes[doc])
         if at // window > before or len(order) == 1 or seed < 0:
-            seed, queue, asked = doc, [], at % window == 0
+            seed, queue, terms = doc, [], query_terms
             if at % window == 0:
-                seed = -1
+                seed, terms = -1, -1
     return order
 
 

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from siltstone.llm import kernels as K
-from siltstone.llm.bm25_packing import Encoder, cuts, pack_documents
+from siltstone.llm.bm25_packing import Encoder, Index, cuts, order_documents, pack_documents
 from siltstone.llm.cnn_toxicity import best_threshold, drop_toxic, toxicity_held_out
 from siltstone.llm.kn_quality import classify, drop_low
 from siltstone.llm.langmask import identify_held_out
@@ -104,6 +104,18 @@ def test_packing(spark):
     assert cuts(150, 64).tolist() == [64, 128, 144, 148, 150]
 
 
+def test_packing_asks_until_no_neighbour_is_left():
+    """Two topics in turn, many short documents to a window: the second topic waits for the first to be used up."""
+    terms = np.array([[3 * (i % 2), 3 * (i % 2) + 1, 3 * (i % 2) + 2] for i in range(120)]).ravel()
+    order = order_documents(np.full(120, 4), Index(terms, np.arange(121) * 3), 1024, 12, 16)
+    assert sorted(order) == list(range(120)) and [i % 2 for i in order] == [0] * 60 + [1] * 60
+    # a long seed shares one term with each document but document 1
+    terms = np.array([*range(30), 50, *(t for t in range(29) for _ in range(3)), 29])
+    off = np.cumsum([0, 30, 1, *[3] * 29, 1])
+    order = order_documents(np.full(32, 4), Index(terms, off), 1024, 12, 16)
+    assert order[0] == 0 and order[-1] == 1
+
+
 def junk(rng):
     w = ["".join(rng.choice("abdegil") for _ in range(5)) for _ in range(6)]
     return rng.choice([" | ".join(w * 8), " ".join(x for x in w for _ in range(12)), " ".join(x + "***" for x in w * 8)])
