@@ -1,7 +1,9 @@
 """Packing by lexical retrieval: BM25 neighbours fill the windows of seed documents.
 
-The corpus is dealt into shards of about `shard_tokens` tokens; each shard has an inverted index
-of its own.  The document at the start of a window is its seed; the index returns the unused
+Document frequencies, the number of documents and their mean length are those of the whole corpus.
+Each document is routed by its weightiest term that another document has, too; documents are sorted
+by these terms over all files and dealt into shards of about `shard_bytes` of text, each with an
+inverted index of its own, so that neighbours come from any file.  The document at the start of a window is its seed; the index returns the unused
 documents of the shard with the highest BM25 scores for the seed's `query_terms` weightiest terms,
 and these are appended until the window is full.  Once they are used, the index is asked for the
 next best unused documents by all of the seed's terms, as often as needed.  A document that
@@ -15,7 +17,7 @@ no pre-token crosses, and each distinct chunk of a shard is encoded once.
 
 Semantics: a null or empty text is its end id alone.  Repeated rows and ids are packed each.
 sequence_id is partition << 32 | number, the same in every attempt of a task.  Ties in scores go
-to the document that was read first.  An empty table gives no pieces.
+to the document that is first in the shard: by route, id and text.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare
+from .common import materialize, prepare
+from .katz import pack, pack_keys, unpack, unpack_keys
+from .kernels import U64
 
 END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,10 +71,11 @@ class Encoder:
         order = np.argsort(known, kind="stable")
         self.known, self.where, self.size = known[order], np.concatenate([self.where, where])[order], np.concatenate([self.size, n])[order]
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all documents with END_ID after each, offsets, terms (chunk numbers), term offsets."""
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of all documents with END_ID after each, offsets, terms (chunk numbers), term offsets; `hashes` keeps those of the chunks."""
         start, end, coff = K.chunks(data, off)
         hashes, first, at = np.unique(K.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        self.hashes = hashes
         if len(self.known) + len(hashes) > self.most:
             self._forget()
         new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
@@ -85,10 +91,90 @@ class Encoder:
         return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs)), at, coff
 
 
+class Corpus:
+    """Sorted hashes of the terms that two documents or more have, their document frequencies, and the corpus' size and mean length."""
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n: int, mean: float):
+        self.terms, self.df, self.n, self.mean = terms, df, n, mean
+
+    def frequencies(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, self.df[at], 1).astype(np.int64)
+
+
+def gains(tf: np.ndarray, df: np.ndarray, lens: np.ndarray, n: int, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / max(mean, 1e-9)))
+
+
+def postings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, times) of a batch, sorted, and the documents' lengths in terms."""
+    data, off = K.utf8(column)
+    start, end, coff = K.chunks(data, off)
+    h = K.span_hashes(data, start, end)
+    order = np.argsort(h, kind="stable")  # documents ascend within a term
+    h, doc = h[order], np.repeat(np.arange(len(column)), np.diff(coff))[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[first], doc[first], np.diff(np.append(first, len(h))), np.diff(coff)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text -> (term, documents, length) of each batch; a null term has the numbers of documents and of all terms."""
+    for batch in batches:
+        terms, _, _, lens = postings(batch.column(0))
+        terms, df = np.unique(terms, return_counts=True)
+        term = pa.array(np.append(terms, U64(0)).view(np.int64), mask=np.arange(len(terms) + 1) == len(terms))
+        size = np.append(np.zeros(len(terms), np.int64), lens.sum())
+        yield pa.RecordBatch.from_arrays([term, pa.array(np.append(df, len(lens))), pa.array(size)], ["term", "docs", "size"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, docs) of a task in one row, so that the driver gets little more than it broadcasts."""
+    held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.uint32)) for b in batches]
+    if held:
+        terms, docs = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(terms)
+        yield pa.RecordBatch.from_arrays([pa.array([pack_keys(terms[order])], pa.binary()), pa.array([pack(docs[order])], pa.binary())], ["terms", "docs"])
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    counts = rows.select("text").mapInArrow(_frequencies, "term long, docs long, size long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("size").alias("size"))
+    counts = materialize(counts.filter("term is null or docs > 1"), "bm25-terms")
+    total = counts.filter("term is null").first()
+    packed = counts.filter("term is not null").mapInArrow(_packed, "terms binary, docs binary").collect()
+    terms = np.concatenate([np.zeros(0, U64), *(unpack_keys(r.terms) for r in packed)])
+    order = np.argsort(terms)
+    df = np.concatenate([np.zeros(0, np.uint32), *(unpack(r.docs, np.uint32) for r in packed)])
+    return Corpus(terms[order], df[order], total.docs if total else 0, total.size / max(total.docs, 1) if total else 0.0)
+
+
+def _routes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = shared.value
+        for batch in batches:
+            term, doc, tf, lens = postings(batch.column(1))
+            df = corpus.frequencies(term)
+            fine = df > 1
+            term, doc, tf, df = term[fine], doc[fine], tf[fine], df[fine]
+            gain, best = gains(tf, df, lens[doc], corpus.n, corpus.mean), np.full(len(lens), -1.0)
+            np.maximum.at(best, doc, gain)
+            top = np.flatnonzero(gain == best[doc])
+            route = np.full(len(lens), ~U64(0))
+            np.minimum.at(route, doc[top], term[top])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(route.view(np.int64), mask=best < 0)], ["doc_id", "text", "route"])
+        K.release()
+
+    return run
+
+
 class Index:
-    """BM25 over a shard's documents; terms in one document only lead to no neighbour and are left out."""
+    """BM25 over a shard's documents; terms in one document only lead to no neighbour and are left out.
+
+    frequencies, total, mean: of the whole corpus; without them the shard's own.
+    """
 
-    def __init__(self, terms: np.ndarray, off: np.ndarray, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, terms: np.ndarray, off: np.ndarray, frequencies: np.ndarray | None = None, total: int | None = None, mean: float | None = None):
         n, lens = len(off) - 1, np.diff(off)
         width = int(terms.max()) + 1 if len(terms) else 1
         pair, tf = np.unique(np.repeat(np.arange(n), lens) * width + terms, return_counts=True)
@@ -96,8 +182,8 @@ class Index:
         df = np.bincount(term, minlength=width)
         fine = df[term] > 1
         doc, term, tf = doc[fine], term[fine], tf[fine]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / max(lens.mean(), 1e-9)))
+        df = df if frequencies is None else frequencies
+        weight = gains(tf, df[term], lens[doc], n if total is None else total, lens.mean() if mean is None else mean)
         self.doc_off = np.searchsorted(doc, np.arange(n + 1))
         self.term, self.gain = term, weight
         order = np.argsort(term, kind="stable")
@@ -158,10 +244,10 @@ def cuts(total: int, window: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def pack_shard(ids: pa.Array, encoded: tuple, window: int, query_terms: int, most: int, base: int) -> tuple[pa.RecordBatch, int]:
+def pack_shard(ids: pa.Array, encoded: tuple, hashes: np.ndarray, corpus: Corpus, window: int, query_terms: int, most: int, base: int) -> tuple[pa.RecordBatch, int]:
     tokens, off, terms, toff = encoded
     sizes = np.diff(off)
-    order = np.array(order_documents(sizes, Index(terms, toff), window, query_terms, most), np.int64)
+    order = np.array(order_documents(sizes, Index(terms, toff, corpus.frequencies(hashes), corpus.n, corpus.mean), window, query_terms, most), np.int64)
     laid = np.append(0, np.cumsum(sizes[order]))
     ends = cuts(int(laid[-1]), window)
     bounds = np.union1d(laid, ends)
@@ -177,7 +263,7 @@ def pack_shard(ids: pa.Array, encoded: tuple, window: int, query_terms: int, mos
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")]), len(ends)
 
 
-def _pack(path: str, window: int, shard_bytes: int, query_terms: int, most: int):
+def _pack(shared, path: str, window: int, shard_bytes: int, query_terms: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = Encoder(path), TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
@@ -186,7 +272,8 @@ def _pack(path: str, window: int, shard_bytes: int, query_terms: int, most: int)
         def flush():
             nonlocal base, held, size
             rows = pa.Table.from_batches(held).combine_chunks()
-            out, n = pack_shard(rows.column(0).combine_chunks(), encoder.encode(*K.utf8(rows.column(1))), window, query_terms, most, base)
+            encoded = encoder.encode(*K.utf8(rows.column(1)))
+            out, n = pack_shard(rows.column(0).combine_chunks(), encoded, encoder.hashes, shared.value, window, query_terms, most, base)
             base, held, size = base + n, [], 0
             K.release()
             return out
@@ -205,11 +292,17 @@ def _pack(path: str, window: int, shard_bytes: int, query_terms: int, most: int)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, shard_bytes: int = 8_000_000, query_terms: int = 12, most: int = 16) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  Map-only."""
-    prepare(docs.sparkSession)
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = docs.sparkSession
+    prepare(spark)
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_pack(str(tokenizer_path), window, shard_bytes, query_terms, most), SCHEMA)
+    shared = spark.sparkContext.broadcast(corpus_of(rows))
+    routed = materialize(rows.mapInArrow(_routes(shared), "doc_id long, text string, route long").withColumn("digest", F.xxhash64("doc_id", "text")), "bm25-routed")
+    # ids and digests let a route of many documents go to several tasks
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = routed.repartitionByRange(shards, "route", "doc_id", "digest").sortWithinPartitions("route", "doc_id", "digest").select("doc_id", "text")
+    return dealt.mapInArrow(_pack(shared, str(tokenizer_path), window, shard_bytes, query_terms, most), SCHEMA)

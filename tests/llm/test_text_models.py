@@ -104,6 +104,19 @@ def test_packing(spark):
     assert cuts(150, 64).tolist() == [64, 128, 144, 148, 150]
 
 
+def test_packing_finds_neighbours_in_other_files(spark):
+    """Related documents lie as far apart as they can; shards of the scan's runs would never join them."""
+    rng = random.Random(14)
+    own = [["".join(rng.choice("bdfghklmnp") for _ in range(8)) for _ in range(10)] for _ in range(40)]
+    rows = [(i, " ".join(own[i % 40] + [rng.choice(EN) for _ in range(8)])) for i in range(320)]
+    got = pack_documents(docs_of(spark, rows).repartitionByRange(8, "doc_id"), window=256, shard_bytes=6000).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.doc_id % 40))
+    pairs = [a[1] == b[1] for x in by.values() for a, b in zip(sorted(x), sorted(x)[1:])]
+    assert sum(pairs) > 0.6 * len(pairs) > 60
+
+
 def test_packing_asks_until_no_neighbour_is_left():
     """Two topics in turn, many short documents to a window: the second topic waits for the first to be used up."""
     terms = np.array([[3 * (i % 2), 3 * (i % 2) + 1, 3 * (i % 2) + 2] for i in range(120)]).ravel()
