@@ -170,7 +170,7 @@ def g08_clean_version(spark, sf):
 
 @query()
 def g09_parse_patch(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("diff --git a/f.py b/f.py\n--- a/f.py\n+++ b/f.py\n@@ -1,2 +1,3 @@\n x\n+"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40), F.lit("\n+b\n-a")).alias("patch"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("diff --git a/f.py b/f.py\n--- a/f.py\n+++ b/f.py\n@@ -1,2 +1,3 @@\n x\n+"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n+b\n-a")).alias("patch"))
     return P.parse_patches(d)
 
 

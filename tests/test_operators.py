@@ -268,3 +268,12 @@ def test_explanations(spark):
     assert got[0].composite >= 0.8 and got[0].mechanism == 1 and got[0].located is None
     assert got[1].composite <= 0.2 and got[1].invented >= 1
     assert got[2].empty and got[2].composite == 0 and got[2].mechanism is None
+
+
+def test_parse_patch_query_takes_whole_texts(spark, tmp_path):
+    from siltstone.plans import QUERIES
+
+    texts = {1: "short", 2: "word " * 100 + "end", 3: "first\nsecond " + "x" * 300, 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r.lines) for r in QUERIES["g09_parse_patch"](spark, str(tmp_path)).collect()}
+    assert got == {i: [" x", "+" + t.replace("\n", " "), "+b", "-a"] for i, t in texts.items()}
