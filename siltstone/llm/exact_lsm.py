@@ -90,8 +90,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows that exact_groups would not keep; all columns stay as they are."""
+    """docs without the rows that exact_groups would not keep, by id and text; all columns stay as they are."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    dropped = materialize(groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "lsm-dropped")
-    right = sized(dropped).withColumnRenamed("doc_id", "dropped__id")
-    return docs.join(right, docs[id_col].eqNullSafe(F.col("dropped__id")), "left_anti")
+    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("dropped__id"), F.unhex("text_sha256").alias("dropped__sha"))
+    right = sized(materialize(dropped.distinct(), "lsm-dropped"))
+    sha = F.unhex(F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256))
+    return docs.join(right, (docs[id_col].cast("long") == F.col("dropped__id")) & (sha == F.col("dropped__sha")), "left_anti")

@@ -49,6 +49,11 @@ def test_drop_copies_keeps_columns(spark):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [1, 3, 4, 4, 6, 7, 8, 9]
 
 
+def test_drop_copies_spares_other_texts_of_an_id(spark):
+    out = drop_copies(docs_of(spark, [(3, "A"), (5, "A"), (5, "B"), (6, "b"), (None, "A")])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "A"), (3, "A"), (5, "B")]
+
+
 def test_empty(spark):
     docs = docs_of(spark, [])
     assert exact_groups(docs).count() == 0 and near_groups(docs).count() == 0 and drop_near_copies(docs).count() == 0
