@@ -1,32 +1,31 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
-
-The model learns from trusted text: documents that labels mark as good.  The vocabulary is every word
-that two trusted documents or more have in common, and grows with them.  Any other word becomes its
-shape (symbols, capitals, digits, closing punctuation), so that words of one document stand for the
-unknown ones, and has its shape's probability, shared equally by the trusted words that the shape
-stands for; a word may also be "same as the word before".  Every trusted document's trigrams are counted.
-
-Words that few documents share are costly wherever they stand, so that beside them runs of repeats or
-symbols look cheap.  A second model of the same kind therefore sees the `frequent` most frequent words
-and the shapes of all others; a document passes if it passes under both.
-
-Counts are joined in shards, not held in memory: documents are cut into blocks that keep their
-tokens; each block sends its distinct trigrams with their trusted counts; grouping by trigram gives
-the count table, further grouping the continuation counts, totals and counts of counts; joins by
-context give log P(w|uv), (c - D(c))/c(uv) + g(uv) P(w|v) and so on down to the uniform
-distribution, with the three discounts of modified Kneser-Ney per order; and each block gets the
-log-probabilities of its trigrams back, from which each document's perplexity follows.  A trusted
-document's tokens are scored with one count of their trigram left out, as if the model had not
-learnt from them; otherwise it would know trusted texts better than any other clean one.  A document
-of few words is drawn towards its language's mean by `prior` tokens.
-
-Thresholds: for each language, `margin` times the `quantile` of the perplexities of all its trusted
-documents; for languages without `least` of them, and for null languages, that of all trusted
-documents.  A document above its threshold is rejected; the margin spares the rare clean one.
-
-Semantics: a null or empty text is its end token alone.  Without trusted rows every document is
-kept, perplexity null.  Rows that repeat an id are scored each; if one of them is rejected, drop_low
-drops all of that id.  Rows without an id are never trusted, and never dropped.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
+
+The model learns from trusted text: documents that labels mark as good.  Its tokens are the bytes of
+the text and an end, so that it has no unknown words and leaves nothing out, in any language.  A word
+that equals the word before it is one token, REPEAT, in place of its bytes and the space before it.  It is
+predicted where it stands, but contexts pass over it: a run of one word stays as improbable as its
+first repeat.
+
+Every trusted document whose crc32(doc_id as text) mod 5 is not 0 is counted; the other fifth of the
+trusted documents is held back, and its perplexities give the thresholds.
+
+Counts are joined in shards, not held in memory.  Documents are cut into blocks that keep their text;
+each block sends its distinct n-grams with their counts in the text learned from, as sorted compressed
+keys, to the shards of these keys, which add up all blocks.  From this table of n-grams come the
+continuation counts of each lower order, and P(w|h) = (c(hw) - D(c) + mass(h) P(w|h')) / c(h), mass(h)
+being the sum of the discounts in h, from the uniform distribution upwards, with the three discounts of
+modified Kneser-Ney per order.  The shards send each block the log-probabilities of its n-grams, in the
+order in which it asked, and each document's perplexity follows.  A context has as many rows as
+bytes may follow, at most, so that no group grows with the data; a hot n-gram is one row of a block.
+
+Thresholds: for each language, `margin` times the `quantile` of the held-back perplexities; for
+languages with less than `least` held-back documents, and for null languages, that of all of them.
+With less than `least` in all, every trusted document counts as held back.  Short documents are drawn
+towards their language's mean by `prior` tokens.  A document above its threshold is rejected.
+
+Semantics: a null or empty text is its end token alone.  Without trusted rows every document is kept,
+perplexity null.  Rows are judged each by itself, also where they repeat an id, or have none: drop_low
+drops by id and text.  Rows without an id are never trusted.
 """
 
 from __future__ import annotations
@@ -37,277 +36,271 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, prepare, scratch_path, sized
-from .katz import pack, unpack
-
-BITS = 31
-START, END, SAME, SHAPES = 0, 1, 2, 3
-#: Marks a token whose word is the one before: it is predicted as SAME, and stands in contexts as itself.
-REPEATED = 1 << 31
-#: Bits of a shape: symbols inside, only capitals, digits, closing comma, closing stop, no letter or digit.
-FIRST_WORD = SHAPES + 64
-_IS = {k: np.array([f(chr(i)) if i < 128 else k == "letter" for i in range(256)]) for k, f in {"letter": str.isalpha, "upper": str.isupper, "digit": str.isdigit, "symbol": lambda c: c not in ".,;:'-" and not c.isalnum() and c > " "}.items()}
-BLOCKS = "block long, doc_ids binary, null_ids binary, trusted binary, lens binary, tokens binary, coarse binary"
+from .common import materialize, prepare, remainder, scratch_path, sized
+from .katz import pack, pack_keys, unpack, unpack_keys
+
+#: Bits of a token; bytes stand for themselves.
+BITS = 9
+REPEAT, END, START = 256, 257, 258
+#: How many tokens may follow a context: all but START.
+PREDICTED = 258
+SEEN, LEARN, HELD = 0, 1, 2
+BLOCKS = "block long, shard int, doc_ids array<long>, langs array<string>, digests array<long>, roles array<byte>, lens array<int>, text binary, keys binary, counts binary"
 NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
+SCORES = "doc_id long, lang string, digest long, role byte, n_tokens long, logp double"
 
 
-def _spans_any(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    run = np.append(0, np.cumsum(flags))
-    return run[end] - run[start]
-
-
-def tokens(data: np.ndarray, off: np.ndarray, *vocabularies: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Lengths, and for each vocabulary (sorted hashes) the token of each word, END after each document."""
-    raw = data
-    data, start, end, woff = K.words(data, off)
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all documents, END after each, and their offsets."""
+    _, start, end, woff = K.words(data, off, fold=False)
     h = K.span_hashes(data, start, end)
-    core_end = end.copy()
-    for _ in range(2):
-        stop = (core_end - start > 1) & np.isin(data[core_end - 1], np.frombuffer(b".,;:", np.uint8))
-        core_end = core_end - stop
-    letters, digits = _spans_any(_IS["letter"][raw], start, end), _spans_any(_IS["digit"][raw], start, end)
-    symbols, upper = _spans_any(_IS["symbol"][raw], start, end), _spans_any(_IS["upper"][raw], start, end)
-    last = data[end - 1] if len(end) else data[:0]
-    comma, stop = np.isin(last, np.frombuffer(b",;:", np.uint8)), last == ord(".")
-    shape = (symbols > 0) | ((upper == letters) & (letters > 1)) << 1 | (digits > 0) << 2 | comma << 3 | stop << 4 | (letters + digits == 0) << 5
-    core, open_class = K.span_hashes(data, start, core_end), (symbols > 0) | ((upper == letters) & (letters > 1))
     same = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, bool)
     same[woff[:-1][woff[:-1] < len(h)]] = False
-    told = []
-    for known in vocabularies:
-        out = SHAPES + shape.astype(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, core), len(known) - 1)
-            plain = (known[at] == core) & ~open_class
-            out[plain] = FIRST_WORD + at[plain]
-        out[same] |= REPEATED
-        told.append(np.insert(out, woff[1:], END).astype(np.uint32))
-    return np.diff(woff) + 1, *told
-
-
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text -> (word, shape, documents) of each batch; a document with several shapes of a word counts for one of them."""
-    for batch in batches:
-        raw, off = K.utf8(batch.column(0))
-        data, start, end, woff = K.words(raw, off)
-        _, shape = tokens(raw, off, np.zeros(0, np.uint64))
-        shape = (shape[shape != END] & (REPEATED - 1)).astype(np.int64)
-        for _ in range(2):
-            end = end - ((end - start > 1) & np.isin(data[end - 1], np.frombuffer(b".,;:", np.uint8)))
-        rows = pd.DataFrame({"word": K.span_hashes(data, start, end).view(np.int64), "shape": shape, "doc": np.repeat(np.arange(len(batch)), np.diff(woff))}).drop_duplicates()
-        rows["docs"] = (~rows.duplicated(["word", "doc"])).astype(np.int64)
-        yield pa.RecordBatch.from_pandas(rows.groupby(["word", "shape"], as_index=False)["docs"].sum(), preserve_index=False)
-
-
-def _blocks(shared, block_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    again = np.flatnonzero(same)
+    out = data.astype(np.uint16)
+    out[end[again - 1]] = REPEAT
+    within = np.zeros(len(data) + 1, np.int8)
+    within[end[again - 1] + 1] += 1
+    within[end[again]] -= 1
+    stays = np.cumsum(within[:-1], dtype=np.int8) == 0
+    at = np.append(0, np.cumsum(stays))[off]
+    return np.insert(out[stays], at[1:], END), at + np.arange(len(off))
+
+
+def ngrams(t: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """The key of each token and the order - 1 tokens before it that are not REPEAT, the last token in the lowest bits."""
+    own = t != REPEAT
+    rank = np.append(0, np.cumsum(own))
+    base, first = t[own].astype(np.int64), rank[off]
+    lens = np.diff(first)
+    context = np.zeros(len(base), np.int64)
+    for back in range(1, order):
+        before = np.full(len(base), START)
+        before[back:] = base[:-back]
+        for k in range(back):
+            before[first[:-1][lens > k] + k] = START
+        context |= before << BITS * (back - 1)
+    return context[rank[:-1]] << BITS | t
+
+
+def _encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the place of each key among them."""
+    d = pa.array(keys).dictionary_encode()
+    return d.dictionary.to_numpy(), d.indices.to_numpy()
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    distinct, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate([np.zeros(0), *counts]), len(distinct)).astype(np.int64)
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by shard, and where the shards begin in it."""
+    shard = (K.fmix(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
+
+
+def _blocks(order: int, shards: int, block_bytes: int):
+    """(doc_id, lang, digest, role, text) -> for each block a row with its documents and a row for each shard."""
 
-        def flush():
-            row = [pack(np.concatenate(x)) for x in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | number]), *(pa.array([x], pa.binary()) for x in row)], NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        meta, texts, lens, keys, counts, size = [], [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal meta, texts, lens, keys, counts, size, number
+            block = part << 24 | number
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            rows = pa.Table.from_batches(meta).combine_chunks()
+            own = [[c.combine_chunks().to_pylist()] for c in rows.columns]
+            values = {"block": [block], **dict(zip(("doc_ids", "langs", "digests", "roles"), own)), "lens": [np.concatenate(lens)], "text": [text]}
+            yield _batch(values)
+            distinct, n = _added(keys, counts)
+            to, bounds = _by_shard(distinct, shards)
+            spans = [(s, to[a:b]) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+            yield _batch({"block": [block] * len(spans), "shard": [s for s, _ in spans], "keys": [pack_keys(distinct[x].view(np.uint64)) for _, x in spans], "counts": [pack(n[x].astype(np.uint32)) for _, x in spans]})
+            meta, texts, lens, keys, counts, size, number = [], [], [], [], [], 0, number + 1
+            K.release()
 
         for batch in batches:
-            data, off = K.utf8(batch.column(2))
-            ids, trusted = batch.column(0), batch.column(1)
-            for a, b in K.pieces(off):
-                lens, *t = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a], *shared.value)
-                here = ids.slice(a, b - a)
-                held.append((here.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), here.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), trusted.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), lens.astype(np.uint32), *t))
-                size += len(t[0])
-                if size >= block_tokens:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield flush()
-        held.clear()
-        K.release()
+            data, off = K.utf8(batch.column(4))
+            learn = batch.column(3).to_numpy(zero_copy_only=False) == LEARN
+            for a, b in K.pieces(off, 1_000_000):
+                t, toff = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                distinct, at = _encoded(ngrams(t, toff, order))
+                meta.append(batch.select([0, 1, 2, 3]).slice(a, b - a))
+                texts.append(data[off[a] : off[b]].tobytes())
+                lens.append(np.diff(off[a : b + 1]))
+                keys.append(distinct)
+                counts.append(np.bincount(at[np.repeat(learn[a:b], np.diff(toff))], minlength=len(distinct)))
+                size += int(off[b] - off[a]) + b - a
+                if sum(map(len, keys)) > 4_000_000:
+                    keys, counts = ([x] for x in _added(keys, counts))
+                if size >= block_bytes:
+                    yield from flush()
+        if meta:
+            yield from flush()
 
     return run
 
 
-def _trigrams(row, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams as u and v << BITS | w, in that order; which one each token has, lengths, and trust of each token."""
-    t, lens = unpack(row[which], np.uint32).astype(np.int64), unpack(row["lens"], np.uint32).astype(np.int64)
-    w = np.where(t & REPEATED, SAME, t)
-    t &= REPEATED - 1
-    first = np.cumsum(lens) - lens
-    v = np.append(0, t[:-1]) if len(t) else t
-    v[first] = START
-    u = np.append(0, v[:-1]) if len(t) else t
-    u[first] = START
-    u[first[lens > 1] + 1] = START
-    pairs, at = np.unique(v << BITS | w, return_inverse=True)
-    distinct, at = np.unique(u << BITS | at, return_inverse=True)
-    return distinct >> BITS, pairs[distinct & (1 << BITS) - 1], at, lens, np.repeat(unpack(row["trusted"], np.uint8), lens).astype(bool)
-
-
-def _ask(which: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for row in rows.to_dict("records"):
-                u, vw, at, _, trusted = _trigrams(row, which)
-                yield pd.DataFrame({"block": row["block"], "u": u, "vw": vw, "n": np.bincount(at[trusted], minlength=len(u)).astype(np.int64)})
-                del u, vw, at, trusted
-                K.release()
+_TYPES = {"block": pa.int64(), "shard": pa.int32(), "doc_ids": pa.list_(pa.int64()), "langs": pa.list_(pa.string()), "digests": pa.list_(pa.int64()), "roles": pa.list_(pa.int8()), "lens": pa.list_(pa.int32()), "text": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
 
-    return run
 
+def _batch(values: dict) -> pa.RecordBatch:
+    n = len(values["block"])
+    return pa.RecordBatch.from_arrays([pa.array(values.get(c, [None] * n), kind) for c, kind in _TYPES.items()], NAMES)
 
-def _tell(which: str, shares: np.ndarray):
-    """shares: what is added to the log-probability of END, START, SAME and each shape."""
 
-    def sums(row, answers: pd.DataFrame) -> np.ndarray:
-        order = np.lexsort((answers["vw"].to_numpy(), answers["u"].to_numpy()))
-        u, vw, at, lens, trusted = _trigrams(row, which)
-        if len(u) != len(order):
-            raise ValueError("a block's trigrams and answers differ")
-        w = vw & (1 << BITS) - 1
-        share = np.where(w < FIRST_WORD, shares[np.minimum(w, FIRST_WORD - 1)], 0)
-        logs, less = (answers[c].to_numpy()[order] + share for c in ("logp", "less"))
-        return np.add.reduceat(np.where(trusted, less[at], logs[at]), np.cumsum(lens) - lens)
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """All requests of a shard -> its distinct n-grams and their counts."""
+    keys, counts, held = [], [], 0
+    for k, n in zip(rows["keys"], rows["counts"]):
+        keys.append(unpack_keys(k).view(np.int64))
+        counts.append(unpack(n, np.uint32))
+        held += len(keys[-1])
+        if held > 4_000_000:
+            keys, counts = ([x] for x in _added(keys, counts))
+            held = len(keys[0])
+    key, c = _added(keys, counts)
+    return pd.DataFrame({"shard": rows["shard"].iloc[0], "key": key, "c": c})
 
+
+def _answer(asks: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
+    """Each block's n-grams of a shard -> their log-probabilities in the same order."""
+    order = np.argsort(logs["key"].to_numpy())
+    key, logp = logs["key"].to_numpy()[order], logs["logp"].to_numpy(np.float32)[order]
+    out = [(b, s, pack(logp[np.searchsorted(key, unpack_keys(k).view(np.int64))])) for b, s, k in zip(asks["block"], asks["shard"], asks["keys"])]
+    return pd.DataFrame(out, columns=["block", "shard", "logs"])
+
+
+def _tell(order: int, shards: int):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"block": row["block"], which: [pack(sums(row, answers))]}) for row in blocks.to_dict("records")]
+        out = []
+        logs = np.concatenate([unpack(b, np.float32) for b in answers.sort_values("shard")["logs"]]).astype(np.float64)
+        for row in blocks.to_dict("records"):
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
+            off = np.append(0, np.cumsum(row["lens"], dtype=np.int64))
+            found, n, sums = [], [], []
+            for a, b in K.pieces(off, 1_000_000):
+                t, toff = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                found.append((*_encoded(ngrams(t, toff, order)), toff[:-1]))
+                n.append(np.diff(toff))
+            keys = np.unique(np.concatenate([x[0] for x in found]))
+            to, _ = _by_shard(keys, shards)
+            if len(to) != len(logs):
+                raise ValueError("a block's n-grams and answers differ")
+            own = np.empty(len(keys))
+            own[to] = logs
+            for distinct, at, first in found:
+                sums.append(np.add.reduceat(own[np.searchsorted(keys, distinct)][at], first))
+            out.append(pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "lang": list(row["langs"]), "digest": row["digests"], "role": row["roles"], "n_tokens": np.concatenate(n), "logp": np.concatenate(sums)}))
         K.release()
         return pd.concat(out)
 
     return run
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for blocks in batches:
-        for row in blocks.to_dict("records"):
-            ids = pd.array(unpack(row["doc_ids"], np.int64), dtype="Int64")
-            ids[unpack(row["null_ids"], np.uint8) == 1] = pd.NA
-            yield pd.DataFrame({"doc_id": ids, "trusted": unpack(row["trusted"], np.uint8) == 1, "n_tokens": unpack(row["lens"], np.uint32).astype(np.int64), "logp": unpack(row["tokens"], np.float64), "coarse": unpack(row["coarse"], np.float64)})
-
-
-def _level(counts: DataFrame, context: list[str]) -> tuple[DataFrame, list[float]]:
-    """Totals and interpolation weights per context of (context..., w, c), and the three discounts."""
-    n = counts.agg(*(F.count_if(F.col("c") == r) for r in (1, 2, 3, 4))).first()
+def _discounts(level: DataFrame) -> list[float]:
+    """The three discounts of modified Kneser-Ney, for counts of 1, 2, and more."""
+    n = level.agg(*(F.count_if(F.col("c") == r) for r in (1, 2, 3, 4))).first()
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
-    d = [min(max(r - (r + 1) * y * n[r] / n[r - 1] if n[r - 1] else 0.5 * r, 0.1 * r), 0.95 * r) for r in (1, 2, 3)]
-    totals = [F.sum("c").alias("total"), *(F.count_if(test).alias(f"n{r}") for r, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2)))]
-    grouped = (counts.groupBy(*context) if context else counts.groupBy()).agg(*totals)
-    return grouped.withColumn("mass", d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")).drop("n1", "n2", "n3"), d
-
-
-def _discount(c: F.Column, d: list[float]) -> F.Column:
-    return F.when(c > 2, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
-
-
-def _interpolated(counts: DataFrame, context: list[str], lower: F.Column, left: F.Column, rows: DataFrame, into: str) -> DataFrame:
-    """rows with P(w|context) in `into`, and in `into`_less what it is with one count of (context, w) left out.
-
-    counts: (context..., w, c).  lower, left: the two of the lower order, in rows.
-    """
-    totals, d = _level(counts, context)
-    if "c" not in rows.columns:
-        rows = rows.join(sized(counts.select(*context, "w", "c")), [*context, "w"], "left")
-    if context:
-        rows = rows.join(sized(materialize(totals, "kn-totals")), context, "left")
-    else:
-        rows = rows.crossJoin(F.broadcast(totals))  # one row of totals
-    c, total, mass = F.coalesce("c", F.lit(0)), F.col("total"), F.col("mass")
-    p = F.when(total.isNull(), lower).otherwise((c - _discount(c, d) + mass * lower) / total)
-    # without its last count, a trigram is no longer a type of the lower order
-    rest = (c - 1 - _discount(c - 1, d) + (mass - _discount(c, d) + _discount(c - 1, d)) * F.when(c == 1, left).otherwise(lower)) / (total - 1)
-    less = F.when(c == 0, p).when(total == 1, left).otherwise(rest)
-    return rows.withColumns({into: p, f"{into}_less": less}).drop("c", "total", "mass")
-
-
-def _sums(blocks: DataFrame, which: str, words: int, shares: np.ndarray) -> DataFrame:
-    """(block, which): the packed log-probabilities of each block's documents under the model of these tokens."""
-    asked = materialize(blocks.mapInPandas(_ask(which), "block long, u long, vw long, n long"), "kn-asked")
-    mask = (1 << BITS) - 1
-    grams = asked.groupBy("u", "vw").agg(F.sum("n").alias("c"))
-    grams = materialize(grams.select("u", F.shiftright("vw", BITS).alias("v"), F.col("vw").bitwiseAND(mask).alias("w"), "c"), "kn-grams")
-    three = grams.filter("c > 0").select("u", "v", "w", "c")
-    two = materialize(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "kn-two")
-    one = materialize(two.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "kn-one")
-    uniform = F.lit(1.0 / (FIRST_WORD + words))
-    # every table grows with the vocabulary; sizes are counted
-    p1 = materialize(_interpolated(one, [], uniform, uniform, materialize(grams.select("w").distinct(), "kn-w"), "p1"), "kn-p1")
-    p2 = materialize(_interpolated(two, ["v"], F.col("p1"), F.col("p1_less"), materialize(grams.select("v", "w").distinct(), "kn-vw").join(sized(p1), "w"), "p2"), "kn-p2")
-    p3 = _interpolated(three, ["u", "v"], F.col("p2"), F.col("p2_less"), grams.join(sized(p2), ["v", "w"]), "p3")
-    logs = materialize(p3.select("u", F.shiftleft("v", BITS).bitwiseOR(F.col("w")).alias("vw"), F.ln("p3").alias("logp"), F.ln("p3_less").alias("less")), "kn-logp")
-    told = asked.select("block", "u", "vw").join(logs, ["u", "vw"])
-    return materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_tell(which, shares), f"block long, {which} binary"), "kn-sums")
-
-
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 256, block_tokens: int = 2_000_000) -> DataFrame | None:
-    """doc_id, trusted, n_tokens, logp and coarse (natural; trusted rows: counts left out) of every row; None if nothing is trusted.
-
-    trusted_ids: a column doc_id of distinct trusted ids.
+    return [min(max(r - (r + 1) * y * n[r] / n[r - 1] if n[r - 1] else 0.5 * r, 0.1 * r), 0.95 * r) for r in (1, 2, 3)]
+
+
+def _probabilities(grams: DataFrame, order: int) -> DataFrame:
+    """(shard, key, c) of every n-gram that a block has, c = 0 where it was not learned -> (shard, key, logp)."""
+    mask = lambda k: F.col("key").bitwiseAND((1 << BITS * k) - 1)
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        lower = levels[k + 1].groupBy(mask(k).alias("key")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        levels[k] = materialize(lower, f"kn-level{k}")
+    below = None
+    for k in range(1, order + 1):
+        rows, d, c = levels[k], _discounts(levels[k]), F.col("c")
+        if below is None:
+            rows = rows.withColumn("lower", F.lit(1.0 / PREDICTED))
+        else:
+            rows = rows.join(sized(below.select(F.col("key").alias("below"), F.col("p").alias("lower"))), mask(k - 1) == F.col("below")).drop("below")
+        less = F.when(c > 2, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
+        follow = Window.partitionBy(F.shiftright("key", BITS))  # not more rows than tokens that may follow
+        rows = rows.withColumns({"total": F.sum("c").over(follow), "mass": F.sum(less).over(follow)})
+        p = F.when(F.col("total") > 0, (c - less + F.col("mass") * F.col("lower")) / F.col("total")).otherwise(F.col("lower"))
+        if k == order:
+            return materialize(rows.select("shard", "key", F.ln(p).cast("float").alias("logp")), "kn-logp")
+        below = materialize(rows.select("key", p.alias("p")), f"kn-p{k}")
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, block_bytes: int = 16_000_000) -> DataFrame | None:
+    """doc_id, lang, digest (xxhash64 of the text), role (0; 1: learned from; 2: trusted, held back), n_tokens and logp (natural) of every row; None if nothing is trusted.
+
+    trusted_ids: a written table with a column doc_id of distinct trusted ids.
     """
     spark = docs.sparkSession
     prepare(spark)
     if trusted_ids.isEmpty():
         return None
-    marks = trusted_ids.select(F.col("doc_id").alias("trusted__id"), F.lit(True).alias("trusted__mark"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    learnt = rows.join(sized(marks), F.col("doc_id") == F.col("trusted__id"), "left_semi")
-    words = learnt.select("text").mapInArrow(_cores, "word long, shape long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"), F.collect_set("shape").alias("shapes"))
-    words = materialize(words, "kn-words")
-    shared = words.filter("docs > 1")
-    both = shared.select("word"), shared.orderBy(F.desc("docs"), "word").limit(frequent).select("word")
-    # words with symbols or in capitals have their shape, however frequent
-    unknown = words.select("docs", F.explode("shapes").alias("shape")).filter((F.col("docs") < 2) | ((F.col("shape") - SHAPES).bitwiseAND(3) > 0)).groupBy("shape").count().collect()
-    shares = np.zeros(FIRST_WORD)
-    for shape, n in unknown:
-        shares[shape] = -np.log(n)
-    known = spark.sparkContext.broadcast([np.sort(x.toPandas()["word"].to_numpy(np.int64).view(np.uint64)) for x in both])
-    marked = rows.join(sized(marks), F.col("doc_id") == F.col("trusted__id"), "left").select("doc_id", F.coalesce("trusted__mark", F.lit(False)), "text")
-    name = f"kn_blocks_{uuid.uuid4().hex}"
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked.mapInArrow(_blocks(known, block_tokens), BLOCKS).write.bucketBy(shards, "block").option("path", scratch_path(spark, "kn-blocks")).saveAsTable(name)
+    marks = trusted_ids.select(F.col("doc_id").alias("trusted__id"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
+    role = F.when(F.col("trusted__id").isNull(), SEEN).when(remainder(F.col("doc_id")) == 0, HELD).otherwise(LEARN).cast("byte")
+    rows = rows.join(sized(marks), F.col("doc_id") == F.col("trusted__id"), "left").select("doc_id", "lang", F.xxhash64("text").alias("digest"), role.alias("role"), "text")
+    name, shards = f"kn_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(_blocks(order, shards, block_bytes), BLOCKS).write.bucketBy(shards, "block").option("path", scratch_path(spark, "kn-blocks")).saveAsTable(name)
     try:
-        blocks = spark.table(name)
-        sums = [_sums(blocks, *x) for x in (("tokens", known.value[0].size, shares), ("coarse", known.value[1].size, np.zeros(FIRST_WORD)))]
-        out = blocks.drop("tokens", "coarse").join(sums[0], "block").join(sums[1], "block")
-        return materialize(out.mapInPandas(_rows, "doc_id long, trusted boolean, n_tokens long, logp double, coarse double"), "kn-scores")
+        table = spark.table(name)
+        asks = table.filter("shard is not null").select("shard", "block", "keys", "counts")
+        grams = materialize(asks.groupBy("shard").applyInPandas(_merge, "shard int, key long, c long"), "kn-grams")
+        logs = _probabilities(grams, order)
+        answers = asks.drop("counts").groupBy("shard").cogroup(logs.groupBy("shard")).applyInPandas(_answer, "block long, shard int, logs binary")
+        texts = table.filter("shard is null").select("block", *NAMES[2:8])
+        return materialize(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_tell(order, shards), SCORES), "kn-scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.998, margin: float = 1.5, prior: float = 5.0, least: int = 50) -> DataFrame:
-    """One row per row of docs: doc_id, lang, n_tokens, perplexity, threshold, kept."""
-    spark = docs.sparkSession
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.998, margin: float = 1.25, prior: float = 50.0, least: int = 50) -> DataFrame:
+    """One row per row of docs: doc_id, lang, digest, n_tokens, perplexity, threshold, kept."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     good = materialize(good.join(docs.select(docs[id_col].cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"), "kn-trusted")
-    scored = perplexities(docs, good, id_col, text_col)
-    langs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"))
-    if scored is None:
+    rows = perplexities(docs, good, id_col, text_col, lang_col)
+    if rows is None:
         none = F.lit(None).cast("double")
-        return langs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    # ids that repeat: any one language of theirs, so that rows stay rows
-    one = langs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = materialize(scored.join(one, "doc_id", "left"), "kn-rows")
-    trusted = rows.filter("trusted")
-    models = ("logp", "coarse")
-    per = trusted.groupBy("lang").agg(*((F.sum(m) / F.sum("n_tokens")).alias(f"mean_{m}") for m in models), F.count(F.lit(1)).alias("n"))
-    total = trusted.agg(*((F.sum(m) / F.sum("n_tokens")).alias(f"all_{m}") for m in models))
-    # languages are few; their tables are joined by Spark's own choice
-    rows = rows.join(per.filter((F.col("n") >= least) & F.col("lang").isNotNull()).drop("n"), "lang", "left").crossJoin(F.broadcast(total))
-    perplexity = lambda m: F.exp(-(F.col(m) + prior * F.coalesce(f"mean_{m}", f"all_{m}")) / (F.col("n_tokens") + prior)).alias(m)
-    rows = materialize(rows.select("doc_id", "lang", "trusted", "n_tokens", *map(perplexity, models)), "kn-perplexity")
-    cut = rows.filter("trusted").groupBy("lang").agg(*(F.percentile_approx(m, quantile, 100_000).alias(f"own_{m}") for m in models), F.count(F.lit(1)).alias("n"))
-    cut = cut.filter((F.col("n") >= least) & F.col("lang").isNotNull()).drop("n")
-    overall = rows.filter("trusted").agg(*(F.percentile_approx(m, quantile, 100_000).alias(f"overall_{m}") for m in models))
-    both = rows.join(cut, "lang", "left").crossJoin(F.broadcast(overall))
-    verdict = lambda m: F.struct((F.col(m) / (margin * F.coalesce(f"own_{m}", f"overall_{m}"))).alias("excess"), F.col(m).alias("perplexity"), (margin * F.coalesce(f"own_{m}", f"overall_{m}")).alias("threshold"))
-    # the model under which the document is the more unusual decides
-    out = both.withColumn("worse", F.greatest(*map(verdict, models))).select("doc_id", "lang", "n_tokens", "worse.perplexity", "worse.threshold")
-    return out.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
+        kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), F.xxhash64(docs[text_col].cast("string")).alias("digest"))
+        return kept.select("*", F.lit(None).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
+    own, all_ = rows.filter(f"role <> {SEEN}"), (F.sum("logp") / F.sum("n_tokens"))
+    if (held := rows.filter(f"role = {HELD}")).limit(least).count() == least:
+        own = held
+    # one row a language: counted, then broadcast
+    many = (F.count(F.lit(1)) >= least) & F.col("lang").isNotNull()
+    mean = materialize(own.groupBy("lang").agg(all_.alias("mean"), many.alias("many")).filter("many").select(F.col("lang").alias("of"), "mean"), "kn-means")
+    overall = own.agg(all_).first()[0]
+
+    def with_perplexity(rows: DataFrame) -> DataFrame:
+        drawn = F.coalesce("mean", F.lit(overall))
+        return rows.join(sized(mean), F.col("lang") == F.col("of"), "left").withColumn("perplexity", F.exp(-(F.col("logp") + prior * drawn) / (F.col("n_tokens") + prior))).drop("of", "mean")
+
+    known, cut = with_perplexity(own), F.percentile_approx("perplexity", quantile, 100_000)
+    cuts = materialize(known.groupBy("lang").agg(cut.alias("cut"), many.alias("many")).filter("many").select(F.col("lang").alias("of"), "cut"), "kn-cuts")
+    out = with_perplexity(rows).join(sized(cuts), F.col("lang") == F.col("of"), "left")
+    threshold = margin * F.coalesce("cut", F.lit(known.agg(cut).first()[0]))
+    return out.select("doc_id", "lang", "digest", "n_tokens", "perplexity", threshold.alias("threshold"), (F.col("perplexity") <= threshold).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """One row per row of docs: doc_id, lang, n_tokens, perplexity, threshold, kept.  how: as for judged."""
+    return judged(docs, labels, **how).drop("digest")
 
 
 def drop_low(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rejected documents; columns stay as they are."""
-    rejected = materialize(classify(docs, labels, id_col, text_col, lang_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rejected__id")).distinct(), "kn-rejected")
-    return docs.join(sized(rejected), docs[id_col].cast("long") == F.col("rejected__id"), "left_anti")
+    """docs without the rejected rows; columns stay as they are."""
+    rejected = judged(docs, labels, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected__id"), F.col("digest").alias("rejected__digest"))
+    rejected = sized(materialize(rejected.distinct(), "kn-rejected"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("rejected__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("rejected__digest"))
+    return docs.join(rejected, same, "left_anti")
