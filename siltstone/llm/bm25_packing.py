@@ -1,27 +1,30 @@
 """Packing by lexical retrieval: BM25 neighbours fill the windows of seed documents.
 
-Document frequencies, the number of documents and their mean length are those of the whole corpus.
-Each document is routed by its weightiest term that another document has, too; documents are sorted
-by these terms over all files and dealt into shards of about `shard_bytes` of text, each with an
-inverted index of its own, so that neighbours come from any file.  The document at the start of a window is its seed; the index returns the unused
-documents of the shard with the highest BM25 scores for the seed's `query_terms` weightiest terms,
-and these are appended until the window is full.  Once they are used, the index is asked for the
-next best unused documents by all of the seed's terms, as often as needed.  A document that
-overflows is cut there and seeds the next window.  Only when no unused document scores above zero
-the shard's next unused document follows.  So
-every window is full but a shard's last one, which is cut into sequences whose lengths are
-powers of two: no token is padding, and none is lost or repeated.
-
-Token ids are those of the given byte-level BPE file.  Texts are cut before single spaces, where
-no pre-token crosses, and each distinct chunk of a shard is encoded once.
+Documents are encoded once and travel as compressed token ids.  The terms of the index are these
+tokens: their document frequencies, the number of documents and their mean length are those of the
+whole corpus, in a table that has a row for each token of the vocabulary and does not grow with the data.
+Each document is routed by its three weightiest terms that another document has, too; documents are sorted
+by these over all files and dealt into shards of about `shard_tokens`, each with an inverted index of its
+own, so that neighbours come from any file.  The document at the start of a window is its seed; the
+index returns the unused documents of the shard with the highest BM25 scores for the seed's `query_terms`
+weightiest terms, `most` at a time, and these are appended until the window is full.  Once they are used, the
+index is asked for the next best unused documents by all of the seed's terms, as often as needed.  A
+document that overflows is cut there and seeds the next window.  Only when no unused document scores
+above zero the shard's next unused document follows.  So every window is full but a shard's last one, which
+is cut into sequences whose lengths are powers of two: no token is padding, and none is lost or repeated.
+
+Token ids are those of the given tokenizer.  For byte-level BPE with its usual pattern, texts are cut before single
+spaces and such places, where no pre-token crosses, and each distinct chunk of a run of documents is
+encoded once; for any other tokenizer each text is one chunk.
 
 Semantics: a null or empty text is its end id alone.  Repeated rows and ids are packed each.
 sequence_id is partition << 32 | number, the same in every attempt of a task.  Ties in scores go
-to the document that is first in the shard: by route, id and text.  An empty table gives no pieces.
+to the document that is first in the shard: by route, id and tokens.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,16 +32,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import materialize, prepare
-from .katz import pack, pack_keys, unpack, unpack_keys
-from .kernels import U64
 
 END_ID = 0
+#: Bits of a token in a route, and what stands for no token there.
+ROUTE_BITS, NO_TERM = 21, (1 << 21) - 1
+ENCODED = "doc_id long, ids binary, terms array<int>, docs array<long>, n_docs long, n_tokens long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,12 +55,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        parts = json.loads(self.tokenizer.to_str())
+        cutter = parts["pre_tokenizer"] or {}
+        #: Whether texts may be cut: the pattern of byte-level BPE, nothing before it, no tokens added to the vocabulary that have a space.
+        self.cut = not parts["normalizer"] and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space") and not any(" " in t["content"] for t in parts["added_tokens"])
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
         #: Sorted hashes of known chunks, where their ids begin in the pool, how many they are.
         self.known, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.pool = np.zeros(0, self.kind)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         sizes, flat = [], []
@@ -65,17 +75,15 @@ class Encoder:
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
         n = np.array(sizes, np.int64)
         where = len(self.pool) + np.cumsum(n) - n
-        flat = np.concatenate([self.pool, *flat])
-        self.pool = flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat
+        self.pool = np.concatenate([self.pool, *(x.astype(self.kind) for x in flat)])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known, self.where, self.size = known[order], np.concatenate([self.where, where])[order], np.concatenate([self.size, n])[order]
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Ids of all documents with END_ID after each, offsets, terms (chunk numbers), term offsets; `hashes` keeps those of the chunks."""
-        start, end, coff = K.chunks(data, off)
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents with END_ID after each, and their offsets."""
+        start, end, coff = K.chunks(data, off) if self.cut else (off[:-1], off[1:], np.arange(len(off)))
         hashes, first, at = np.unique(K.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        self.hashes = hashes
         if len(self.known) + len(hashes) > self.most:
             self._forget()
         new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
@@ -86,83 +94,111 @@ class Encoder:
         found = np.searchsorted(self.known, hashes)
         lens = self.size[found][at]
         total = np.append(0, np.cumsum(lens))
-        tokens = self.pool[np.repeat(self.where[found][at] - total[:-1], lens) + np.arange(total[-1])].astype(np.uint32)
+        tokens = self.pool[np.repeat(self.where[found][at] - total[:-1], lens) + np.arange(total[-1])]
         docs = total[coff]
-        return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs)), at, coff
+        return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs))
 
 
 class Corpus:
-    """Sorted hashes of the terms that two documents or more have, their document frequencies, and the corpus' size and mean length."""
+    """Document frequencies by token, the number of documents and their mean length in tokens."""
 
-    def __init__(self, terms: np.ndarray, df: np.ndarray, n: int, mean: float):
-        self.terms, self.df, self.n, self.mean = terms, df, n, mean
-
-    def frequencies(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.terms):
-            return np.ones(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, self.df[at], 1).astype(np.int64)
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.n, self.mean = df, n, mean
 
 
 def gains(tf: np.ndarray, df: np.ndarray, lens: np.ndarray, n: int, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / max(mean, 1e-9)))
 
 
-def postings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(term, document, times) of a batch, sorted, and the documents' lengths in terms."""
-    data, off = K.utf8(column)
-    start, end, coff = K.chunks(data, off)
-    h = K.span_hashes(data, start, end)
-    order = np.argsort(h, kind="stable")  # documents ascend within a term
-    h, doc = h[order], np.repeat(np.arange(len(column)), np.diff(coff))[order]
-    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], doc[first], np.diff(np.append(first, len(h))), np.diff(coff)
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text -> (term, documents, length) of each batch; a null term has the numbers of documents and of all terms."""
-    for batch in batches:
-        terms, _, _, lens = postings(batch.column(0))
-        terms, df = np.unique(terms, return_counts=True)
-        term = pa.array(np.append(terms, U64(0)).view(np.int64), mask=np.arange(len(terms) + 1) == len(terms))
-        size = np.append(np.zeros(len(terms), np.int64), lens.sum())
-        yield pa.RecordBatch.from_arrays([term, pa.array(np.append(df, len(lens))), pa.array(size)], ["term", "docs", "size"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, docs) of a task in one row, so that the driver gets little more than it broadcasts."""
-    held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.uint32)) for b in batches]
-    if held:
-        terms, docs = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(terms)
-        yield pa.RecordBatch.from_arrays([pa.array([pack_keys(terms[order])], pa.binary()), pa.array([pack(docs[order])], pa.binary())], ["terms", "docs"])
-
-
-def corpus_of(rows: DataFrame) -> Corpus:
-    counts = rows.select("text").mapInArrow(_frequencies, "term long, docs long, size long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("size").alias("size"))
-    counts = materialize(counts.filter("term is null or docs > 1"), "bm25-terms")
-    total = counts.filter("term is null").first()
-    packed = counts.filter("term is not null").mapInArrow(_packed, "terms binary, docs binary").collect()
-    terms = np.concatenate([np.zeros(0, U64), *(unpack_keys(r.terms) for r in packed)])
-    order = np.argsort(terms)
-    df = np.concatenate([np.zeros(0, np.uint32), *(unpack(r.docs, np.uint32) for r in packed)])
-    return Corpus(terms[order], df[order], total.docs if total else 0, total.size / max(total.docs, 1) if total else 0.0)
-
-
-def _routes(shared):
+def postings(tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times), sorted; the end of a document is no term of it."""
+    own = np.ones(len(tokens), bool)
+    own[off[1:] - 1] = False
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[own]
+    pair, tf = np.unique(doc << 32 | tokens[own].astype(np.int64), return_counts=True)
+    return pair >> 32, pair & (1 << 32) - 1, tf
+
+
+def _encode(path: str, run_bytes: int):
+    """(doc_id, text) -> a row per document with its compressed ids, and last a row with the task's document frequencies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus = shared.value
+        encoder, press = Encoder(path), zstandard.ZstdCompressor(level=1)
+        df, docs, total, size = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64), 0, 0, 0
+        ids, texts = [], []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal docs, total, size, ids, texts
+            tokens, off = encoder.encode(*K.utf8(pa.chunked_array(texts)))
+            np.add.at(df, postings(tokens, off)[1], 1)
+            docs, total = docs + len(off) - 1, total + len(tokens) - len(off) + 1
+            raw, wide = tokens.tobytes(), tokens.itemsize
+            packed = [press.compress(raw[wide * a : wide * b]) for a, b in zip(off, off[1:])]
+            out = _rows({"doc_id": pa.chunked_array(ids).combine_chunks(), "ids": pa.array(packed, pa.binary())}, len(packed))
+            ids, texts, size = [], [], 0
+            K.release()
+            return out
+
         for batch in batches:
-            term, doc, tf, lens = postings(batch.column(1))
-            df = corpus.frequencies(term)
-            fine = df > 1
-            term, doc, tf, df = term[fine], doc[fine], tf[fine], df[fine]
-            gain, best = gains(tf, df, lens[doc], corpus.n, corpus.mean), np.full(len(lens), -1.0)
-            np.maximum.at(best, doc, gain)
-            top = np.flatnonzero(gain == best[doc])
-            route = np.full(len(lens), ~U64(0))
-            np.minimum.at(route, doc[top], term[top])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(route.view(np.int64), mask=best < 0)], ["doc_id", "text", "route"])
+            _, off = K.utf8(batch.column(1))
+            for a, b in K.pieces(off, run_bytes // 4):
+                ids.append(batch.column(0).slice(a, b - a))
+                texts.append(batch.column(1).slice(a, b - a))
+                size += int(off[b] - off[a])
+                if size >= run_bytes:
+                    yield flush()
+        if ids:
+            yield flush()
+        terms = np.flatnonzero(df)
+        yield _rows({"terms": pa.array([terms], pa.list_(pa.int32())), "docs": pa.array([df[terms]], pa.list_(pa.int64())), "n_docs": pa.array([docs]), "n_tokens": pa.array([total])}, 1)
+
+    return run
+
+
+def _rows(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "terms": pa.list_(pa.int32()), "docs": pa.list_(pa.int64()), "n_docs": pa.int64(), "n_tokens": pa.int64()}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kind)) for c, kind in kinds.items()], list(kinds))
+
+
+def corpus_of(encoded: DataFrame) -> Corpus:
+    """Sums over all tasks; the driver gets a row for each token of the vocabulary at most."""
+    sums = encoded.filter("ids is null")
+    n, total = sums.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
+    counts = sums.select(F.explode(F.arrays_zip("terms", "docs")).alias("x")).groupBy("x.terms").agg(F.sum("x.docs").alias("docs")).toPandas()
+    df = np.zeros(int(counts["terms"].max()) + 1 if len(counts) else 1, np.int64)
+    df[counts["terms"].to_numpy(np.int64)] = counts["docs"].to_numpy(np.int64)
+    return Corpus(df, n or 0, (total or 0) / max(n or 0, 1))
+
+
+def _ids(column: pa.Array, kind) -> list[np.ndarray]:
+    unpress = zstandard.ZstdDecompressor()
+    return [np.frombuffer(unpress.decompress(x), kind) for x in column.to_pylist()]
+
+
+def routes(tokens: np.ndarray, off: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """The three weightiest terms of each document that another document has, too."""
+    doc, term, tf = postings(tokens, off)
+    df = corpus.df[term]
+    fine = df > 1
+    doc, term, tf, df = doc[fine], term[fine], tf[fine], df[fine]
+    gain = gains(tf, df, (np.diff(off) - 1)[doc], corpus.n, corpus.mean)
+    order = np.lexsort((term, -gain, doc))
+    doc, term = doc[order], term[order]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    out = np.full((len(off) - 1, 3), NO_TERM, np.int64)
+    best = place < 3
+    out[doc[best], place[best]] = term[best]
+    return out[:, 0] << 2 * ROUTE_BITS | out[:, 1] << ROUTE_BITS | out[:, 2]
+
+
+def _routes(shared, kind):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = _ids(batch.column(1), kind)
+            off = np.append(0, np.cumsum([len(x) for x in ids]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(routes(np.concatenate(ids), off, shared.value))], ["doc_id", "ids", "route"])
         K.release()
 
     return run
@@ -244,10 +280,12 @@ def cuts(total: int, window: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def pack_shard(ids: pa.Array, encoded: tuple, hashes: np.ndarray, corpus: Corpus, window: int, query_terms: int, most: int, base: int) -> tuple[pa.RecordBatch, int]:
-    tokens, off, terms, toff = encoded
+def pack_shard(ids: pa.Array, tokens: np.ndarray, off: np.ndarray, corpus: Corpus, window: int, query_terms: int, most: int, base: int) -> tuple[pa.RecordBatch, int]:
     sizes = np.diff(off)
-    order = np.array(order_documents(sizes, Index(terms, toff, corpus.frequencies(hashes), corpus.n, corpus.mean), window, query_terms, most), np.int64)
+    own = np.ones(len(tokens), bool)
+    own[off[1:] - 1] = False
+    index = Index(tokens[own].astype(np.int64), off - np.arange(len(off)), corpus.df, corpus.n, corpus.mean)
+    order = np.array(order_documents(sizes, index, window, query_terms, most), np.int64)
     laid = np.append(0, np.cumsum(sizes[order]))
     ends = cuts(int(laid[-1]), window)
     bounds = np.union1d(laid, ends)
@@ -263,27 +301,24 @@ def pack_shard(ids: pa.Array, encoded: tuple, hashes: np.ndarray, corpus: Corpus
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")]), len(ends)
 
 
-def _pack(shared, path: str, window: int, shard_bytes: int, query_terms: int, most: int):
+def _pack(shared, kind, window: int, shard_tokens: int, query_terms: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder(path), TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
+        base, names, held, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def flush():
-            nonlocal base, held, size
-            rows = pa.Table.from_batches(held).combine_chunks()
-            encoded = encoder.encode(*K.utf8(rows.column(1)))
-            out, n = pack_shard(rows.column(0).combine_chunks(), encoded, encoder.hashes, shared.value, window, query_terms, most, base)
-            base, held, size = base + n, [], 0
+            nonlocal base, names, held, size
+            off = np.append(0, np.cumsum([len(x) for x in held]))
+            out, n = pack_shard(pa.concat_arrays(names), np.concatenate(held), off, shared.value, window, query_terms, most, base)
+            base, names, held, size = base + n, [], [], 0
             K.release()
             return out
 
         for batch in batches:
-            _, off = K.utf8(batch.column(1))
-            for a, b in K.pieces(off, shard_bytes // 4):
-                held.append(batch.slice(a, b - a))
-                size += int(off[b] - off[a])
-                if size >= shard_bytes:
+            for k, ids in enumerate(_ids(batch.column(1), kind)):
+                names.append(batch.column(0).slice(k, 1))
+                held.append(ids)
+                size += len(ids)
+                if size >= shard_tokens:
                     yield flush()
         if held:
             yield flush()
@@ -291,7 +326,7 @@ def _pack(shared, path: str, window: int, shard_bytes: int, query_terms: int, mo
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, shard_bytes: int = 8_000_000, query_terms: int = 12, most: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, shard_tokens: int = 2_500_000, query_terms: int = 12, most: int = 16, run_bytes: int = 8_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     prepare(spark)
@@ -299,10 +334,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    kind = Encoder(str(tokenizer_path)).kind
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(corpus_of(rows))
-    routed = materialize(rows.mapInArrow(_routes(shared), "doc_id long, text string, route long").withColumn("digest", F.xxhash64("doc_id", "text")), "bm25-routed")
+    encoded = materialize(rows.mapInArrow(_encode(str(tokenizer_path), run_bytes), ENCODED), "bm25-encoded")
+    shared = spark.sparkContext.broadcast(corpus_of(encoded))
+    routed = encoded.filter("ids is not null").select("doc_id", "ids").mapInArrow(_routes(shared, kind), "doc_id long, ids binary, route long").withColumn("digest", F.xxhash64("ids"))
     # ids and digests let a route of many documents go to several tasks
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = routed.repartitionByRange(shards, "route", "doc_id", "digest").sortWithinPartitions("route", "doc_id", "digest").select("doc_id", "text")
-    return dealt.mapInArrow(_pack(shared, str(tokenizer_path), window, shard_bytes, query_terms, most), SCHEMA)
+    dealt = routed.repartitionByRange(shards, "route", "doc_id", "digest").sortWithinPartitions("route", "doc_id", "digest").select("doc_id", "ids")
+    return dealt.mapInArrow(_pack(shared, kind, window, shard_tokens, query_terms, most), SCHEMA)

@@ -1,6 +1,8 @@
 """Language masks, pieces, packing, quality, toxicity and the pipeline."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,9 +12,9 @@ import pytest
 
 import corpus_pipeline
 from siltstone.llm import kernels as K
-from siltstone.llm.bm25_packing import Encoder, Index, cuts, order_documents, pack_documents
+from siltstone.llm.bm25_packing import ENCODED, NO_TERM, Encoder, Index, _encode, corpus_of, cuts, gains, order_documents, pack_documents, routes
 from siltstone.llm.cnn_toxicity import best_threshold, drop_toxic, toxicity_held_out
-from siltstone.llm.kn_quality import classify, drop_low
+from siltstone.llm.kn_quality import END, REPEAT, START, classify, drop_low, perplexities
 from siltstone.llm.langmask import identify_held_out
 from siltstone.llm.unigram_piece import encode_documents, model_of
 
@@ -73,7 +75,7 @@ def test_chunked_encoding_equals_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(6)
     texts = ["", " ", "  a b", "it's we'll 'x", "a  b", "x 　y", "<|endoftext|> a", "a   b c"] + ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "'s", "é", " ", "1", "%%", "日", " ", "\x1c"]) for _ in range(60)) for _ in range(300)]
-    tokens, off, _, _ = Encoder(path).encode(*K.utf8(pa.array(texts)))
+    tokens, off = Encoder(path).encode(*K.utf8(pa.array(texts)))
     plain = Tokenizer.from_file(path)
     for k, t in enumerate(texts):
         assert tokens[off[k] : off[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0], repr(t)
@@ -84,7 +86,7 @@ def test_packing(spark):
 
     rng = random.Random(8)
     rows = [(100 + i, prose(rng, EN, rng.randint(0, 120))) for i in range(60)] + [r for r in ODD if r[0] not in (None, 4)]
-    got = pack_documents(docs_of(spark, rows), window=64, shard_bytes=4000).collect()
+    got = pack_documents(docs_of(spark, rows), window=64, shard_tokens=1500).collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in rows}
     at, full = defaultdict(int), defaultdict(list)
@@ -109,7 +111,7 @@ def test_packing_finds_neighbours_in_other_files(spark):
     rng = random.Random(14)
     own = [["".join(rng.choice("bdfghklmnp") for _ in range(8)) for _ in range(10)] for _ in range(40)]
     rows = [(i, " ".join(own[i % 40] + [rng.choice(EN) for _ in range(8)])) for i in range(320)]
-    got = pack_documents(docs_of(spark, rows).repartitionByRange(8, "doc_id"), window=256, shard_bytes=6000).collect()
+    got = pack_documents(docs_of(spark, rows).repartitionByRange(8, "doc_id"), window=256, shard_tokens=2000, run_bytes=3000).collect()
     by = defaultdict(list)
     for r in got:
         by[r.sequence_id].append((r.offset, r.doc_id % 40))
@@ -117,6 +119,51 @@ def test_packing_finds_neighbours_in_other_files(spark):
     assert sum(pairs) > 0.6 * len(pairs) > 60
 
 
+def test_packing_keeps_repeated_rows(spark):
+    rows = [(4, "same text here")] * 7 + [(None, "same text here")] * 3 + [(4, "other text")]
+    got = pack_documents(docs_of(spark, rows), window=16, shard_tokens=20).collect()
+    assert sum(r.length for r in got if r.start == 0) >= 11 and sum(r.start == 0 for r in got) == 11
+    assert sum(r.start == 0 and r.doc_id is None for r in got) == 3
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] and b[1] == 0 or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
+
+
+def plain_bm25(docs, seed, df, n, mean):
+    """Scores of all documents for the terms of one, term by term."""
+    out = [0.0] * len(docs)
+    for t in set(docs[seed]):
+        for k, d in enumerate(docs):
+            if tf := d.count(t):
+                out[k] += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return out
+
+
+def test_neighbours_are_those_of_plain_bm25(spark):
+    """Frequencies over all files, and the order of neighbours, against a term-by-term version."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, EN, rng.randint(1, 40))) for i in range(80)] + [(90, ""), (91, None)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = docs_of(spark, rows).select("doc_id", "text").repartition(5).mapInArrow(_encode(path, 500), ENCODED)
+    corpus = corpus_of(encoded)
+    tokens, off = Encoder(path).encode(*K.utf8(pa.array([t for _, t in rows])))
+    docs = [tokens[a : b - 1].tolist() for a, b in zip(off, off[1:])]
+    df = Counter(t for d in docs for t in set(d))
+    assert {t: int(n) for t, n in enumerate(corpus.df) if n} == df and corpus.n == 82 and corpus.mean == pytest.approx(sum(map(len, docs)) / 82)
+    index = Index(np.array([t for d in docs for t in d]), np.append(0, np.cumsum([len(d) for d in docs])), corpus.df, corpus.n, corpus.mean)
+    for seed in (0, 7, 33, 80):
+        used = np.zeros(82, bool)
+        used[[seed, 5, 6]] = True
+        want = [(-s, k) for k, s in enumerate(plain_bm25(docs, seed, df, corpus.n, corpus.mean)) if s > 0 and not used[k]]
+        got = index.neighbours(seed, used, 0, 10)
+        assert [round(-s, 9) for s, _ in sorted(want)[:10]] == [round(-dict((k, s) for s, k in want)[int(g)], 9) for g in got]
+        # the routes: the weightiest terms that another document has
+        if docs[seed]:
+            gain = {t: gains(docs[seed].count(t), df[t], len(docs[seed]), corpus.n, corpus.mean) for t in set(docs[seed]) if df[t] > 1}
+            best = sorted(gain, key=lambda t: (-gain[t], t))[:3]
+            route = int(routes(tokens, off, corpus)[seed])
+            assert [x for x in (route >> 42, route >> 21 & NO_TERM, route & NO_TERM) if x != NO_TERM] == best
+
+
 def test_packing_asks_until_no_neighbour_is_left():
     """Two topics in turn, many short documents to a window: the second topic waits for the first to be used up."""
     terms = np.array([[3 * (i % 2), 3 * (i % 2) + 1, 3 * (i % 2) + 2] for i in range(120)]).ravel()
@@ -145,49 +192,79 @@ def test_quality(spark):
     bad = [r.kept for r in got if r.doc_id is not None and 10 <= r.doc_id < 300 and r.doc_id % 6 == 0]
     assert sum(fine) >= 0.99 * len(fine) and sum(bad) <= 0.1 * len(bad)
     kept = drop_low(docs, labels)
-    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 2
+    assert kept.columns == docs.columns
     assert drop_low(docs, labels.limit(0)).count() == len(rows)
 
 
-def test_quality_knows_every_shared_word(spark):
-    """Hundreds of rare words that trusted documents share are words of the model; the same words shuffled are not clean."""
-    rng = random.Random(13)
-    lines = [" ".join("".join(rng.choice("abdegilnorstu") for _ in range(7)) for _ in range(10)) for _ in range(150)]
-    clean = lambda: " ".join(rng.choice(lines) for _ in range(5))
-
-    def shuffled():
-        w = clean().split()
-        rng.shuffle(w)
-        return " ".join(w)
-
-    rows = [(i, clean()) for i in range(400)] + [(i, shuffled()) for i in range(400, 440)]
-    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
-    got = {r.doc_id: r.kept for r in classify(docs_of(spark, rows), labels).collect()}
-    assert sum(got[i] for i in range(300, 400)) >= 95 and not any(got[i] for i in range(400, 440))
-
-
-def test_quality_probabilities_add_up():
-    """Interpolated modified Kneser-Ney in plain Python: each context's probabilities sum to one."""
-    rng = random.Random(3)
-    seq = [rng.choice("abcd") for _ in range(400)]
-    tri = Counter(zip(seq, seq[1:], seq[2:]))
-    two = Counter((v, w) for _, v, w in tri)
-    one = Counter(w for _, w in two)
-
-    def level(counts, width):
-        n = Counter(counts.values())
+def brute_kneser_ney(rows, learned, order):
+    """Interpolated modified Kneser-Ney in plain Python: logp and number of tokens of each row; checks that probabilities add up."""
+
+    def grams(text):
+        pieces = re.findall(rb"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+", (text or "").encode())
+        out, past, word = [], [START] * (order - 1), None
+        held = b""
+        for piece in pieces:
+            if not piece.strip(b" \t\n\v\f\r"):
+                held = piece
+                continue
+            # of the space before a word repeated, the first byte gives way to REPEAT and the others go with it
+            if word == piece:
+                out.append((*past[len(past) - order + 1 :], REPEAT))
+            else:
+                for byte in held + piece:
+                    out.append((*past[len(past) - order + 1 :], byte))
+                    past.append(byte)
+            word, held = piece, b""
+        for byte in [*held, END]:
+            out.append((*past[len(past) - order + 1 :], byte))
+            past.append(byte)
+        return out
+
+    all_grams = [grams(t) for _, t in rows]
+    counts = {order: Counter(g for (i, _), gs in zip(rows, all_grams) if i in learned for g in gs)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    total, mass, d = defaultdict(int), defaultdict(float), {}
+    for k, table in counts.items():
+        n = Counter(table.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
-        d = [min(max(r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5 * r, 0.1 * r), 0.95 * r) for r in (1, 2, 3)]
-        total, lost = Counter(), Counter()
-        for g, c in counts.items():
-            total[g[:width]] += c
-            lost[g[:width]] += d[min(c, 3) - 1]
-        return lambda h, w, lower: lower if not total[h] else max(counts[(*h, w)] - (d[min(counts[(*h, w)], 3) - 1] if counts[(*h, w)] else 0), 0) / total[h] + lost[h] / total[h] * lower
-
-    p1, p2, p3 = level(Counter({(w,): c for w, c in one.items()}), 0), level(two, 1), level(tri, 2)
-    for u in "abcd":
-        for v in "abcd":
-            assert sum(p3((u, v), w, p2((v,), w, p1((), w, 0.25))) for w in "abcd") == pytest.approx(1)
+        d[k] = [0.0] + [min(max(r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5 * r, 0.1 * r), 0.95 * r) for r in (1, 2, 3)]
+        for g, c in table.items():
+            total[k, g[:-1]] += c
+            mass[k, g[:-1]] += d[k][min(c, 3)]
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / 258
+        t, c = total[k, g[:-1]], counts[k][g]
+        return (c - d[k][min(c, 3)] + mass[k, g[:-1]] * lower) / t if t else lower
+
+    for h in [g[:-1] for g in list(counts[order])[:5]] + [(7,) * (order - 1)]:
+        assert sum(p((*h, w)) for w in range(258)) == pytest.approx(1)
+    return [(len(gs), sum(math.log(p(g)) for g in gs)) for gs in all_grams]
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_perplexities_against_plain_kneser_ney(spark, order):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, EN, rng.randint(0, 25))) for i in range(60)] + [(i, t) for i, t in ODD if i != 8] + [(70, "a a a  a b\nb é é\t "), (71, "x" * 300 + " x x")]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    got = perplexities(docs_of(spark, rows), trusted, order=order, block_bytes=700).collect()
+    learned = {i for i in range(0, 60, 2) if zlib.crc32(str(i).encode()) % 5}
+    want = brute_kneser_ney(rows, learned, order)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 2))
+    for a, b in zip(sorted(((r.doc_id, r.n_tokens, r.logp) for r in got), key=key), sorted(((i, *w) for (i, _), w in zip(rows, want)), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-5)
+
+
+def test_quality_drops_by_id_and_text(spark):
+    """Of rows that share an id, or have none, the junk goes and the clean text stays; a very long text, an empty table."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, EN, 80)) for i in range(200)] + [(300, "zq%% " * 90), (None, "zq%% " * 90), (None, prose(rng, EN, 80)), (300, prose(rng, EN, 40_000))]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    kept = drop_low(docs_of(spark, rows), labels).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for i, t in rows if "%" not in t)
+    assert classify(docs_of(spark, []), labels).count() == 0
 
 
 def test_toxicity(spark):
