@@ -13,8 +13,8 @@ document that overflows is cut there and seeds the next window.  Only when no un
 above zero the shard's next unused document follows.  So every window is full but a shard's last one, which
 is cut into sequences whose lengths are powers of two: no token is padding, and none is lost or repeated.
 
-Token ids are those of the given tokenizer.  For byte-level BPE with its usual pattern, texts are cut before single
-spaces and such places, where no pre-token crosses, and each distinct chunk of a run of documents is
+Token ids are those of the given tokenizer file.  For byte-level BPE with its usual pattern, texts are cut before
+single spaces and such places, where no pre-token crosses, and each distinct chunk of a run of documents is
 encoded once; for any other tokenizer each text is one chunk.
 
 Semantics: a null or empty text is its end id alone.  Repeated rows and ids are packed each.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, prepare
+from .common import discard, materialize, prepare
 
 END_ID = 0
 #: Bits of a token in a route, and what stands for no token there.
@@ -47,58 +47,119 @@ ENCODED = "doc_id long, ids binary, terms array<int>, docs array<long>, n_docs l
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Bytes of texts on which both libraries' patterns agree: ASCII and the letters from U+00C0 to U+017F.
+_PLAIN = np.isin(np.arange(256), [9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+
+
+def _byte_of_sign() -> dict[str, int]:
+    """The bytes that the signs of a byte-level vocabulary stand for: printing ones for themselves, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
 class Encoder:
-    """Encodes documents through their distinct chunks; remembers up to `most` chunks of earlier shards."""
-
-    def __init__(self, path: str, most: int = 1_500_000):
-        os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        parts = json.loads(self.tokenizer.to_str())
-        cutter = parts["pre_tokenizer"] or {}
-        #: Whether texts may be cut: the pattern of byte-level BPE, nothing before it, no tokens added to the vocabulary that have a space.
-        self.cut = not parts["normalizer"] and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space") and not any(" " in t["content"] for t in parts["added_tokens"])
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._forget()
-
-    def _forget(self) -> None:
-        #: Sorted hashes of known chunks, where their ids begin in the pool, how many they are.
-        self.known, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, self.kind)
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        sizes, flat = [], []
-        for a in range(0, len(texts), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
-            sizes += map(len, ids)
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        n = np.array(sizes, np.int64)
-        where = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, *(x.astype(self.kind) for x in flat)])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.where, self.size = known[order], np.concatenate([self.where, where])[order], np.concatenate([self.size, n])[order]
+    """Encodes runs of documents, each distinct chunk once.
+
+    Byte-level BPE whose merges are ranked by their ids goes through tiktoken, which needs a fraction of the
+    time; other tokenizers, letters on which Unicode versions might differ, and chunks with special tokens
+    through the tokenizers library.  Chunks without white space inside are encoded together, a line each.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        cutter, model = parts["pre_tokenizer"] or {}, parts["model"]
+        usual = not parts["normalizer"] and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        usual = usual and (parts["post_processor"] or {"type": "ByteLevel"}).get("type") == "ByteLevel"
+        self.special = [t["content"].encode() for t in parts["added_tokens"]]
+        #: Whether texts may be cut: the pattern of byte-level BPE and no special token that a cut could divide.
+        self.cut = usual and model["type"] == "BPE" and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or b" " in s for t, s in zip(parts["added_tokens"], self.special))
+        n = 1 + max([*model["vocab"].values(), *(t["id"] for t in parts["added_tokens"])])
+        self.size, self.kind, self.fast = n, np.uint16 if n <= 1 << 16 else np.uint32, None
+        if self.cut:
+            merged = [model["vocab"]["".join(x.split(" ") if isinstance(x, str) else x)] for x in model["merges"]]
+            signs = _byte_of_sign()
+            if all(a < b for a, b in zip(merged, merged[1:])) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+                ranks = {bytes(signs[c] for c in k): i for k, i in model["vocab"].items() if k.encode() not in self.special}
+                pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+                self.fast = tiktoken.Encoding("from " + os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                self.line = ranks[b"\n"]
+
+    def _slow(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.whole is None:
+            os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = "1", "false"
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        out = []
+        for a in range(0, len(texts), 5_000):
+            out += [np.array(e.ids, self.kind) for e in self.whole.encode_batch_fast([t.decode() for t in texts[a : a + 5_000]], add_special_tokens=False)]
+        return out
+
+    def _lines(self, texts: list[bytes], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without white space inside, and how many each has."""
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for a in range(0, len(texts), most):
+            ids = self.fast.encode_to_numpy(b"\n".join(texts[a : a + most]).decode(), disallowed_special=())
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) != len(texts[a : a + most]):
+                raise ValueError("a chunk has a line's end inside")
+            sizes.append(np.diff(np.append(-1, ends)) - 1)
+            flat.append(ids[ids != self.line].astype(self.kind))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with END_ID after each, and their offsets."""
-        start, end, coff = K.chunks(data, off) if self.cut else (off[:-1], off[1:], np.arange(len(off)))
-        hashes, first, at = np.unique(K.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > self.most:
-            self._forget()
-        new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
-        if len(new):
-            raw = data.tobytes()
-            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
-        found = np.searchsorted(self.known, hashes)
-        lens = self.size[found][at]
+        full = np.flatnonzero(np.diff(off))
+        start, end, coff = K.chunks(data, off) if self.cut else (off[full], off[full + 1], np.searchsorted(full, np.arange(len(off))))
+        d = pa.array(K.span_hashes(data, start, end)).dictionary_encode().indices.to_numpy()
+        top = np.maximum.accumulate(d) if len(d) else d
+        first = np.flatnonzero(np.append(True, top[1:] > top[:-1])) if len(d) else np.zeros(0, np.int64)
+        start, end, raw = start[first], end[first], data.tobytes()
+        texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        plain, spaced = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        if self.fast is not None and len(texts):
+            odd, blank = (np.append(0, np.cumsum(flags)) for flags in (~_PLAIN[data], _BLANK[data]))
+            plain = odd[end] == odd[start]
+            for token in self.special:
+                if token in raw:
+                    plain &= np.array([token not in t for t in texts])
+            after = np.minimum(start + (data[start] == 32), end)
+            spaced = (blank[end] > blank[after]) | (after == end)
+        together = plain & ~spaced
+        pool, n = self._lines([t for t, x in zip(texts, together) if x])
+        size, where = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        size[together], where[together] = n, np.cumsum(n) - n
+        alone = {k: self.fast.encode_to_numpy(texts[k].decode(), disallowed_special=()).astype(self.kind) for k in np.flatnonzero(plain & spaced)}
+        rest = np.flatnonzero(~plain)
+        alone |= dict(zip(rest, self._slow([texts[k] for k in rest])))
+        if alone:
+            at, ids = np.fromiter(alone, np.int64), list(alone.values())
+            size[at] = [len(x) for x in ids]
+            where[at] = len(pool) + np.cumsum(size[at]) - size[at]
+            pool = np.concatenate([pool, *ids])
+        lens = size[d]
         total = np.append(0, np.cumsum(lens))
-        tokens = self.pool[np.repeat(self.where[found][at] - total[:-1], lens) + np.arange(total[-1])]
+        tokens = pool[np.repeat(where[d] - total[:-1], lens) + np.arange(total[-1])]
         docs = total[coff]
         return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder of this file; workers live on between tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Corpus:
     """Document frequencies by token, the number of documents and their mean length in tokens."""
 
@@ -110,27 +171,36 @@ def gains(tf: np.ndarray, df: np.ndarray, lens: np.ndarray, n: int, mean: float,
     return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / max(mean, 1e-9)))
 
 
-def postings(tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, times), sorted; the end of a document is no term of it."""
+def _terms(tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens but the documents' ends, and the offsets."""
     own = np.ones(len(tokens), bool)
     own[off[1:] - 1] = False
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[own]
-    pair, tf = np.unique(doc << 32 | tokens[own].astype(np.int64), return_counts=True)
-    return pair >> 32, pair & (1 << 32) - 1, tf
+    return tokens[own], off - np.arange(len(off))
+
+
+def postings(terms: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times), sorted."""
+    kind = np.uint32 if len(off) <= 1 << 16 and terms.itemsize == 2 else np.int64
+    bits = 16 if kind is np.uint32 else 32
+    pair = np.repeat(np.arange(len(off) - 1, dtype=kind) << bits, np.diff(off)) | terms.astype(kind)
+    pair.sort()
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    pair, tf = pair[first].astype(np.int64), np.diff(np.append(first, len(pair)))
+    return pair >> bits, pair & (1 << bits) - 1, tf
 
 
 def _encode(path: str, run_bytes: int):
     """(doc_id, text) -> a row per document with its compressed ids, and last a row with the task's document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = Encoder(path), zstandard.ZstdCompressor(level=1)
-        df, docs, total, size = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64), 0, 0, 0
+        encoder, press = encoder_of(path), zstandard.ZstdCompressor(level=1)
+        df, docs, total, size = np.zeros(encoder.size, np.int64), 0, 0, 0
         ids, texts = [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, total, size, ids, texts
             tokens, off = encoder.encode(*K.utf8(pa.chunked_array(texts)))
-            np.add.at(df, postings(tokens, off)[1], 1)
+            df[:] += np.bincount(postings(*_terms(tokens, off))[1], minlength=len(df))
             docs, total = docs + len(off) - 1, total + len(tokens) - len(off) + 1
             raw, wide = tokens.tobytes(), tokens.itemsize
             packed = [press.compress(raw[wide * a : wide * b]) for a, b in zip(off, off[1:])]
@@ -176,18 +246,25 @@ def _ids(column: pa.Array, kind) -> list[np.ndarray]:
 
 
 def routes(tokens: np.ndarray, off: np.ndarray, corpus: Corpus) -> np.ndarray:
-    """The three weightiest terms of each document that another document has, too."""
-    doc, term, tf = postings(tokens, off)
+    """The three weightiest terms of each document that another document has, too; the smaller one first where they tie."""
+    terms, off = _terms(tokens, off)
+    doc, term, tf = postings(terms, off)
     df = corpus.df[term]
     fine = df > 1
     doc, term, tf, df = doc[fine], term[fine], tf[fine], df[fine]
-    gain = gains(tf, df, (np.diff(off) - 1)[doc], corpus.n, corpus.mean)
-    order = np.lexsort((term, -gain, doc))
-    doc, term = doc[order], term[order]
-    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    gain = gains(tf, df, np.diff(off)[doc], corpus.n, corpus.mean)
     out = np.full((len(off) - 1, 3), NO_TERM, np.int64)
-    best = place < 3
-    out[doc[best], place[best]] = term[best]
+    for place in range(3):
+        if not len(doc):
+            break
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        top = np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(doc))))
+        best = np.flatnonzero(gain == top)
+        best = best[np.append(True, doc[best[1:]] != doc[best[:-1]])]
+        out[doc[best], place] = term[best]
+        rest = np.ones(len(doc), bool)
+        rest[best] = False
+        doc, term, gain = doc[rest], term[rest], gain[rest]
     return out[:, 0] << 2 * ROUTE_BITS | out[:, 1] << ROUTE_BITS | out[:, 2]
 
 
@@ -212,9 +289,8 @@ class Index:
 
     def __init__(self, terms: np.ndarray, off: np.ndarray, frequencies: np.ndarray | None = None, total: int | None = None, mean: float | None = None):
         n, lens = len(off) - 1, np.diff(off)
-        width = int(terms.max()) + 1 if len(terms) else 1
-        pair, tf = np.unique(np.repeat(np.arange(n), lens) * width + terms, return_counts=True)
-        doc, term = pair // width, pair % width
+        doc, term, tf = postings(terms, off)
+        width = int(term.max()) + 1 if len(term) else 1
         df = np.bincount(term, minlength=width)
         fine = df[term] > 1
         doc, term, tf = doc[fine], term[fine], tf[fine]
@@ -282,9 +358,7 @@ def cuts(total: int, window: int) -> np.ndarray:
 
 def pack_shard(ids: pa.Array, tokens: np.ndarray, off: np.ndarray, corpus: Corpus, window: int, query_terms: int, most: int, base: int) -> tuple[pa.RecordBatch, int]:
     sizes = np.diff(off)
-    own = np.ones(len(tokens), bool)
-    own[off[1:] - 1] = False
-    index = Index(tokens[own].astype(np.int64), off - np.arange(len(off)), corpus.df, corpus.n, corpus.mean)
+    index = Index(*_terms(tokens, off), corpus.df, corpus.n, corpus.mean)
     order = np.array(order_documents(sizes, index, window, query_terms, most), np.int64)
     laid = np.append(0, np.cumsum(sizes[order]))
     ends = cuts(int(laid[-1]), window)
@@ -334,11 +408,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    kind = Encoder(str(tokenizer_path)).kind
+    kind = encoder_of(str(tokenizer_path)).kind
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     encoded = materialize(rows.mapInArrow(_encode(str(tokenizer_path), run_bytes), ENCODED), "bm25-encoded")
     shared = spark.sparkContext.broadcast(corpus_of(encoded))
-    routed = encoded.filter("ids is not null").select("doc_id", "ids").mapInArrow(_routes(shared, kind), "doc_id long, ids binary, route long").withColumn("digest", F.xxhash64("ids"))
+    routed = encoded.filter("ids is not null").select("doc_id", "ids").mapInArrow(_routes(shared, kind), "doc_id long, ids binary, route long")
+    routed = materialize(routed.withColumn("digest", F.xxhash64("ids")), "bm25-routed")
+    discard(encoded)
     # ids and digests let a route of many documents go to several tasks
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = routed.repartitionByRange(shards, "route", "doc_id", "digest").sortWithinPartitions("route", "doc_id", "digest").select("doc_id", "ids")

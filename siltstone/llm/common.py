@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/siltstone-scratch"
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/siltstone-scratch"  # one machine only
     return f"{root.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
 
 
@@ -38,6 +42,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/siltstone-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; only results that were written elsewhere stay readable."""
     jvm = spark.sparkContext._jvm
@@ -50,6 +64,24 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
 
 
+def one_of_each(docs: DataFrame, repeated: DataFrame, *own: F.Column) -> DataFrame:
+    """docs with one row for each key in repeated, a written table of distinct non-null keys or of keys that may be null; other rows stay.
+
+    own: the expressions over docs that make up a key.  Of rows with a key the one whose columns hash lowest
+    stays; they are reduced in partial aggregates, so that a hot key is a row per task.
+    """
+    if repeated.isEmpty():
+        return docs
+    names = [f"key__{k}" for k in range(len(own))]
+    keys = sized(repeated.toDF(*names))
+    same = F.lit(True)
+    for name, x in zip(names, own):
+        same = same & x.eqNullSafe(F.col(name))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs.join(keys, same, "left_semi").groupBy(*[x.alias(f"own__{k}") for k, x in enumerate(own)]).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("row__"))
+    return docs.join(keys, same, "left_anti").unionByName(one.select("row__.*"))
+
+
 def ascii_lower(text: F.Column) -> F.Column:
     """Lower-case A-Z only; null counts as empty.  Pure ASCII takes the fast built-in."""
     text = F.coalesce(text, F.lit(""))

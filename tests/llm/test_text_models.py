@@ -77,10 +77,23 @@ def test_chunked_encoding_equals_whole():
     texts = ["", " ", "  a b", "it's we'll 'x", "a  b", "x 　y", "<|endoftext|> a", "a   b c"] + ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "'s", "é", " ", "1", "%%", "日", " ", "\x1c"]) for _ in range(60)) for _ in range(300)]
     tokens, off = Encoder(path).encode(*K.utf8(pa.array(texts)))
     plain = Tokenizer.from_file(path)
+    assert Encoder(path).fast is not None
     for k, t in enumerate(texts):
         assert tokens[off[k] : off[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0], repr(t)
 
 
+def test_other_tokenizers_see_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", "Hello, wörld  x", "a b", "a b", " \n"]
+    encoder, plain = Encoder(path), Tokenizer.from_file(path)
+    tokens, off = encoder.encode(*K.utf8(pa.array(texts)))
+    assert not encoder.cut and encoder.fast is None
+    for k, t in enumerate(texts):
+        assert tokens[off[k] : off[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
