@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from siltstone.llm.components import components
 from siltstone.llm.exact_lsm import LsmIndex, drop_copies, exact_groups
-from siltstone.llm.tensor_minhash import collection_size, drop_near_copies, near_groups
+from siltstone.llm.tensor_minhash import collection_size, drop_near_copies, link_cell, near_groups
 
 from .conftest import ODD, docs_of
 
@@ -79,24 +80,27 @@ def test_components(spark):
 
 
 def brute(rows, num, den):
-    sets = {}
-    for i, t in rows:
+    """The smallest id that each row reaches; None for rows without an id."""
+    sets = []
+    for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
-        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    ids = sorted(i for i in sets if i is not None)
-    root = {i: i for i in ids}
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a in ids:
-        for b in ids:
-            if a < b and any(x and y and den * len(x & y) >= num * len(x | y) for x in sets[a] for y in sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: find(i) for i in ids}
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if rows[a][0] is not None and rows[b][0] is not None and x and y and den * len(x & y) >= num * len(x | y):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)]
 
 
 def family(rng, first, n, words, edits):
@@ -116,14 +120,51 @@ def test_near(spark, threshold, cell_rows):
     rows = ODD + family(rng, 1000, 70, 90, 3) + family(rng, 2000, 40, 60, 5) + [(3000 + i, f"one two three {i % 3}") for i in range(9)]
     for f in range(10):
         rows += family(rng, 4000 + 10 * f, 5, 120, 4)
+    base, other = family(rng, 0, 1, 100, 0)[0][1], family(rng, 0, 1, 100, 0)[0][1]
+    rows += [(9009, base), (9009, other), (9001, base + " a"), (9002, other + " b"), (9009, base), (9020, base)]
     got = near_groups(docs_of(spark, rows), threshold=threshold, cell_rows=cell_rows, samples=2).collect()
-    want = brute(rows, *threshold)
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute(rows, *threshold), key=key)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
+def test_near_copies_leave_one_row_of_a_group(spark):
+    """Rows that share an id with other texts are judged each; of repeated rows one stays."""
+    rng = random.Random(8)
+    base, other, alone = (family(rng, 0, 1, 100, 0)[0][1] for _ in range(3))
+    rows = [(9, base), (9, other), (1, base + " a"), (2, other + " b"), (9, alone), (9, alone), (5, None), (5, ""), (None, base), (4, "one two"), (4, "ONE two"), (4, "one three")]
+    docs = docs_of(spark, rows)
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [x for x in got if x[0] != 4] == sorted([(1, base + " a"), (2, other + " b"), (9, alone), (5, ""), (5, ""), (0, base)])
+    assert [x[1].lower() for x in got if x[0] == 4] in (["one three", "one two"], ["one two", "one three"])
+
+
+def test_links_of_a_cell_are_those_of_all_pairs():
+    """The bound by rarest elements leaves out no linked pair, in large cells of many clusters, too."""
+    rng = np.random.default_rng(4)
+    for num in (80, 85):
+        pool = [np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64)) for _ in range(12)]
+        sets = []
+        for _ in range(150):
+            s = pool[rng.integers(12)].copy()
+            s[rng.permutation(len(s))[: rng.integers(0, 9)]] = rng.integers(1 << 41, 1 << 42, 1)[0] + np.arange(1, dtype=np.uint64)
+            sets.append(np.unique(s)[: rng.integers(40, 61)])
+        root = list(range(150))
+        for i in range(150):
+            for j in range(i):
+                x, y = set(sets[i].tolist()), set(sets[j].tolist())
+                if 100 * len(x & y) >= num * len(x | y):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        assert link_cell(sets, num, 100).tolist() == root
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 1500)] + [(i, 5000 + i) for i in range(1, 700)] + [(9000, 8999), (8999, 8000)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert {k for k, c in got.items() if c == 0} == {*range(1500), *range(5001, 5700)} and got[9000] == got[8999] == got[8000] == 8000
 
 
 def test_tensoring_saves_hashes():
