@@ -1,98 +1,171 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-* flush: each task is a memtable; it writes its (digest, id) rows as one sorted run, with a
-  Parquet Bloom filter and min/max statistics on the digest (level 0).
-* compact: runs are merged by digest, with partial aggregation before the shuffle, into a
-  level-1 run of (digest, smallest id, largest id, copies).
-* verify: the texts of digests that occur more than once, and only those, are compared byte for
+* memtables: one pass over the texts gives (digest, id) rows, dealt by scan task into `memtables`
+  batches.  A batch is reduced to one row per digest - smallest and largest id, copies - and flushed as
+  a run sorted by digest, beside a Bloom filter of its digests: bitmaps of 32,768 bits, one for each of
+  the index's slots, a slot being a share of the digests.
+* compaction: `fan_in` runs of a level become one run of the next.  A row whose digest no other run's filter
+  knows passes as it is; only the others are merged by digest, smallest identifier first.  The new run's
+  filter is the union of theirs, and the old runs are deleted.
+* probes ask the filters first, and only digests that one of them knows are looked up in its run.
+* verification: the texts of digests that occur more than once, and only those, are compared byte for
   byte by grouping on (digest, text); texts that merely share a digest fall apart again.
 
 Semantics: texts are equal if they are identical after lower-casing A-Z.  Null text counts as
 empty, so null and empty texts form one group.  A null id loses against any other id; where all
-ids of a group are null, keep_id is null and every row of it is kept.  Rows that repeat both id
-and text are separate rows with the same keep_id; all of them are kept, as their id is.
-Other columns are never looked at.  An empty table gives an empty result.
+ids of a group are null, keep_id is null and every row of it is kept by exact_groups.  Rows that repeat both
+id and text are separate rows with the same keep_id; all of them are kept, as their id is.  drop_copies
+leaves one row of each group in every case.  Other columns are never looked at.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, sized
+from .common import ascii_lower, discard, materialize, one_of_each, scratch_path, sized
+
+#: Bits of a slot's bitmap, digests that it should hold, and bits that one digest sets.
+BITS, SLOT_ROWS, HASHES = 32_768, 3_000, 3
+
+
+@dataclass
+class Run:
+    """level; rows (slot, digest, smallest, largest, copies), sorted by digest; filter (slot, bits)."""
+
+    level: int
+    rows: DataFrame
+    filter: DataFrame
+
+
+def _positions(digest: F.Column) -> list[F.Column]:
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(BITS)) for k in range(HASHES)]
+
 
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000", "parquet.block.size": str(8 << 20)}
+def _known(digest: F.Column, bits: F.Column) -> F.Column:
+    """Whether a bitmap may hold a digest; no bitmap holds none."""
+    out = bits.isNotNull()
+    for p in _positions(digest):
+        byte = F.conv(F.hex(F.substring(bits, (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        out = out & (F.floor(byte / F.pow(F.lit(2), p % 8)) % 2 == 1)
+    return out
 
 
 class LsmIndex:
-    """Levels of digest runs; grows by flush() and is reorganised by compact()."""
-
-    def __init__(self, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256):
-        self.id_col, self.text_col, self.bits = id_col, text_col, digest_bits
-        self.runs: list[DataFrame] = []
-        self.level1: DataFrame | None = None
-
-    def _digest(self, text: F.Column) -> F.Column:
-        full = F.sha2(text.cast("binary"), 256)
-        return full if self.bits >= 256 else F.substring(full, 1, self.bits // 4)
-
-    def _normal(self, docs: DataFrame) -> DataFrame:
-        text = ascii_lower(docs[self.text_col])
-        return docs.select(docs[self.id_col].cast("long").alias("doc_id"), text.alias("norm"))
-
-    def flush(self, docs: DataFrame) -> DataFrame:
-        """Write one sorted run per task; returns the runs of this batch."""
-        rows = self._normal(docs).select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-        digest = F.col("sha") if self.bits >= 256 else F.substring("sha", 1, self.bits // 4)
-        run = rows.select(F.unhex(digest).alias("digest"), "doc_id", *([] if self.bits >= 256 else [F.unhex("sha").alias("sha")]))
-        self.runs.append(materialize(run.sortWithinPartitions("digest"), "lsm-run", **BLOOM))
-        return self.runs[-1]
-
-    def all_runs(self) -> DataFrame:
-        rows = self.runs[0]
-        for more in self.runs[1:]:
-            rows = rows.unionByName(more)
-        return rows
+    """Runs of digests on levels; grows by flush(), which compacts levels that are full."""
+
+    def __init__(self, expected: int, fan_in: int = 4):
+        """expected: about how many digests there will be; with more, filters only grow less sharp."""
+        self.slots, self.fan_in = max(1, expected // SLOT_ROWS), fan_in
+        self.runs: list[Run] = []
+
+    def _slot(self, digest: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64(digest), F.lit(self.slots))
+
+    def flush(self, batch: DataFrame) -> None:
+        """Write a memtable (digest, doc_id) as a run of level 0."""
+        ids = F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("copies")
+        rows = batch.groupBy("digest").agg(*ids).select(self._slot(F.col("digest")).alias("slot"), "digest", *("smallest", "largest", "copies"))
+        rows = materialize(rows.sortWithinPartitions("digest"), "lsm-run")
+        spread = rows.select("slot", F.explode(F.array(*_positions(F.col("digest")))).alias("at"))
+        bits = spread.groupBy("slot").agg(F.bitmap_construct_agg("at").alias("bits"))
+        self.runs.append(Run(0, rows, materialize(bits, "lsm-filter")))
+        for level in range(1 + max(r.level for r in self.runs)):
+            if sum(r.level == level for r in self.runs) >= self.fan_in:
+                self._merge([r for r in self.runs if r.level == level])
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one level-1 run, sorted by digest."""
-        merged = self.all_runs().groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
-        self.level1 = materialize(merged.sortWithinPartitions("digest"), "lsm-level1", **BLOOM)
-        return self.level1
+        """Merge what is left into one run; its rows."""
+        if len(self.runs) > 1:
+            self._merge(list(self.runs))
+        return self.runs[0].rows
+
+    def _merge(self, old: list[Run]) -> None:
+        alone, shared = [], []
+        for run in old:
+            others = None
+            for other in old:
+                if other is not run:
+                    others = other.filter if others is None else others.union(other.filter)
+            marks = materialize(others.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "lsm-others")
+            tested = run.rows.join(_few(marks), "slot", "left").withColumn("known", _known(F.col("digest"), F.col("bits"))).drop("bits")
+            tested = materialize(tested, "lsm-tested")
+            alone.append(tested.filter(~F.col("known")).drop("known"))
+            shared.append(tested.filter("known").drop("known"))
+        merged = _union(shared).groupBy("slot", "digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("copies").alias("copies"))
+        rows = materialize(_union([merged, *alone]).sortWithinPartitions("digest"), "lsm-run")
+        bits = materialize(_union([r.filter for r in old]).groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "lsm-filter")
+        self.runs = [r for r in self.runs if r not in old] + [Run(1 + max(r.level for r in old), rows, bits)]
+        for run in old:
+            discard(run.rows)
+            discard(run.filter)
 
     def probe(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch whose text the index holds already, with the stored smallest and largest id."""
-        rows = self._normal(batch).withColumn("digest", F.unhex(self._digest(F.col("norm"))))
-        return rows.join(self.level1, "digest").select("doc_id", "smallest", "largest", "copies")
+        """(doc_id, digest, smallest, largest, copies) of the rows of batch (doc_id, digest) whose digest a run holds; a row per run."""
+        rows = materialize(batch.select("doc_id", "digest", self._slot(F.col("digest")).alias("slot")), "lsm-batch")
+        found = []
+        for run in self.runs:
+            asked = rows.join(_few(run.filter), "slot").filter(_known(F.col("digest"), F.col("bits"))).select("doc_id", "digest")
+            found.append(asked.join(run.rows.drop("slot"), "digest").select("doc_id", "digest", "smallest", "largest", "copies"))
+        return _union(found)
+
+
+def _few(filters: DataFrame, most: int = 2_000) -> DataFrame:
+    """Bitmaps of 4 kB: broadcast if they are few."""
+    return sized(filters, most)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _normal(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
+    """doc_id, norm, sha and digest; the digest is the hash, or the beginning of it."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), ascii_lower(docs[text_col]).alias("norm"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    return rows.withColumn("digest", F.col("sha") if digest_bits >= 256 else F.unhex(F.substring(F.hex("sha"), 1, digest_bits // 4)))
+
 
-    def verified(self, docs: DataFrame) -> DataFrame:
-        """(digest, norm, smallest, largest, copies) of each different text whose digest occurs more than once."""
-        hits = materialize(self.level1.filter("copies > 1").select("digest"), "lsm-hits")
-        rows = self._normal(docs).withColumn("digest", F.unhex(self._digest(F.col("norm"))))
-        rows = rows.join(sized(hits), "digest", "left_semi")
-        return rows.groupBy("digest", "norm").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
+def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtables: int = 4) -> tuple[LsmIndex, DataFrame]:
+    """An index of all rows, and the rows (doc_id, digest, sha)."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "lsm-memtables")
+    rows = _normal(docs, id_col, text_col, digest_bits).select("doc_id", "digest", "sha", F.pmod(F.spark_partition_id(), F.lit(memtables)).alias("memtable"))
+    rows.drop(*(["sha"] if digest_bits >= 256 else [])).write.partitionBy("memtable").parquet(path)
+    fields = "doc_id long, digest binary" + (", sha binary" if digest_bits < 256 else "") + ", memtable int"
+    rows = spark.read.schema(fields).parquet(path)
+    index = LsmIndex(rows.count())
+    for k in range(memtables):
+        index.flush(rows.filter(F.col("memtable") == k).select("digest", "doc_id"))
+    return index, rows.select("doc_id", "digest", F.col("digest" if digest_bits >= 256 else "sha").alias("sha"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, memtables: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.  keep: "smallest" or "largest"."""
-    index = LsmIndex(id_col, text_col, digest_bits)
-    runs = index.flush(docs)
-    index.compact()
+    index, rows = index_of(docs, id_col, text_col, digest_bits, memtables)
+    hits = materialize(index.compact().filter("copies > 1").select("digest"), "lsm-hits")
     # A verified text that is alone under its digest is decided by the digest; others by their full hash.
-    found = index.verified(docs).select("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), F.col(keep).alias("keep_id"), "copies")
-    found = materialize(found, "lsm-verified")
-    key = ["digest"] if digest_bits >= 256 else ["digest", "sha"]
-    hits = sized(found.select(*key, "keep_id", "copies").withColumn("hit", F.lit(True)))
-    out = runs.join(hits, key, "left")
-    sha = F.lower(F.hex("digest" if digest_bits >= 256 else "sha"))
+    found = _normal(docs, id_col, text_col, digest_bits).join(sized(hits), "digest", "left_semi").groupBy("digest", "norm")
+    found = found.agg((F.min if keep == "smallest" else F.max)("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    found = materialize(found.select("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "copies", F.lit(True).alias("hit")), "lsm-verified")
+    # by digest, and by full hash where several texts share one
+    out = rows.join(sized(found), ["digest", "sha"], "left")
     keep_id = F.when(F.col("hit"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), sha.alias("text_sha256"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows that exact_groups would not keep, by id and text; all columns stay as they are."""
-    groups = exact_groups(docs, id_col, text_col, keep)
-    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("dropped__id"), F.unhex("text_sha256").alias("dropped__sha"))
-    right = sized(materialize(dropped.distinct(), "lsm-dropped"))
-    sha = F.unhex(F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256))
-    return docs.join(right, (docs[id_col].cast("long") == F.col("dropped__id")) & (sha == F.col("dropped__sha")), "left_anti")
+    """docs with one row of each group of equal texts, that of exact_groups' keep_id; all columns stay as they are."""
+    groups = materialize(exact_groups(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "lsm-groups")
+    key = docs[id_col].cast("long"), F.unhex(F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256))
+    dropped = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped__id"), F.col("sha").alias("dropped__sha")).distinct(), "lsm-dropped")
+    rest = docs.join(sized(dropped), key[0].eqNullSafe(F.col("dropped__id")) & (key[1] == F.col("dropped__sha")), "left_anti")
+    again = materialize(groups.filter("kept").groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "sha"), "lsm-repeated")
+    text = F.col(f"`{text_col}`")
+    return one_of_each(rest, again, F.col(f"`{id_col}`").cast("long"), F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)))

@@ -1,14 +1,16 @@
 """Exact and near deduplication against brute force, ODD rows included."""
 
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.exact_lsm import LsmIndex, drop_copies, exact_groups
+from siltstone.llm.exact_lsm import LsmIndex, _known, drop_copies, exact_groups
 from siltstone.llm.tensor_minhash import collection_size, drop_near_copies, link_cell, near_groups
 
 from .conftest import ODD, docs_of
@@ -34,25 +36,54 @@ def test_exact(spark, bits, keep):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def test_index_grows_and_probes(spark):
-    index = LsmIndex()
-    index.flush(docs_of(spark, [(5, "A b"), (7, "c")]))
-    index.flush(docs_of(spark, [(2, "a B")]))
-    index.compact()
-    got = index.probe(docs_of(spark, [(9, "A B"), (10, "zz")])).collect()
-    assert [tuple(r) for r in got] == [(9, 2, 5, 2)]
+def digest_rows(spark, rows):
+    return spark.createDataFrame([(hashlib.sha256(low(t).encode()).digest(), i) for i, t in rows], "digest binary, doc_id long")
+
+
+def test_index_merges_levels_and_probes(spark):
+    """Seven memtables on two levels: every digest once after each merge, smallest ids kept, old runs gone, probes exact."""
+    rng = random.Random(4)
+    index, all_rows = LsmIndex(expected=200, fan_in=3), []
+    for k in range(7):
+        rows = [(rng.randint(0, 10**6), f"text {rng.randint(0, 60)}") for _ in range(40)] + [(10**7 + k, f"own {k}")]
+        index.flush(digest_rows(spark, rows))
+        all_rows += rows
+        assert [r.level for r in index.runs] in ([0], [0, 0], [1], [1, 0], [1, 0, 0], [1, 1], [1, 1, 0])
+    want = {}
+    for i, t in all_rows:
+        want.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    probes = digest_rows(spark, [(1, "own 3"), (2, "text 7"), (3, "nothing")])
+    found = {}
+    for r in index.probe(probes).collect():
+        a = found.setdefault(r.doc_id, [10**9, 0, 0])
+        found[r.doc_id] = [min(a[0], r.smallest), max(a[1], r.largest), a[2] + r.copies]
+    seven = want[hashlib.sha256(b"text 7").digest()]
+    assert found == {1: [10**7 + 3, 10**7 + 3, 1], 2: [min(seven), max(seven), len(seven)]}
+    old = [f for r in index.runs for f in r.rows.inputFiles()]
+    got = {bytes(r.digest): (r.smallest, r.largest, r.copies) for r in index.compact().collect()}
+    assert got == {d: (min(i), max(i), len(i)) for d, i in want.items()} and index.compact().count() == len(want)
+    assert len(index.runs) == 1 and not any(os.path.exists(f.removeprefix("file://")) for f in old)
+
+
+def test_filters_know_what_runs_hold(spark):
+    held, other = [(i, f"a{i}") for i in range(3000)], [(i, f"b{i}") for i in range(3000)]
+    index = LsmIndex(expected=3000)
+    index.flush(digest_rows(spark, held))
+    bits = index.runs[0].filter
+    known = lambda rows: digest_rows(spark, rows).crossJoin(F.broadcast(bits)).filter(_known(F.col("digest"), F.col("bits"))).count()
+    assert known(held) == 3000 and known(other) < 120
 
 
 def test_drop_copies_keeps_columns(spark):
     docs = docs_of(spark, ODD)
     out = drop_copies(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [1, 3, 4, 4, 6, 7, 8, 9]
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [1, 3, 4, 6, 7, 8, 9]
 
 
-def test_drop_copies_spares_other_texts_of_an_id(spark):
-    out = drop_copies(docs_of(spark, [(3, "A"), (5, "A"), (5, "B"), (6, "b"), (None, "A")])).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "A"), (3, "A"), (5, "B")]
+def test_drop_copies_leaves_one_row_of_each_text(spark):
+    out = drop_copies(docs_of(spark, [(3, "A"), (5, "A"), (5, "B"), (6, "b"), (None, "A"), (7, "c"), (7, "C"), (None, "d"), (None, "D"), (None, None), (None, "")])).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in out) == [(0, ""), (0, "d"), (3, "a"), (5, "b"), (7, "c")]
 
 
 def test_empty(spark):
