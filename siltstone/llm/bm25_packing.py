@@ -145,7 +145,9 @@ class Encoder:
             pool = np.concatenate([pool, *ids])
         lens = size[d]
         total = np.append(0, np.cumsum(lens))
-        tokens = pool[np.repeat(where[d] - total[:-1], lens) + np.arange(total[-1])]
+        at = np.repeat((where[d] - total[:-1]).astype(np.int32), lens)
+        at += np.arange(len(at), dtype=np.int32)
+        tokens = pool[at]
         docs = total[coff]
         return np.insert(tokens, docs[1:], END_ID), docs + np.arange(len(docs))
 
@@ -400,7 +402,7 @@ def _pack(shared, kind, window: int, shard_tokens: int, query_terms: int, most:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, shard_tokens: int = 2_500_000, query_terms: int = 12, most: int = 16, run_bytes: int = 8_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, shard_tokens: int = 2_500_000, query_terms: int = 12, most: int = 16, run_bytes: int = 4_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     prepare(spark)

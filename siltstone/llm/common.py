@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a join side whose rows have a fixed width may be broadcast.
 BROADCAST_ROWS = 400_000
-#: Rows of one Arrow batch; texts can be long, so batches stay small.
-ARROW_ROWS = 1_000
+#: Rows and bytes of one Arrow batch; texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:

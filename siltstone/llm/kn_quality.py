@@ -238,7 +238,7 @@ def _probabilities(grams: DataFrame, order: int) -> DataFrame:
         below = materialize(rows.select("key", p.alias("p")), f"kn-p{k}")
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, block_bytes: int = 16_000_000) -> DataFrame | None:
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, block_bytes: int = 8_000_000) -> DataFrame | None:
     """doc_id, lang, digest (xxhash64 of the text), role (0; 1: learned from; 2: trusted, held back), n_tokens and logp (natural) of every row; None if nothing is trusted.
 
     trusted_ids: a written table with a column doc_id of distinct trusted ids.

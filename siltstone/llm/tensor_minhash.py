@@ -210,7 +210,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int,
     return out.select("doc_id", "text_hash", "n_shingles", of("component", "doc_id").alias("component_id"), of("rep", "doc_id").alias("class_id"), of("cluster", "digest").alias("cluster"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 4000, cell_shingles: int = 4_000_000, samples: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 1000, cell_shingles: int = 1_000_000, samples: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set).
 
     threshold: numerator and denominator of the least Jaccard similarity.  recall: probability
@@ -225,7 +225,10 @@ def _confirm(rows: DataFrame, reps: DataFrame, candidate: DataFrame, num: int, d
     """(node, component) by confirmed links, for the classes of candidate (node, component)."""
     candidate = candidate.join(reps, candidate.node == reps.digest).drop("node")
     counted = candidate.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / cell_rows, F.sum("n_shingles") / cell_shingles)).cast("int").alias("blocks"))
-    members = materialize(candidate.join(counted, "component").select("doc_id", "digest", F.hex("component").alias("component"), "blocks"), "mh-members")
+    # all other components are one block
+    large = materialize(counted.filter("blocks > 1"), "mh-blocked")
+    members = candidate.join(sized(large), "component", "left").select("doc_id", "digest", F.hex("component").alias("component"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = materialize(members, "mh-members")
     texts = rows.select("doc_id", "text").join(sized(members), "doc_id")
     none = F.lit(None)
     small = texts.filter("blocks = 1").select(F.col("component").alias("cell"), "digest", none.alias("label"), none.alias("outside"), "text")
@@ -241,7 +244,7 @@ def _confirm(rows: DataFrame, reps: DataFrame, candidate: DataFrame, num: int, d
     picked = one.withColumn("rank", rank).filter(F.col("rank") <= samples).select("digest")
     chosen = materialize(large.join(picked, "digest", "left_semi"), "mh-chosen")
     parts = chosen.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
-    spread = chosen.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    spread = chosen.join(sized(materialize(parts, "mh-parts")), "component").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
     met = _link(spread.select(F.concat_ws(":", "component", "part").alias("cell"), "digest", none.alias("label"), none.alias("outside"), "text"), num, den, "mh-samples")
     edges = materialize(edges.union(met.select(F.col("digest").alias("u"), F.col("root").alias("v"))), "mh-edges")
     label = components(edges).withColumnRenamed("component", "label")
@@ -249,10 +252,10 @@ def _confirm(rows: DataFrame, reps: DataFrame, candidate: DataFrame, num: int, d
     large = materialize(large, "mh-labelled")
     # Everything outside a component's largest cluster meets every block of it.
     top = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    large = large.join(top, "component").withColumn("outside", F.col("label") != F.col("top"))
+    large = large.join(sized(materialize(top, "mh-top")), "component").withColumn("outside", F.col("label") != F.col("top"))
     outside = materialize(large.filter("outside").withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(1 << 20))), "mh-outside")
     if not outside.isEmpty():
-        parts = outside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
+        parts = sized(materialize(outside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts")), "mh-grid-parts"))
         cell = F.concat_ws(":", "component", "block", "part")
         fields = [cell.alias("cell"), "digest", "label", "outside", "text"]
         rest = outside.join(parts, "component").withColumn("part", F.pmod("part", "parts"))
@@ -263,7 +266,7 @@ def _confirm(rows: DataFrame, reps: DataFrame, candidate: DataFrame, num: int, d
     return done.union(components(edges))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 4000, cell_shingles: int = 4_000_000, samples: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), recall: float = 0.9999, cell_rows: int = 1000, cell_shingles: int = 1_000_000, samples: int = 4) -> DataFrame:
     """docs with one row of each component, all columns as they are; rows without an id or with an empty set stay."""
     rows = materialize(_grouped(docs, id_col, text_col, threshold, recall, cell_rows, cell_shingles, samples), "mh-groups")
     rows = rows.filter("doc_id is not null and n_shingles > 0")
