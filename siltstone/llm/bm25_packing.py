@@ -120,17 +120,20 @@ class Encoder:
         d = pa.array(K.span_hashes(data, start, end)).dictionary_encode().indices.to_numpy()
         top = np.maximum.accumulate(d) if len(d) else d
         first = np.flatnonzero(np.append(True, top[1:] > top[:-1])) if len(d) else np.zeros(0, np.int64)
+        plain, spaced = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        if self.fast is not None and len(start):
+            # chunks lie end to end
+            plain = ~np.logical_or.reduceat(~_PLAIN[data], start)[first]
+            blank, spaces = _BLANK[data], data[start] == 32
+            blank[start[spaces]] = False
+            spaced = np.logical_or.reduceat(blank, start)[first] | (spaces & (end - start == 1))[first]
+            del blank
         start, end, raw = start[first], end[first], data.tobytes()
         texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
-        plain, spaced = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
-        if self.fast is not None and len(texts):
-            odd, blank = (np.append(0, np.cumsum(flags)) for flags in (~_PLAIN[data], _BLANK[data]))
-            plain = odd[end] == odd[start]
-            for token in self.special:
-                if token in raw:
-                    plain &= np.array([token not in t for t in texts])
-            after = np.minimum(start + (data[start] == 32), end)
-            spaced = (blank[end] > blank[after]) | (after == end)
+        for token in self.special:
+            if token in raw:
+                plain &= np.array([token not in t for t in texts])
+        del raw
         together = plain & ~spaced
         pool, n = self._lines([t for t, x in zip(texts, together) if x])
         size, where = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

@@ -71,7 +71,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, spans in order; equal bytes give equal hashes."""
     if len(data) <= most:
         return _span_hashes(data, start, end)
