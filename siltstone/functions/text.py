@@ -19,8 +19,11 @@ SKIPPED_FOLDERS = [".git", "node_modules", "venv", ".venv", "__pycache__", "dist
 LOW_VALUE_FOLDERS = ["test", "tests", "testing", "spec", "specs", "fixtures", "benchmark", "benchmarks", "migrations", "locale", "i18n"]
 #: Messages of commits that are not about one fix.
 NOISE_MARKERS = ["merge branch", "merge pull request", "revert ", "typo", "reformat", "re-format", "indentation", "whitespace", "bump version", "update changelog", "release notes"]
+#: Folders of tests and documentation; the stricter form also knows names of test files.
 TEST_PATH = r"(?i)(^|[\\/])(tests?|testing|spec|specs|fixtures?|__tests__|examples?|benchmarks?|docs?)([\\/]|$)"
 
+TEST_FILE = r"(?i)(^|/)(tests?|testing|fixtures?|examples?|benchmarks?)(/|$)|(^|/)test_[^/]+|[^/]+_test\.[^/]+$"
+
 
 def norm_hash(code: Column) -> Column:
     """md5 of the text with white space collapsed; the identity of a function body."""
@@ -87,7 +90,7 @@ def normal_package(ecosystem: Column, name: Column) -> Column:
 
 
 def clean_version(raw: Column) -> Column:
-    """The exactly pinned version in a specifier, else null."""
+    """The exactly pinned version in a specifier, else null.  Fixed values: what may stand before a version, and its form."""
     v = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^[\"']+|[\"']+$", ""), r"^[\^~>=<!\s]*", "")
     v = F.trim(F.element_at(F.split(v, ","), 1))
     return F.when(v.rlike(r"^\d+(?:\.\w+)*(?:[-+.]\w+)*$"), v)
@@ -103,11 +106,11 @@ def severity_rank(severity: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits per character; 0 for empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
-    return F.when(F.size(chars) > 0, bits).otherwise(0.0)
+    """Shannon bits per character; 0 for empty text.  One pass of the text for each different character."""
+    n = F.length(text).cast("double")
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    bits = F.aggregate(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+    return F.when(n > 0, bits).otherwise(0.0)
 
 
 def one_edit_apart(a: Column, b: Column) -> Column:

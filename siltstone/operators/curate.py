@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +15,21 @@ from pyspark.sql import functions as F
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared checkpoint folder; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/siltstone-checkpoints"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/siltstone-tables"  # one machine only
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, a written table, with a broadcast hint if a count proves it small, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order."""
     name = "first__rank"
@@ -30,9 +42,9 @@ def preference_dedup(samples: DataFrame) -> DataFrame:
 
 
 def repair_pairs(samples: DataFrame) -> DataFrame:
-    """pair_id becomes null where the pre or the post side is gone."""
-    sides = F.size(F.collect_set("version").over(W.partitionBy("pair_id")))
-    return samples.withColumn("pair_id", F.when(sides == 2, F.col("pair_id")))
+    """pair_id becomes null where the pre or the post side is gone; rows without a pair never meet."""
+    whole = samples.filter("pair_id is not null").groupBy("pair_id").agg(F.min("version").alias("low"), F.max("version").alias("high")).filter("low <> high")
+    return samples.join(whole.select("pair_id", F.lit(True).alias("whole__")), "pair_id", "left").withColumn("pair_id", F.when(F.col("whole__"), F.col("pair_id"))).select(samples.columns)
 
 
 def best_per_key(rows: DataFrame, key: str, preferred: str, position: str) -> DataFrame:
@@ -74,27 +86,56 @@ def components(nodes: DataFrame, keys: list[str], node: str = "sample_id", most_
     raise RuntimeError("components did not settle")
 
 
-def shingles(samples: DataFrame, code: str = "code", key: str = "sample_id", k: int = 5) -> DataFrame:
-    """(key, shingle): distinct runs of k words."""
-    words = F.filter(F.split(F.lower(F.col(code)), r"\s+"), lambda w: w != "")
-    runs = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
-    return samples.select(key, F.explode(F.array_distinct(runs)).alias("shingle"))
+#: Tokens of code, and words that keep their names when others are generalised.
+TOKEN = r"[A-Za-z_$][\p{L}\p{N}_$]*|[0-9]+(?:\.[0-9]+)?|[^\s]"
+KEYWORDS = [
+    "if", "else", "for", "while", "return", "def", "class", "import", "from", "try", "except", "catch", "throw", "new", "public", "private", "static", "void", "int", "char", "bool", "null", "None", "true",
+    "false", "const", "let", "var", "function", "async", "await", "switch", "case", "break", "continue", "in", "is", "not", "and", "or", "with", "as", "sizeof", "struct", "enum", "include",
+]
+
+
+def general_tokens(code: Column) -> Column:
+    """Tokens of code: names but keywords become ID, numbers NUM, signs stay."""
+    named = lambda t: F.when(t.isin(*KEYWORDS), t).when(t.rlike(r"^[0-9]"), "NUM").when(t.rlike(r"^[\p{L}_$]"), "ID").otherwise(t)
+    return F.transform(F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0)), named)
+
+
+def shingle_sets(samples: DataFrame, code: str = "code", key: str = "sample_id", k: int = 5) -> DataFrame:
+    """(key, shingles): the distinct runs of k general tokens, sorted; none for shorter code."""
+    tokens = samples.select(key, general_tokens(F.col(code)).alias("t"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.array_join(F.slice("t", i, k), " "))
+    return tokens.select(key, F.when(F.size("t") >= k, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>")).alias("shingles"))
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, rare: int = 8, least: int = 20, similarity: float = 0.85, key: str = "sample_id") -> DataFrame:
-    """Pairs (key, other, jaccard) with the similarity or more, found through each left sample's rarest shared shingles.
+    """(key, other, jaccard): each left sample's first near duplicate among the right ones, if it has one.
 
-    left, right: (key, shingle).  Candidates come from the `rare` rarest shingles by document frequency; exact
-    similarity is counted for candidates alone.
+    left, right: (key, shingles), sets of less than `least` being left out.  Candidates share one of the `rare`
+    rarest of the left sample's shingles that the right side has, by the number of right samples, then by text.
+    The first of those with the similarity or more has most of these shingles in common, then the smallest key.
+    No candidate is dropped.  Equal sets are one class, represented by their smallest key, so that copies are
+    not compared again; candidates meet on a shingle and a step of set sizes that similar sets share.
     """
-    sized = lambda s: s.join(s.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), key)
-    a, b = sized(left), sized(right).select(F.col(key).alias("other"), "shingle", F.col("n").alias("m"))
-    df = b.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy("df", "shingle"))
-    rarest = a.join(df, "shingle").withColumn("rank", rank).filter(F.col("rank") <= rare).select(key, "n", "shingle")
-    cand = rarest.join(b, "shingle").filter(F.least("n", "m") >= similarity * F.greatest("n", "m")).select(key, "other", "n", "m").distinct()
-    both = cand.join(a.select(key, "shingle"), key).join(b.select("other", "shingle"), ["other", "shingle"]).groupBy(key, "other", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return both.withColumn("jaccard", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter(F.col("jaccard") >= similarity).select(key, "other", "jaccard")
+    step = F.floor(F.log(F.col("n")) / -math.log(0.999 * similarity)).cast("int")  # a little wide, for rounding
+
+    def classes(side: DataFrame) -> DataFrame:
+        big = side.filter(F.size("shingles") >= least).select(key, "shingles", F.sha2(F.array_join("shingles", "\n").cast("binary"), 256).alias("digest"))
+        return written(big.groupBy("digest").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("members"), F.any_value("shingles").alias("shingles")).withColumn("n", F.size("shingles")), "classes"), big.select(key, "digest")
+
+    (a, members), (b, _) = classes(left), classes(right)
+    inverted = b.select(F.explode("shingles").alias("shingle"), F.col("class").alias("other"), F.col("n").alias("m"), "members", step.alias("step"))
+    df = inverted.groupBy("shingle").agg(F.sum("members").alias("df"))
+    rank = F.row_number().over(W.partitionBy("class").orderBy("df", "shingle"))  # not more rows than the set has
+    rarest = a.select("class", "n", F.explode("shingles").alias("shingle")).join(df, "shingle").withColumn("rank", rank).filter(F.col("rank") <= rare)
+    near = rarest.select("class", "n", "shingle", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    c = near.join(inverted.drop("members"), ["shingle", "step"]).filter(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    c = written(c.groupBy("class", "other").agg(F.count(F.lit(1)).alias("shared")), "candidates")
+    sets = lambda side, name: side.select(F.col("class").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = c.join(sets(a, "class"), "class").join(sets(b, "other"), "other")
+    both = both.withColumn("common", F.size(F.array_intersect("class_set", "other_set")))
+    both = both.withColumn("jaccard", F.col("common") / (F.size("class_set") + F.size("other_set") - F.col("common"))).filter(F.col("jaccard") >= similarity)
+    first = both.groupBy("class").agg(F.min(F.struct((-F.col("shared")).alias("less"), "other", "jaccard")).alias("hit"))
+    return members.join(a.join(first, "class").select("digest", "hit"), "digest").select(key, "hit.other", "hit.jaccard")
 
 
 def stratified_split(samples: DataFrame, group: str, stratum: str, label: str = "label", shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
@@ -128,3 +169,25 @@ def stratified_split(samples: DataFrame, group: str, stratum: str, label: str =
         return pd.DataFrame(out, columns=[group, "split"])
 
     return counts.groupBy().applyInPandas(assign, f"{group} string, split string")
+
+
+def plain_split(samples: DataFrame, group: str, label: str = "label", shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
+    """(group, split): whole groups, those with most positives first, each to the split that lacks the largest share of its target.
+
+    Sequential over one row per group; ties go to the smaller name and the earlier split.
+    """
+    import pandas as pd
+
+    counts = samples.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n"))
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, total, out = ("train", "val", "test"), float(pdf["n"].sum()), []
+        target = {k: w * total for k, w in zip(names, shares)}
+        got = dict.fromkeys(names, 0)
+        for g, n in sorted(zip(pdf[group], pdf["n"]), key=lambda x: (-x[1], x[0])):
+            pick = max(names, key=lambda k: (target[k] - got[k]) / max(target[k], 1e-9))
+            got[pick] += int(n)
+            out.append((g, pick))
+        return pd.DataFrame(out, columns=[group, "split"])
+
+    return counts.groupBy().applyInPandas(assign, f"{group} string, split string")

@@ -5,10 +5,13 @@ Fixed values: the patterns of the rules and their weights.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import TEST_PATH, entropy
+from siltstone.functions.text import TEST_PATH, entropy, severity_rank
 
 INSTALL_HOOKS = ["preinstall", "install", "postinstall", "prepare", "prepublish", "preprepare", "postprepare"]
 SETUP_EXEC = r"\b(cmdclass\s*=|class\s+\w*(?:Install|Develop|EggInfo|Build)\w*\s*\(|os\.system|subprocess\.(?:run|call|Popen|check_output)|__import__\s*\(|exec\s*\(|eval\s*\()"
@@ -41,6 +44,12 @@ TECHNIQUES = {
 }
 
 
+INSTALL_MANIFESTS = ["package.json", "setup.py", "setup.cfg", "pyproject.toml", "build.gradle", "build.gradle.kts", "pom.xml", "makefile", "Makefile"]
+SCANNED_SUFFIXES = [".py", ".js", ".ts", ".mjs", ".cjs", ".sh", ".bash", ".ps1", ".json", ".yml", ".yaml", ".gradle", ".xml", ".rb", ".pl"]
+UNSCANNED_FOLDERS = [".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "vendor", "site-packages"]
+KINDS = ("install_hook", "ci_risk", "obfuscation", "network")
+
+
 def found(kind: str, severity: str | Column, test: Column) -> Column:
     """A finding struct where test holds, else null."""
     level = F.lit(severity) if isinstance(severity, str) else severity
@@ -59,9 +68,13 @@ def install_hooks(name: Column, text: Column) -> list[Column]:
     ]
 
 
-def ci_risk(text: Column) -> Column:
-    """Both the trigger and the checkout of foreign code are needed."""
-    return found("ci_risk", "CRITICAL", text.rlike(CI_TRIGGER) & text.rlike(CI_CHECKOUT))
+def is_workflow(path: Column) -> Column:
+    return path.rlike(r"(?:^|/)\.github/") & F.lower(path).rlike(r"\.ya?ml$")
+
+
+def ci_risk(path: Column, text: Column) -> Column:
+    """A workflow with both the trigger and the checkout of foreign code."""
+    return found("ci_risk", "CRITICAL", is_workflow(path) & text.rlike(CI_TRIGGER) & text.rlike(CI_CHECKOUT))
 
 
 def obfuscation(text: Column) -> Column:
@@ -83,18 +96,72 @@ def network(text: Column) -> list[Column]:
     ]
 
 
-def scan(files: DataFrame, most_bytes: int = 400_000) -> DataFrame:
-    """Findings of all rules on (repo, path, content): one row each, all patterns in one pass.
+def scan(files: DataFrame, most_bytes: int = 400_000, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Findings (repo, path, kind, severity) of the rules of these kinds on (repo, path, content), all in one pass.
 
-    Findings in test and documentation folders are kept, at LOW.  Texts above most_bytes are not checked.
+    Only these kinds' patterns are run.  Findings in test and documentation folders are kept, at LOW.  Texts above
+    most_bytes are not checked.
     """
     text, name = F.coalesce("content", F.lit("")), F.lower(F.element_at(F.split("path", "/"), -1))
-    hits = F.array_compact(F.array(*install_hooks(name, text), ci_risk(text), obfuscation(text), *network(text)))
+    rules = {"install_hook": lambda: install_hooks(name, text), "ci_risk": lambda: [ci_risk(F.col("path"), text)], "obfuscation": lambda: [obfuscation(text)], "network": lambda: network(text)}
+    hits = F.array_compact(F.array(*[rule for k in kinds for rule in rules[k]()]))
     rows = files.filter(F.octet_length(text) <= most_bytes).select("repo", "path", F.explode(hits).alias("f")).select("repo", "path", "f.*")
     test = F.col("path").rlike(TEST_PATH) & F.col("severity").isin("CRITICAL", "HIGH")
     return rows.withColumn("severity", F.when(test, "LOW").otherwise(F.col("severity")))
 
 
+def scan_states(files: DataFrame, most_files: int = 400, most_bytes: int = 400_000) -> DataFrame:
+    """The files a scan could read, with state scanned, oversized or omitted: in order of paths, most_files of a repo at most.
+
+    The last path within the budget decides, so that a repo of many files is no group of its own: Spark keeps
+    the first most_files of a task before it shuffles.
+    """
+    name, low = F.element_at(F.split("path", "/"), -1), F.lower("path")
+    suffixed = reduce(lambda a, b: a | b, [low.endswith(x) & ~F.lower(name).eqNullSafe(F.lit(x)) for x in SCANNED_SUFFIXES])
+    skipped = F.arrays_overlap(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), F.array(*map(F.lit, UNSCANNED_FOLDERS)))
+    eligible = files.filter((name.isin(*INSTALL_MANIFESTS) | is_workflow(F.col("path")) | suffixed) & ~skipped).withColumn("fits", F.octet_length(F.coalesce("content", F.lit(""))) <= most_bytes)
+    first = eligible.filter("fits").select("repo", "path").withColumn("k", F.row_number().over(W.partitionBy("repo").orderBy("path"))).filter(F.col("k") <= most_files)
+    last = first.groupBy("repo").agg(F.max("path").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == most_files).select(F.col("repo").alias("of"), "last")
+    state = F.when(F.col("last").isNotNull() & (F.col("path") > F.col("last")), "omitted").when(F.col("fits"), "scanned").otherwise("oversized")
+    return eligible.join(last, F.col("repo") == F.col("of"), "left").withColumn("state", state).drop("of", "last", "fits")
+
+
+def scan_summary(files: DataFrame, most_files: int = 400, most_bytes: int = 400_000, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Per repo: n_scanned, omitted, oversized, n_findings, worst_severity, clone_safe, status.
+
+    A scan is complete if it read a file and left none out; only then clone_safe tells, else it is null.
+    """
+    states = scan_states(files, most_files, most_bytes)
+    count = lambda s: F.count_if(F.col("state") == s)
+    cover = states.groupBy("repo").agg(count("scanned").alias("n_scanned"), count("omitted").alias("omitted"), count("oversized").alias("oversized"))
+    hits = scan(states.filter("state = 'scanned'"), most_bytes, kinds).groupBy("repo").agg(F.count(F.lit(1)).alias("n_findings"), F.max(severity_rank(F.col("severity"))).alias("rank"))
+    rank, complete = F.coalesce("rank", F.lit(0)), (F.col("n_scanned") > 0) & (F.col("omitted") + F.col("oversized") == 0)
+    worst = F.when(rank == 4, "CRITICAL").when(rank == 3, "HIGH").when(rank == 2, "MEDIUM").otherwise("none")
+    return cover.join(hits, "repo", "left").select(
+        "repo", "n_scanned", "omitted", "oversized", F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), worst.alias("worst_severity"),
+        F.when(complete, rank < 3).alias("clone_safe"), F.when(complete, "complete").otherwise("partial").alias("status"),
+    )
+
+
+def model_findings(replies: DataFrame) -> DataFrame:
+    """Findings from checked answers: one pillar's severity and tier follow the evidence, not the model's words.
+
+    replies: pillar, repo, file, line, flagged (boolean, null if not parsed), label (class, package or technique),
+    evidence (novelty of a function, advisory status of a dependency), advisory_severity.  Unparsed and negative answers
+    give none; so do dependencies the model flags no more than an advisory confirms.  Columns: those and severity, tier, source.
+    """
+    p, e = F.col("pillar"), F.col("evidence")
+    known = (p == "vulnerability") & (e == "known")
+    level = F.when(F.upper("advisory_severity") == "MODERATE", "MEDIUM").otherwise(F.upper("advisory_severity"))
+    severity = (F.when(p == "vulnerability", F.when(known & level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level).otherwise("MEDIUM")).when(p == "secret", "HIGH").when(p == "malware", "CRITICAL")
+                .when(e == "affected", F.coalesce(level, F.lit("HIGH"))).when(e == "unpinned", F.coalesce(level, F.lit("MEDIUM"))).otherwise("LOW"))
+    sure = known | ((p == "dependency") & (e == "affected"))
+    # the advisory database adds what it confirms and the model passed over
+    kept = F.col("flagged") | ((p == "dependency") & (e == "affected"))
+    source = F.when((p == "dependency") & ~F.coalesce("flagged", F.lit(False)), "advisory").when(sure | ((p == "dependency") & (e == "unpinned")), "ai+advisory").otherwise("ai")
+    return replies.filter(F.coalesce(kept, F.lit(False))).select(*replies.columns, severity.alias("severity"), F.when(sure, "A").otherwise("C").alias("tier"), source.alias("source"))
+
+
 def clone_verdicts(findings: DataFrame, coverage: DataFrame) -> DataFrame:
     """(repo, verdict) for each repo of coverage (repo, complete, n_scanned): certain evidence only, and never safe unless complete."""
     f = findings.filter((F.col("tier") == "A") & F.col("pillar").isin("supply_chain", "malware")).groupBy("repo").agg(F.count_if(F.col("severity") == "CRITICAL").alias("crit"), F.count_if(F.col("severity") == "HIGH").alias("high"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,21 +42,38 @@ def paired(preds: DataFrame, least: int = 10) -> DataFrame:
     return counts.filter(F.col("n") >= least)
 
 
-def mcnemar_p(b01: Column, b10: Column, log_factorial: Column) -> Column:
-    """Exact two-sided p: sum of binomials in log space, from an array of ln(i!), i from 0."""
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series after seven steps up; right to 1e-11."""
+    x = n.cast("double") + 1
+    steps = F.lit(0.0)
+    for k in range(7):
+        steps = steps + F.log(x + k)
+    y = x + 7
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def mcnemar_p(b01: Column, b10: Column) -> Column:
+    """Exact two-sided p: the binomial tail from its largest term downwards.
+
+    Each term is the one before times i / (n - i + 1); beyond ten deviations they are below 1e-80 and left out, so
+    that a row needs no more memory than a root of its counts.
+    """
     n, k = b01 + b10, F.least(b01, b10)
-    lf = lambda i: F.element_at(log_factorial, (i + 1).cast("int"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(lf(n) - lf(i) - lf(n - i) - n * F.log(F.lit(2.0))))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2.0))
+    terms = F.sequence(k, F.greatest(F.lit(1).cast("long"), k - F.ceil(20 * F.sqrt(n) + 50)), F.lit(-1).cast("long"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] * i / (n - i + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    tail = F.when(k > 0, F.aggregate(terms, start, add, lambda s: s["sum"])).otherwise(1.0)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * top * tail))
 
 
 def with_mcnemar(pairs: DataFrame) -> DataFrame:
-    """pairs with p; the table of log factorials is as long as the largest number of disagreements."""
-    top = pairs.agg(F.max(F.col("b01") + F.col("b10")).alias("top"))
-    steps = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("top", F.lit(0).cast("long")))).alias("i"))
-    logs = steps.withColumn("l", F.sum(F.when(F.col("i") > 0, F.log("i")).otherwise(0.0)).over(W.orderBy("i")))
-    logs = logs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda x: x["l"]).alias("lf"))
-    return pairs.crossJoin(F.broadcast(logs)).withColumn("p", mcnemar_p(F.col("b01"), F.col("b10"), F.col("lf"))).drop("lf")
+    return pairs.withColumn("p", mcnemar_p(F.col("b01"), F.col("b10")))
 
 
 def holm(tests: DataFrame, key: str, p: str = "p", alpha: float = 0.05) -> DataFrame:
@@ -67,24 +86,67 @@ def holm(tests: DataFrame, key: str, p: str = "p", alpha: float = 0.05) -> DataF
     return t.withColumn("adjusted", F.max(F.least(F.lit(1.0), F.col(p) * F.col("left"))).over(run)).withColumn("rejected", F.min((F.col(p) <= alpha / F.col("left")).cast("int")).over(run) == 1).drop("left")
 
 
+def resampled_cells(preds: DataFrame, reps: int, draws: int = 65_536) -> DataFrame:
+    """(config, rep, n, tp, fp, tn, fn) of each bootstrap replicate of a configuration.
+
+    Confusion cells are sufficient: draw s of replicate r takes the row at hash(r, s) mod n in id order, and only its
+    cell matters.  A row makes `draws` draws, which partial counts reduce where they are made.
+    """
+    cells = confusion_by(preds, "config", null_as_negative=True).withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).filter("n > 0")
+    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / draws)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    # replicates are dealt over all tasks before they draw
+    slots = F.sequence(F.col("part") * draws, F.least(F.col("n"), (F.col("part") + 1) * draws) - 1)
+    drawn = parts.repartition("config", "rep", "part").withColumn("slot", F.explode(slots)).withColumn("at", hash_unit(F.col("rep"), F.col("slot")) % F.col("n"))
+    a, b, c = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("tn")
+    sums = drawn.groupBy("config", "rep", "n").agg(*(F.count_if(F.col("at") < bound).alias(name) for name, bound in (("a", a), ("b", b), ("c", c))))
+    return sums.select("config", "rep", "n", F.col("a").alias("tp"), (F.col("b") - F.col("a")).alias("fp"), (F.col("c") - F.col("b")).alias("tn"), (F.col("n") - F.col("c")).alias("fn"))
+
+
+def bootstrap(preds: DataFrame, metrics: tuple[str, ...] = ("f1",), reps: int = 200, alpha: float = 0.05) -> DataFrame:
+    """(config, metric, low, high): percentile intervals of binary metrics."""
+    known = binary_metrics(0.0)
+    one = resampled_cells(preds, reps).select("config", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), known[m].alias("value")) for m in metrics])).alias("x")).select("config", "x.*")
+    return percentile_interval(one, ["config", "metric"], "value", reps, alpha)
+
+
 def bootstrap_f1(preds: DataFrame, reps: int = 200, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of F1 per configuration.
+    """Percentile interval of F1 per configuration."""
+    return bootstrap(preds, ("f1",), reps, alpha).drop("metric")
+
 
-    Confusion cells are sufficient: a resample draws n cells.  Draw s of replicate r takes the row at
-    hash(r, s) mod n in id order; only its cell matters, so rows shrink to cumulative cell counts.
+def report(preds: DataFrame, metrics: tuple[str, ...] = ("f1", "mcc", "balanced_accuracy"), reps: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The composed report: (config, n, parse_fail_rate, metric, point, low, high) and the paired tests with Holm's correction.
+
+    Raises if a configuration judges a sample twice, or if two of them hold different truths for one.
+    """
+    twice = preds.groupBy("config", "sample_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"repeated prediction {twice[0].asDict()}")
+    n = preds.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("pred").isNull().cast("int")), 4).alias("parse_fail_rate"))
+    points = scored_by(preds, "config", null_as_negative=True).select("config", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 6).alias("point")) for m in metrics])).alias("x")).select("config", "x.*")
+    pairs = paired(preds)
+    if not pairs.filter("conflicts > 0").isEmpty():
+        raise ValueError("paired predictions hold different truths")
+    tests = with_mcnemar(pairs).withColumn("pair", F.concat_ws("/", "a", "b"))
+    return n.join(points, "config").join(bootstrap(preds, metrics, reps), ["config", "metric"]), holm(tests, "pair")
+
+
+def best_strategies(scored: DataFrame, model: str = "model") -> DataFrame:
+    """Per model the best strategy among those without request errors that kept the format throughout; best: the best of all models.
+
+    scored: model, strategy, n, f1, balanced_accuracy, format_adherence, api_errors.  Ties go to the first in name.
     """
-    cells = confusion_by(preds, "config", null_as_negative=True).withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
-    draws = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = hash_unit(F.col("rep"), F.col("slot")) % F.col("n")
-    tp, fp, fn = at < F.col("tp"), (at >= F.col("tp")) & (at < F.col("tp") + F.col("fp")), at >= F.col("tp") + F.col("fp") + F.col("tn")
-    one = draws.groupBy("config", "rep").agg((2 * F.count_if(tp) / F.greatest(2 * F.count_if(tp) + F.count_if(fp) + F.count_if(fn), F.lit(1))).alias("f1"))
-    return percentile_interval(one, "config", "f1", reps, alpha)
+    valid = scored.filter((F.coalesce("api_errors", F.lit(0)) == 0) & (F.col("format_adherence") == 1.0) & (F.col("n") > 0))
+    order = F.desc("f1"), F.desc("balanced_accuracy"), F.col("strategy")
+    winners = valid.withColumn("k", F.row_number().over(W.partitionBy(model).orderBy(*order))).filter("k = 1").drop("k")
+    top = winners.agg(F.min(F.struct((-F.col("f1")).alias("f"), F.col(model).alias("m"))).alias("top"))
+    return winners.crossJoin(F.broadcast(top)).withColumn("best", F.col(model).eqNullSafe(F.col("top.m"))).drop("top")
 
 
-def percentile_interval(values: DataFrame, key: str, value: str, reps: int, alpha: float) -> DataFrame:
+def percentile_interval(values: DataFrame, key: str | list[str], value: str, reps: int, alpha: float) -> DataFrame:
     """Values at floor(alpha/2 reps) and floor((1 - alpha/2) reps) - 1 of the sorted replicates."""
     s = F.array_sort(F.collect_list(value))
-    return values.groupBy(key).agg(F.round(F.element_at(s, int(alpha / 2 * reps) + 1), 6).alias("low"), F.round(F.element_at(s, int((1 - alpha / 2) * reps)), 6).alias("high"))
+    return values.groupBy(*([key] if isinstance(key, str) else key)).agg(F.round(F.element_at(s, int(alpha / 2 * reps) + 1), 6).alias("low"), F.round(F.element_at(s, int((1 - alpha / 2) * reps)), 6).alias("high"))
 
 
 def cluster_bootstrap(preds: DataFrame, cluster: str, reps: int = 200, alpha: float = 0.05) -> DataFrame:
@@ -107,14 +169,26 @@ def sign_flip(preds: DataFrame, a: str, b: str, cluster: str, reps: int = 500) -
     return flips.agg(F.round((F.count_if(F.col("flip") >= F.col("seen")) + 1) / F.lit(reps + 1), 6).alias("p")).crossJoin(d.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("d"), F.lit(0)).alias("difference")))
 
 
-def exclusive_quantiles(rows: DataFrame, key: str, value: str, parts: int = 4) -> DataFrame:
-    """Quantiles by the (n + 1) p convention, by rank arithmetic; groups of one row are left out."""
+def _ranked(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, upto, n): each different value once, with the number of rows up to it and of all rows of its key."""
+    per = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
     w = W.partitionBy(key)
-    r = rows.withColumn("rank", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1")
+    return per.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+
+
+def exclusive_quantiles(rows: DataFrame, key: str, value: str, parts: int = 4) -> DataFrame:
+    """Quantiles by the (n + 1) p convention, by rank arithmetic over different values; groups of one row are left out."""
+    r = _ranked(rows, key, value).filter("n > 1")
     out = []
     for i in range(1, parts):
         j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(i * (F.col("n") + 1) / parts)))
         delta = i * (F.col("n") + 1) - j * parts
-        low, high = F.max(F.when(F.col("rank") == j, F.col(value))), F.max(F.when(F.col("rank") == j + 1, F.col(value)))
+        low, high = F.min(F.when(F.col("upto") >= j, F.col(value))), F.min(F.when(F.col("upto") >= j + 1, F.col(value)))
         out.append(F.round((low * (parts - F.max(delta)) + high * F.max(delta)) / parts, 6).alias(f"q{i}"))
     return r.groupBy(key).agg(*out)
+
+
+def index_quantiles(rows: DataFrame, key: str, value: str, **places: tuple[int, int]) -> DataFrame:
+    """Per key and (over, of) the value at index over * n // of of the sorted values."""
+    at = {name: F.min(F.when(F.col("upto") > F.floor(over * F.col("n") / of), F.col(value))) for name, (over, of) in places.items()}
+    return _ranked(rows, key, value).groupBy(key).agg(*[v.alias(k) for k, v in at.items()])

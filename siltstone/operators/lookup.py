@@ -80,6 +80,43 @@ def greedy_matches(candidates: DataFrame, key: str, left: str, right: str) -> Da
     return candidates.select(key, left, right).groupBy(key).applyInPandas(match, schema)
 
 
+def comparison(ours: DataFrame, theirs: DataFrame, matches: DataFrame, left: str, right: str, cwe: str = "cwe") -> DataFrame:
+    """One row: how many findings two scans share, and how many each has alone.
+
+    ours, theirs: findings with keys left and right and a class; matches: (left, right), one to one.
+    agreement_rate: the share of all different findings; 0 without any.
+    """
+    pairs = matches.join(ours.select(left, F.col(cwe).alias("a")), left).join(theirs.select(right, F.col(cwe).alias("b")), right)
+    counts = pairs.agg(F.count(F.lit(1)).alias("agreed"), F.count_if(F.col("a").startswith("CWE-") & (F.col("a") == F.col("b"))).alias("same_cwe_when_agreed"))
+    size = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
+    n = counts.crossJoin(size(ours, "ai_total")).crossJoin(size(theirs, "static_total"))
+    n = n.withColumn("ai_only", F.col("ai_total") - F.col("agreed")).withColumn("static_only", F.col("static_total") - F.col("agreed")).withColumn("unique_total", F.col("ai_total") + F.col("static_total") - F.col("agreed"))
+    rate = F.when(F.col("unique_total") > 0, F.round(F.col("agreed") / F.col("unique_total"), 3)).otherwise(0.0)
+    return n.select("ai_total", "static_total", "agreed", "ai_only", "static_only", "unique_total", rate.alias("agreement_rate"), "same_cwe_when_agreed")
+
+
+def target_scores(targets: DataFrame, scanned: DataFrame, flagged: DataFrame, case: str = "case_id") -> DataFrame:
+    """Per case: selected, detected (a target file flagged), localised (a target's body flagged), alarms elsewhere.
+
+    targets: (case, file, func_hash); scanned: (case, file); flagged: (case, file, func_hash).  Raises if a target is
+    flagged that was not scanned.
+    """
+    t, here = targets.select(case, "file").distinct(), [case, "file"]
+    bodies = targets.filter("func_hash is not null").select(case, "file", "func_hash").distinct()
+    mark = lambda df, name: df.select(case).distinct().withColumn(name, F.lit(True))
+    seen, hit = t.join(scanned, here, "left_semi"), t.join(flagged, here, "left_semi")
+    exact = bodies.join(flagged, [*here, "func_hash"], "left_semi")
+    alarms = flagged.join(t, here, "left_anti").groupBy(case).agg(F.count(F.lit(1)).alias("alarms"))
+    out = targets.select(case).distinct()
+    for df, name in ((seen, "selected"), (hit, "detected"), (exact, "localised")):
+        out = out.join(mark(df, name), case, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    out = out.join(alarms, case, "left").withColumn("alarms", F.coalesce("alarms", F.lit(0).cast("long")))
+    bad = hit.join(scanned, here, "left_anti").limit(1).collect()
+    if bad:
+        raise ValueError(f"flagged but not scanned: {bad[0].asDict()}")
+    return out
+
+
 def containing(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str, high: str, step: int = 64) -> DataFrame:
     """points joined to the ranges of their key that contain them: ranges are dealt into steps, so the join has keys."""
     r = ranges.withColumn("step__", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))

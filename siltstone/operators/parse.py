@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,36 +17,73 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import clean_version, normal_package
 
 CWE = r"(?i)CWE[-_ ]?0*(\d{1,4})"
-NO = r"(?i)vulnerab\w*\s*[:=]\s*(?:no|false)\b"
-YES = r"(?i)vulnerab\w*\s*[:=]\s*(?:yes|true)\b"
+CWE_BY_CUE = r"(?i)(?:type|cwe)\D{0,20}CWE[-_ ]?0*(\d{1,4})"
+NO = r"(?i)vulnerab\w*\s*[:=]\s*[*_`\s]*(?:no|false)\b"
+YES = r"(?i)vulnerab\w*\s*[:=]\s*[*_`\s]*(?:yes|true)\b"
+SAYS_NO = r"(?i)\b(?:not vulnerable|no vulnerability|not exploitable)\b"
+SAYS_YES = r"(?i)\b(?:is|are)\s+vulnerable\b"
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 GRADLE_ENTRY = r"""(?:implementation|api|compile|testImplementation|runtimeOnly|classpath)\s*\(?\s*['"]([^'"\s:]+):([^'"\s:]+)(?::([^'"\s]+))?['"]"""
 
 
-def _last(text: Column, pattern: str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.lit(-1))
+def _cwe(text: Column, pattern: str = CWE) -> Column:
+    n = F.regexp_extract(text, pattern, 1)
+    return F.when(n != "", F.concat(F.lit("CWE-"), n.cast("int").cast("string")))
 
 
-def _cwe(text: Column) -> Column:
-    n = F.regexp_extract(text, CWE, 1)
-    return F.when(n != "", F.concat(F.lit("CWE-"), n.cast("int").cast("string")))
+def _objects(text: Column, pattern: str, fields: str) -> Column:
+    """The objects of these fields among the parts of a text that match; null for parts that are no valid JSON."""
+    parts = F.regexp_extract_all(text, F.lit(pattern if "(" in pattern.replace("(?", "") else f"({pattern})"), F.lit(1))
+    return F.transform(parts, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, fields)))
 
 
 def verdict(text: Column) -> Column:
-    """struct(vulnerable, cwe, parse_ok): an object without inner braces, a fenced object, a truncated one, then cues.
+    """struct(vulnerable, cwe, parse_ok): the last object without inner braces, the last fenced one, a truncated one, then cues.
 
-    Only JSON booleans count; an explicit no beats a yes, and cues leave parse_ok false.
+    Only JSON booleans count.  An explicit no beats a yes, both beat what prose says in passing, and cues leave
+    parse_ok false.  The class of a cue's yes is the one named next to "type" or "cwe", else the first.
     """
-    flat = _last(text, r"\{[^{}]*\"vulnerable\"[^{}]*\}")
-    obj = F.from_json(flat, "vulnerable boolean, cwe string", {"mode": "PERMISSIVE"})
+    text, fields = F.coalesce(text, F.lit("")), "vulnerable boolean, cwe string"
+    last = lambda found: F.element_at(F.concat(F.array(F.lit(None).cast("struct<vulnerable:boolean,cwe:string>")), F.filter(found, lambda o: o["vulnerable"].isNotNull())), -1)
+    obj = F.coalesce(last(_objects(text, r"\{[^{}]*\"vulnerable\"[^{}]*\}", fields)), last(_objects(text, FENCED, fields)))
     cut = F.regexp_extract(text, r'(?i)"vulnerable"\s*:\s*(true|false)', 1)
     strict = obj["vulnerable"]
-    cue = F.when(text.rlike(NO), False).when(text.rlike(YES), True)
+    cue = F.when(text.rlike(NO), False).when(text.rlike(YES), True).when(text.rlike(SAYS_NO), False).when(text.rlike(SAYS_YES), True)
     vulnerable = F.coalesce(strict, F.when(cut != "", F.lower(cut) == "true"), cue)
     cut_cwe = _cwe(F.regexp_extract(text, r'(?i)"cwe"\s*:\s*"?(CWE[-_ ]?\d{1,4})', 1))
-    cwe = F.when(strict.isNotNull(), _cwe(obj["cwe"])).when(cut != "", cut_cwe).when(cue, _cwe(text))
+    cwe = F.when(strict.isNotNull(), _cwe(obj["cwe"])).when(cut != "", cut_cwe).when(cue, F.coalesce(_cwe(text, CWE_BY_CUE), _cwe(text)))
     return F.struct(vulnerable.alias("vulnerable"), cwe.alias("cwe"), (strict.isNotNull() | (cut != "")).alias("parse_ok"))
 
 
+def dependency_reply(text: Column) -> Column:
+    """struct(packages, parsed): names of a reply's vulnerable_dependencies, from valid JSON, else from an answer that was cut off.
+
+    Valid: a fenced object, or all from the first brace to the last.  An item is an object with a package or a name.
+    A cut answer gives the packages it got to, none perhaps; a reply without the field is not parsed.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = F.concat(_objects(text, FENCED, "vulnerable_dependencies array<string>"), _objects(text, r"(?s)\{.*\}", "vulnerable_dependencies array<string>"))
+    items = F.get(F.filter(found, lambda o: o["vulnerable_dependencies"].isNotNull()), 0)["vulnerable_dependencies"]
+    names = F.transform(items, lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.package")).otherwise(x)))
+    tail = F.regexp_extract(text, r'(?s)("vulnerable_dependencies"\s*:.*)', 1)
+    cut = F.transform(F.regexp_extract_all(tail, F.lit(r'"package"\s*:\s*"([^"]+)"'), F.lit(1)), F.trim)
+    none = F.array().cast("array<string>")
+    packages = F.when(items.isNotNull(), F.filter(names, lambda n: n.isNotNull() & (n != ""))).when(tail != "", cut).otherwise(none)
+    return F.struct(packages.alias("packages"), (items.isNotNull() | (tail != "")).alias("parsed"))
+
+
+def malware_reply(text: Column) -> Column:
+    """struct(malicious, technique, parsed): from a valid object with a boolean malicious, else from cues, which are not parsed."""
+    text, fields = F.coalesce(text, F.lit("")), "malicious boolean, technique string"
+    found = F.concat(_objects(text, FENCED, fields), _objects(text, r"(?s)\{.*\}", fields))
+    obj = F.get(F.filter(found, lambda o: o["malicious"].isNotNull()), 0)
+    low, strict = F.lower(text), obj["malicious"]
+    yes = low.rlike(r"\bmalicious\b.{0,12}\b(?:true|yes)\b") | F.contains(low, F.lit('"malicious": true'))
+    no = F.contains(low, F.lit("not malicious")) | F.contains(low, F.lit('"malicious": false')) | F.contains(low, F.lit("benign"))
+    technique = F.when(strict.isNotNull() & ~obj["technique"].isin("null", "", "none"), obj["technique"])
+    return F.struct(F.coalesce(strict, F.when(yes, True).when(no, False)).alias("malicious"), technique.alias("technique"), strict.isNotNull().alias("parsed"))
+
+
 def strict_boolean(text: Column, field: str) -> Column:
     """The field if the whole text is an object that holds a JSON boolean there, else null."""
     return F.from_json(text, f"{field} boolean", {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "false"})[field]
@@ -69,14 +107,23 @@ def package_json(text: Column) -> Column:
     return F.transform(F.concat(*parts), lambda e: F.struct(e["key"].alias("package"), clean_version(e["value"]).alias("version")))
 
 
+def package_lock(text: Column) -> Column:
+    """array<struct(package, version)> of a lock file: by place under node_modules, then by name; entries without a version are left out."""
+    at = lambda section: F.map_entries(F.from_json(F.get_json_object(text, f"$.{section}"), "map<string,struct<name:string,version:string>>"))
+    none = F.array().cast("array<struct<key:string,value:struct<name:string,version:string>>>")
+    own = F.filter(F.coalesce(at("packages"), none), lambda e: e["key"] != "")
+    place = lambda e: F.coalesce(e["value"]["name"], F.element_at(F.split(e["key"], "node_modules/"), -1))
+    entries = F.concat(F.transform(own, lambda e: F.struct(place(e).alias("package"), e["value"]["version"].alias("v"))), F.transform(F.coalesce(at("dependencies"), none), lambda e: F.struct(e["key"].alias("package"), e["value"]["version"].alias("v"))))
+    return F.transform(F.filter(entries, lambda e: e["v"] != ""), lambda e: F.struct(e["package"].alias("package"), clean_version(e["v"]).alias("version")))
+
+
 def pom(text: Column) -> Column:
-    """array<struct(package, version)> of a Maven project, whatever its namespace."""
-    dep = "//*[local-name()='dependency'][*[local-name()='groupId'] and *[local-name()='artifactId']]"
-    part = lambda name: F.xpath(text, F.lit(f"{dep}/*[local-name()='{name}']/text()"))
-    count = F.size(part("groupId"))
-    # paths must be constant, so versions are matched by position, where every entry has one
-    g, a, v = part("groupId"), part("artifactId"), part("version")
-    return F.when(count > 0, F.transform(F.arrays_zip(g.alias("g"), a.alias("a")), lambda x, i: F.struct(F.concat_ws(":", F.trim(x["g"]), F.trim(x["a"])).alias("package"), F.when(F.size(v) == count, clean_version(F.get(v, i))).alias("version"))))
+    """array<struct(package, version)> of a Maven project: each dependency is a unit, comments and exclusions aside; any namespace prefix."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->|<((?:\w+:)?exclusions)>.*?</\1>", "")
+    units = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:\w+:)?dependency(?:\s[^>]*)?>(.*?)</(?:\w+:)?dependency>"), F.lit(1))
+    part = lambda x, name: F.trim(F.regexp_extract(x, rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</", 1))
+    named = F.filter(units, lambda x: (part(x, "groupId") != "") & (part(x, "artifactId") != ""))
+    return F.transform(named, lambda x: F.struct(F.concat_ws(":", part(x, "groupId"), part(x, "artifactId")).alias("package"), clean_version(part(x, "version")).alias("version")))
 
 
 def gradle(text: Column) -> Column:
@@ -87,7 +134,7 @@ def gradle(text: Column) -> Column:
 def manifest_entries(manifests: DataFrame) -> DataFrame:
     """(manifest columns, package, version) of (filename, ecosystem, content); the first entry of a normalised name stays."""
     name, text = F.lower("filename"), F.col("content")
-    entries = F.when(name.isin("requirements.txt", "requirements-dev.txt", "pipfile"), requirement_lines(text)).when(name == "package.json", package_json(text)).when(name == "pom.xml", pom(text)).when(name.isin("build.gradle", "build.gradle.kts"), gradle(text))
+    entries = F.when(name.isin("requirements.txt", "requirements-dev.txt", "pipfile"), requirement_lines(text)).when(name == "package.json", package_json(text)).when(name == "package-lock.json", package_lock(text)).when(name == "pom.xml", pom(text)).when(name.isin("build.gradle", "build.gradle.kts"), gradle(text))
     rows = manifests.withColumn("e", entries)
     named = F.transform("e", lambda x: F.struct(normal_package(F.col("ecosystem"), x["package"]).alias("package"), x["version"].alias("version")))
     first = F.filter(named, lambda x, i: (x["package"] != "") & ~F.array_contains(F.transform(F.slice(named, F.lit(1), i), lambda y: y["package"]), x["package"]))
@@ -111,8 +158,6 @@ HUNKS = "path string, old_start int, old_count int, new_start int, new_count int
 
 def diff_hunks(text: str) -> list[tuple]:
     """Hunks of a unified diff; a line state machine."""
-    import re
-
     out, path, hunk = [], None, None
     for line in (text or "").split("\n"):
         if line.startswith("diff --git "):
@@ -158,6 +203,17 @@ def reverse_apply(post: str, hunks: list[tuple]) -> str | None:
     return "\n".join(out + lines[at:])
 
 
+def reverse_patches(rows: DataFrame, key: str = "doc_id", post: str = "post", patch: str = "patch") -> DataFrame:
+    """(key, pre): the texts before their patches; null where a patch does not fit."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "pre": [None if t is None else reverse_apply(t, diff_hunks(d)) for t, d in zip(b[post], b[patch])]})
+
+    return rows.select(key, post, patch).mapInPandas(run, f"{key} {kind}, pre string")
+
+
 def python_functions(code: str) -> list[tuple[str, int, int]]:
     """(name, first line, last line) of the outermost functions of Python code; none if it does not parse."""
     try:
@@ -174,14 +230,49 @@ def python_functions(code: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def extract_functions(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
+#: What hides braces: comments and literals.
+HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+#: A name and its parameters before a brace, and words that take parentheses but are no functions.
+HEADER = re.compile(r"([A-Za-z_$~][\w$:~]*)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:const|noexcept|override|throws\s+[\w.,\s]+|:\s*[\w<>\[\]., |]+|=>)?\s*$")
+NO_FUNCTION = {"if", "for", "while", "switch", "catch", "return", "do", "else", "try", "synchronized", "with"}
+
+
+def brace_functions(code: str) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of the outermost functions of code whose bodies stand in braces.
+
+    A body is what the braces after a header enclose; comments and literals count as blanks.
+    """
+    bare = HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    out, depth, inside, begin = [], 0, None, 0
+    for m in re.finditer(r"[{};]", bare):
+        at, sign = m.start(), m[0]
+        if sign == "{":
+            if inside is None and (h := HEADER.search(bare[begin:at])) and h[1] not in NO_FUNCTION:
+                inside = (depth, h[1].split("::")[-1], bare.count("\n", 0, begin + h.start()) + 1)
+            depth += 1
+        elif sign == "}":
+            depth = max(0, depth - 1)
+            if inside and inside[0] == depth:
+                out.append((*inside[1:], bare.count("\n", 0, at) + 1))
+                inside = None
+        begin = at + 1
+    return out
+
+
+def extract_functions(files: DataFrame, key: str = "doc_id", code: str = "code", language: str | None = None) -> DataFrame:
+    """(key, name, start_line, end_line) of outermost functions: Python by its grammar, other languages by their braces.
+
+    language: a column of names; without it all is Python.
+    """
     kind = dict(files.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, *f) for k, c in zip(b[key], b[code]) for f in python_functions(c or "")], columns=[key, "name", "start_line", "end_line"])
+            names = b[language] if language else ["python"] * len(b)
+            rows = [(k, *f) for k, c, n in zip(b[key], b[code], names) for f in (python_functions if n == "python" else brace_functions)(c or "")]
+            yield pd.DataFrame(rows, columns=[key, "name", "start_line", "end_line"])
 
-    return files.select(key, code).mapInPandas(run, f"{key} {kind}, name string, start_line int, end_line int")
+    return files.select(key, code, *([language] if language else [])).mapInPandas(run, f"{key} {kind}, name string, start_line int, end_line int")
 
 
 def last_object(text: str, required: str) -> dict:

@@ -75,19 +75,21 @@ def d09_invert_edges(spark, sf):
     return table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("parent")).agg(F.array_join(F.array_sort(F.collect_set("n_nationkey")), ",").alias("children"))
 
 
-_WORDS = r"w AS (SELECT sample_id, list_filter(regexp_split_to_array(lower(code), '\s+'), lambda x: x <> '') AS w FROM corpus), s AS (SELECT DISTINCT sample_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT sample_id, w, unnest(range(1, len(w) - 3)) AS i FROM w))"
+_SHINGLES = r"""t AS (SELECT sample_id, list_transform(regexp_extract_all(code, '[A-Za-z_$][\p{L}\p{N}_$]*|[0-9]+(?:\.[0-9]+)?|[^\s]'), lambda t: CASE WHEN t IN (%s) THEN t WHEN regexp_matches(t, '^[0-9]') THEN 'NUM' WHEN regexp_matches(t, '^[\p{L}_$]') THEN 'ID' ELSE t END) AS w FROM corpus),
+s AS (SELECT DISTINCT sample_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT sample_id, w, unnest(range(1, len(w) - 3)) AS i FROM t))""" % ", ".join(f"'{k}'" for k in C.KEYWORDS)
 
 
-@query(f"WITH {_WORDS} SELECT sample_id, count(*) AS n FROM s GROUP BY 1", "corpus")
+@query(f"WITH {_SHINGLES} SELECT sample_id, count(*) AS n FROM s GROUP BY 1", "corpus")
 def d10_shingles(spark, sf):
-    return C.shingles(corpus(spark, sf)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.shingle_sets(corpus(spark, sf)).select("sample_id", F.size("shingles").cast("long").alias("n")).filter("n > 0")
 
 
-@query(f"""WITH {_WORDS}, z AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM s), a AS (SELECT * FROM z WHERE n >= 20 AND sample_id % 5 = 0), b AS (SELECT * FROM z WHERE n >= 20 AND sample_id % 5 <> 0), f AS (SELECT shingle, count(*) AS df FROM b GROUP BY 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY df, shingle) AS k FROM a JOIN f USING (shingle)), c AS (SELECT DISTINCT k.sample_id AS x, b.sample_id AS y, k.n AS n, b.n AS m FROM k JOIN b ON k.shingle = b.shingle WHERE k.k <= 8 AND least(k.n, b.n) >= 0.85 * greatest(k.n, b.n)),
-j AS (SELECT c.x, c.y, c.n, c.m, count(*) AS q FROM c JOIN a ON a.sample_id = c.x JOIN b ON b.sample_id = c.y AND b.shingle = a.shingle GROUP BY 1, 2, 3, 4) SELECT x AS sample_id, y AS other, round(q / CAST(n + m - q AS DOUBLE), 6) AS jaccard FROM j WHERE q / CAST(n + m - q AS DOUBLE) >= 0.85""", "corpus")
+@query(f"""WITH {_SHINGLES}, z AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM s), a AS (SELECT * FROM z WHERE n >= 20 AND sample_id % 5 = 0), b AS (SELECT * FROM z WHERE n >= 20 AND sample_id % 5 <> 0), f AS (SELECT shingle, count(*) AS df FROM b GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY df, shingle) AS k FROM a JOIN f USING (shingle)), c AS (SELECT k.sample_id AS x, b.sample_id AS y, k.n AS n, b.n AS m, count(*) AS shared FROM k JOIN b ON k.shingle = b.shingle WHERE k.k <= 8 AND least(k.n, b.n) >= 0.85 * greatest(k.n, b.n) GROUP BY 1, 2, 3, 4),
+j AS (SELECT c.x, c.y, c.n, c.m, c.shared, count(*) AS q FROM c JOIN a ON a.sample_id = c.x JOIN b ON b.sample_id = c.y AND b.shingle = a.shingle GROUP BY 1, 2, 3, 4, 5), h AS (SELECT x, y, q / CAST(n + m - q AS DOUBLE) AS jaccard, row_number() OVER (PARTITION BY x ORDER BY shared DESC, y) AS k FROM j WHERE q / CAST(n + m - q AS DOUBLE) >= 0.85)
+SELECT x AS sample_id, y AS other, round(jaccard, 6) AS jaccard FROM h WHERE k = 1""", "corpus")
 def d11_near_duplicates(spark, sf):
-    s = C.shingles(corpus(spark, sf))
+    s = C.shingle_sets(corpus(spark, sf))
     return C.near_duplicates(s.filter("sample_id % 5 = 0"), s.filter("sample_id % 5 <> 0")).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -113,10 +115,10 @@ def d15_content_manifest(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query("SELECT sample_id, regexp_replace(substr(code, 1, 300), '\\s+', ' ', 'g') AS head, CASE WHEN loc BETWEEN 3 AND 800 THEN 'kept' WHEN loc < 3 THEN 'short' ELSE 'long' END AS reason FROM corpus", "corpus")
+@query("SELECT sample_id, md5(regexp_replace(code, '\\s+', ' ', 'g')) AS body, CASE WHEN loc BETWEEN 3 AND 800 THEN 'kept' WHEN loc < 3 THEN 'short' ELSE 'long' END AS reason FROM corpus", "corpus")
 def p10_size_filter(spark, sf):
     loc = F.col("loc")
-    return corpus(spark, sf).select("sample_id", F.regexp_replace(F.substring("code", 1, 300), r"\s+", " ").alias("head"), F.when(loc.between(3, 800), "kept").when(loc < 3, "short").otherwise("long").alias("reason"))
+    return corpus(spark, sf).select("sample_id", F.md5(F.regexp_replace("code", r"\s+", " ").cast("binary")).alias("body"), F.when(loc.between(3, 800), "kept").when(loc < 3, "short").otherwise("long").alias("reason"))
 
 
 _REASON = "CASE WHEN n_chars > 20000 THEN 'too_long' WHEN lower(code) LIKE '%revert %' OR lower(code) LIKE '%typo%' OR lower(code) LIKE '%whitespace%' THEN 'noisy' WHEN language NOT IN ('en', 'de') THEN 'language' WHEN loc > 12 THEN 'too_many' ELSE 'kept' END"
@@ -133,3 +135,8 @@ def p07_drop_reasons(spark, sf):
 @query()
 def k07_stratified_split(spark, sf):
     return C.stratified_split(corpus(spark, sf).filter("label is not null"), "repo", "language")
+
+
+@query()
+def k08_plain_split(spark, sf):
+    return C.plain_split(corpus(spark, sf).filter("label is not null"), "repo")

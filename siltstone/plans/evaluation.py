@@ -151,9 +151,7 @@ def a14_quantiles_exclusive(spark, sf):
 
 @query("WITH r AS (SELECT repo, n_chars, row_number() OVER (PARTITION BY repo ORDER BY n_chars) - 1 AS k, count(*) OVER (PARTITION BY repo) AS n FROM corpus) SELECT repo, max(CASE WHEN k = n // 2 THEN n_chars END) AS median, max(CASE WHEN k = (9 * n) // 10 THEN n_chars END) AS p90 FROM r GROUP BY 1", "corpus")
 def a15_index_quantiles(spark, sf):
-    w = W.partitionBy("repo")
-    r = corpus(spark, sf).select("repo", "n_chars", (F.row_number().over(w.orderBy("n_chars")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.groupBy("repo").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("n_chars"))).alias("median"), F.max(F.when(F.col("k") == F.floor(9 * F.col("n") / 10), F.col("n_chars"))).alias("p90"))
+    return E.index_quantiles(corpus(spark, sf), "repo", "n_chars", median=(1, 2), p90=(9, 10))
 
 
 @query("WITH g AS (SELECT language, repo, avg(n_chars) AS m, count(*) AS n FROM corpus GROUP BY 1, 2) SELECT language, round(sum(m * n) / sum(n), 4) AS mean FROM g GROUP BY 1", "corpus")
@@ -273,6 +271,21 @@ def x07_wilson(spark, sf):
     return c.select("config", "k", "n", *[F.round(v, 6).alias(k) for k, v in M.wilson(F.col("k"), F.col("n")).items()], F.round(1 - F.pow(F.lit(0.05), 1 / F.col("n")), 6).alias("zero_failure_bound"))
 
 
-@query("""WITH c AS (SELECT page_id, url, length(url) AS n, unnest(string_split(url, '')) AS ch FROM pages), k AS (SELECT page_id, n, ch, count(*) AS c FROM c GROUP BY 1, 2, 3) SELECT page_id, round(-sum(c / CAST(n AS DOUBLE) * log2(c / CAST(n AS DOUBLE))), 6) AS entropy FROM k GROUP BY 1""")
+@query("""WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents), k AS (SELECT doc_id, n, ch, count(*) AS c FROM c GROUP BY 1, 2, 3) SELECT doc_id, round(-sum(c / CAST(n AS DOUBLE) * log2(c / CAST(n AS DOUBLE))), 6) AS entropy FROM k GROUP BY 1""")
 def x13_entropy(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.round(T.entropy(F.col("url")), 6).alias("entropy"))
+    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
+
+
+@query(f"""WITH c AS (SELECT config, {CELLS}, count(*) AS n FROM (SELECT config, truth, coalesce(pred, 0) AS pred FROM preds) GROUP BY 1),
+d AS (SELECT config, tp, fp, tn, rep, {_DRAW % "rep || '|' || slot"} % n AS spot FROM c, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(c.n)) AS slot)),
+b AS (SELECT config, rep, count(*) FILTER (spot < any_tp) AS tp, count(*) FILTER (spot >= any_tp AND spot < any_tp + any_fp) AS fp, count(*) FILTER (spot >= any_tp + any_fp AND spot < any_tp + any_fp + any_tn) AS tn, count(*) FILTER (spot >= any_tp + any_fp + any_tn) AS fn FROM (SELECT config, rep, spot, tp AS any_tp, fp AS any_fp, tn AS any_tn FROM d) GROUP BY 1, 2),
+m AS (SELECT *, {_metrics()} FROM b), l AS (SELECT config, metric, list_sort(list(value)) AS s FROM (SELECT config, rep, f1, mcc, balanced_accuracy FROM m) UNPIVOT (value FOR metric IN (f1, mcc, balanced_accuracy)) GROUP BY 1, 2),
+q AS (SELECT config, metric, value AS point FROM (SELECT config, f1, mcc, balanced_accuracy FROM (SELECT *, {_metrics()} FROM c)) UNPIVOT (value FOR metric IN (f1, mcc, balanced_accuracy))), u AS (SELECT config, count(*) AS n, round(avg(CAST(pred IS NULL AS INTEGER)), 4) AS parse_fail_rate FROM preds GROUP BY 1)
+SELECT u.config, u.n, u.parse_fail_rate, q.metric, q.point, round(s[6], 6) AS low, round(s[195], 6) AS high FROM u JOIN q ON q.config = u.config JOIN l ON l.config = q.config AND l.metric = q.metric""", "preds")
+def x09_report(spark, sf):
+    return E.report(predictions(spark, sf))[0].select("config", "n", "parse_fail_rate", "metric", "point", "low", "high")
+
+
+@query(_HOLM + " SELECT pair, rejected, adjusted, b01, b10 FROM (SELECT pair, b01, b10, min(CAST(p <= 0.05 / left_over AS INTEGER)) OVER (ORDER BY p, pair ROWS UNBOUNDED PRECEDING) = 1 AS rejected, round(max(least(1.0, p * left_over)) OVER (ORDER BY p, pair ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM (SELECT r.pair, r.p, r.left_over, tests.b01, tests.b10 FROM r JOIN tests ON tests.pair = r.pair))", "preds")
+def x09_pairwise(spark, sf):
+    return E.report(predictions(spark, sf))[1].select("pair", "rejected", F.round("adjusted", 6).alias("adjusted"), "b01", "b10")

@@ -62,12 +62,12 @@ def j09_split_overlap(spark, sf):
     return L.split_overlap(corpus(spark, sf).withColumn("split", F.when(k < 7, "train").when(k == 7, "val").otherwise("test")), "split", ["func_hash", "repo", "pair_id"])
 
 
-@query("""WITH r AS (SELECT user_id, event_id, minute(ts) * 20 AS low, minute(ts) * 20 + 120 AS high FROM events WHERE event_type = 'view' OR event_id % 3 = 0), p AS (SELECT user_id, event_id AS point_id, minute(ts) * 20 + second(ts) AS place FROM events WHERE event_id % 2 = 1)
+@query("""WITH r AS (SELECT user_id, event_id, minute(ts) * 20 AS low, minute(ts) * 20 + 120 AS high FROM events), p AS (SELECT user_id, event_id AS point_id, minute(ts) * 20 + second(ts) AS place FROM events)
 SELECT r.event_id, count(*) AS touched, min(p.place) AS first_place FROM p JOIN r ON p.user_id = r.user_id AND p.place BETWEEN r.low AND r.high GROUP BY 1""")
 def j10_range_containment(spark, sf):
     e, m = table(spark, sf, "events"), F.minute("ts") * 20
-    r = e.filter("event_type = 'view' or event_id % 3 = 0").select("user_id", "event_id", m.alias("low"), (m + 120).alias("high"))
-    p = e.filter("event_id % 2 = 1").select("user_id", F.col("event_id").alias("point_id"), (m + F.second("ts")).cast("long").alias("place"))
+    r = e.select("user_id", "event_id", m.alias("low"), (m + 120).alias("high"))
+    p = e.select("user_id", F.col("event_id").alias("point_id"), (m + F.second("ts")).cast("long").alias("place"))
     return L.containing(p, r, "user_id", "place", "low", "high").groupBy("event_id").agg(F.count(F.lit(1)).alias("touched"), F.min("place").alias("first_place"))
 
 
@@ -100,11 +100,11 @@ def j12_hierarchy_match(spark, sf):
     return L.related_classes(n.select(nk.alias("child"), rk.alias("parent")), kinds)
 
 
-@query("SELECT f.repo, count(*) AS targets, count(*) FILTER (h.file IS NOT NULL) AS found FROM (SELECT DISTINCT repo, file FROM findings WHERE event_id % 2 = 0) f LEFT JOIN (SELECT DISTINCT repo, file FROM findings WHERE event_id % 2 = 1) h ON h.repo = f.repo AND h.file = f.file GROUP BY 1", "findings")
+@query("""WITH t AS (SELECT DISTINCT repo, file, line FROM findings WHERE event_id % 3 = 0), s AS (SELECT DISTINCT repo, file FROM findings WHERE event_id % 3 = 1), g AS (SELECT repo, file, line FROM findings WHERE event_id % 3 = 1 AND pillar = 'vulnerability')
+SELECT repo, bool_or((repo, file) IN (SELECT repo, file FROM s)) AS selected, bool_or((repo, file) IN (SELECT repo, file FROM g)) AS detected, bool_or((repo, file, line) IN (SELECT repo, file, line FROM g)) AS localised, (SELECT count(*) FROM g WHERE g.repo = t.repo AND (g.repo, g.file) NOT IN (SELECT repo, file FROM t)) AS alarms FROM t GROUP BY repo""", "findings")
 def j13_target_match(spark, sf):
-    f = findings(spark, sf)
-    h = f.filter("event_id % 2 = 1").select("repo", "file").distinct().withColumn("hit", F.lit(True))
-    return f.filter("event_id % 2 = 0").select("repo", "file").distinct().join(h, ["repo", "file"], "left").groupBy("repo").agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("hit").isNotNull()).alias("found"))
+    f = findings(spark, sf).select("repo", "file", F.col("line").alias("func_hash"), "pillar", (F.col("event_id") % 3).alias("role"))
+    return L.target_scores(f.filter("role = 0"), f.filter("role = 1"), f.filter("role = 1 and pillar = 'vulnerability'"), "repo")
 
 
 @query("SELECT f.doc_id, t.suffix FROM files f JOIN (SELECT unnest(['src/app.py', 'app.py', 'ci.yml', 'x.bundle.js']) AS suffix) t ON ends_with(f.path, '/' || t.suffix)", "files")
@@ -184,3 +184,13 @@ SELECT count(*) AS candidates, count(DISTINCT ai) AS ai_near, count(DISTINCT sta
 def r14_compare_counts(spark, sf):
     c = _candidates(spark, sf)
     return c.agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("ai").alias("ai_near"), F.countDistinct("static").alias("static_near"), F.countDistinct(F.when(F.col("cwe") == F.col("cwe_r"), F.col("ai"))).alias("ai_same_class"))
+
+
+@query()
+def r14_agreement(spark, sf):
+    """Greedy one-to-one matches of the same class, then what is shared and what each scan has alone."""
+    f = findings(spark, sf)
+    ours = f.filter("event_type = 'click'").select(F.col("event_id").alias("ai"), "cwe")
+    theirs = f.filter("event_type = 'error'").select(F.col("event_id").alias("static"), "cwe")
+    same = _candidates(spark, sf).filter(F.col("cwe") == F.col("cwe_r"))
+    return L.comparison(ours, theirs, L.greedy_matches(same, "file", "ai", "static"), "ai", "static")

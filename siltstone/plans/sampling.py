@@ -92,6 +92,17 @@ def k13_rank_configs(spark, sf):
     return E.scored_by(p, "config").join(u, "config").select("config", "f1", "balanced_accuracy", place.alias("place"))
 
 
+@query(f"""WITH c AS (SELECT language AS model, config AS strategy, {CELLS}, count(*) AS n, CASE WHEN config IN ('noise', 'pii', 'bars') THEN 1.0::DOUBLE ELSE avg(CAST(pred IS NOT NULL AS INTEGER)) END AS kept, count(*) FILTER (config = 'bars' AND language = 'en') AS errors FROM preds GROUP BY 1, 2),
+m AS (SELECT *, {_metrics()} FROM c), v AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, balanced_accuracy DESC, strategy) AS k FROM m WHERE errors = 0 AND kept = 1.0)
+SELECT model, strategy, f1, model IS NOT DISTINCT FROM (SELECT model FROM v WHERE k = 1 ORDER BY f1 DESC, model LIMIT 1) AS best FROM v WHERE k = 1""", "preds")
+def k13_winners(spark, sf):
+    p = predictions(spark, sf)
+    kept = F.when(F.first("config").isin("noise", "pii", "bars"), 1.0).otherwise(F.avg(F.col("pred").isNotNull().cast("int")))
+    more = p.groupBy("language", "config").agg(F.count(F.lit(1)).alias("n"), kept.alias("format_adherence"), F.count_if((F.col("config") == "bars") & (F.col("language") == "en")).alias("api_errors"))
+    scored = E.scored_by(p, "language", "config").join(more, ["language", "config"]).withColumnsRenamed({"language": "model", "config": "strategy"})
+    return E.best_strategies(scored).select("model", "strategy", "f1", "best")
+
+
 @query("SELECT sample_id, (row_number() OVER (PARTITION BY repo ORDER BY sample_id) - 1) % 4 AS generator FROM corpus", "corpus")
 def k14_modulo_assign(spark, sf):
     k = F.row_number().over(W.partitionBy("repo").orderBy("sample_id")) - 1

@@ -57,18 +57,30 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFr
 
 
 def zipped_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Members as objects; those that do not parse are left out."""
+    """Members as objects; those that do not parse, or are no objects, are left out."""
     kind = schema if isinstance(schema, str) else schema.simpleString()
-    parsed = zip_members(spark, path).withColumn("o", F.from_json("text", kind, {"mode": "PERMISSIVE"}))
-    ok = F.udf(_parses, "boolean")
-    return parsed.filter(ok("text")).select("member", "o.*")
+    valid = F.startswith(F.trim("text"), F.lit("{")) & F.try_parse_json("text").isNotNull()
+    return zip_members(spark, path).filter(valid).select("member", F.from_json("text", kind).alias("o")).select("member", "o.*")
 
 
-def _parses(text: str) -> bool:
-    try:
-        return isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
+def zipped_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, row) of the CSV members of zip files, each row a map from the header's names."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv as reader
+
+        for batch in batches:
+            for archive, member, text in zip(batch["archive"], batch["member"], batch["text"]):
+                rows = [{k: v for k, v in r.items() if k is not None and v is not None} for r in reader.DictReader(io.StringIO(text))]
+                yield pd.DataFrame({"archive": archive, "member": member, "row": rows}, columns=["archive", "member", "row"])
+
+    return zip_members(spark, path, ".csv").mapInPandas(run, "archive string, member string, row map<string,string>")
+
+
+def catalog_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of a zipped catalogue of weakness classes."""
+    names = ("CWE-ID", "Name", "Weakness Abstraction", "Description", "Related Weaknesses")
+    return zipped_csv(spark, path).select(*[F.col("row")[n].alias(n) for n in names])
 
 
 def folder(spark: SparkSession, root: str, largest: int = 400_000, suffixes: list[str] | None = None, skip: bool = True) -> DataFrame:
@@ -87,14 +99,18 @@ def create_only(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("errorifexists").format(kind).save(path)
 
 
-def with_cache(requests: DataFrame, cache: DataFrame, key: str, fetch: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def with_cache(requests: DataFrame, cache: DataFrame, key: str, fetch: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, largest: int | None = None, of: str = "reply") -> DataFrame:
     """Replies to requests: from the cache, else from fetch, which sees the misses only.
 
-    A cached empty reply is a known absence and is not asked for again.  schema: that of the cache.
+    A cached empty reply is a known absence and is not asked for again.  schema: that of the cache.  largest, of:
+    replies whose column `of` has more bytes are given as empty, and so are absences from then on.
     """
     cached = cache.join(requests.select(key).distinct(), key, "left_semi")
     misses = requests.join(cache.select(key), key, "left_anti").dropDuplicates([key])
-    return cached.unionByName(misses.mapInPandas(fetch, schema))
+    new = misses.mapInPandas(fetch, schema)
+    if largest is not None:
+        new = new.withColumn(of, F.when(F.octet_length(of) <= largest, F.col(of)).otherwise(""))
+    return cached.unionByName(new)
 
 
 def stub_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,13 +122,33 @@ def stub_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": b["key"], "reply": [json.dumps({"vulnerable": x % 2 == 1, "cwe": f"CWE-{x}" if x % 2 else None, "reason": "stub"}) for x in bits]})
 
 
-def tool_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Static findings (file, line, rule, severity, message) from a scanner's JSON report."""
-    schema = "results array<struct<path:string, start:struct<line:int>, check_id:string, extra:struct<severity:string, message:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
-    level = F.upper("r.extra.severity")
-    severity = F.when(level == "ERROR", "HIGH").when(level == "WARNING", "MEDIUM").when(level == "INFO", "LOW").otherwise(level)
-    return rows.select(F.col("r.path").alias("file"), F.col("r.start.line").alias("line"), F.col("r.check_id").alias("rule"), severity.alias("severity"), F.col("r.extra.message").alias("message"))
+#: Reports of three scanners.
+REPORTS = {
+    "semgrep": "results array<struct<path:string,start:struct<line:int>,check_id:string,extra:struct<severity:string,message:string,metadata:struct<cwe:string>>>>",
+    "bandit": "results array<struct<filename:string,line_number:int,test_id:string,issue_severity:string,issue_text:string,issue_cwe:struct<id:int>>>",
+    "gitleaks": "File string, StartLine int, RuleID string, Secret string",
+}
+
+
+def tool_findings(spark: SparkSession, path: str, tool: str = "semgrep") -> DataFrame:
+    """Static findings (tool, file, line, rule, cwe, severity, message, redacted) from a scanner's JSON report.
+
+    Secrets are never carried on: redacted tells whether the report had them removed.
+    """
+    rows = spark.read.schema(REPORTS[tool]).option("multiLine", True).json(path)
+    if tool == "gitleaks":
+        hidden = F.coalesce("Secret", F.lit("")).isin("", "REDACTED")
+        message = F.concat(F.lit("Hardcoded secret detected ("), F.coalesce("RuleID", F.lit("")), F.lit(")"))
+        return rows.select(F.lit(tool).alias("tool"), F.col("File").alias("file"), F.col("StartLine").alias("line"), F.coalesce("RuleID", F.lit("")).alias("rule"), F.lit("CWE-798").alias("cwe"), F.lit("HIGH").alias("severity"), message.alias("message"), hidden.alias("redacted"))
+    r = rows.select(F.explode("results").alias("r"))
+    if tool == "semgrep":
+        level, number = F.upper("r.extra.severity"), F.regexp_extract(F.coalesce("r.extra.metadata.cwe", F.lit("")), r"CWE-(\d{1,4})", 1).try_cast("int")
+        fields = ["r.path", "r.start.line", F.element_at(F.split("r.check_id", r"\."), -1), "r.extra.message"]
+    else:
+        level, number = F.upper("r.issue_severity"), F.col("r.issue_cwe.id")
+        fields = ["r.filename", "r.line_number", F.col("r.test_id"), "r.issue_text"]
+    severity = F.when(level.isin("ERROR", "HIGH"), "HIGH").when(level.isin("INFO", "LOW"), "LOW").when(level == "CRITICAL", "CRITICAL").otherwise("MEDIUM")
+    return r.select(F.lit(tool).alias("tool"), F.col(fields[0]).alias("file"), F.col(fields[1]).alias("line"), fields[2].alias("rule"), F.when(number > 0, F.concat(F.lit("CWE-"), number)).alias("cwe"), severity.alias("severity"), F.col(fields[3]).alias("message"), F.lit(None).cast("boolean").alias("redacted"))
 
 
 def windows(spark: SparkSession, start: str, stop: str, days: int = 100) -> DataFrame:

@@ -126,8 +126,9 @@ FILES = [
     ("jar.py", "session.cookies = jar\nrequests.post(url, cookies=jar)", []),
     ("tests/app.py", "see http://8.8.8.8/x", [("network", "LOW")]),
     ("app.py", "see http://192.168.1.1/x", []),
-    ("ci.yml", "on: pull_request_target\nref: ${{ github.event.pull_request.head.sha }}", [("ci_risk", "CRITICAL")]),
-    ("ci.yml", "on: pull_request_target", []),
+    (".github/workflows/ci.yml", "on: pull_request_target\nref: ${{ github.event.pull_request.head.sha }}", [("ci_risk", "CRITICAL")]),
+    (".github/workflows/ci.yml", "on: pull_request_target", []),
+    ("ci.yml", "on: pull_request_target\nref: ${{ github.event.pull_request.head.sha }}", []),
     ("x.js", "eval(atob('" + "A" * 130 + "'))", []),
 ]
 
@@ -277,3 +278,200 @@ def test_parse_patch_query_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: list(r.lines) for r in QUERIES["g09_parse_patch"](spark, str(tmp_path)).collect()}
     assert got == {i: [" x", "+" + t.replace("\n", " "), "+b", "-a"] for i, t in texts.items()}
+
+
+def test_log_factorials(spark):
+    n = [0, 1, 2, 10, 170, 5000, 10**9]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(E.log_factorial(F.col("n"))).collect()]
+    assert got == pytest.approx([math.lgamma(x + 1) for x in n], rel=1e-11, abs=1e-11)
+
+
+def test_mcnemar_of_many_disagreements(spark):
+    pairs = spark.createDataFrame([("a", 400, 500), ("b", 50_000, 50_100)], "k string, b01 long, b10 long")
+    got = {r.k: r.p for r in E.with_mcnemar(pairs).collect()}
+    want = 2 * sum(math.exp(math.lgamma(901) - math.lgamma(i + 1) - math.lgamma(901 - i) - 900 * math.log(2)) for i in range(401))
+    assert got["a"] == pytest.approx(want, rel=1e-9) and 0.7 < got["b"] < 0.8
+
+
+def test_quantiles_of_ties_and_single_rows(spark):
+    rows = [("a", v) for v in [3, 1, 1, 1, 9, 9, 4]] + [("b", 5)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    import statistics
+
+    got = {r.k: (r.q1, r.q2, r.q3) for r in E.exclusive_quantiles(df, "k", "v").collect()}
+    assert got == {"a": tuple(statistics.quantiles([3, 1, 1, 1, 9, 9, 4], n=4))}
+    s = sorted([3, 1, 1, 1, 9, 9, 4])
+    assert {r.k: (r.m, r.p) for r in E.index_quantiles(df, "k", "v", m=(1, 2), p=(9, 10)).collect()} == {"a": (s[3], s[6]), "b": (5, 5)}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    sign = list("+-*/=<>(){}[];,.!&|")
+    base = [[rng.choice([*C.KEYWORDS, "name", "7", *sign]) for _ in range(80)] for _ in range(6)]
+
+    def near(b):
+        t = list(b)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(80)] = rng.choice(sign)
+        return " ".join(t)
+
+    code = {i: near(base[i % 5]) for i in range(60)} | {100: code_ if (code_ := " ".join(base[0])) else "", 101: code_, 102: "", 103: "a b c"}
+    sets = {r.sample_id: set(r.shingles) for r in C.shingle_sets(spark.createDataFrame(list(code.items()), "sample_id long, code string")).collect()}
+    plain = lambda c: [t if t in C.KEYWORDS or not t[0].isalnum() else "NUM" if t[0].isdigit() else "ID" for t in c.split()]
+    assert all(sets[i] == {" ".join(plain(code[i])[k : k + 5]) for k in range(len(plain(code[i])) - 4)} for i in code)
+    left, right = [i for i in code if i % 3 == 0], [i for i in code if i % 3]
+    df = {}
+    for i in right:
+        for s in sets[i] if len(sets[i]) >= 20 else ():
+            df[s] = df.get(s, 0) + 1
+    want = {}
+    for i in left:
+        rare = sorted((s for s in sets[i] if s in df), key=lambda s: (df[s], s))[:8] if len(sets[i]) >= 20 else []
+        hits = [(-sum(s in sets[j] for s in rare), j) for j in right if len(sets[j]) >= 20 and any(s in sets[j] for s in rare) and len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])]
+        if hits:
+            want[i] = min(hits)[1]
+    shingled = C.shingle_sets(spark.createDataFrame(list(code.items()), "sample_id long, code string"))
+    got = C.near_duplicates(shingled.filter("sample_id % 3 = 0"), shingled.filter("sample_id % 3 <> 0"))
+    assert {r.sample_id: r.other for r in got.collect()} == want and len(want) >= 10
+
+
+def test_commits_of_records(spark):
+    from siltstone.operators import records
+
+    refs = [{"url": "https://github.com/a/b.git/commit/ABCDEF1", "tags": None}, {"url": "https://github.com/A/B/commits/abcdef1", "tags": ["Patch"]}, {"url": "x https://github.com/c/d/commit/1234567/e", "tags": ["Patch"]}, {"url": None}, {"url": "https://github.com/c/d/pull/3"}]
+    rows = [(json.dumps({"id": "1", "weaknesses": [{"description": [{"value": "CWE-79"}, {"value": "CWE-noinfo"}]}], "references": refs}),), ("{broken",), (None,), (json.dumps({"id": "2", "vulnStatus": "Rejected", "weaknesses": [{"description": [{"value": "CWE-1"}]}], "references": refs}),)]
+    got = records.flaws(spark.createDataFrame(rows, "record string")).collect()
+    assert [(r.cve_id, r.cwe_ids, [(c.repo, c.sha, c.tagged_patch) for c in r.commit_refs], r.description, r.cvss_score) for r in got] == [("1", ["CWE-79"], [("c/d", "1234567", True), ("a/b", "ABCDEF1", False)], "", None)]
+
+
+@pytest.mark.parametrize("reply,want", [("vulnerability: **YES** | vulnerability type: **CWE-89**", (True, "CWE-89", False)), ("It is vulnerable, see CWE-20. Type: CWE-79", (True, "CWE-79", False)), ("This is not vulnerable", (False, None, False)), ("vulnerability: NO but it is vulnerable", (False, None, False)),
+                                        ('```json\n{"vulnerable": true, "cwe": "CWE-022", "x": {"a": 1}}\n```', (True, "CWE-22", True)), ('{"vulnerable": true} {"vulnerable": false}', (False, None, True)), (None, (None, None, False))])
+def test_verdict_cues(spark, reply, want):
+    assert tuple(spark.createDataFrame([(reply,)], "t string").select(P.verdict(F.col("t"))).first()[0]) == want
+
+
+def test_replies_of_other_pillars(spark):
+    one = lambda f, t: tuple(spark.createDataFrame([(t,)], "t string").select(f(F.col("t"))).first()[0])
+    assert one(P.dependency_reply, '{"vulnerable_dependencies": [{"package": " a "}, "b", {"x": 1}]}') == (["a", "b"], True)
+    assert one(P.dependency_reply, 'x {"vulnerable_dependencies": [{"package": "a"}, {"package": "b') == (["a"], True)
+    assert one(P.dependency_reply, None) == ([], False) and one(P.dependency_reply, "[]") == ([], False)
+    assert one(P.malware_reply, '{"malicious": true, "technique": "none"}') == (True, None, True)
+    assert one(P.malware_reply, "not malicious") == (False, None, False) and one(P.malware_reply, None) == (None, None, False)
+
+
+def test_lock_files_and_poms(spark):
+    pom = '<p><m:dependency xmlns:m="x"><m:groupId>g</m:groupId><m:artifactId>a</m:artifactId><m:version>1.0</m:version></m:dependency><dependency><groupId>g</groupId><artifactId>b</artifactId></dependency></p>'
+    lock = json.dumps({"packages": {"": {"version": "9.0.0"}, "node_modules/a": {"version": "1.0.0"}, "x": {"name": "real", "version": "3.0.0"}}, "dependencies": {"d": {"version": "4.0.0"}, "a": {"version": "5.0.0"}}})
+    df = spark.createDataFrame([("pom.xml", "Maven", pom), ("package-lock.json", "npm", lock), ("pom.xml", "Maven", "<broken"), ("package-lock.json", "npm", "{"), ("pom.xml", "Maven", None)], "filename string, ecosystem string, content string")
+    assert sorted((r.package, r.version or "") for r in P.manifest_entries(df).collect()) == [("a", "1.0.0"), ("d", "4.0.0"), ("g:a", "1.0"), ("g:b", ""), ("real", "3.0.0")]
+
+
+def test_functions_by_braces():
+    code = "// f() {\nclass A {\n  int f(int a) const {\n    if (a) { g(); }\n    char *s = \"}\"; /* } */\n  }\n  void h() {}\n};\nstatic int B::k(void (*p)(int))\n{\n  return 0;\n}\nconst w = (x) => { function inner() {} };"
+    assert P.brace_functions(code) == [("f", 3, 6), ("h", 7, 7), ("k", 9, 12), ("inner", 13, 13)]
+    assert P.brace_functions("") == [] and P.brace_functions("}}} f( {") == []
+
+
+def test_text_obfuscation():
+    code = 'import os\ndef run(cmd):\n    total = "hello world"\n    os.system(cmd)\n    eval (total)\n'
+    out = X.obfuscate(code, 3, 5)
+    assert out == X.obfuscate(code, 3, 5) and "hello world" not in out and "os.system" not in out and "total" not in out
+    assert X.obfuscate(code, 0) == code and "os.system" in X.obfuscate(code, 1)
+    assert 'getattr(os, "sys" + "tem")' in X.split_calls(code) and '"ev" + "al"' in X.split_calls(code)
+    assert X.checked_split(code) and X.checked_split("def (") is None and X.same_when_folded("a = 'x' + 'y'", "a = 'xy'") and not X.same_when_folded("a = 1", "a = 2")
+
+
+def test_written_manifests_are_read_back(spark):
+    rows = [("requirements.txt", "PyPI", [("flask", "1.0")]), ("package.json", "npm", [("left", "1.2.3"), ("x", "2.0.0")]), ("pom.xml", "Maven", [("g:a", "1.0"), ("alone", "2.0")])]
+    for kind, eco, packages in rows:
+        df = spark.createDataFrame([(packages,)], "p array<struct<package:string,version:string>>").select(F.lit(kind).alias("filename"), F.lit(eco).alias("ecosystem"), X.manifest(kind, F.col("p"), F.lit("app")).alias("content"))
+        got = {(r.package, r.version) for r in P.manifest_entries(df).collect()}
+        assert got == {("com.example:alone" if p == "alone" else p, v) for p, v in packages}
+
+
+def test_scan_budget_states(spark):
+    rows = [("r", f"{k}/a.py", "x" * (50 if k == 2 else 5)) for k in range(6)] + [("r", "dist/a.py", "x"), ("r", "x.md", "x"), ("q", "only.sh", "y" * 50), ("r", ".py", "x")]
+    df = spark.createDataFrame(rows, "repo string, path string, content string")
+    got = {(r.repo, r.path): r.state for r in D.scan_states(df, 3, 20).collect()}
+    assert got == {("r", "0/a.py"): "scanned", ("r", "1/a.py"): "scanned", ("r", "2/a.py"): "oversized", ("r", "3/a.py"): "scanned", ("r", "4/a.py"): "omitted", ("r", "5/a.py"): "omitted", ("q", "only.sh"): "oversized"}
+    s = {r.repo: r for r in D.scan_summary(df, 3, 20).collect()}
+    assert s["r"].status == s["q"].status == "partial" and s["r"].clone_safe is None and (s["r"].n_scanned, s["r"].omitted, s["r"].oversized) == (3, 2, 1)
+    clean = D.scan_summary(df.filter("path = '0/a.py'")).first()
+    assert clean.status == "complete" and clean.clone_safe and clean.worst_severity == "none"
+
+
+def test_comparison_against_plain_greedy(spark):
+    import random
+
+    rng = random.Random(3)
+    ours = [(k, f"f{rng.randint(0, 3)}", rng.randint(1, 60), f"CWE-{rng.randint(1, 2)}") for k in range(40)]
+    theirs = [(k, f"f{rng.randint(0, 3)}", rng.randint(1, 60), f"CWE-{rng.randint(1, 2)}") for k in range(30)]
+    taken, agreed = set(), 0
+    for _, f, line, cwe in ours:
+        hit = next((k for k, g, at, c in theirs if k not in taken and g == f and abs(at - line) <= 12 and c == cwe), None)
+        if hit is not None:
+            taken.add(hit)
+            agreed += 1
+    a = spark.createDataFrame(ours, "ai int, file string, line int, cwe string")
+    b = spark.createDataFrame(theirs, "st int, file string, line_r int, cwe_r string")
+    m = L.greedy_matches(L.band_candidates(a, b, "file", "line", 12).filter("cwe = cwe_r"), "file", "ai", "st")
+    got = L.comparison(a, b.withColumnRenamed("cwe_r", "cwe"), m, "ai", "st").first()
+    assert (got.agreed, got.ai_only, got.static_only, got.same_cwe_when_agreed) == (agreed, 40 - agreed, 30 - agreed, agreed)
+    assert got.agreement_rate == round(agreed / (70 - agreed), 3)
+    none = L.comparison(a.limit(0), b.withColumnRenamed("cwe_r", "cwe").limit(0), m.limit(0), "ai", "st").first()
+    assert none.agreement_rate == 0 and none.unique_total == 0
+
+
+def test_targets_must_be_scanned(spark):
+    t = spark.createDataFrame([("c", "a.py", "h"), ("c", "b.py", None), ("d", "z.py", "q")], "case_id string, file string, func_hash string")
+    scanned = spark.createDataFrame([("c", "a.py")], "case_id string, file string")
+    flagged = spark.createDataFrame([("c", "a.py", "other"), ("c", "x.py", None)], "case_id string, file string, func_hash string")
+    got = {r.case_id: (r.selected, r.detected, r.localised, r.alarms) for r in L.target_scores(t, scanned, flagged).collect()}
+    assert got == {"c": (True, True, False, 1), "d": (False, False, False, 0)}
+    with pytest.raises(ValueError):
+        L.target_scores(t, scanned.limit(0), flagged)
+
+
+def test_report_refuses_what_it_cannot_pair(spark):
+    cols = "sample_id int, config string, truth int, pred int"
+    with pytest.raises(ValueError):
+        E.report(spark.createDataFrame([(1, "a", 1, 1), (1, "a", 1, 0)], cols))
+    with pytest.raises(ValueError):
+        E.report(spark.createDataFrame([(i, c, int(c == "a"), 1) for i in range(12) for c in "ab"], cols))
+
+
+def test_best_strategies(spark):
+    rows = [("m", "a", 5, 0.9, 0.5, 0.9, 0), ("m", "b", 5, 0.5, 0.5, 1.0, 0), ("m", "c", 5, 0.5, 0.6, 1.0, 0), ("m", "d", 5, 0.8, 0.9, 1.0, 2), ("n", "a", 5, 0.6, 0.5, 1.0, None), ("o", "a", 0, 0.9, 0.9, 1.0, 0)]
+    df = spark.createDataFrame(rows, "model string, strategy string, n int, f1 double, balanced_accuracy double, format_adherence double, api_errors int")
+    assert {(r.model, r.strategy, r.best) for r in E.best_strategies(df).collect()} == {("m", "c", False), ("n", "a", True)}
+
+
+def test_plain_split(spark):
+    rows = [(i, f"r{i % 23}", int(i % 5 == 0)) for i in range(500)]
+    got = {r.repo: r.split for r in C.plain_split(spark.createDataFrame(rows, "sample_id int, repo string, label int"), "repo").collect()}
+    n = {s: sum(lab for _, r, lab in rows if got[r] == s) for s in ("train", "val", "test")}
+    assert len(got) == 23 and 0.6 < n["train"] / 100 < 0.8 and n["val"] > 0 and n["test"] > 10
+
+
+def test_tool_reports_and_catalogue(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"results": [{"path": "a.py", "start": {"line": 3}, "check_id": "x.y.rule", "extra": {"severity": "ERROR", "message": "m", "metadata": {"cwe": ["CWE-089: sql"]}}}, {"path": "b.py", "check_id": "r", "extra": {"severity": "odd"}}]}))
+    assert [tuple(r)[1:7] for r in R.tool_findings(spark, f"{tmp_path}/s.json").collect()] == [("a.py", 3, "rule", "CWE-89", "HIGH", "m"), ("b.py", None, "r", None, "MEDIUM", None)]
+    (tmp_path / "b.json").write_text(json.dumps({"results": [{"filename": "a.py", "line_number": 1, "test_id": "B1", "issue_severity": "LOW", "issue_text": "t", "issue_cwe": {"id": 78}}]}))
+    assert tuple(R.tool_findings(spark, f"{tmp_path}/b.json", "bandit").first())[:7] == ("bandit", "a.py", 1, "B1", "CWE-78", "LOW", "t")
+    (tmp_path / "g.json").write_text(json.dumps([{"File": ".env", "StartLine": 2, "RuleID": "key", "Secret": "REDACTED", "Match": "k=REDACTED"}, {"File": "x", "RuleID": "key", "Secret": "abc", "Match": "abc"}]))
+    got = R.tool_findings(spark, f"{tmp_path}/g.json", "gitleaks")
+    assert [(r.file, r.cwe, r.severity, r.redacted) for r in got.collect()] == [(".env", "CWE-798", "HIGH", True), ("x", "CWE-798", "HIGH", False)] and "Secret" not in got.columns
+    from siltstone.operators import records
+
+    text = 'CWE-ID,Name,Weakness Abstraction,Description,Related Weaknesses\n1,One,Pillar,"d, e",\n2,Two,Base,,"::NATURE:ChildOf:CWE ID:1:VIEW ID:1000::NATURE:ChildOf:CWE ID:1:VIEW ID:7::"\nx,bad,,,\n'
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("1000.csv", text)
+    rows = {r.cwe: (r.name, r.description, r.parents, r.children) for r in records.class_catalog(R.catalog_rows(spark, f"{tmp_path}/c.zip")).collect()}
+    assert rows == {"CWE-1": ("One", "d, e", [], ["CWE-2"]), "CWE-2": ("Two", "", ["CWE-1"], [])}
+
+
+def test_oversized_replies_are_known_absences(spark):
+    asks, cache = spark.createDataFrame([("a", "p")], "key string, prompt string"), spark.createDataFrame([], "key string, reply string")
+    assert R.with_cache(asks, cache, "key", R.stub_model, "key string, reply string", largest=5).first().reply == ""
