@@ -1,13 +1,14 @@
 """SentencePiece-style encoding and decoding: unigram Viterbi over a double-array trie.
 
 The piece table (pieces, log scores, types) is read from a model file of the format's public
-definition.  Pieces go into a double-array trie over UTF-8 bytes.  A text becomes one marker
+definition.  Files of merge-built vocabularies hold ranks in place of log scores; these become log
+probabilities by Zipf's law with Mandelbrot's shift, p ~ 1 / (rank + 2.7), normalised over the pieces.  Pieces go into a double-array trie over UTF-8 bytes.  A text becomes one marker
 (U+2581) and itself, with each space replaced by the marker; the segmentation with the largest sum
 of scores is found.  A character that no piece begins with alone may be taken at the least score
 less 10 and is spelled by byte pieces.  Decoding joins pieces, turns runs of byte pieces into
 bytes and markers into spaces, and drops the first marker.
 
-No piece has a marker after another character, so a text falls into words before its markers and
+No piece that could win has a marker after its first character (a file with one is refused), so a text falls into words before its markers and
 each distinct word of a batch is segmented once, all words of a batch side by side: one trie step
 and one relaxation is one numpy operation over all of them.
 
@@ -124,14 +125,31 @@ class DoubleArray:
         return np.where(self.check[to] == state, to, -1)
 
 
+#: Scores from here down mean that a piece is never to be taken.
+NEVER = -1e8
+
+
+def log_scores(pieces: list[tuple[bytes, float, int]]) -> np.ndarray:
+    """The scores, merge ranks made log probabilities; pieces that are never to be taken keep theirs."""
+    score = np.array([s for _, s, _ in pieces])
+    own = np.array([t == NORMAL and s > NEVER for _, s, t in pieces], bool)
+    ranks = -score[own]
+    if len(ranks) > 1 and (ranks == np.floor(ranks)).all() and len(np.unique(ranks)) == len(ranks) and ranks.max() >= len(ranks) - 1:
+        weight = 1 / (ranks + 2.7)
+        score[own] = np.log(weight / weight.sum())
+    return score
+
+
 class UnigramModel:
     def __init__(self, pieces: list[tuple[bytes, float, int]]):
         self.pieces = [p for p, _, _ in pieces]
         use = [i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER) and p]
-        self.score = np.array([s for _, s, _ in pieces])
+        self.score = log_scores(pieces)
+        if any(MARK in self.pieces[i][1:] and self.score[i] > NEVER for i in use):
+            raise ValueError("a piece has a marker after its first character")
         self.trie = DoubleArray([self.pieces[i] for i in use], use)
         self.longest = max((len(self.pieces[i]) for i in use), default=1)
-        self.unknown_score = min((self.score[i] for i in use), default=0.0) - 10
+        self.unknown_score = min((self.score[i] for i in use if self.score[i] > NEVER), default=0.0) - 10
         self.byte_id = np.full(256, next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0), np.int32)
         for i, (p, _, t) in enumerate(pieces):
             if t == BYTE:
