@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best bin first.
 
 * The tree is fitted on a documented bounded sample (`sample_rows`), level by level; every vector
-  is indexed.  The number of leaves follows the number of vectors (`leaf_rows` each), so a visit
-  costs the same at any size.
+  is indexed.  The number of leaves follows the number of vectors (`leaf_rows` each) up to a quarter
+  of the sample; beyond `sample_rows / 4 * leaf_rows` vectors leaves grow, unless the sample does.
 * A query walks the tree with a priority queue of nodes by the inner product with their centroids
   plus the norm of the query times the node's radius times `slack`, and visits leaves best first.
 * Visits are widened (doubled) until a calibration set of at most `calibration` queries, compared
@@ -14,7 +14,8 @@
 
 Semantics: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 neither as queries nor as candidates; nor do vectors of a length other than the most frequent one.
-Rows that repeat an id count as separate candidates but not as their own neighbours.  Rows without
+Rows that repeat an id count as separate candidates but not as their own neighbours; of a query id's
+vectors the least one, component by component, is the query.  Rows without
 an id take no part.  Scores are float64 sums over the original components.  Fewer than k
 candidates give as many rows.  An empty table gives an empty result.
 """
@@ -217,7 +218,7 @@ def homes(sizes: list[tuple[int, int]], shard_rows: int) -> dict[int, list[int]]
     return out
 
 
-def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20, leaf_rows: int = 250, sample_rows: int = 20_000, shard_rows: int = 8_000, block_queries: int = 4_000, calibration: int = 100, target: float = 0.95) -> DataFrame:
+def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20, leaf_rows: int = 250, sample_rows: int = 20_000, shard_rows: int = 4_000, block_queries: int = 1_000, calibration: int = 100, target: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -225,7 +226,7 @@ def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_c
     same = W.partitionBy("v").orderBy("vec_id")
     distinct = materialize(rows.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1).drop("copy"), "ann-distinct")
     n = distinct.count()
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     if not n:
         return queries.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     roll = F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), 1_000_000_000) / 1e9
@@ -237,10 +238,9 @@ def tree_neighbours(vectors: DataFrame, query_ids: DataFrame | None = None, id_c
     placed = materialize(distinct.mapInArrow(_placed(shared), "vec_id long, v array<double>, leaf long"), "ann-placed")
     # one row per leaf, and leaves are bounded by the sample
     home = homes([tuple(r) for r in placed.groupBy("leaf").count().collect()], shard_rows)
-    first = F.create_map(*[F.lit(x) for leaf, shards in home.items() for x in (leaf, shards[0])])
-    width = {leaf: len(shards) for leaf, shards in home.items() if len(shards) > 1}
-    spread = F.coalesce(F.create_map(*[F.lit(x) for kv in width.items() for x in kv])[F.col("leaf")], F.lit(1)) if width else F.lit(1)
-    index = materialize(placed.withColumn("shard", (first[F.col("leaf")] + F.pmod(F.xxhash64("vec_id"), spread)).cast("long")), "ann-index")
+    table = spark.createDataFrame([(leaf, shards[0], len(shards)) for leaf, shards in home.items()], "leaf long, first long, width long")
+    place = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("width"))).alias("shard")
+    index = materialize(placed.join(F.broadcast(table), "leaf").select("vec_id", "v", "leaf", place), "ann-index")
     # the calibration queries are bounded; each task answers them over its own rows
     asked = queries.orderBy(F.xxhash64(F.lit("calibrate"), "query_id"), "query_id").limit(calibration).toPandas()
     leaves = min(tree.leaves, 4)
