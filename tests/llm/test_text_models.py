@@ -13,10 +13,12 @@ import pytest
 import corpus_pipeline
 from siltstone.llm import kernels as K
 from siltstone.llm.bm25_packing import ENCODED, NO_TERM, Encoder, Index, _encode, corpus_of, cuts, gains, order_documents, pack_documents, routes
-from siltstone.llm.cnn_toxicity import best_threshold, drop_toxic, toxicity_held_out
+from siltstone.llm.cnn_toxicity import TextCnn, best_threshold, buckets, drop_toxic, toxicity_held_out
 from siltstone.llm.kn_quality import END, REPEAT, START, classify, drop_low, perplexities
-from siltstone.llm.langmask import identify_held_out
-from siltstone.llm.unigram_piece import encode_documents, model_of
+from siltstone.llm.langmask import grams as language_grams
+from siltstone.llm.langmask import identify, identify_held_out
+from siltstone.llm.langmask import train as train_languages
+from siltstone.llm.unigram_piece import NEVER, UnigramModel, encode_documents, log_scores, model_of, read_pieces
 
 from .conftest import ODD, docs_of
 
@@ -69,6 +71,79 @@ def test_pieces(spark):
     assert encode_documents(docs_of(spark, [])).count() == 0
 
 
+def test_piece_scores_are_log_probabilities():
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    score = log_scores(pieces)
+    own = [s for s, (_, raw, t) in zip(score, pieces) if t == 1 and raw > NEVER]
+    assert np.exp(own).sum() == pytest.approx(1) and all(s <= 0 for s in own)
+    given = [(b"a", -1.5, 1), (b"b", -2.25, 1)]
+    assert log_scores(given).tolist() == [-1.5, -2.25]
+    with pytest.raises(ValueError):
+        UnigramModel([("a▁b".encode(), -1.5, 1), (b"a", -0.5, 1)])
+
+
+def plain_language(model, text):
+    """Corrected shares by one look at a time."""
+    words = re.findall(rb"[a-z\x80-\xff]+", text.encode().lower() if text.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+    grams = [x[k : k + 4] for w in words for x in [b" " + w + b" "] for k in range(len(x) - 3)]
+    out = []
+    for b in range(len(model.languages)):
+        hits = sum(bool(all(model.table[b // 32, int(s[0])] >> np.uint32(b % 32) & 1 for s in model._slots(np.array([int.from_bytes(g, "little")], np.uint32)))) for g in grams)
+        out.append(min(max((hits / max(len(grams), 1) - model.false[b]) / (1 - model.false[b]), 0), 1))
+    return out
+
+
+def test_language_masks_against_one_look_at_a_time(spark):
+    """Masks, correction and score, on texts with ties, repeats, foreign letters and none; and no language is missed by its own n-grams."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, EN if i % 2 else DE, 30), "en" if i % 2 else "de") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, most = train_languages(df)
+    texts = ["", "the der", "the the the", "Über straße été", "x", "a-b c'd", "THE Quick", prose(rng, EN, 3000), rows[0][1], rows[0][1]]
+    data, off = K.utf8(pa.array(texts))
+    shares = model.shares(*language_grams(data, off))
+    for k, t in enumerate(texts):
+        assert shares[k].tolist() == pytest.approx(plain_language(model, t)), t
+    got = identify(docs_of(spark, list(enumerate(texts))), model, most).orderBy("doc_id").collect()
+    for k, r in enumerate(got):
+        best, total = shares[k].argmax(), shares[k].sum()
+        want = ("und", 0.0) if not any(c.isalpha() for c in texts[k]) else (most, 0.0) if total <= 0 else (model.languages[best], shares[k][best] / total)
+        assert (r.lang_pred, pytest.approx(r.score)) == want
+    assert identify(docs_of(spark, []), model, most).count() == 0
+
+
+def test_convolution_against_loops():
+    """The forward pass over tables equals one window, filter and word at a time."""
+    rng = np.random.default_rng(3)
+    index = np.where(rng.random(1 << 18) < 0.5, 1, rng.integers(2, 40, 1 << 18)).astype(np.int32)
+    model = TextCnn(index, 40)
+    texts = ["", "one", "one two", "a b c d e f g h", "same same same", "word " * 500, "123 --"]
+    words, woff = buckets(*K.utf8(pa.array(texts)))
+    got = model.logits(words, woff, model.tables())
+    for k, t in enumerate(texts):
+        own = index[words[woff[k] : woff[k + 1]]].tolist() or [0]
+        windows = max(len(own), 1)
+        padded_words, features = own + [0, 0], []
+        for w, width in enumerate((1, 2, 3)):
+            for f in range(16):
+                best = max(sum(float(model.p["e"][padded_words[i + o]] @ model.p[f"w{width}"][o][:, f]) for o in range(width)) for i in range(windows))
+                features.append(max(best + float(model.p["b"][w][f]), 0.0))
+        assert got[k] == pytest.approx(float(np.dot(features, model.p["v"]) + model.p["c"][0]), abs=1e-4), t
+
+
+def test_toxicity_of_odd_rows(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, EN, 20) + (" blarg zorp" if i % 2 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    odd = [(500, prose(rng, EN, 20_000) + " blarg zorp"), (501, rows[1][1]), (501, rows[1][1]), (502, ""), (503, None)]
+    got = toxicity_held_out(docs_of(spark, rows + odd), labels).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.score, r.predicted))
+    assert len(got) == 205 and len(set(by[501])) == 1 and by[501][0] == by[1][0] and by[502] == by[503]
+    assert toxicity_held_out(docs_of(spark, []), labels).count() == 0
+
+
 def test_chunked_encoding_equals_whole():
     from tokenizers import Tokenizer
 
