@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.bm25_packing import pack_documents
 from siltstone.llm.cnn_toxicity import drop_toxic
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import discard, materialize, table
 from siltstone.llm.exact_lsm import drop_copies
 from siltstone.llm.kn_quality import drop_low
 from siltstone.llm.tensor_minhash import drop_near_copies
@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """One row of equal texts, that with the smallest id."""
     return drop_copies(docs)
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)  # nothing reads it any more
+        before = docs
     return docs
