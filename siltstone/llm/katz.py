@@ -138,10 +138,6 @@ class Block:
         return np.unique(keys, return_inverse=True)
 
 
-def _bounds(shards: int) -> np.ndarray:
-    return (np.arange(1, shards, dtype=object) * (2**64 // shards)).astype(U64)
-
-
 #: Keys of n-grams longer than one word keep this many bits.
 KEY_BITS = 56
 WIRE = "shard int, block long, keys binary, counts binary, kept binary, low binary"
@@ -316,6 +312,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path, name = scratch_path(spark, "katz-blocks"), f"katz_blocks_{uuid.uuid4().hex}"
     rows.mapInArrow(_blocks(block_tokens), BLOCKS).write.bucketBy(shards, "block").option("path", path).saveAsTable(name)
     blocks, answers, orders = spark.table(name), None, []
+    # a shard for each block at least, so that shards hold about as much as blocks, however many there are
+    shards = max(shards, blocks.count())
     try:
         for n in range(1, order + 1):
             sent = blocks.mapInPandas(_send_grams(n, shards), WIRE)
