@@ -101,10 +101,13 @@ def general_tokens(code: Column) -> Column:
 
 
 def shingle_sets(samples: DataFrame, code: str = "code", key: str = "sample_id", k: int = 5) -> DataFrame:
-    """(key, shingles): the distinct runs of k general tokens, sorted; none for shorter code."""
-    tokens = samples.select(key, general_tokens(F.col(code)).alias("t"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.array_join(F.slice("t", i, k), " "))
-    return tokens.select(key, F.when(F.size("t") >= k, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>")).alias("shingles"))
+    """(key, shingles): the distinct runs of k general tokens, sorted; none for shorter code.
+
+    One expression of one column: lambdas that named the tokens again would work them out for every run.
+    """
+    line = F.array_join(general_tokens(F.col(code)), " ")
+    runs = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S+(?: \S+){{{k - 1}}})(?!\S))"), F.lit(1))
+    return samples.select(key, F.array_sort(F.array_distinct(runs)).alias("shingles"))
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, rare: int = 8, least: int = 20, similarity: float = 0.85, key: str = "sample_id") -> DataFrame:
