@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is two grouped minima with partial aggregation; its edges are written to the shared
-scratch folder.  The edges of a hub meet its minimum in several tasks.  No edge or label reaches the driver, only whether a round was the last.
+scratch folder.  No edge or label reaches the driver, only whether a round was the last.
 """
 
 from __future__ import annotations
@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
-
-#: Neighbours from which a node is a hub, and parts that a hub's edges are dealt into.
-HUB, PARTS = 500, 64
+from .common import materialize
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -21,26 +18,17 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up + root > 1").isEmpty()
 
 
-def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """edges (u, v) joined to low (u, n, m), hubs in parts: their rows of low are repeated, their edges spread by v."""
-    low = materialize(low, "cc-low")
-    hubs = materialize(low.filter(F.col("n") >= HUB).select("u", F.lit(True).alias("hub")), "cc-hubs")
-    if hubs.isEmpty():
-        return edges.join(low.drop("n"), "u")
-    spread = edges.join(sized(hubs), "u", "left").withColumn("part", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(PARTS))).otherwise(0)).drop("hub")
-    parts = F.explode(F.when(F.col("n") >= HUB, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
-    return spread.join(low.withColumn("part", parts).select("u", "m", F.col("part").cast("long").alias("part")), ["u", "part"]).drop("part")
-
-
 def _round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star over edges (u, v) with v < u; returns edges of that kind."""
+    """One large-star and one small-star over edges (u, v) with v < u; returns edges of that kind.
+
+    The minima of the large-star are written first: the join is then between two plain shuffles, and Spark
+    splits the partition of a hub.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
-    low = both.groupBy("u").agg(*least).withColumn("m", F.least("u", "m"))
-    large = _with_low(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = materialize(large, "cc-large")
-    low = large.groupBy("u").agg(*least)
-    small = _with_low(large, low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-low")
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return materialize(small.distinct(), "cc-edges")
 
 
