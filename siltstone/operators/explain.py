@@ -12,11 +12,14 @@ QUOTED = "(`[^`]+`|'[^']{2,40}'|\"[^\"]{2,40}\")"
 LOOKS_LIKE_CODE = r"[_(].|[a-z][A-Z]|^\W*[a-zA-Z_]\w*\W*$"
 SHAPES = [r"\b([a-zA-Z_]\w*)\(", r"\b([a-zA-Z_]\w*\.[a-zA-Z_]\w*)\b", r"\b([a-zA-Z]\w*_\w+)\b", r"\b([a-z]+[A-Z]\w+)\b"]
 LINE = r"(?i)\bline\s+(\d+)"
-STOPWORDS = """the this that code function method input output user data value variable string vulnerability vulnerable attacker attack security issue
-malicious example return without which could would should because sanitize sanitized sanitization validate validated validation check checked checking
-properly unsafe safe risk buffer overflow injection execute executed execution command request response server client system memory allocation pointer
-null array index length size bounds content file path directory call calls called parameter argument object class field session token password
-credential network socket process payload reason""".split()
+STOPWORDS = [
+    "the", "this", "that", "code", "function", "method", "input", "output", "user", "data", "value", "variable", "string", "vulnerability", "vulnerable", "attacker", "attack",
+    "security", "issue", "malicious", "example", "return", "without", "which", "could", "would", "should", "because", "sanitize", "sanitized", "sanitization", "validate",
+    "validated", "validation", "check", "checked", "checking", "properly", "unsafe", "safe", "risk", "buffer", "overflow", "injection", "execute", "executed", "execution",
+    "command", "request", "response", "server", "client", "system", "memory", "allocation", "pointer", "null", "array", "index", "length", "size", "bounds", "content", "file",
+    "path", "directory", "call", "calls", "called", "parameter", "argument", "object", "class", "field", "session", "token", "password", "credential", "network", "socket",
+    "process", "payload", "reason",
+]
 MECHANISM = {
     "CWE-89": ["sql", "query", "injection", "statement", "database"],
     "CWE-78": ["command", "shell", "os", "exec", "system", "injection"],

@@ -475,3 +475,15 @@ def test_tool_reports_and_catalogue(spark, tmp_path):
 def test_oversized_replies_are_known_absences(spark):
     asks, cache = spark.createDataFrame([("a", "p")], "key string, prompt string"), spark.createDataFrame([], "key string, reply string")
     assert R.with_cache(asks, cache, "key", R.stub_model, "key string, reply string", largest=5).first().reply == ""
+
+
+def test_sql_functions_equal_columns(spark):
+    from siltstone.functions.register import register
+
+    assert "clean_version" in register(spark)
+    rows = [("^1.2.3", "PyPI", "A_b.c", "MODERATE"), ('">=4.1-rc1"', "npm", " Left ", "high"), ("latest", "Maven", "g:A", None), ("2.0, <3", "PyPI", "x", "LOW"), (None, None, None, "CRITICAL"), ("a\u00a0 b\tc", "npm", "", "")]
+    df = spark.createDataFrame(rows, "v string, eco string, name string, sev string")
+    df.createOrReplaceTempView("odd_rows")
+    sql = spark.sql("SELECT clean_version(v), norm_hash(v), hash_unit(v), normal_package(eco, name), normal_severity(sev), severity_rank(sev) FROM odd_rows").collect()
+    want = df.select(T.clean_version(F.col("v")), T.norm_hash(F.col("v")), T.hash_unit(F.col("v")), T.normal_package(F.col("eco"), F.col("name")), T.normal_severity(F.col("sev")), T.severity_rank(F.col("sev"))).collect()
+    assert list(map(tuple, sql)) == list(map(tuple, want))
