@@ -384,11 +384,20 @@ def test_threshold():
 
 
 def test_pipeline_stages(spark, tmp_path):
+    """Junk, copies, near copies go; of nulls and empty texts, rows repeated and rows without an id one stays; very long texts stay."""
     rng = random.Random(12)
     rows = [(i, prose(rng, EN, 60)) for i in range(200)]
     rows += [(500 + i, rows[i][1].upper()) for i in range(20)] + [(600 + i, rows[i][1] + " tail") for i in range(20)] + [(700 + i, junk(rng)) for i in range(20)]
+    long, own, other = prose(rng, EN, 20_000), prose(rng, EN, 60), prose(rng, EN, 60)
+    rows += [(800, None), (801, ""), (802, ""), (803, long), (804, rows[3][1]), (3, rows[3][1]), (None, rows[4][1]), (None, own), (None, own), (5, other), (None, None)]
     docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 700), 0) for i, _ in rows if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, int(i < 700), 0) for i, _ in rows[:260] if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
-    ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
-    assert ids == set(range(200))
+    first = Counter(r.doc_id for r in got.filter("start = 0").select("doc_id").collect())
+    assert first == Counter([*range(200), 5, 800, 803, None])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs_of(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
