@@ -162,6 +162,11 @@ def model_findings(replies: DataFrame) -> DataFrame:
     return replies.filter(F.coalesce(kept, F.lit(False))).select(*replies.columns, severity.alias("severity"), F.when(sure, "A").otherwise("C").alias("tier"), source.alias("source"))
 
 
+def rule_hits(text: Column, rules: dict[str, str]) -> Column:
+    """array<string>: names of the rules (name -> pattern) that match, in order; a null text matches none.  Rules are a list of fixed size."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), name) for name, pattern in rules.items()])) if rules else F.array().cast("array<string>")
+
+
 def clone_verdicts(findings: DataFrame, coverage: DataFrame) -> DataFrame:
     """(repo, verdict) for each repo of coverage (repo, complete, n_scanned): certain evidence only, and never safe unless complete."""
     f = findings.filter((F.col("tier") == "A") & F.col("pillar").isin("supply_chain", "malware")).groupBy("repo").agg(F.count_if(F.col("severity") == "CRITICAL").alias("crit"), F.count_if(F.col("severity") == "HIGH").alias("high"))

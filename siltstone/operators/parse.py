@@ -287,3 +287,19 @@ def last_object(text: str, required: str) -> dict:
     if not isinstance(last, dict) or required not in last or "{" in text[tail:]:
         raise ValueError("no complete object with the required key")
     return last
+
+
+def last_objects(texts: Column, required: str) -> Column:
+    """last_object of each text as JSON, null where it raises."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return json.dumps(last_object(text or "", required))
+            except ValueError:
+                return None
+
+        return batch.map(one)
+
+    return run(texts)

@@ -176,6 +176,12 @@ def r06_scan_summary(spark, sf):
     return D.scan_summary(_scanned(spark, sf), 40, 9_000, ("obfuscation", "network"))
 
 
+@query(r"SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, 'Lic(ense|ence)') THEN 'license' END, CASE WHEN regexp_matches(text, '(\*\*\*|###|%%%)') THEN 'noise' END, CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'number' END) AS rules FROM documents")
+def r07_rule_hits(spark, sf):
+    rules = {"license": "Lic(ense|ence)", "noise": r"(\*\*\*|###|%%%)", "number": "[0-9]{3}-[0-9]{4}"}
+    return table(spark, sf, "documents").select("doc_id", F.array_join(D.rule_hits(F.col("text"), rules), ",").alias("rules"))
+
+
 @query(r"SELECT doc_id, regexp_matches(text, 'requests|subprocess|urllib|socket|os\.system|os\.environ|\beval\b|\bexec\b|base64|https?\.get|child_process') AS suspicious FROM documents")
 def r08_capability_flag(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(D.SUSPICIOUS_CALL).alias("suspicious"))
@@ -264,6 +270,14 @@ def g04_strict_boolean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.strict_boolean(raw, "flag").alias("flag"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN doc_id % 3 = 0 END AS vulnerable FROM documents")
+def g05_last_object(spark, sf):
+    i, text = F.col("doc_id"), F.to_json(F.struct("text"))
+    reply = F.when(i % 3 == 0, F.concat(text, F.lit(' so {"vulnerable": true}'))).when(i % 3 == 1, F.concat(F.lit('{"vulnerable": true} no: {"vulnerable": false, "why": '), text, F.lit("}"))).otherwise(F.concat(text, F.lit(' {"vulnerable": true')))
+    d = table(spark, sf, "documents").select("doc_id", P.last_objects(reply, "vulnerable").alias("o"))
+    return d.select("doc_id", F.get_json_object("o", "$.vulnerable").cast("boolean").alias("vulnerable"))
+
+
 @query("""SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN [{'package': 'flask-x', 'version': '1.0'}, {'package': 'requests', 'version': NULL}, {'package': 'django', 'version': '3.1.' || (doc_id % 9)}] WHEN 1 THEN [{'package': 'left-pad', 'version': '1.2.' || (doc_id % 9)}, {'package': 'react', 'version': NULL}]
 WHEN 2 THEN [{'package': 'g:a', 'version': '1.' || (doc_id % 9)}, {'package': 'g:b', 'version': NULL}] WHEN 3 THEN [{'package': 'o.x:a', 'version': '1.' || (doc_id % 9)}, {'package': 'o.x:b', 'version': NULL}] ELSE [{'package': 'a', 'version': '1.0.' || (doc_id % 9)}, {'package': '@s/b', 'version': '2.0.0'}, {'package': 'c', 'version': '3.0.0'}] END, recursive := true) FROM documents""")
 def g06_manifest_lines(spark, sf):

@@ -155,3 +155,50 @@ def windows(spark: SparkSession, start: str, stop: str, days: int = 100) -> Data
     """(start, stop) of the paging windows between two dates."""
     first = F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(stop)), F.expr(f"interval {days} days")))
     return spark.range(1).select(first.alias("start")).select("start", F.least(F.date_add("start", days - 1), F.to_date(F.lit(stop))).alias("stop"))
+
+
+def paged(pages: DataFrame, fetch: Callable[..., tuple[list[str], int]], size: int = 2_000, tries: int = 4, pause: float = 0.0) -> DataFrame:
+    """(start, stop, place, record) of a paged service, a task per window of pages (start, stop).
+
+    fetch(start, stop, at, size) gives the records from place `at` on, and how many there are in all; it is asked
+    until the window is complete, and again after a failure, with pauses that double.  Windows that fail every time raise.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for batch in batches:
+            for start, stop in zip(batch["start"], batch["stop"]):
+                at, total = 0, 1
+                while at < total:
+                    for k in range(tries):
+                        try:
+                            records, total = fetch(start, stop, at, size)
+                            break
+                        except OSError:
+                            if k == tries - 1:
+                                raise
+                            time.sleep(pause * 2**k)
+                    yield pd.DataFrame({"start": [start] * len(records), "stop": stop, "place": range(at, at + len(records)), "record": records})
+                    at += max(1, len(records))
+
+    kinds = dict(pages.dtypes)
+    return pages.select("start", "stop").mapInPandas(run, f"start {kinds['start']}, stop {kinds['stop']}, place long, record string")
+
+
+def html_report(rows: DataFrame, path: str, title: str, most: int = 5_000) -> int:
+    """Write an aggregate as one page with a table; raises if it has more than `most` rows.  How many rows it has."""
+    from html import escape
+
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report has {most} rows at most; aggregate first")
+    line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape('' if c is None else str(c))}</{tag}>" for c in cells) + "</tr>"
+    body = "\n".join([line(rows.columns, "th"), *(line(r, "td") for r in got)])
+    page = f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><table>\n{body}\n</table>\n"
+    spark = rows.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    stream.write(bytearray(page.encode()))
+    stream.close()
+    return len(got)

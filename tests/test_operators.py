@@ -487,3 +487,28 @@ def test_sql_functions_equal_columns(spark):
     sql = spark.sql("SELECT clean_version(v), norm_hash(v), hash_unit(v), normal_package(eco, name), normal_severity(sev), severity_rank(sev) FROM odd_rows").collect()
     want = df.select(T.clean_version(F.col("v")), T.norm_hash(F.col("v")), T.hash_unit(F.col("v")), T.normal_package(F.col("eco"), F.col("name")), T.normal_severity(F.col("sev")), T.severity_rank(F.col("sev"))).collect()
     assert list(map(tuple, sql)) == list(map(tuple, want))
+
+
+def test_paged_windows(spark, tmp_path):
+    def fetch(start, stop, at, size):
+        if at == 2 and not (mark := tmp_path / f"{start}").exists():
+            mark.write_text("failed once")
+            raise OSError("try again")
+        every = [f"{start}-{k}" for k in range(5)]
+        return every[at : at + size], 5
+
+    pages = spark.createDataFrame([("a", "b"), ("c", "d")], "start string, stop string")
+    got = sorted((r.start, r.place, r.record) for r in R.paged(pages, fetch, size=2).collect())
+    assert got == [(s, k, f"{s}-{k}") for s in "ac" for k in range(5)]
+    with pytest.raises(Exception):
+        R.paged(pages, lambda *a: (_ for _ in ()).throw(OSError("down")), tries=2).collect()
+
+
+def test_html_report(spark, tmp_path):
+    assert R.html_report(spark.createDataFrame([("<a>", None)], "x string, y int"), f"{tmp_path}/r.html", "A & B") == 1
+    text = (tmp_path / "r.html").read_text()
+    assert "&lt;a&gt;" in text and "A &amp; B" in text
+    with pytest.raises(Exception):
+        R.html_report(spark.range(3).toDF("x"), f"{tmp_path}/r.html", "again")
+    with pytest.raises(ValueError):
+        R.html_report(spark.range(9).toDF("x"), f"{tmp_path}/s.html", "long", most=3)
