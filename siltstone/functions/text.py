@@ -106,10 +106,10 @@ def severity_rank(severity: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits per character; 0 for empty text.  One pass of the text for each different character."""
+    """Shannon bits per character; 0 for empty text.  Characters are sorted once; each run of equal ones is one part."""
     n = F.length(text).cast("double")
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    bits = F.aggregate(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)((.)\2*+)"), F.lit(1))
+    bits = F.aggregate(runs, F.lit(0.0), lambda s, r: s - (F.length(r) / n) * F.log2(F.length(r) / n))
     return F.when(n > 0, bits).otherwise(0.0)
 
 
