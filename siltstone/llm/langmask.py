@@ -113,35 +113,39 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return BitSliced(names, [table.loc[table["lang"] == x, "gram"].to_numpy(np.int64) for x in names]), max(seen, key=lambda r: (r[1], [-ord(c) for c in r[0]]))[0]
 
 
+def predicted(model: BitSliced | None, most: str, data: np.ndarray, off: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and score of each document."""
+    pred, score = [], []
+    for a, b in K.pieces(off):
+        piece = data[off[a] : off[b]]
+        ascii_letters = np.append(0, np.cumsum((LETTER[piece] != 32) & (piece < 128)))
+        at = off[a : b + 1] - off[a]
+        letters = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
+        for d in np.flatnonzero(~letters):
+            letters[d] = any(c.isalpha() for c in piece[at[d] : at[d + 1]].tobytes().decode())
+        if model is None:
+            pred += ["und"] * (b - a)
+            score += [0.0] * (b - a)
+            continue
+        shares = model.shares(*grams(piece, at))
+        best, total = shares.argmax(1), shares.sum(1)
+        for d in range(b - a):
+            if not letters[d]:
+                pred.append("und")
+                score.append(0.0)
+            elif total[d] <= 0:
+                pred.append(most)
+                score.append(0.0)
+            else:
+                pred.append(model.languages[best[d]])
+                score.append(float(shares[d, best[d]] / total[d]))
+    return pred, score
+
+
 def _predict(shared, most: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: BitSliced | None = shared.value
         for batch in batches:
-            data, off = K.utf8(batch.column(2))
-            pred, score = [], []
-            for a, b in K.pieces(off):
-                piece = data[off[a] : off[b]]
-                ascii_letters = np.append(0, np.cumsum((LETTER[piece] != 32) & (piece < 128)))
-                at = off[a : b + 1] - off[a]
-                letters = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
-                for d in np.flatnonzero(~letters):
-                    letters[d] = any(c.isalpha() for c in piece[at[d] : at[d + 1]].tobytes().decode())
-                if model is None:
-                    pred += ["und"] * (b - a)
-                    score += [0.0] * (b - a)
-                    continue
-                shares = model.shares(*grams(piece, at))
-                best, total = shares.argmax(1), shares.sum(1)
-                for d in range(b - a):
-                    if not letters[d]:
-                        pred.append("und")
-                        score.append(0.0)
-                    elif total[d] <= 0:
-                        pred.append(most)
-                        score.append(0.0)
-                    else:
-                        pred.append(model.languages[best[d]])
-                        score.append(float(shares[d, best[d]] / total[d]))
+            pred, score = predicted(shared.value, most, *K.utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
