@@ -25,11 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df, a written table, with a broadcast hint if a count proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order."""
     name = "first__rank"

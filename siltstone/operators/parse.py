@@ -32,8 +32,8 @@ def _cwe(text: Column, pattern: str = CWE) -> Column:
 
 
 def _objects(text: Column, pattern: str, fields: str) -> Column:
-    """The objects of these fields among the parts of a text that match; null for parts that are no valid JSON."""
-    parts = F.regexp_extract_all(text, F.lit(pattern if "(" in pattern.replace("(?", "") else f"({pattern})"), F.lit(1))
+    """The objects of these fields among the parts of a text that the pattern's group takes; null for parts that are no valid JSON."""
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     return F.transform(parts, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, fields)))
 
 
@@ -45,7 +45,7 @@ def verdict(text: Column) -> Column:
     """
     text, fields = F.coalesce(text, F.lit("")), "vulnerable boolean, cwe string"
     last = lambda found: F.element_at(F.concat(F.array(F.lit(None).cast("struct<vulnerable:boolean,cwe:string>")), F.filter(found, lambda o: o["vulnerable"].isNotNull())), -1)
-    obj = F.coalesce(last(_objects(text, r"\{[^{}]*\"vulnerable\"[^{}]*\}", fields)), last(_objects(text, FENCED, fields)))
+    obj = F.coalesce(last(_objects(text, r'(\{[^{}]*"vulnerable"[^{}]*\})', fields)), last(_objects(text, FENCED, fields)))
     cut = F.regexp_extract(text, r'(?i)"vulnerable"\s*:\s*(true|false)', 1)
     strict = obj["vulnerable"]
     cue = F.when(text.rlike(NO), False).when(text.rlike(YES), True).when(text.rlike(SAYS_NO), False).when(text.rlike(SAYS_YES), True)
@@ -62,7 +62,7 @@ def dependency_reply(text: Column) -> Column:
     A cut answer gives the packages it got to, none perhaps; a reply without the field is not parsed.
     """
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(_objects(text, FENCED, "vulnerable_dependencies array<string>"), _objects(text, r"(?s)\{.*\}", "vulnerable_dependencies array<string>"))
+    found = F.concat(_objects(text, FENCED, "vulnerable_dependencies array<string>"), _objects(text, r"(?s)(\{.*\})", "vulnerable_dependencies array<string>"))
     items = F.get(F.filter(found, lambda o: o["vulnerable_dependencies"].isNotNull()), 0)["vulnerable_dependencies"]
     names = F.transform(items, lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.package")).otherwise(x)))
     tail = F.regexp_extract(text, r'(?s)("vulnerable_dependencies"\s*:.*)', 1)
@@ -75,7 +75,7 @@ def dependency_reply(text: Column) -> Column:
 def malware_reply(text: Column) -> Column:
     """struct(malicious, technique, parsed): from a valid object with a boolean malicious, else from cues, which are not parsed."""
     text, fields = F.coalesce(text, F.lit("")), "malicious boolean, technique string"
-    found = F.concat(_objects(text, FENCED, fields), _objects(text, r"(?s)\{.*\}", fields))
+    found = F.concat(_objects(text, FENCED, fields), _objects(text, r"(?s)(\{.*\})", fields))
     obj = F.get(F.filter(found, lambda o: o["malicious"].isNotNull()), 0)
     low, strict = F.lower(text), obj["malicious"]
     yes = low.rlike(r"\bmalicious\b.{0,12}\b(?:true|yes)\b") | F.contains(low, F.lit('"malicious": true'))

@@ -12,7 +12,7 @@ from siltstone.operators import transform as X
 
 from .registry import query
 from .sampling import _BASE, _CODE, _EXT, _MANIFEST, _SECRET, PRIORITY_SQL
-from .views import advisories, corpus, files, findings, replies, table
+from .views import corpus, files, findings, replies, table
 
 
 def _flaw_records(spark, sf):
