@@ -136,56 +136,68 @@ def near_duplicates(left: DataFrame, right: DataFrame, rare: int = 8, least: int
     return members.join(a.join(first, "class").select("digest", "hit"), "digest").select(key, "hit.other", "hit.jaccard")
 
 
-def stratified_split(samples: DataFrame, group: str, stratum: str, label: str = "label", shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
-    """(group, split): whole groups to train, val or test, so that each stratum's positives are shared out.
+SPLITS = ("train", "val", "test")
+
+
+def _assigned(samples: DataFrame, counts: DataFrame, group: str, walk) -> DataFrame:
+    """(group, split): groups with positives by walk, one after another; all others to the split that still lacks most when they are placed.
 
-    Groups are few next to rows: one row per (group, stratum) is aggregated first, and the greedy step, which is
-    sequential by nature, runs over those in one task.  Groups with most positives go first, rarer strata before
-    others, then by name.
+    counts: (group, ..., n > 0).  walk: its rows as pandas -> [(group, split)] and that split.  Groups without
+    positives change nothing for those after them, so they all get the same and never enter the walk.
     """
     import pandas as pd
 
-    counts = samples.groupBy(group, stratum).agg(F.count_if(F.col(label) == 1).alias("n"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, rest = walk(pdf)
+        return pd.DataFrame([*((g, s, False) for g, s in out), (None, rest, True)], columns=[group, "split", "rest"])
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = ("train", "val", "test")
+    placed = written(counts.groupBy().applyInPandas(run, f"{group} string, split string, rest boolean"), "splits")
+    rest = placed.filter("rest").agg(F.coalesce(F.max("split"), F.lit(SPLITS[0])).alias("split"))
+    own = placed.filter("not rest").select(group, "split")
+    others = samples.select(F.col(group).cast("string").alias(group)).distinct().join(own, group, "left_anti")
+    return own.union(others.crossJoin(F.broadcast(rest)).select(group, "split"))
+
+
+def stratified_split(samples: DataFrame, group: str, stratum: str, label: str = "label", shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
+    """(group, split): whole groups to train, val or test, so that each stratum's positives are shared out.
+
+    The greedy step, which is sequential by nature, sees one row per stratum of a group that has positives.  Groups
+    with most positives go first, rarer strata before others, then by name.
+    """
+    counts = samples.groupBy(F.col(group).cast("string").alias(group), F.col(stratum).alias(stratum)).agg(F.count_if(F.col(label) == 1).alias("n")).filter("n > 0")
+
+    def walk(pdf):
         total = pdf.groupby(stratum)["n"].sum()
-        per = {g: {s: int(n) for s, n in zip(x[stratum], x["n"]) if n} for g, x in pdf.groupby(group)}
-        rarity = lambda v: min((total[s] for s in v), default=10**9)
-        got = {k: dict.fromkeys(total.index, 0) for k in names}
+        per = {g: {s: int(n) for s, n in zip(x[stratum], x["n"])} for g, x in pdf.groupby(group)}
+        got = {k: dict.fromkeys(total.index, 0) for k in SPLITS}
         out = []
-        for g in sorted(per, key=lambda g: (-sum(per[g].values()), rarity(per[g]), g)):
-            if per[g]:
-                lack = {k: sum((w * total[s] - got[k][s]) / max(w * total[s], 1e-9) * n for s, n in per[g].items()) for k, w in zip(names, shares)}
-            else:
-                full = sum(sum(x.values()) for x in got.values()) or 1
-                lack = {k: w - sum(got[k].values()) / full for k, w in zip(names, shares)}
-            pick = max(names, key=lambda k: lack[k])
+        for g in sorted(per, key=lambda g: (-sum(per[g].values()), min(total[s] for s in per[g]), g)):
+            lack = {k: sum((w * total[s] - got[k][s]) / max(w * total[s], 1e-9) * n for s, n in per[g].items()) for k, w in zip(SPLITS, shares)}
+            pick = max(SPLITS, key=lambda k: lack[k])
             for s, n in per[g].items():
                 got[pick][s] += n
             out.append((g, pick))
-        return pd.DataFrame(out, columns=[group, "split"])
+        full = sum(sum(x.values()) for x in got.values()) or 1
+        return out, max(SPLITS, key=lambda k: dict(zip(SPLITS, shares))[k] - sum(got[k].values()) / full)
 
-    return counts.groupBy().applyInPandas(assign, f"{group} string, split string")
+    return _assigned(samples, counts, group, walk)
 
 
 def plain_split(samples: DataFrame, group: str, label: str = "label", shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
     """(group, split): whole groups, those with most positives first, each to the split that lacks the largest share of its target.
 
-    Sequential over one row per group; ties go to the smaller name and the earlier split.
+    Sequential over one row per group with positives; ties go to the smaller name and the earlier split.
     """
-    import pandas as pd
-
-    counts = samples.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n"))
+    counts = samples.groupBy(F.col(group).cast("string").alias(group)).agg(F.count_if(F.col(label) == 1).alias("n")).filter("n > 0")
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, total, out = ("train", "val", "test"), float(pdf["n"].sum()), []
-        target = {k: w * total for k, w in zip(names, shares)}
-        got = dict.fromkeys(names, 0)
+    def walk(pdf):
+        total, out, got = float(pdf["n"].sum()), [], dict.fromkeys(SPLITS, 0)
+        target = {k: w * total for k, w in zip(SPLITS, shares)}
+        most = lambda: max(SPLITS, key=lambda k: (target[k] - got[k]) / max(target[k], 1e-9))
         for g, n in sorted(zip(pdf[group], pdf["n"]), key=lambda x: (-x[1], x[0])):
-            pick = max(names, key=lambda k: (target[k] - got[k]) / max(target[k], 1e-9))
+            pick = most()
             got[pick] += int(n)
             out.append((g, pick))
-        return pd.DataFrame(out, columns=[group, "split"])
+        return out, most()
 
-    return counts.groupBy().applyInPandas(assign, f"{group} string, split string")
+    return _assigned(samples, counts, group, walk)

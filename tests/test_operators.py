@@ -512,3 +512,13 @@ def test_html_report(spark, tmp_path):
         R.html_report(spark.range(3).toDF("x"), f"{tmp_path}/r.html", "again")
     with pytest.raises(ValueError):
         R.html_report(spark.range(9).toDF("x"), f"{tmp_path}/s.html", "long", most=3)
+
+
+def test_groups_without_positives_share_a_split(spark):
+    rows = [(i, f"r{i % 17}", "py", int(i % 17 == 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id int, repo string, language string, label int")
+    for got in (C.stratified_split(df, "repo", "language"), C.plain_split(df, "repo")):
+        got = {r.repo: r.split for r in got.collect()}
+        assert len(got) == 17 and got["r3"] == "train" and len({s for g, s in got.items() if g != "r3"}) == 1
+    none = C.stratified_split(df.filter("label = 0"), "repo", "language").collect()
+    assert len(none) == 16 and {r.split for r in none} == {"train"} and C.plain_split(df.limit(0), "repo").count() == 0
