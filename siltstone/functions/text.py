@@ -48,6 +48,18 @@ def language_family(language: Column) -> Column:
     return F.when(language.isin("c", "cpp"), "c/cpp").otherwise(language)
 
 
+#: Scanners by language; the last looks at files of any kind.
+TOOLS = {"python": ["semgrep", "bandit"], "javascript": ["semgrep"], "java": ["semgrep"], "c": ["semgrep"], "cpp": ["semgrep"]}
+ANY_LANGUAGE_TOOL = "gitleaks"
+
+
+def tools_for(languages: Column) -> Column:
+    """The scanners for an array of languages, each once, in the order in which the languages ask for them."""
+    known = F.create_map(*[x for k, v in TOOLS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    asked = F.flatten(F.transform(F.filter(languages, lambda x: x.isin(*TOOLS)), lambda x: known[x]))
+    return F.array_distinct(F.concat(asked, F.array(F.lit(ANY_LANGUAGE_TOOL))))
+
+
 def is_noisy(message: Column) -> Column:
     low = F.lower(message)
     out = F.lit(False)

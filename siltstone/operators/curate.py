@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import is_noisy
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared checkpoint folder; cuts lineage and survives lost executors."""
@@ -47,6 +49,17 @@ def best_per_key(rows: DataFrame, key: str, preferred: str, position: str) -> Da
     return first_by(rows, [key], F.col(preferred).isNull(), F.col(position))
 
 
+def drop_reasons(commits: DataFrame, languages: list[str], most_commits: int = 2, most_files: int = 8, most_functions: int = 12) -> DataFrame:
+    """commits with reason: kept, or why a commit is left out, the first that holds.
+
+    commits: cve_id, sha, message, language, n_files, n_functions.  Of a flaw the first most_commits by sha count.
+    """
+    place = F.row_number().over(W.partitionBy("cve_id").orderBy("sha"))
+    why = (F.when(place > most_commits, "too_many_commits").when(is_noisy(F.col("message")), "noisy_message").when(~F.coalesce(F.col("language").isin(*languages), F.lit(False)), "language")
+           .when(F.col("n_files") > most_files, "too_many_files").when(F.col("n_functions") > most_functions, "too_many_functions").otherwise("kept"))
+    return commits.withColumn("reason", why)
+
+
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that more than one row has; empty for a sound table."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -70,3 +70,16 @@ def capped_round_robin(cases: DataFrame, language: str, repo: str, key: str, n:
         return pd.DataFrame(out, columns=[key, "place"])
 
     return some.select(language, repo, key).groupBy().applyInPandas(walk, f"{key} {kind}, place long")
+
+
+def case_packages(rows: DataFrame, case: list[str], vulnerable: str, key: str, least: int, most: int, ratio: float, seed: str = "case") -> DataFrame:
+    """The packages of each synthetic manifest, with their place: as many as the case's hash says, from least to most.
+
+    round(ratio * size) of them, one at least, are vulnerable where the case has so many; all stand in hash order.
+    """
+    size = least + hash_unit(F.lit(seed), *map(F.col, case)) % (most - least + 1)
+    bad = F.greatest(F.lit(1), F.round(size * ratio)).cast("long")
+    rank = F.row_number().over(W.partitionBy(*case, vulnerable).orderBy(*hash_order(seed, key)))
+    picked = rows.withColumn("k__", rank).filter(F.col("k__") <= F.when(F.col(vulnerable), bad).otherwise(size - bad)).drop("k__")
+    place = F.row_number().over(W.partitionBy(*case).orderBy(*hash_order("shuffle", key)))
+    return picked.withColumn("place", place.cast("long"))

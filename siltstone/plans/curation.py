@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import metrics as M
+from siltstone.functions.text import NOISE_MARKERS
 from siltstone.operators import curate as C
 
 from .evaluation import CELLS, _metrics
@@ -121,15 +122,15 @@ def p10_size_filter(spark, sf):
     return corpus(spark, sf).select("sample_id", F.md5(F.regexp_replace("code", r"\s+", " ").cast("binary")).alias("body"), F.when(loc.between(3, 800), "kept").when(loc < 3, "short").otherwise("long").alias("reason"))
 
 
-_REASON = "CASE WHEN n_chars > 20000 THEN 'too_long' WHEN lower(code) LIKE '%revert %' OR lower(code) LIKE '%typo%' OR lower(code) LIKE '%whitespace%' THEN 'noisy' WHEN language NOT IN ('en', 'de') THEN 'language' WHEN loc > 12 THEN 'too_many' ELSE 'kept' END"
+_NOISY = " OR ".join(f"contains(lower(code), '{m}')" for m in NOISE_MARKERS)
+_REASON = f"CASE WHEN row_number() OVER (PARTITION BY sample_id // 5 ORDER BY sample_id) > 2 THEN 'too_many_commits' WHEN {_NOISY} THEN 'noisy_message' WHEN language IS NULL OR language NOT IN ('en', 'de') THEN 'language' WHEN loc % 11 > 8 THEN 'too_many_files' WHEN n_chars % 15 > 12 THEN 'too_many_functions' ELSE 'kept' END"
 
 
-@query(f"SELECT {_REASON} AS reason, count(*) AS n FROM corpus GROUP BY 1", "corpus")
+@query(f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM corpus) GROUP BY 1", "corpus")
 def p07_drop_reasons(spark, sf):
-    from siltstone.functions.text import is_noisy
-
-    why = F.when(F.col("n_chars") > 20000, "too_long").when(is_noisy(F.col("code")), "noisy").when(~F.col("language").isin("en", "de"), "language").when(F.col("loc") > 12, "too_many").otherwise("kept")
-    return corpus(spark, sf).groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    i = F.col("sample_id")
+    c = corpus(spark, sf).select(F.floor(i / 5).alias("cve_id"), i.alias("sha"), F.col("code").alias("message"), "language", (F.col("loc") % 11).alias("n_files"), (F.col("n_chars") % 15).alias("n_functions"))
+    return C.drop_reasons(c, ["en", "de"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

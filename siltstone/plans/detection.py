@@ -239,6 +239,14 @@ def r15_detect_languages(spark, sf):
     return files(spark, sf).filter(lang.isNotNull()).groupBy("repo", lang.alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH l AS (SELECT DISTINCT repo, CASE {_EXT} WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'java' THEN 'java' END AS language FROM files WHERE {_CODE})
+SELECT repo, CASE WHEN bool_or(language = 'python') THEN 'semgrep,bandit,gitleaks' ELSE 'semgrep,gitleaks' END AS tools FROM l GROUP BY 1""", "files")
+def r15_tools(spark, sf):
+    lang = T.language_of(F.col("path"))
+    per = files(spark, sf).filter(lang.isNotNull()).groupBy("repo").agg(F.array_sort(F.collect_set(lang)).alias("languages"))
+    return per.select("repo", F.array_join(T.tools_for(F.reverse("languages")), ",").alias("tools"))
+
+
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN NULL ELSE doc_id % 3 = 0 END AS vulnerable, CASE doc_id % 6 WHEN 0 THEN 'CWE-' || (doc_id % 900) WHEN 2 THEN 'CWE-' || (doc_id % 90) WHEN 4 THEN 'CWE-' || (doc_id % 50) END AS cwe, doc_id % 6 < 3 AS parse_ok FROM replies""", "replies")
 def g01_parse_verdict(spark, sf):
     return replies(spark, sf).select("doc_id", P.verdict(F.col("reply")).alias("v")).select("doc_id", "v.*")

@@ -44,11 +44,13 @@ def a03n_metrics_null_on_zero(spark, sf):
 
 
 @query(f"""WITH c AS (SELECT config, {CELLS}, count(*) AS n, count(*) FILTER (pred IS NULL) AS unparsed, count(*) FILTER (truth = 1) AS positives,
- count(*) FILTER (truth = 1 AND pred_cwe = true_cwe) AS strict_hits FROM preds GROUP BY 1)
+ count(*) FILTER (truth = 1 AND pred_cwe = true_cwe) AS strict_hits, round(avg((sample_id % 100) / 10.0), 2) AS mean_latency, CAST(sum(1 + sample_id % 3) AS BIGINT) AS calls FROM preds GROUP BY 1)
 SELECT *, {_metrics()}, round((n - unparsed) / CAST(n AS DOUBLE), 6) AS adherence, round(CASE WHEN positives > 0 THEN strict_hits / CAST(positives AS DOUBLE) ELSE 0 END, 6) AS cwe_accuracy FROM c""", "preds")
 def a04_score_summary(spark, sf):
     p = predictions(spark, sf)
     more = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred").isNull()).alias("unparsed"), F.count_if(F.col("truth") == 1).alias("positives"), F.count_if((F.col("truth") == 1) & (F.col("pred_cwe") == F.col("true_cwe"))).alias("strict_hits")]
+    # what a call took, and how many a sample needed
+    more += [F.round(F.avg((F.col("sample_id") % 100) / 10.0), 2).alias("mean_latency"), F.sum(1 + F.col("sample_id") % 3).alias("calls")]
     c = p.groupBy("config").agg(*M.confusion(F.col("pred"), F.col("truth")), *more)
     return c.select("*", *[v.alias(k) for k, v in M.binary_metrics().items()], F.round((F.col("n") - F.col("unparsed")) / F.col("n"), 6).alias("adherence"), F.round(M.ratio(F.col("strict_hits"), F.col("positives")), 6).alias("cwe_accuracy"))
 
@@ -127,15 +129,15 @@ def a12_label_space(spark, sf):
 
 
 @query("""WITH p AS (SELECT pair_id, count(DISTINCT version) AS sides, count(DISTINCT func_hash) AS bodies FROM corpus GROUP BY 1),
-t AS (SELECT count(*) FILTER (code = '') AS empty_code, count(*) FILTER (label = 1 AND cwe IS NULL) AS positive_without_cwe, count(*) FILTER (label = 0 AND cwe IS NOT NULL) AS negative_with_cwe,
+t AS (SELECT count(*) FILTER (code = '') AS empty_code, count(*) FILTER (label = 1 AND cwe IS NULL) AS positive_without_cwe, count(*) FILTER (label = 0 AND cwe IS NOT NULL) AS negative_with_cwe, count(*) FILTER (version = 'pre' AND sample_id % 10 = 0) AS pre_without_changed_lines,
  count(*) FILTER (loc <> length(code) - length(replace(code, chr(10), '')) + 1) AS loc_mismatch, count(*) FILTER (language NOT IN ('en', 'de', 'fr')) AS unexpected_language, count(*) - count(DISTINCT func_hash) AS duplicate_hash FROM corpus),
 u AS (SELECT count(*) FILTER (sides < 2) AS incomplete_pair, count(*) FILTER (sides = 2 AND bodies = 1) AS identical_pair FROM p)
-SELECT name, n FROM (SELECT * FROM t, u) UNPIVOT (n FOR name IN (empty_code, positive_without_cwe, negative_with_cwe, loc_mismatch, unexpected_language, duplicate_hash, incomplete_pair, identical_pair))""", "corpus")
+SELECT name, n FROM (SELECT * FROM t, u) UNPIVOT (n FOR name IN (empty_code, positive_without_cwe, negative_with_cwe, pre_without_changed_lines, loc_mismatch, unexpected_language, duplicate_hash, incomplete_pair, identical_pair))""", "corpus")
 def a13_integrity(spark, sf):
-    c = corpus(spark, sf)
+    c = corpus(spark, sf).withColumn("changed_lines", F.when(F.col("sample_id") % 10 != 0, F.array(F.lit(1))))
     lines = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit(""))) + 1
     t = c.agg(F.count_if(F.col("code") == "").alias("empty_code"), F.count_if((F.col("label") == 1) & F.col("cwe").isNull()).alias("positive_without_cwe"), F.count_if((F.col("label") == 0) & F.col("cwe").isNotNull()).alias("negative_with_cwe"),
-              F.count_if(F.col("loc") != lines).alias("loc_mismatch"), F.count_if(~F.col("language").isin("en", "de", "fr")).alias("unexpected_language"), (F.count(F.lit(1)) - F.countDistinct("func_hash")).alias("duplicate_hash"))
+              F.count_if((F.col("version") == "pre") & F.col("changed_lines").isNull()).alias("pre_without_changed_lines"), F.count_if(F.col("loc") != lines).alias("loc_mismatch"), F.count_if(~F.col("language").isin("en", "de", "fr")).alias("unexpected_language"), (F.count(F.lit(1)) - F.countDistinct("func_hash")).alias("duplicate_hash"))
     u = c.groupBy("pair_id").agg(F.countDistinct("version").alias("sides"), F.countDistinct("func_hash").alias("bodies")).agg(F.count_if(F.col("sides") < 2).alias("incomplete_pair"), F.count_if((F.col("sides") == 2) & (F.col("bodies") == 1)).alias("identical_pair"))
     return t.crossJoin(F.broadcast(u)).unpivot([], [*t.columns, *u.columns], "name", "n")
 

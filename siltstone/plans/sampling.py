@@ -115,12 +115,12 @@ def k15_report_order(spark, sf):
     return findings(spark, sf).select("event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query(f"""WITH r AS (SELECT p_type AS ecosystem, p_partkey % 20 AS case_id, p_partkey, p_size % 4 > 0 AS vulnerable, row_number() OVER (PARTITION BY p_type, p_partkey % 20, p_size % 4 > 0 ORDER BY {_H % ('case', 'p_partkey')}, p_partkey) AS k FROM part)
-SELECT ecosystem, case_id, p_partkey, vulnerable FROM r WHERE k <= CASE WHEN vulnerable THEN 2 ELSE 6 END""")
+@query(f"""WITH p AS (SELECT p_type AS ecosystem, p_partkey % 20 AS case_id, p_partkey, p_size % 4 > 0 AS vulnerable FROM part), z AS (SELECT *, 3 + CAST(('0x' || substr(md5('case|' || ecosystem || '|' || case_id), 1, 8)) AS BIGINT) % 6 AS size FROM p),
+r AS (SELECT *, CAST(greatest(1, round(size * 0.4)) AS BIGINT) AS bad, row_number() OVER (PARTITION BY ecosystem, case_id, vulnerable ORDER BY {_H % ('case', 'p_partkey')}, p_partkey) AS k FROM z)
+SELECT ecosystem, case_id, p_partkey, vulnerable, row_number() OVER (PARTITION BY ecosystem, case_id ORDER BY {_H % ('shuffle', 'p_partkey')}, p_partkey) AS place FROM r WHERE k <= CASE WHEN vulnerable THEN bad ELSE size - bad END""")
 def k16_manifest_synthesis(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_type").alias("ecosystem"), (F.col("p_partkey") % 20).alias("case_id"), "p_partkey", (F.col("p_size") % 4 > 0).alias("vulnerable"))
-    k = F.row_number().over(W.partitionBy("ecosystem", "case_id", "vulnerable").orderBy(*S.hash_order("case", "p_partkey")))
-    return p.withColumn("k", k).filter(F.col("k") <= F.when(F.col("vulnerable"), 2).otherwise(6)).drop("k")
+    return S.case_packages(p, ["ecosystem", "case_id"], "vulnerable", "p_partkey", 3, 8, 0.4)
 
 
 @query(f"WITH c AS (SELECT language, config, {CELLS} FROM preds GROUP BY 1, 2), m AS (SELECT *, {_metrics()} FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY f1 DESC, config) AS k FROM m) SELECT language, config, f1 FROM r WHERE k = 1", "preds")

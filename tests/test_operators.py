@@ -522,3 +522,21 @@ def test_groups_without_positives_share_a_split(spark):
         assert len(got) == 17 and got["r3"] == "train" and len({s for g, s in got.items() if g != "r3"}) == 1
     none = C.stratified_split(df.filter("label = 0"), "repo", "language").collect()
     assert len(none) == 16 and {r.split for r in none} == {"train"} and C.plain_split(df.limit(0), "repo").count() == 0
+
+
+def test_three_step_answers(spark):
+    df = spark.createDataFrame([(1, "why?"), (2, "how?")], "key int, prompt string")
+    got = {r.key: r for r in X.criticised(df, lambda ps: [f"<{p.count(chr(10))}>" for p in ps]).collect()}
+    assert got[1].first == "<0>" and got[1].critique == "<5>" and got[1].reply == "<8>" and len(got) == 2
+
+
+def test_drop_reasons_in_order(spark):
+    cols = "cve_id string, sha string, message string, language string, n_files int, n_functions int"
+    rows = [("a", "1", "fix", "c", 1, 1), ("a", "2", "Bump version", "c", 1, 1), ("a", "3", "fix", "c", 1, 1), ("b", "1", "fix", None, 1, 1), ("c", "1", "fix", "c", 9, 99), ("d", "1", "fix", "c", 8, 13)]
+    got = {(r.cve_id, r.sha): r.reason for r in C.drop_reasons(spark.createDataFrame(rows, cols), ["c"]).collect()}
+    assert got == {("a", "1"): "kept", ("a", "2"): "noisy_message", ("a", "3"): "too_many_commits", ("b", "1"): "language", ("c", "1"): "too_many_files", ("d", "1"): "too_many_functions"}
+
+
+def test_tools(spark):
+    got = spark.createDataFrame([(["java", "python", "cobol"],), ([],)], "l array<string>").select(T.tools_for(F.col("l"))).collect()
+    assert [r[0] for r in got] == [["semgrep", "bandit", "gitleaks"], ["gitleaks"]]
