@@ -377,6 +377,16 @@ def u04_line_cursor(spark, sf):
     return X.line_cursor(lines, ["user_id"], "event_id").drop("raw")
 
 
+@query()
+def u05_fixtures(spark, sf):
+    """As many fixtures as there are samples, with what the rules say of each."""
+    from siltstone.operators.fixtures import fixtures
+
+    f = fixtures(spark, table(spark, sf, "labels").count())
+    found = D.scan(f).groupBy("path").agg(F.count(F.lit(1)).alias("findings"))
+    return f.join(found, "path", "left").select("fixture_id", "technique", "is_malicious", F.coalesce("findings", F.lit(0).cast("long")).alias("findings"))
+
+
 @query("SELECT sample_id, 'Is the following code vulnerable?' || chr(10) || 'Language: ' || language || chr(10) || code || chr(10) || 'Answer with JSON: {\"vulnerable\": true or false, \"cwe\": \"CWE-n\" or null, \"reason\": \"...\"}' AS prompt FROM corpus", "corpus")
 def u06_prompt(spark, sf):
     return corpus(spark, sf).select("sample_id", X.prompt("zero_shot", F.col("language"), F.col("code")).alias("prompt"))

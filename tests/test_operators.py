@@ -540,3 +540,13 @@ def test_drop_reasons_in_order(spark):
 def test_tools(spark):
     got = spark.createDataFrame([(["java", "python", "cobol"],), ([],)], "l array<string>").select(T.tools_for(F.col("l"))).collect()
     assert [r[0] for r in got] == [["semgrep", "bandit", "gitleaks"], ["gitleaks"]]
+
+
+def test_fixtures_are_what_they_look_like(spark):
+    from siltstone.operators.fixtures import TEMPLATES, fixtures
+
+    f = fixtures(spark, 300).cache()
+    assert f.exceptAll(fixtures(spark, 300)).count() == 0 and f.select("technique", F.col("path").substr(-4, 4)).distinct().count() >= 6
+    found = {r.path for r in D.scan(f).select("path").distinct().collect()}
+    assert all((r.path in found) == r.is_malicious and "{" not in r.path for r in f.collect())
+    assert f.select(F.regexp_replace("path", "^f[0-9]+/", "")).distinct().count() > len(TEMPLATES) and fixtures(spark, 0).count() == 0
