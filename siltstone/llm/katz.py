@@ -40,7 +40,7 @@ from .common import materialize, prepare, remainder, scratch_path
 
 U64 = np.uint64
 END, START = U64(0x2545F4914F6CDD1D), U64(0x6C62272E07BB0142)
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 
 
 def pack(a: np.ndarray) -> bytes:
