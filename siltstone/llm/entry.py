@@ -14,6 +14,7 @@ from .katz import katz_scores
 from .kmeans_tree import tree_neighbours
 from .kn_quality import classify
 from .langmask import identify_held_out
+from .postings import rank_documents
 from .tensor_minhash import near_groups
 from .tiered_shards import shard_table
 from .unigram_piece import encode_documents
@@ -59,8 +60,12 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn, op11_ranked_search)}
 
 
 OP1_SQL = """
@@ -83,5 +88,17 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS N, sum(len(w))::BIGINT AS L FROM t WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY 1, 2, 3),
+f AS (SELECT term, floor(1000 * ln(CAST(2 * s.N + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE)))::BIGINT AS w FROM p, s GROUP BY term, s.N),
+i AS (SELECT p.doc_id, p.term, f.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * s.N) // s.L))) AS score FROM p JOIN f USING (term), s),
+a AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM a WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL}
