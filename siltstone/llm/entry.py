@@ -15,6 +15,7 @@ from .kmeans_tree import tree_neighbours
 from .kn_quality import classify
 from .langmask import identify_held_out
 from .postings import rank_documents
+from .repeats import cut_repeats
 from .tensor_minhash import near_groups
 from .tiered_shards import shard_table
 from .unigram_piece import encode_documents
@@ -64,8 +65,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn, op11_ranked_search, op12_repeated_passages)}
 
 
 OP1_SQL = """
@@ -99,6 +104,17 @@ a AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM q JOIN i USING (t
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM a WHERE score > 0) WHERE rank <= 20
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 400)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS pos FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY w) AS c FROM s) WHERE c > 1),
+e AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER o + 200, true) AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, min(pos) AS a, max(pos) + 200 AS b, k FROM (SELECT doc_id, pos, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM e) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g),
+u AS (SELECT p.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN u USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_repeated_passages": OP12_SQL}
