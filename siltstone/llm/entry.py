@@ -19,6 +19,7 @@ from .repeats import cut_repeats
 from .tensor_minhash import near_groups
 from .tiered_shards import shard_table
 from .unigram_piece import encode_documents
+from .voronoi_negatives import hard_negatives
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,12 @@ def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn, op11_ranked_search, op12_repeated_passages)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_piece_codec, op4_minhash_near_dedup, op5_bm25_packing, op6_tiered_shards, op7_kn_quality, op8_katz_scores, op9_tree_neighbours, op10_toxicity_cnn, op11_ranked_search, op12_repeated_passages, op13_hard_negatives)}
 
 
 OP1_SQL = """
@@ -115,6 +120,15 @@ u AS (SELECT p.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, str
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN u USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_repeated_passages": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_repeated_passages": OP12_SQL, "op13_hard_negatives": OP13_SQL}

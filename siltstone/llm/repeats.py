@@ -385,6 +385,19 @@ def _cut(length: int, gram: int, texts: bool):
     return run
 
 
+def repeated(classes: DataFrame) -> DataFrame:
+    """Rows (fp, cls, block, n) of grams that occur more than once: fp, cls, block, first of its class, again (more than one has the class), kinds of the gram.
+
+    One order serves all: of a gram's rows those of a class stand together.
+    """
+    order = W.partitionBy("fp").orderBy("cls", "block")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before, after = F.coalesce(F.lag("cls").over(order) == F.col("cls"), F.lit(False)), F.coalesce(F.lead("cls").over(order) == F.col("cls"), F.lit(False))
+    rows = classes.select("fp", "cls", "block", "n", (~before).alias("first"), (before | after | (F.col("n") > 1)).alias("again"), F.sum("n").over(every).alias("total"))
+    rows = rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(every))
+    return rows.filter("total > 1").select("fp", "cls", "block", "first", "again", "kinds")
+
+
 def covers(contexts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
     """(fp, cls, left, right) of the classes (a written table) that share `length` bytes with another."""
     few = contexts.filter(F.col("kinds") <= group_rows).repartition("fp").sortWithinPartitions("fp", "after")
@@ -399,7 +412,7 @@ def covers(contexts: DataFrame, length: int, gram: int, group_rows: int) -> Data
     return out.unionByName(wide)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, group_rows: int = 4_096, block_bytes: int = 4_000_000, texts: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, group_rows: int = 4_096, block_bytes: int = 1_000_000, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of what is removed, and, with texts, the bytes kept."""
     if not 0 < gram < length:
         raise ValueError("a gram must be shorter than a repeat")
@@ -410,17 +423,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.write.bucketBy(buckets, "block").option("path", scratch_path(spark, "rep-blocks")).option("compression", "none").saveAsTable(name)
     try:
         blocks = spark.table(name)
-        own, gram_ = W.partitionBy("fp", "cls"), W.partitionBy("fp")
-        classes = blocks.mapInArrow(_classes(length, gram), sql(CLASS)).withColumn("first", F.row_number().over(own.orderBy("block")) == 1).withColumn("copies", F.sum("n").over(own))
-        classes = classes.withColumn("total", F.sum("n").over(gram_)).withColumn("kinds", F.sum(F.col("first").cast("long")).over(gram_)).filter("total > 1")
-        classes = materialize(classes.select("fp", "cls", "block", "first", "copies", "kinds"), "rep-classes")
+        classes = materialize(repeated(blocks.mapInArrow(_classes(length, gram), sql(CLASS))), "rep-classes")
         asked = lambda rows, *cols: rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*cols)).alias("asked"))
         ask = asked(classes.filter("first and kinds > 1"), "fp", "cls", "kinds")
         contexts = blocks.join(ask, F.col("block") == F.col("of")).select("block", "lens", "text", "asked").mapInArrow(_contexts(length, gram), sql(CONTEXT))
         wide = covers(materialize(contexts, "rep-contexts"), length, gram, group_rows)
         # a context that occurs again is removed as far as it reaches
-        cover = classes.join(wide, ["fp", "cls"], "left").filter("copies > 1 or left is not null")
-        cover = cover.select("block", "fp", "cls", *(F.when(F.col("copies") > 1, length).otherwise(F.col(c)).cast("int").alias(c) for c in ("left", "right")))
+        cover = classes.join(wide, ["fp", "cls"], "left").filter("again or left is not null")
+        cover = cover.select("block", "fp", "cls", *(F.when(F.col("again"), length).otherwise(F.col(c)).cast("int").alias(c) for c in ("left", "right")))
         tell = asked(cover, "fp", "cls", "left", "right")
         found = blocks.join(tell, F.col("block") == F.col("of"), "left").select("block", "ids", "lens", "text", "asked").mapInArrow(_cut(length, gram, texts), sql(CUT))
         return materialize(found if texts else found.drop("kept"), "rep-cut")
