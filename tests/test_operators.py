@@ -375,11 +375,50 @@ def test_functions_by_braces():
 
 
 def test_text_obfuscation():
-    code = 'import os\ndef run(cmd):\n    total = "hello world"\n    os.system(cmd)\n    eval (total)\n'
+    code = 'import os\ndef run(cmd):\n    """doc"""\n    total = "hello world"\n    os.system(cmd)\n    eval (total)\n'
     out = X.obfuscate(code, 3, 5)
-    assert out == X.obfuscate(code, 3, 5) and "hello world" not in out and "os.system" not in out and "total" not in out
-    assert X.obfuscate(code, 0) == code and "os.system" in X.obfuscate(code, 1)
-    assert 'getattr(os, "sys" + "tem")' in X.split_calls(code) and '"ev" + "al"' in X.split_calls(code)
+    assert out == X.obfuscate(code, 3, 5) and "hello world" not in out and "os.system" not in out and "total" not in out and '"""doc"""' in out
+    assert X.obfuscate(code, 0) == code and "os.system" in X.obfuscate(code, 1) and "hello world" not in X.obfuscate(code, 1)
+    assert "getattr(os, 'sys' + 'tem')" in X.obfuscate(code, 2) and "'ev' + 'al'" in X.obfuscate(code, 2)
+    assert X.obfuscate("def (", 3) is None
+
+
+@pytest.mark.parametrize("level", [1, 2, 3])
+@pytest.mark.parametrize("seed", range(6))
+def test_obfuscated_code_does_the_same(level, seed):
+    code = """
+from __future__ import annotations
+class A:
+    'text of a class'
+    def __init__(self, x):
+        super().__init__()
+        self.__hidden = x
+        self.names = ["alpha", 'b', "", "é\\n", f"x{x!r}y"]
+    def __secret(self):
+        return self.__hidden
+    def all(self):
+        match self.__hidden:
+            case "one":
+                kind = "first"
+            case _:
+                kind = "other"
+        total = sum(len(n) for n in self.names)
+        for k in range(3):
+            if k > 1:
+                total += k
+            else:
+                total -= 1
+        return "-".join(sorted(self.names)), kind, self.__secret(), total, A.__doc__
+result = A("one").all(), A(2).all()
+"""
+    before, after = {}, {}
+    exec(code, before)
+    exec(X.obfuscate(code, level, seed), after)
+    assert before["result"] in after.values() and (level < 2 or ".join" not in X.obfuscate(code, level, seed))
+
+
+def test_split_literals_again():
+    code = 'import os\ndef run(cmd):\n    total = "hello world"\n    os.system(cmd)\n'
     assert X.checked_split(code) and X.checked_split("def (") is None and X.same_when_folded("a = 'x' + 'y'", "a = 'xy'") and not X.same_when_folded("a = 1", "a = 2")
 
 
