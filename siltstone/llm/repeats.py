@@ -388,14 +388,16 @@ def _cut(length: int, gram: int, texts: bool):
 def repeated(classes: DataFrame) -> DataFrame:
     """Rows (fp, cls, block, n) of grams that occur more than once: fp, cls, block, first of its class, again (more than one has the class), kinds of the gram.
 
-    One order serves all: of a gram's rows those of a class stand together.
+    classes is dealt by fp, so that counting and joining need no shuffle.  One order serves all windows: of a gram's rows
+    those of a class stand together.
     """
+    more = classes.groupBy(F.col("fp").alias("more")).agg(F.sum("n").alias("total")).filter("total > 1")
+    classes = classes.join(more.hint("shuffle_hash"), F.col("fp") == F.col("more"), "left_semi")
     order = W.partitionBy("fp").orderBy("cls", "block")
     every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before, after = F.coalesce(F.lag("cls").over(order) == F.col("cls"), F.lit(False)), F.coalesce(F.lead("cls").over(order) == F.col("cls"), F.lit(False))
-    rows = classes.select("fp", "cls", "block", "n", (~before).alias("first"), (before | after | (F.col("n") > 1)).alias("again"), F.sum("n").over(every).alias("total"))
-    rows = rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(every))
-    return rows.filter("total > 1").select("fp", "cls", "block", "first", "again", "kinds")
+    rows = classes.select("fp", "cls", "block", "n", (~before).alias("first"), (before | after | (F.col("n") > 1)).alias("again"))
+    return rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(every))
 
 
 def covers(contexts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
@@ -418,12 +420,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("a gram must be shorter than a repeat")
     spark = docs.sparkSession
     prepare(spark)
-    name, buckets = f"rep_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_blocks(block_bytes), sql(BLOCK))
-    rows.write.bucketBy(buckets, "block").option("path", scratch_path(spark, "rep-blocks")).option("compression", "none").saveAsTable(name)
+    buckets, names = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+
+    def bucketed(rows: DataFrame, key: str) -> DataFrame:
+        names.append(f"rep_{key}_{uuid.uuid4().hex}")
+        rows.write.bucketBy(buckets, key).option("path", scratch_path(spark, f"rep-{key}")).saveAsTable(names[-1])
+        return spark.table(names[-1])
+
     try:
-        blocks = spark.table(name)
-        classes = materialize(repeated(blocks.mapInArrow(_classes(length, gram), sql(CLASS))), "rep-classes")
+        rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_blocks(block_bytes), sql(BLOCK))
+        blocks = bucketed(rows, "block")
+        classes = bucketed(blocks.mapInArrow(_classes(length, gram), sql(CLASS)).repartition(buckets, "fp"), "fp")
+        classes = materialize(repeated(classes), "rep-classes")
         asked = lambda rows, *cols: rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*cols)).alias("asked"))
         ask = asked(classes.filter("first and kinds > 1"), "fp", "cls", "kinds")
         contexts = blocks.join(ask, F.col("block") == F.col("of")).select("block", "lens", "text", "asked").mapInArrow(_contexts(length, gram), sql(CONTEXT))
@@ -435,7 +443,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = blocks.join(tell, F.col("block") == F.col("of"), "left").select("block", "ids", "lens", "text", "asked").mapInArrow(_cut(length, gram, texts), sql(CUT))
         return materialize(found if texts else found.drop("kept"), "rep-cut")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
