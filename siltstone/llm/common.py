@@ -73,7 +73,7 @@ def one_of_each(docs: DataFrame, repeated: DataFrame, *own: F.Column) -> DataFra
     """
     if repeated.isEmpty():
         return docs
-    names = [f"key__{k}" for k in range(len(own))]
+    names = [fresh(docs, f"key__{k}") for k in range(len(own))]
     keys = sized(repeated.toDF(*names))
     same = F.lit(True)
     for name, x in zip(names, own):
@@ -83,6 +83,15 @@ def one_of_each(docs: DataFrame, repeated: DataFrame, *own: F.Column) -> DataFra
     return docs.join(keys, same, "left_anti").unionByName(one.select("row__.*"))
 
 
+def without(docs: DataFrame, dropped: DataFrame, *own: F.Column) -> DataFrame:
+    """docs less the rows whose own expressions equal a row of dropped, a written table; null equals null.  No column name of docs gets in the way."""
+    names = [fresh(docs, f"dropped__{k}") for k in range(len(own))]
+    same = F.lit(True)
+    for name, x in zip(names, own):
+        same = same & x.eqNullSafe(F.col(name))
+    return docs.join(sized(dropped.toDF(*names)), same, "left_anti")
+
+
 def ascii_lower(text: F.Column) -> F.Column:
     """Lower-case A-Z only; null counts as empty.  Pure ASCII takes the fast built-in."""
     text = F.coalesce(text, F.lit(""))

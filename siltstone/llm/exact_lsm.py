@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialize, one_of_each, scratch_path, sized
+from .common import ascii_lower, discard, materialize, one_of_each, scratch_path, sized, without
 
 #: Bits of a slot's bitmap, digests that it should hold, and bits that one digest sets.
 BITS, SLOT_ROWS, HASHES = 32_768, 3_000, 3
@@ -164,8 +164,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each group of equal texts, that of exact_groups' keep_id; all columns stay as they are."""
     groups = materialize(exact_groups(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "lsm-groups")
     key = docs[id_col].cast("long"), F.unhex(F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256))
-    dropped = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped__id"), F.col("sha").alias("dropped__sha")).distinct(), "lsm-dropped")
-    rest = docs.join(sized(dropped), key[0].eqNullSafe(F.col("dropped__id")) & (key[1] == F.col("dropped__sha")), "left_anti")
+    dropped = materialize(groups.filter(~F.col("kept")).select("doc_id", "sha").distinct(), "lsm-dropped")
+    rest = without(docs, dropped, *key)
     again = materialize(groups.filter("kept").groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "sha"), "lsm-repeated")
     text = F.col(f"`{text_col}`")
     return one_of_each(rest, again, F.col(f"`{id_col}`").cast("long"), F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)))

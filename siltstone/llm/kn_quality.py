@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, prepare, remainder, scratch_path, sized
+from .common import materialize, prepare, remainder, scratch_path, sized, without
 from .katz import pack, pack_keys, unpack, unpack_keys
 
 #: Bits of a token; bytes stand for themselves.
@@ -300,7 +300,5 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def drop_low(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rejected rows; columns stay as they are."""
-    rejected = judged(docs, labels, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected__id"), F.col("digest").alias("rejected__digest"))
-    rejected = sized(materialize(rejected.distinct(), "kn-rejected"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("rejected__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("rejected__digest"))
-    return docs.join(rejected, same, "left_anti")
+    rejected = judged(docs, labels, id_col, text_col, lang_col).filter(~F.col("kept")).select("doc_id", "digest").distinct()
+    return without(docs, materialize(rejected, "kn-rejected"), docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string")))

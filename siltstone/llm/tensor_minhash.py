@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, one_of_each, prepare, sized
+from .common import materialize, one_of_each, prepare, sized, without
 from .components import components
 
 WIDTH = 3
@@ -275,6 +275,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = first.join(sized(several), ["doc_id", "cluster"]).filter("text_hash <> stays")
     dropped = materialize(rows.filter("doc_id <> component_id").select("doc_id", "text_hash").union(others.select("doc_id", "text_hash")).distinct(), "mh-dropped")
     own = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
-    left = sized(dropped.toDF("dropped__id", "dropped__hash"))
-    rest = docs.join(left, (own[0] == F.col("dropped__id")) & (own[1] == F.col("dropped__hash")), "left_anti")
+    rest = without(docs, dropped, *own)
     return one_of_each(rest, several.select("doc_id", "stays"), F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string")))

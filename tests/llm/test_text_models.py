@@ -381,6 +381,7 @@ def test_toxicity(spark):
 
 def test_threshold():
     assert best_threshold(np.array([0.0, 1, 2, 3]), np.array([0, 0, 1, 1])) == 1.5
+    assert best_threshold(np.array([1.0, 1, 1, 1]), np.array([0, 1, 0, 1])) == 1.5  # equal values are never cut apart
 
 
 def test_pipeline_stages(spark, tmp_path):
