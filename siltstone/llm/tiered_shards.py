@@ -1,9 +1,10 @@
 """Sharding by size-tiered compaction, in DataFrame operations only.
 
 A store is a folder: data/<commit>/part-*.parquet are immutable shards, manifest/<version>.json
-lists the shards of a version.  append() writes an arrival as small shards; compact() merges the
-shards of a tier once there are `fan_in` of them - tier t holds sizes from target / fan_in**(t+1)
-up - into files of about `target_bytes`, tier by tier.  Each commit writes its data first and then
+lists the shards of a version.  append() writes an arrival as small shards; compact() merges runs of
+`fan_in` shards of a tier - tier t holds sizes from target / fan_in**t up to fan_in times that - into shards of the
+tier above, smallest tiers first, until files have about `target_bytes`.  Full runs of a tier are merged side by
+side, each by a job without a shuffle, and committed together.  Each commit writes its data first and then
 creates the next manifest by renaming a finished file to a name that must not exist, so readers see
 one whole version or another, and a writer that lost the race tries again on the newer version.
 Files of a task that ran twice are not listed by Spark's committed output, hence never in a manifest.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,44 +119,72 @@ class ShardStore:
         return reader.parquet(*files) if files else self.spark.createDataFrame([], schema)
 
     def plan(self) -> list[list[dict]]:
-        """Runs to merge: all shards of a tier (and of those below, smaller ones first) that has fan_in of them."""
-        shards = sorted((s for s in self.manifest()["shards"] if self.tier(s["bytes"]) > 0), key=lambda s: (s["bytes"], s["file"]))
+        """Runs to merge: the smallest tier that has fan_in shards, in runs of fan_in, smaller shards first; what is left over stays."""
         tiers: dict[int, list[dict]] = {}
-        for s in shards:
+        for s in sorted(self.manifest()["shards"], key=lambda s: (s["bytes"], s["file"])):
             tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-        return [run for _, run in sorted(tiers.items(), reverse=True) if len(run) >= self.fan_in]
+        full = [t for t, shards in tiers.items() if t > 0 and len(shards) >= self.fan_in]
+        shards = tiers[max(full)] if full else []
+        return [shards[k : k + self.fan_in] for k in range(0, len(shards) - self.fan_in + 1, self.fan_in)]
 
-    def compact(self) -> dict:
-        """Merge until no tier has fan_in shards; each merge is a commit of its own."""
-        while runs := self.plan():
-            for run in runs:
-                files, size = [s["file"] for s in run], sum(s["bytes"] for s in run)
-                merged = self._write(self.spark.read.parquet(*files).coalesce(max(1, round(size / self.target))))
-                gone = set(files)
+    def merge(self, runs: list[list[dict]]) -> dict:
+        """Replace the shards of each run by larger ones, in one commit; nothing changes if one of them is gone by then."""
+        def larger(run: list[dict]) -> list[dict]:
+            return self._write(self.spark.read.parquet(*(s["file"] for s in run)).coalesce(max(1, round(sum(s["bytes"] for s in run) / self.target))))
 
-                def swap(base: dict, gone=gone, merged=merged) -> list[dict] | None:
-                    here = {s["file"] for s in base["shards"]}
-                    return None if not gone <= here else [s for s in base["shards"] if s["file"] not in gone] + merged
+        with ThreadPool(min(8, len(runs))) as pool:  # Spark runs the jobs side by side
+            merged = [s for shards in pool.map(larger, runs) for s in shards]
+        gone = {s["file"] for run in runs for s in run}
 
-                self._commit(swap)
-        return self.manifest()
+        def swap(base: dict) -> list[dict] | None:
+            here = {s["file"] for s in base["shards"]}
+            return None if not gone <= here else [s for s in base["shards"] if s["file"] not in gone] + merged
+
+        return self._commit(swap)
+
+    def compact(self, at_once: int = 32, keep: int | None = None) -> list[int]:
+        """Merge until no tier has fan_in shards, at most at_once runs in a commit; the tier of each run that was merged.
+
+        keep: how many versions vacuum() leaves after each commit; without it all stay.
+        """
+        done = []
+        while runs := self.plan()[:at_once]:
+            done += [self.tier(run[0]["bytes"]) for run in runs]
+            self.merge(runs)
+            if keep:
+                self.vacuum(keep)
+        return done
 
 
 def arrivals(store: ShardStore, docs: DataFrame, id_col: str, number: int) -> None:
-    """Append docs in `number` arrivals, by a hash of the id; docs is read once."""
+    """Append docs in `number` arrivals, by a hash of the id; docs is read once, and each task adds a shard to an arrival it has rows of."""
     name = fresh(docs, "arrival")
     store.append_parts(docs.withColumn(name, F.pmod(F.xxhash64(id_col), number)), name)
 
 
-def shard_table(docs: DataFrame, id_col: str = "doc_id", number: int = 3, target_bytes: int = 32 << 20, fan_in: int = 4, root: str | None = None) -> DataFrame:
+def _task_bytes(docs: DataFrame) -> int:
+    """What one task reads of docs at most, by the optimiser's estimate, in which files count with their size."""
+    state = docs.sparkSession._jsparkSession.sessionState().conf()
+    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(held // max(1, len(docs.inputFiles())), int(state.filesMaxPartitionBytes()))
+
+
+def shard_table(docs: DataFrame, id_col: str = "doc_id", number: int | None = None, target_bytes: int = 32 << 20, fan_in: int = 4, root: str | None = None) -> DataFrame:
     """Stores docs by arrivals and compaction; all their rows and columns as the last version holds
     them, with the columns shard (file), shard_bytes and store_version (underscores are added to
-    names that docs has)."""
+    names that docs has).
+
+    number: of arrivals; as many as make shards of target_bytes / fan_in ** 2 by default, fan_in ** 2 at least, so that two
+    tiers are merged on the way to the target.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, root or scratch_path(spark, "shards"), target_bytes, fan_in)
+    if number is None:
+        number = fan_in**2 * max(1, math.ceil(_task_bytes(docs) / target_bytes))
     arrivals(store, docs, id_col, number)
-    manifest = store.compact()
+    store.compact(keep=2)  # readers of the version before the last may go on
     store.vacuum()
+    manifest = store.manifest()
     rows = store.read(schema=docs.schema)
     names = []
     for name in ("shard", "shard_bytes", "store_version"):

@@ -45,11 +45,30 @@ def test_shards_hold_every_row(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path / "store"), 40_000, 3)
     listed = {s["file"].split("/data/")[1] for s in store.manifest()["shards"]}
     assert {r.shard for r in out.select("shard").distinct().collect()} <= listed
-    assert not store.plan() and len(store.versions()) == 1
+    assert not store.plan() and len(store.versions()) == 1 and store.versions()[-1] > 5
     files = {f.split("/data/")[1] for f in map(str, (tmp_path / "store" / "data").rglob("part-*.parquet"))}
     assert files == listed
 
 
+def test_registered_query_merges_two_tiers(spark, monkeypatch, tmp_path):
+    """With the query's own parameters: sixteen arrivals become four shards, and these one."""
+    done, compact = [], ShardStore.compact
+    monkeypatch.setattr(ShardStore, "compact", lambda self, **how: done.extend(compact(self, **how)))
+    docs_of(spark, [(i, " ".join(str(i * k * 7919 % 5003) for k in range(60))) for i in range(4000)]).coalesce(1).write.parquet(str(tmp_path / "d.parquet"))
+    out = shard_table(spark.read.parquet(str(tmp_path / "d.parquet")))
+    assert len(done) == 5 and len(set(done[:4])) == 1 and done[4] < done[0]
+    assert out.count() == 4000 and out.select("shard").distinct().count() == 1 and out.first().store_version == 18
+
+
+def test_left_over_shards_stay(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), 100_000, 3)
+    for k in range(8):
+        store.append(docs_of(spark, [(k, f"{k} " * 3000)]).coalesce(1))
+    assert [len(r) for r in store.plan()] == [3, 3]
+    tiers = store.compact()  # two runs of three in one commit; what they become may be a run with the two that were left
+    assert len(tiers) >= 2 and not store.plan() and len(store.manifest()["shards"]) == 8 - 2 * len(tiers) and store.read().count() == 8 and store.versions()[-1] == 7 + len(tiers)
+
+
 def test_versions_stay_until_vacuum(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path / "s"), 10_000, 2)
     for k in range(5):
