@@ -18,7 +18,8 @@ A repeat is a string of `length` bytes that starts in more than one place, of an
 
 Texts stay where they were scanned, as compressed blocks in a table bucketed by block; anchors are found again
 where they are needed, and only hashes and contexts move.  Documents are read in tiles, so that long ones need no more
-memory than their own text.  Grams and classes are told apart by 128 bits of two hashes.
+memory than their own text.  Classes are told apart by 128 bits of two hashes, grams by 64; beyond the gram the
+bytes themselves are compared.
 
 Semantics: texts are their UTF-8 bytes; a null text is empty.  Rows are documents of their own, also where they
 repeat an id or have none: copies of a text of `length` bytes or more go whole, the first one too.  Matches never cross
@@ -40,12 +41,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, prepare, scratch_path
+from .common import discard, materialize, prepare, scratch_path
 
 U64 = np.uint64
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("text", pa.binary())])
-CLASS = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
-CONTEXT = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("kinds", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+CLASS = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("block", pa.int64()), ("place", pa.int32())])
+CONTEXT = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 COVER = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
 WINDOW = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -169,17 +170,25 @@ def _joined(found: list[Anchors], column: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(getattr(x, column) for x in found)])
 
 
+def numbered(found: list[Anchors]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a block's anchors by (fp, cls), where in it each class begins, and the class number of each anchor in its own order."""
+    order, new = same(_joined(found, "fp", U64), _joined(found, "cls", U64))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    return order, new, number
+
+
 def _classes(length: int, gram: int):
-    """Blocks -> (fp, cls, block, n): the different contexts of a block and how often it has them."""
+    """Blocks -> (fp, cls, block, place): the different contexts of a block; place is twice the class' number in the block, and 1 more if the block has it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, off in _opened(batch):
                 found = [x for _, _, x in tiles(data, off, length, gram)]
-                fp, cls = _joined(found, "fp", U64), _joined(found, "cls", U64)
-                order, new = same(fp, cls)
-                first, n = order[new], np.diff(np.append(new, len(order)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[first].view(np.int64)), pa.array(cls[first].view(np.int64)), pa.array(np.full(len(n), row.column("block")[0].as_py())), pa.array(n)], schema=CLASS)
+                order, new, _ = numbered(found)
+                first, again = order[new], np.diff(np.append(new, len(order))) > 1
+                hashes = [pa.array(_joined(found, c, U64)[first].view(np.int64)) for c in ("fp", "cls")]
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(len(new), row.column("block")[0].as_py())), pa.array(2 * np.arange(len(new)) + again, pa.int32())], schema=CLASS)
 
     return run
 
@@ -190,34 +199,23 @@ def _asked(row: pa.RecordBatch) -> list[np.ndarray]:
     return [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
 
 
-def _found(fp: np.ndarray, cls: np.ndarray, own_fp: np.ndarray, own_cls: np.ndarray) -> np.ndarray:
-    """For each own (fp, cls) its place among (fp, cls), which are different ones; -1 where it is not there."""
-    n = len(fp)
-    order, new = same(np.concatenate([fp, own_fp]), np.concatenate([cls, own_cls]))
-    run = np.zeros(len(order), np.int64)
-    run[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-    at = np.full(len(new), -1)
-    at[run[:n]] = np.arange(n)
-    return at[run[n:]]
-
-
 def _contexts(length: int, gram: int):
-    """Blocks with asked array<struct(fp, cls, kinds)> -> the contexts' bytes; what stands before is reversed."""
+    """Blocks with asked array<struct(place, fp, cls)> -> the contexts' bytes but for the gram; what stands before is reversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, off in _opened(batch):
-                fp, cls, kinds = _asked(row)
-                open_, out = np.ones(len(fp), bool), []
-                for _, own, x in tiles(data, off, length, gram):
-                    at = _found(fp.view(U64), cls.view(U64), x.fp, x.cls)
-                    for k in np.flatnonzero(at >= 0):
-                        if open_[at[k]]:
-                            open_[at[k]] = False
-                            p, low, high = x.at[k], x.at[k] - x.left[k], x.at[k] + x.right[k]
-                            out.append((int(fp[at[k]]), int(cls[at[k]]), int(kinds[at[k]]), own[low:p][::-1].tobytes(), own[p:high].tobytes()))
-                for a in range(0, len(out), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 10_000]), CONTEXT)], schema=CONTEXT)
+                place, fp, cls = _asked(row)
+                pieces = list(tiles(data, off, length, gram))
+                order, new, _ = numbered([x for _, _, x in pieces])
+                wanted = order[new[place // 2]]  # the first anchor of each class asked for
+                at = np.concatenate([np.zeros(0, np.int64), *(low + x.at for low, _, x in pieces)])[wanted]
+                left, right = (_joined([x for _, _, x in pieces], c, np.int64)[wanted] for c in ("left", "right"))
+                before = [data[p - l : p][::-1].tobytes() for p, l in zip(at, left)]
+                after = [data[p + gram : p + r].tobytes() for p, r in zip(at, right)]
+                for a in range(0, len(at), 10_000):
+                    b = a + 10_000
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[a:b]), pa.array(cls[a:b]), pa.array(before[a:b], pa.binary()), pa.array(after[a:b], pa.binary())], schema=CONTEXT)
 
     return run
 
@@ -278,10 +276,11 @@ def maximal(lcp: np.ndarray, lcs: np.ndarray, rank: np.ndarray, length: int, gra
 def _repeats(batch: pa.Table | pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, left, right) of the repeats of contexts sorted by (fp, after), whole groups of fp: first pairs, then larger groups."""
     fp = batch.column("fp").to_numpy()
-    after, after_len = padded(batch.column("after"), length)
+    after, after_len = padded(batch.column("after"), length - gram)
     before, before_len = padded(batch.column("before"), length - gram)
     group = np.append(0, np.cumsum(fp[1:] != fp[:-1]))
     lcp = common(after, after_len, group)
+    lcp = np.where(lcp < 0, lcp, lcp + gram)  # all have the gram itself
     order = np.lexsort((before_len, before.view(f"S{length - gram}").ravel(), group))
     lcs = common(before[order], before_len[order], group[order])
     rank = np.empty(len(fp), np.int64)
@@ -316,7 +315,7 @@ def _widest(length: int, gram: int):
         for batch in batches:
             if not len(batch):
                 continue
-            batch = batch.select(["fp", "cls", "kinds", "before", "after"])
+            batch = batch.select(["fp", "cls", "before", "after"])
             fp = batch.column("fp").to_numpy()
             last = int(np.flatnonzero(fp == fp[-1])[0])  # rows of one fp stand together
             if last == 0 and held and held[-1].column("fp")[-1].as_py() == fp[0]:
@@ -332,43 +331,45 @@ def _widest(length: int, gram: int):
 
 
 def _windows(length: int, gram: int):
-    """Contexts -> all their windows, each by its offset before the anchor and two hashes."""
+    """Contexts -> all their windows less the gram, each by its offset before the anchor and two hashes."""
+    side = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 500):
                 some = batch.slice(a, 500)
-                before, before_len = padded(some.column("before"), length - gram)
-                after, after_len = padded(some.column("after"), length)
+                before, before_len = padded(some.column("before"), side)
+                after, after_len = padded(some.column("after"), side)
                 text = np.concatenate([before[:, ::-1], after], axis=1)
-                row, at = np.nonzero((np.arange(length - gram + 1) <= before_len[:, None]) & (length - np.arange(length - gram + 1) <= after_len[:, None]))
-                start = row * text.shape[1] + (length - gram) - at
-                order = np.argsort(start)
-                row, at, start = row[order], at[order], start[order]
-                flat = text.ravel()
-                hashes = [K.span_hashes(x, start, start + length) for x in (flat, 255 - flat)]
+                offsets = np.arange(side, -1, -1)  # so that windows begin in order
+                row, k = np.nonzero((offsets <= before_len[:, None]) & (side - offsets <= after_len[:, None]))
+                start, flat = row * text.shape[1] + k, text.ravel()
+                hashes = [K.span_hashes(x, start, start + side) for x in (flat, 255 - flat)]
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([some.column("fp").take(rows), some.column("cls").take(rows), pa.array(at, pa.int32()), *(pa.array(h.view(np.int64)) for h in hashes)], schema=WINDOW)
+                yield pa.RecordBatch.from_arrays([some.column("fp").take(rows), some.column("cls").take(rows), pa.array(offsets[k], pa.int32()), *(pa.array(h.view(np.int64)) for h in hashes)], schema=WINDOW)
 
     return run
 
 
 def _cut(length: int, gram: int, texts: bool):
-    """Blocks with asked array<struct(fp, cls, left, right)>, or null -> a row for each document."""
+    """Blocks with asked array<struct(place, left, right)>, or null -> a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, off in _opened(batch):
                 mark = np.zeros(len(data) + 1, np.int32)
                 if row.column("asked").null_count == 0:
-                    fp, cls, left, right = _asked(row)
-                    for low, _, x in tiles(data, off, length, gram):
-                        at = _found(fp.view(U64), cls.view(U64), x.fp, x.cls)
-                        hit = np.flatnonzero(at >= 0)
-                        l, r = np.minimum(left[at[hit]], x.left[hit]), np.minimum(right[at[hit]], x.right[hit])
-                        hit, l, r = hit[l + r >= length], l[l + r >= length], r[l + r >= length]
-                        np.add.at(mark, low + x.at[hit] - l, 1)
-                        np.add.at(mark, low + x.at[hit] + r, -1)
+                    place, left, right = _asked(row)
+                    pieces = list(tiles(data, off, length, gram))
+                    _, new, number = numbered([x for _, _, x in pieces])
+                    wide = np.full((2, len(new)), -length)
+                    wide[:, place // 2] = left, right
+                    at = np.concatenate([low + x.at for low, _, x in pieces])
+                    own = [_joined([x for _, _, x in pieces], c, np.int64) for c in ("left", "right")]
+                    l, r = (np.minimum(w[number], o) for w, o in zip(wide, own))
+                    hit = l + r >= length
+                    np.add.at(mark, (at - l)[hit], 1)
+                    np.add.at(mark, (at + r)[hit], -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 edge = np.zeros(len(data) + 1, bool)
                 edge[off] = True
@@ -386,32 +387,30 @@ def _cut(length: int, gram: int, texts: bool):
 
 
 def repeated(classes: DataFrame) -> DataFrame:
-    """Rows (fp, cls, block, n) of grams that occur more than once: fp, cls, block, first of its class, again (more than one has the class), kinds of the gram.
+    """Rows of grams that occur more than once: fp, cls, block, place, first of its class, again (there is more of the class), kinds of the gram.
 
     classes is dealt by fp, so that counting and joining need no shuffle.  One order serves all windows: of a gram's rows
     those of a class stand together.
     """
-    more = classes.groupBy(F.col("fp").alias("more")).agg(F.sum("n").alias("total")).filter("total > 1")
+    more = classes.groupBy(F.col("fp").alias("more")).agg(F.sum(1 + F.col("place") % 2).alias("total")).filter("total > 1")
     classes = classes.join(more.hint("shuffle_hash"), F.col("fp") == F.col("more"), "left_semi")
     order = W.partitionBy("fp").orderBy("cls", "block")
     every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before, after = F.coalesce(F.lag("cls").over(order) == F.col("cls"), F.lit(False)), F.coalesce(F.lead("cls").over(order) == F.col("cls"), F.lit(False))
-    rows = classes.select("fp", "cls", "block", "n", (~before).alias("first"), (before | after | (F.col("n") > 1)).alias("again"))
+    rows = classes.select("fp", "cls", "block", "place", (~before).alias("first"), (before | after | (F.col("place") % 2 == 1)).alias("again"))
     return rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(every))
 
 
-def covers(contexts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
-    """(fp, cls, left, right) of the classes (a written table) that share `length` bytes with another."""
-    few = contexts.filter(F.col("kinds") <= group_rows).repartition("fp").sortWithinPartitions("fp", "after")
-    out = few.mapInArrow(_widest(length, gram), sql(COVER))
-    many = contexts.filter(F.col("kinds") > group_rows)
-    if many.isEmpty():
-        return out
-    windows = materialize(many.mapInArrow(_windows(length, gram), sql(WINDOW)), "rep-windows")
-    key = ["fp", "at", "h1", "h2"]
+def cover_by_tree(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(fp, cls, left, right) of the classes that share `length` bytes with another of their gram."""
+    return contexts.repartition("fp").sortWithinPartitions("fp", "after").mapInArrow(_widest(length, gram), sql(COVER))
+
+
+def cover_by_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for any number of classes of a gram: each window is a row, and equal ones are counted."""
+    windows, key = materialize(contexts.mapInArrow(_windows(length, gram), sql(WINDOW)), "rep-windows"), ["fp", "at", "h1", "h2"]
     shared = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    wide = windows.join(shared, key, "left_semi").groupBy("fp", "cls").agg(F.max("at").alias("left"), (length - F.min("at")).cast("int").alias("right"))
-    return out.unionByName(wide)
+    return windows.join(shared, key, "left_semi").groupBy("fp", "cls").agg(F.max("at").alias("left"), (length - F.min("at")).cast("int").alias("right"))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, group_rows: int = 4_096, block_bytes: int = 1_000_000, texts: bool = False) -> DataFrame:
@@ -430,16 +429,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     try:
         rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_blocks(block_bytes), sql(BLOCK))
         blocks = bucketed(rows, "block")
-        classes = bucketed(blocks.mapInArrow(_classes(length, gram), sql(CLASS)).repartition(buckets, "fp"), "fp")
-        classes = materialize(repeated(classes), "rep-classes")
+        every = bucketed(blocks.mapInArrow(_classes(length, gram), sql(CLASS)).repartition(buckets, "fp"), "fp")
+        classes = bucketed(repeated(every), "fp")
+        discard(every)
         asked = lambda rows, *cols: rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*cols)).alias("asked"))
-        ask = asked(classes.filter("first and kinds > 1"), "fp", "cls", "kinds")
-        contexts = blocks.join(ask, F.col("block") == F.col("of")).select("block", "lens", "text", "asked").mapInArrow(_contexts(length, gram), sql(CONTEXT))
-        wide = covers(materialize(contexts, "rep-contexts"), length, gram, group_rows)
+
+        def contexts(rows: DataFrame) -> DataFrame:
+            ask = asked(rows, "place", "fp", "cls")
+            return blocks.join(ask, F.col("block") == F.col("of")).select("block", "lens", "text", "asked").mapInArrow(_contexts(length, gram), sql(CONTEXT))
+
+        reps = classes.filter("first and kinds > 1")
+        wide, many = cover_by_tree(contexts(reps.filter(F.col("kinds") <= group_rows)), length, gram), reps.filter(F.col("kinds") > group_rows)
+        if not many.isEmpty():
+            wide = wide.unionByName(cover_by_windows(contexts(many), length, gram))
         # a context that occurs again is removed as far as it reaches
         cover = classes.join(wide, ["fp", "cls"], "left").filter("again or left is not null")
-        cover = cover.select("block", "fp", "cls", *(F.when(F.col("again"), length).otherwise(F.col(c)).cast("int").alias(c) for c in ("left", "right")))
-        tell = asked(cover, "fp", "cls", "left", "right")
+        cover = cover.select("block", "place", *(F.when(F.col("again"), length).otherwise(F.col(c)).cast("int").alias(c) for c in ("left", "right")))
+        tell = asked(cover, "place", "left", "right")
         found = blocks.join(tell, F.col("block") == F.col("of"), "left").select("block", "ids", "lens", "text", "asked").mapInArrow(_cut(length, gram, texts), sql(CUT))
         return materialize(found if texts else found.drop("kept"), "rep-cut")
     finally:
