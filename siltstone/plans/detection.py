@@ -9,6 +9,7 @@ from siltstone.operators import detect as D
 from siltstone.operators import parse as P
 from siltstone.operators import records as R
 from siltstone.operators import transform as X
+from siltstone.operators.rulesets import rules_of
 
 from .registry import query
 from .sampling import _BASE, _CODE, _EXT, _MANIFEST, _SECRET, PRIORITY_SQL
@@ -182,6 +183,19 @@ def r07_rule_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(D.rule_hits(F.col("text"), rules), ",").alias("rules"))
 
 
+_RULES = r"""r AS (SELECT item_id, w[1] || '[^a-zA-Z]+(?i:' || w[2] || ')[^a-zA-Z]+' || w[3] AS pattern FROM (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]{2,}') AS w FROM benchmark) WHERE len(w) > 2)"""
+
+
+@query(f"WITH {_RULES}, h AS (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS rules FROM documents JOIN r ON regexp_matches(text, pattern) GROUP BY 1) SELECT d.doc_id, coalesce(h.rules, '') AS rules FROM documents d LEFT JOIN h USING (doc_id)")
+def r07_rule_set(spark, sf):
+    """A rule for each item of the benchmark: its first three words, in any case the second one; all rules over all documents."""
+    w = F.regexp_extract_all("text", F.lit("[a-zA-Z]{2,}"), F.lit(0))
+    rules = table(spark, sf, "benchmark").select("item_id", w.alias("w")).filter(F.size("w") > 2)
+    pattern = F.concat(F.get("w", 0), F.lit("[^a-zA-Z]+(?i:"), F.get("w", 1), F.lit(")[^a-zA-Z]+"), F.get("w", 2))
+    found = rules_of(rules.select(F.format_string("%012d", "item_id").alias("name"), pattern.alias("pattern")), "name", "pattern").hits(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join(F.transform("rules", lambda r: r.cast("long").cast("string")), ",").alias("rules"))
+
+
 @query(r"SELECT doc_id, regexp_matches(text, 'requests|subprocess|urllib|socket|os\.system|os\.environ|\beval\b|\bexec\b|base64|https?\.get|child_process') AS suspicious FROM documents")
 def r08_capability_flag(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(D.SUSPICIOUS_CALL).alias("suspicious"))

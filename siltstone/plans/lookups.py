@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import lookup as L
+from siltstone.operators.curate import shared_path
+from siltstone.sources.replies import ReplyStore, request_key, stub_replies
 
 from .registry import query
 from .views import advisories, corpus, dependencies, files, findings, table
@@ -194,3 +196,13 @@ def r14_agreement(spark, sf):
     theirs = f.filter("event_type = 'error'").select(F.col("event_id").alias("static"), "cwe")
     same = _candidates(spark, sf).filter(F.col("cwe") == F.col("cwe_r"))
     return L.comparison(ours, theirs, L.greedy_matches(same, "file", "ai", "static"), "ai", "static")
+
+
+@query("SELECT conv_id, turn, ('0x' || substr(md5(coalesce(text, '')), 1, 2))::INT % 2 = 1 AS vulnerable FROM conversations")
+def s12_durable_replies(spark, sf):
+    """Every turn is put to the stub model, part by part; equal texts are one request, and the answers come from the store."""
+    prompt = F.coalesce("text", F.lit(""))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", prompt.alias("prompt"), request_key(F.lit("stub"), prompt).alias("key"))
+    answers = ReplyStore(spark, shared_path(spark, "replies")).ask(turns.select("key", "prompt"), stub_replies, part_rows=5_000)
+    verdict = F.get_json_object("reply", "$.vulnerable").cast("boolean")
+    return turns.join(answers.select("key", verdict.alias("vulnerable")), "key").select("conv_id", "turn", "vulnerable")
