@@ -29,6 +29,9 @@ SUSPICIOUS_HOST = r"(?i)\b(?:pastebin\.com|paste\.ee|hastebin|ghostbin|transfer\
 HIGH_VALUE = r"(SSH_AUTH_SOCK|\.ssh/id_|\.aws/credentials|\.npmrc|\.pypirc|\.docker/config\.json|wallet\.dat|User Data[\\/].*(Login Data|Cookies)|cookies\.sqlite|key[34]\.db|logins\.json|AWS_SECRET_ACCESS_KEY|GITHUB_TOKEN|NPM_TOKEN)"
 BULK_ENVIRONMENT = r"(?:os\.environ|process\.env)\s*(?![.\[\w])"
 NET_SEND = r"(requests\.(?:post|put|patch)|urllib\.request\.urlopen|http\.client|fetch\s*\(|axios\.(?:post|put|patch)|XMLHttpRequest|socket\.(?:connect|create_connection)|curl\s|wget\s)"
+HOOK_FETCH = r"curl|wget|https?://|\|\s*(?:sh|bash)"
+MAKE_FETCH = r"(curl|wget)[^\n|]*\|\s*(ba)?sh"
+NEAR_SEND = f"(?s){NET_SEND}(?=.{{0,299}}?(?:{HIGH_VALUE}|{BULK_ENVIRONMENT}))"
 SUSPICIOUS_CALL = r"requests|subprocess|urllib|socket|os\.system|os\.environ|\beval\b|\bexec\b|base64|https?\.get|child_process"
 SEVERITY_WEIGHT = {"CRITICAL": 10, "HIGH": 7, "MEDIUM": 4, "MODERATE": 4, "LOW": 1}
 EVIDENCE_WEIGHT = {"known": 2.0, "known_location": 1.0, "novel": 0.5, "unconfirmed": 0.3}
@@ -59,12 +62,12 @@ def found(kind: str, severity: str | Column, test: Column) -> Column:
 def install_hooks(name: Column, text: Column) -> list[Column]:
     scripts = F.from_json(F.get_json_object(text, "$.scripts"), "map<string,string>")
     hooked = F.map_filter(F.coalesce(scripts, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*INSTALL_HOOKS))
-    runs = F.exists(F.map_values(hooked), lambda v: v.rlike(DYNAMIC_EXEC) | v.rlike(r"curl|wget|https?://|\|\s*(?:sh|bash)"))
+    runs = F.exists(F.map_values(hooked), lambda v: v.rlike(DYNAMIC_EXEC) | v.rlike(HOOK_FETCH))
     return [
         found("install_hook", F.when(runs, "CRITICAL").otherwise("HIGH"), (name == "package.json") & (F.size(hooked) > 0)),
         found("install_hook", "CRITICAL", (name == "setup.py") & text.rlike(SETUP_EXEC)),
         found("install_hook", "HIGH", name.isin("build.gradle", "build.gradle.kts") & text.rlike(GRADLE_EXEC)),
-        found("install_hook", "CRITICAL", (name == "makefile") & text.rlike(r"(curl|wget)[^\n|]*\|\s*(ba)?sh")),
+        found("install_hook", "CRITICAL", (name == "makefile") & text.rlike(MAKE_FETCH)),
     ]
 
 
@@ -88,7 +91,7 @@ def obfuscation(text: Column) -> Column:
 def network(text: Column) -> list[Column]:
     """Suspicious host; address that is not local; credentials within 300 characters after a send, or anywhere with one."""
     far = F.exists(F.regexp_extract_all(text, F.lit(f"({RAW_ADDRESS})"), F.lit(1)), lambda a: ~a.rlike(LOCAL_ADDRESS))
-    near = text.rlike(f"(?s){NET_SEND}(?=.{{0,299}}?(?:{HIGH_VALUE}|{BULK_ENVIRONMENT}))")
+    near = text.rlike(NEAR_SEND)
     return [
         found("network", "CRITICAL", text.rlike(SUSPICIOUS_HOST)),
         found("network", "HIGH", far),

@@ -141,6 +141,12 @@ def lookalikes(names: DataFrame, popular: DataFrame) -> DataFrame:
     return first_by(pairs, ["name"], F.col("pos")).select("name", F.col("listed").alias("imitated"))
 
 
+def not_own(rows: DataFrame, names: DataFrame, of: str) -> DataFrame:
+    """rows less those about a name of their own repo: names (repo, name) and, of scoped ones (@scope/name), the part after the scope; in any case."""
+    own = names.select("repo", F.explode(F.array(F.lower("name"), F.element_at(F.split(F.lower("name"), "/"), -1))).alias("own")).distinct()
+    return rows.join(own.withColumnRenamed("repo", "repo_"), (F.col("repo") == F.col("repo_")) & (F.lower(of) == F.col("own")), "left_anti")
+
+
 def split_overlap(rows: DataFrame, split: str, keys: list[str]) -> DataFrame:
     """(key, a, b, shared): distinct non-null values that two splits share, for each key column."""
     v = rows.select(F.col(split).alias("split"), F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).select("split", "x.*").filter("value is not null").distinct()

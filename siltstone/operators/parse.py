@@ -259,6 +259,10 @@ def brace_functions(code: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def functions_of(code: str, language: str | None) -> list[tuple[str, int, int]]:
+    return python_functions(code) if language == "python" else brace_functions(code)
+
+
 def extract_functions(files: DataFrame, key: str = "doc_id", code: str = "code", language: str | None = None) -> DataFrame:
     """(key, name, start_line, end_line) of outermost functions: Python by its grammar, other languages by their braces.
 
@@ -269,7 +273,7 @@ def extract_functions(files: DataFrame, key: str = "doc_id", code: str = "code",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names = b[language] if language else ["python"] * len(b)
-            rows = [(k, *f) for k, c, n in zip(b[key], b[code], names) for f in (python_functions if n == "python" else brace_functions)(c or "")]
+            rows = [(k, *f) for k, c, n in zip(b[key], b[code], names) for f in functions_of(c or "", n)]
             yield pd.DataFrame(rows, columns=[key, "name", "start_line", "end_line"])
 
     return files.select(key, code, *([language] if language else [])).mapInPandas(run, f"{key} {kind}, name string, start_line int, end_line int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.table_functions import register_tables
 from siltstone.operators import detect as D
 from siltstone.operators import parse as P
 from siltstone.operators import records as R
@@ -147,6 +148,13 @@ def r04_network_rule(spark, sf):
     return D.scan(_scanned(spark, sf), kinds=("network",)).select("path", "severity")
 
 
+@query(f"WITH {_SCAN}, f AS ({_R3} UNION ALL {_R4}) SELECT path, kind, {_LOWERED} AS severity FROM f", "files")
+def r04_findings_in_sql(spark, sf):
+    """The detectors as a table function, joined in SQL."""
+    register_tables(spark)
+    return spark.sql("SELECT f.path, x.kind, x.severity FROM {files} f, LATERAL text_findings(f.path, f.content) x WHERE x.kind IN ('obfuscation', 'network')", files=_scanned(spark, sf).select("path", "content"))
+
+
 def _hooked(spark, sf):
     """Manifests and workflows that do something on installation, or with foreign code, beside others that do not."""
     i, c, turn = F.col("doc_id"), F.col("content"), F.floor(F.col("doc_id") / 14)
@@ -338,10 +346,20 @@ def g09_parse_patch(spark, sf):
 @query("SELECT doc_id, name, start_line, end_line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [{'name': 'f_' || doc_id, 'start_line': 1, 'end_line': 4}] ELSE [{'name': 'g_' || doc_id, 'start_line': 2, 'end_line': 5}, {'name': 'h', 'start_line': 6, 'end_line': 6}] END, recursive := true) FROM documents)")
 def g11_extract_functions(spark, sf):
     """Python by its grammar, other languages by braces."""
+    return P.extract_functions(_functions(spark, sf), language="language")
+
+
+def _functions(spark, sf):
     i, text = F.col("doc_id"), _literal(F.col("text"))
     java = F.concat(F.lit("class A { // } {\n  int g_"), i, F.lit('(int a) {\n    if (a > 0) { return 1; }\n    String s = "}'), text, F.lit('";\n  }\n  void h() {}\n}\n'))
     c = table(spark, sf, "documents").select(i, F.when(i % 2 == 0, _code()).otherwise(java).alias("code"), F.when(i % 2 == 0, "python").otherwise("java").alias("language"))
-    return P.extract_functions(c, language="language")
+    return c
+
+
+@query("SELECT doc_id, name, start_line, end_line FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [{'name': 'f_' || doc_id, 'start_line': 1, 'end_line': 4}] ELSE [{'name': 'g_' || doc_id, 'start_line': 2, 'end_line': 5}, {'name': 'h', 'start_line': 6, 'end_line': 6}] END, recursive := true) FROM documents)")
+def g11_functions_in_sql(spark, sf):
+    register_tables(spark)
+    return spark.sql("SELECT c.doc_id, f.* FROM {code} c, LATERAL code_functions(c.code, language => c.language) f", code=_functions(spark, sf))
 
 
 def _literal(text):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import lookup as L
 from siltstone.operators.curate import shared_path
+from siltstone.operators.spelling import near_names, suffix_pairs
 from siltstone.sources.replies import ReplyStore, request_key, stub_replies
 
 from .registry import query
@@ -129,10 +130,13 @@ def j16_anti_hallucinated(spark, sf):
     return dependencies(spark, sf).join(advisories(spark, sf).select("package").distinct(), "package", "left_anti").groupBy("manifest").agg(F.countDistinct("package").alias("invented"))
 
 
-@query("SELECT DISTINCT f.repo, f.file FROM findings f WHERE f.pillar = 'dependency' AND NOT EXISTS (SELECT 1 FROM findings o WHERE o.pillar = 'secret' AND o.event_id % 97 < 20 AND o.repo = f.repo AND o.file = f.file)", "findings")
+@query("""WITH g AS (SELECT *, file || '.' || line AS place FROM findings), n AS (SELECT DISTINCT repo, CASE WHEN event_id % 2 = 0 THEN '@' || repo || '/' || place ELSE place END AS name FROM g WHERE pillar = 'secret'), o AS (SELECT repo, name FROM n UNION SELECT repo, split_part(name, '/', -1) FROM n)
+SELECT DISTINCT f.repo, f.place FROM g f WHERE f.pillar = 'dependency' AND NOT EXISTS (SELECT 1 FROM o WHERE o.repo = f.repo AND o.name = f.place)""", "findings")
 def j17_self_suppression(spark, sf):
-    f = findings(spark, sf)
-    return f.filter("pillar = 'dependency'").select("repo", "file").distinct().join(f.filter("pillar = 'secret' and event_id % 97 < 20").select("repo", "file"), ["repo", "file"], "left_anti")
+    """Findings about a repo's own names are left out, also where a name is published under a scope."""
+    f = findings(spark, sf).withColumn("place", F.concat_ws(".", "file", "line"))
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("@"), "repo", F.lit("/"), "place")).otherwise(F.col("place"))
+    return L.not_own(f.filter("pillar = 'dependency'").select("repo", "place").distinct(), f.filter("pillar = 'secret'").select("repo", name.alias("name")), "place")
 
 
 @query("""SELECT s.event_id, CASE WHEN c.repo IS NULL THEN 'unknown' WHEN d.file IS NULL THEN 'not_checked' ELSE 'checked' END AS coverage FROM findings s LEFT JOIN (SELECT DISTINCT repo FROM findings WHERE event_type = 'click') c ON c.repo = s.repo
@@ -206,3 +210,21 @@ def s12_durable_replies(spark, sf):
     answers = ReplyStore(spark, shared_path(spark, "replies")).ask(turns.select("key", "prompt"), stub_replies, part_rows=5_000)
     verdict = F.get_json_object("reply", "$.vulnerable").cast("boolean")
     return turns.join(answers.select("key", verdict.alias("vulnerable")), "key").select("conv_id", "turn", "vulnerable")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS listed FROM part), n AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN x WHEN 1 THEN substr(x, 2, 1) || substr(x, 1, 1) || substr(x, 3) WHEN 2 THEN substr(x, 2, length(x) - 2) ELSE 's' || x || '-x' END AS name FROM (SELECT p_partkey, string_split(p_name, ' ')[-1] AS x FROM part))
+SELECT name, listed, CAST(damerau_levenshtein(name, listed) AS INTEGER) AS distance FROM n JOIN w ON length(listed) >= 4 AND name <> listed AND damerau_levenshtein(name, listed) <= 3""")
+def x14_capped_distance(spark, sf):
+    """Misspelt last words of part names within three edits of a word that part names hold."""
+    p = table(spark, sf, "part")
+    x, k = F.element_at(F.split("p_name", " "), -1), F.col("p_partkey") % 4
+    name = F.when(k == 0, x).when(k == 1, F.concat(F.substring(x, 2, 1), F.substring(x, 1, 1), F.substring(x, F.lit(3), F.length(x)))).when(k == 2, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(F.concat(F.lit("s"), x, F.lit("-x")))
+    return near_names(p.select(name.alias("name")), p.select(F.explode(F.split("p_name", " ")).alias("listed")), cap=3, once=False)
+
+
+@query("""WITH l AS (SELECT DISTINCT path AS "left" FROM files), r AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN 'x/' || path WHEN doc_id % 3 = 1 THEN substr(path, 3) ELSE split_part(path, '/', -1) END AS "right" FROM files) SELECT "left", "right" FROM l JOIN r ON ends_with("left", "right") OR ends_with("right", "left")""", "files")
+def j14_suffix_both_ways(spark, sf):
+    """Paths of which one ends in the other: shortened, lengthened, and bare file names."""
+    f, k, path = files(spark, sf), F.col("doc_id") % 3, F.col("path")
+    other = F.when(k == 0, F.concat(F.lit("x/"), path)).when(k == 1, F.substring(path, F.lit(3), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
+    return suffix_pairs(f.select(path.alias("left")), f.select(other.alias("right")))
