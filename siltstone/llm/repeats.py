@@ -413,7 +413,7 @@ def cover_by_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return windows.join(shared, key, "left_semi").groupBy("fp", "cls").agg(F.max("at").alias("left"), (length - F.min("at")).cast("int").alias("right"))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, group_rows: int = 4_096, block_bytes: int = 1_000_000, texts: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, group_rows: int = 32_768, block_bytes: int = 1_000_000, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of what is removed, and, with texts, the bytes kept."""
     if not 0 < gram < length:
         raise ValueError("a gram must be shorter than a repeat")
