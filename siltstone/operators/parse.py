@@ -230,37 +230,233 @@ def python_functions(code: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: What hides braces: comments and literals.
-HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-#: A name and its parameters before a brace, and words that take parentheses but are no functions.
-HEADER = re.compile(r"([A-Za-z_$~][\w$:~]*)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:const|noexcept|override|throws\s+[\w.,\s]+|:\s*[\w<>\[\]., |]+|=>)?\s*$")
-NO_FUNCTION = {"if", "for", "while", "switch", "catch", "return", "do", "else", "try", "synchronized", "with"}
+#: Tokens of languages with braces; what hides braces comes first.
+LEXEME = re.compile(r"""(?P<space>[ \t\r\f\v]+|\\\n)|(?P<line>\n)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>R"(?P<mark>[^()\s]{0,16})\(.*?\)(?P=mark)"|\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<name>[A-Za-z_$#~\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|::|->|[^\s\w])""", re.S)
+#: Words that take parentheses and a block but are no functions, and those that name a block of another kind.
+NO_FUNCTION = {"if", "for", "while", "switch", "catch", "return", "do", "else", "try", "synchronized", "with", "new", "using", "lock", "foreach", "sizeof", "throw"}
+#: Words that take parentheses beside a declaration.
+BESIDE = {"__attribute__", "__declspec", "alignas", "decltype", "noexcept", "requires"}
+#: After these a brace opens a list or an object, and what came before goes on behind it.
+BEFORE_LIST = {"=", ":", "(", ",", "[", "return", "?", "&&", "||", "default"}
+GROUPS = {"class", "interface", "enum", "struct", "union", "namespace", "record", "extern"}
+#: After these a slash begins a regular expression.
+BEFORE_REGEX = {"(", ",", "=", ":", "[", "!", "&", "|", "?", "{", "}", ";", "=>", "return", "typeof", "case", "in", "of", ""}
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n])+/[a-z]*")
+PAIRS = {")": "(", "]": "[", "}": "{"}
+
+
+def lexemes(code: str, language: str | None) -> list[tuple[str, str, int]]:
+    """(kind, text, line) of code without comments, white space, lines of a preprocessor and what literals hold.
+
+    A template string is one literal, whatever its parts hold; so is a regular expression of JavaScript.
+    """
+    out, at, line, begun, script = [], 0, 1, True, language == "javascript"
+    while at < len(code):
+        c = code[at]
+        if c == "#" and begun and language in ("c", "cpp", None):
+            end = at
+            while True:  # a line ends where no backslash joins the next to it
+                end = code.find("\n", end)
+                if end < 0 or code[end - 1] != "\\":
+                    break
+                end += 1
+            end = len(code) if end < 0 else end
+            line += code.count("\n", at, end)
+            at = end
+            continue
+        if c == "`" and script:
+            end, deep = at + 1, 0  # parts in ${ } hold code, and templates again
+            stack = ["`"]
+            while end < len(code) and stack:
+                if code[end] == "\\":
+                    end += 1
+                elif stack[-1] == "`":
+                    if code[end] == "`":
+                        stack.pop()
+                    elif code.startswith("${", end):
+                        stack.append("{")
+                        end += 1
+                elif code[end] == "}":
+                    stack.pop()
+                elif code[end] in "{`":
+                    stack.append(code[end])
+                end += 1
+            out.append(("text", "`", line))
+            line += code.count("\n", at, end)
+            at, begun = end, False
+            continue
+        if c == "/" and script and (not out or out[-1][1] in BEFORE_REGEX) and not code.startswith(("//", "/*"), at) and (m := REGEX.match(code, at)):
+            out.append(("text", "/", line))
+            at, begun = m.end(), False
+            continue
+        m = LEXEME.match(code, at)
+        if m is None:
+            at += 1
+            continue
+        kind = m.lastgroup if m.lastgroup != "mark" else "text"
+        if kind not in ("space", "line", "comment"):
+            out.append((kind, m[0] if kind != "text" else '"', line))
+            begun = False
+        elif kind == "line":
+            begun = True
+        line += m[0].count("\n")
+        at = m.end()
+    return out
 
 
-def brace_functions(code: str) -> list[tuple[str, int, int]]:
-    """(name, first line, last line) of the outermost functions of code whose bodies stand in braces.
+def _partners(tokens: list[tuple[str, str, int]]) -> dict[int, int]:
+    """Closing brackets to opening ones and back; brackets that fit nothing are left out."""
+    stack, out = [], {}
+    for k, (_, text, _) in enumerate(tokens):
+        if text in ("(", "[", "{"):
+            stack.append(k)
+        elif text in PAIRS:
+            while stack and tokens[stack[-1]][1] != PAIRS[text] and text == "}":
+                stack.pop()  # a brace closes what was left open inside it
+            if stack and tokens[stack[-1]][1] == PAIRS[text]:
+                out[k] = stack.pop()
+                out[out[k]] = k
+    return out
+
 
-    A body is what the braces after a header enclose; comments and literals count as blanks.
+def _declared(tokens, partner, low: int, high: int) -> tuple[str, int] | None:
+    """Name and first token of the function that the tokens low .. high - 1 before a brace declare, in C, C++ or Java; None if they declare none."""
+    words = [tokens[k][1] for k in range(low, high)]
+    if not words or words[0] in GROUPS and "(" not in words:
+        return None
+    k = low
+    while k < high:
+        text = tokens[k][1]
+        if text == "operator" and k + 2 < high:
+            signs = k + 1 if tokens[k + 1][1] != "(" else k + 3
+            rest = next((j for j in range(signs, high) if tokens[j][1] == "("), high)
+            return "operator" + "".join(t for _, t, _ in tokens[k + 1 : rest]), low
+        if text in BESIDE and k + 1 < high and tokens[k + 1][1] == "(" and k + 1 in partner:
+            k = partner[k + 1] + 1
+            continue
+        if text == "(" and k in partner:
+            # a declarator in parentheses: its own parameters follow its name
+            if k + 1 < high and tokens[k + 1][1] in ("*", "&", "^") and partner[k] + 1 < high and tokens[partner[k] + 1][1] == "(":
+                inner = _declared(tokens, partner, k + 1, partner[k])
+                names = [tokens[j][1] for j in range(k + 1, partner[k]) if tokens[j][0] == "name"]
+                return (inner[0] if inner else names[-1], low) if names else None
+            before = tokens[k - 1] if k > low else ("", "", 0)
+            if before[0] == "name" and before[1] not in NO_FUNCTION and not before[1].startswith("@"):
+                if k - 2 >= low and tokens[k - 2][1] in ("new", "=", "return", "."):
+                    return None
+                if k - 2 >= low and tokens[k - 2][1] == "@":  # an annotation with arguments
+                    k = partner[k] + 1
+                    continue
+                return before[1], low
+            if before[1] in NO_FUNCTION:
+                return None
+            return None
+        if text == "=":
+            return None
+        k = partner[k] + 1 if text in ("(", "[", "{") and k in partner else k + 1
+    return None
+
+
+def _assigned(tokens, at: int, low: int) -> str | None:
+    """What the function that begins at token `at` is assigned to: a variable, a property, or a key of an object."""
+    k = at - 1
+    if k >= low and tokens[k][1] in ("=", ":"):
+        j = k - 1
+        if tokens[k][1] == "=" and j >= low and tokens[j][1] in "+-*/%&|^?!<>=":
+            j -= 1
+        if j >= low:
+            if tokens[j][0] == "name":
+                name = tokens[j][1]
+                while j - 2 >= low and tokens[j - 1][1] == "." and tokens[j - 2][0] == "name":
+                    name, j = f"{tokens[j - 2][1]}.{name}", j - 2
+                return name
+            if tokens[j][0] == "text":
+                return tokens[j][1]
+    return None
+
+
+def _script_function(tokens, partner, low: int, high: int) -> tuple[str, int] | None:
+    """The same for JavaScript: declarations, function expressions, arrows and methods, by the name they have or are assigned to."""
+    k = high - 1
+    if k < low:
+        return None
+    arrow = tokens[k][1] == "=>"
+    if arrow:
+        k -= 1
+        if k < low:
+            return None
+    if tokens[k][1] == ")" and k in partner:
+        first = partner[k]
+        head = first - 1
+        if not arrow and head >= low and tokens[head][1] in NO_FUNCTION:
+            return None
+    elif arrow and tokens[k][0] == "name":
+        first = head = k
+        head -= 1
+    else:
+        return None
+    if arrow:
+        begin = first - 1 if first - 1 >= low and tokens[first - 1][1] == "async" else first
+        return _assigned(tokens, begin, low) or "<anonymous>", begin
+    star = head >= low and tokens[head][1] == "*"
+    at = head - star
+    if at >= low and tokens[at][1] == "function":
+        begin = at - 1 if at - 1 >= low and tokens[at - 1][1] == "async" else at
+        return _assigned(tokens, begin, low) or "<anonymous>", begin
+    if head >= low and tokens[head][0] in ("name", "text") and tokens[head][1] not in NO_FUNCTION:
+        before = head - 1 - (head - 1 >= low and tokens[head - 1][1] == "*")
+        if before >= low and tokens[before][1] == "function":
+            begin = before - 1 if before - 1 >= low and tokens[before - 1][1] == "async" else before
+            return tokens[head][1], begin
+        begin = head
+        while begin - 1 >= low and tokens[begin - 1][1] in ("async", "static", "get", "set", "*", "#"):
+            begin -= 1
+        if begin == low or tokens[begin - 1][1] in (",", "{", "}", ";"):
+            return tokens[head][1], begin
+    return None
+
+
+def brace_functions(code: str, language: str | None = None) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of the outermost functions of code whose bodies stand in braces; "<anonymous>" where one has no name.
+
+    A push-down reading: brackets are matched first, and what stands before each brace that opens a block tells whether the block is a
+    body, and whose.  Names: of C and C++ the innermost declarator, of JavaScript the function's own or what it is assigned to.
     """
-    bare = HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-    out, depth, inside, begin = [], 0, None, 0
-    for m in re.finditer(r"[{};]", bare):
-        at, sign = m.start(), m[0]
-        if sign == "{":
-            if inside is None and (h := HEADER.search(bare[begin:at])) and h[1] not in NO_FUNCTION:
-                inside = (depth, h[1].split("::")[-1], bare.count("\n", 0, begin + h.start()) + 1)
-            depth += 1
-        elif sign == "}":
-            depth = max(0, depth - 1)
-            if inside and inside[0] == depth:
-                out.append((*inside[1:], bare.count("\n", 0, at) + 1))
-                inside = None
-        begin = at + 1
+    tokens = lexemes(code, language)
+    partner = _partners(tokens)
+    scripted = language == "javascript" or (language is None and any(t in ("=>", "function") for _, t, _ in tokens))
+    out, begin, done, opened = [], 0, -1, []
+    for k, (_, text, _) in enumerate(tokens):
+        if k <= done:
+            continue
+        if text == "{":
+            end, low = partner.get(k), begin
+            if end is not None and end + 1 < len(tokens) and k and tokens[k - 1][0] == "name" and tokens[end + 1][1] in (",", "{") and any(t == ":" for _, t, _ in tokens[low:k]):
+                done = end  # a member of a constructor's list
+                continue
+            found = _script_function(tokens, partner, low, k) if scripted else None
+            if found is None and language != "javascript":
+                found = _declared(tokens, partner, low, k)
+            if found and end is not None:
+                out.append((found[0], tokens[found[1]][2], tokens[end][2]))
+                done = end
+                inside = found[1] > low or any(o for o, _ in opened[-1:])  # of an expression, which goes on
+                begin = begin if scripted and inside else end + 1
+                continue
+            opened.append((k > 0 and tokens[k - 1][1] in BEFORE_LIST, begin))
+            begin = k + 1
+        elif text == "}":
+            goes_on, before = opened.pop() if opened else (False, 0)
+            begin = before if goes_on else k + 1
+        elif text == ";":
+            begin = k + 1
+        elif text == ":" and k - 1 >= begin and tokens[k - 1][1] in ("public", "private", "protected", "default"):
+            begin = k + 1
     return out
 
 
 def functions_of(code: str, language: str | None) -> list[tuple[str, int, int]]:
-    return python_functions(code) if language == "python" else brace_functions(code)
+    return python_functions(code) if language == "python" else brace_functions(code, language)
 
 
 def extract_functions(files: DataFrame, key: str = "doc_id", code: str = "code", language: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import metrics as M
 from siltstone.functions import text as T
 from siltstone.operators import evaluate as E
+from siltstone.operators import sketches as K
 
 from .registry import query
 from .views import corpus, dependencies, advisories, findings, predictions, table
@@ -290,3 +291,15 @@ def x09_report(spark, sf):
 @query(_HOLM + " SELECT pair, rejected, adjusted, b01, b10 FROM (SELECT pair, b01, b10, min(CAST(p <= 0.05 / left_over AS INTEGER)) OVER (ORDER BY p, pair ROWS UNBOUNDED PRECEDING) = 1 AS rejected, round(max(least(1.0, p * left_over)) OVER (ORDER BY p, pair ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM (SELECT r.pair, r.p, r.left_over, tests.b01, tests.b10 FROM r JOIN tests ON tests.pair = r.pair))", "preds")
 def x09_pairwise(spark, sf):
     return E.report(predictions(spark, sf))[1].select("pair", "rejected", F.round("adjusted", 6).alias("adjusted"), "b01", "b10")
+
+
+@query("""WITH n AS (SELECT language, count(DISTINCT loc * 100000 + length(code)) AS n_distinct FROM corpus GROUP BY 1) SELECT language, n_distinct, true AS distinct_within, true AS median_within FROM n""", "corpus")
+def a26_mergeable_sketches(spark, sf):
+    """Sketches of each language and repo, in two tables that are united and merged; answers against the whole rows, within the stated bounds."""
+    c = corpus(spark, sf).select("language", "repo", "version", (F.col("loc") * 100_000 + F.length("code")).alias("size"))
+    tables = [K.sketches(c.filter(F.col("version") == v), ["language"], F.col("repo"), "size", "size") for v in ("pre", "post")]
+    a = K.answers(tables[0].unionByName(tables[1]), ["language"], (0.5,)).withColumnRenamed("language", "of")
+    both = c.join(F.broadcast(a), c.language.eqNullSafe(a.of))  # a row per language
+    n = F.count(F.lit(1))
+    s = both.groupBy("language").agg(F.countDistinct("size").alias("n_distinct"), F.max("n_distinct").alias("seen"), (F.count_if(F.col("size") < F.col("q50")) / n).alias("below"), (F.count_if(F.col("size") <= F.col("q50")) / n).alias("upto"))
+    return s.select("language", "n_distinct", (F.abs(F.col("seen") - F.col("n_distinct")) <= F.greatest(F.lit(2.0), 4 * K.distinct_error() * F.col("n_distinct"))).alias("distinct_within"), ((F.col("below") <= 0.5 + K.rank_error()) & (F.col("upto") >= 0.5 - K.rank_error())).alias("median_within"))

@@ -370,7 +370,7 @@ def test_lock_files_and_poms(spark):
 
 def test_functions_by_braces():
     code = "// f() {\nclass A {\n  int f(int a) const {\n    if (a) { g(); }\n    char *s = \"}\"; /* } */\n  }\n  void h() {}\n};\nstatic int B::k(void (*p)(int))\n{\n  return 0;\n}\nconst w = (x) => { function inner() {} };"
-    assert P.brace_functions(code) == [("f", 3, 6), ("h", 7, 7), ("k", 9, 12), ("inner", 13, 13)]
+    assert P.brace_functions(code) == [("f", 3, 6), ("h", 7, 7), ("k", 9, 12), ("w", 13, 13)]
     assert P.brace_functions("") == [] and P.brace_functions("}}} f( {") == []
 
 
