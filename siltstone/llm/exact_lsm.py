@@ -1,12 +1,12 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-* memtables: one pass over the texts gives (digest, id) rows, dealt by scan task into `memtables`
-  batches.  A batch is reduced to one row per digest - smallest and largest id, copies - and flushed as
-  a run sorted by digest, beside a Bloom filter of its digests: bitmaps of 32,768 bits, one for each of
+* memtables: one pass over the texts gives (digest, id) rows, dealt by scan task, or by row, into as many batches as
+  keep each to about `memtable_rows` rows, 64 at most.  A batch is reduced to one row per digest - smallest and largest id, copies - and
+  flushed as a run sorted by digest, beside a Bloom filter of its digests: bitmaps of 32,768 bits, one for each of
   the index's slots, a slot being a share of the digests.
-* compaction: `fan_in` runs of a level become one run of the next.  A row whose digest no other run's filter
-  knows passes as it is; only the others are merged by digest, smallest identifier first.  The new run's
-  filter is the union of theirs, and the old runs are deleted.
+* compaction: `fan_in` runs of a level become one run of the next, so that levels grow with the data.  A row whose
+  digest no other run's filter knows passes as it is; only the others are merged by digest, smallest identifier first.
+  The new run's filter is the union of theirs, and the old runs are deleted.
 * probes ask the filters first, and only digests that one of them knows are looked up in its run.
 * verification: the texts of digests that occur more than once, and only those, are compared byte for
   byte by grouping on (digest, text); texts that merely share a digest fall apart again.
@@ -61,6 +61,7 @@ class LsmIndex:
         """expected: about how many digests there will be; with more, filters only grow less sharp."""
         self.slots, self.fan_in = max(1, expected // SLOT_ROWS), fan_in
         self.runs: list[Run] = []
+        self.merges: list[int] = []  # the levels that merges have made
 
     def _slot(self, digest: F.Column) -> F.Column:
         return F.pmod(F.xxhash64(digest), F.lit(self.slots))
@@ -84,24 +85,21 @@ class LsmIndex:
         return self.runs[0].rows
 
     def _merge(self, old: list[Run]) -> None:
-        alone, shared = [], []
-        for run in old:
-            others = None
-            for other in old:
-                if other is not run:
-                    others = other.filter if others is None else others.union(other.filter)
-            marks = materialize(others.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "lsm-others")
-            tested = run.rows.join(_few(marks), "slot", "left").withColumn("known", _known(F.col("digest"), F.col("bits"))).drop("bits")
-            tested = materialize(tested, "lsm-tested")
-            alone.append(tested.filter(~F.col("known")).drop("known"))
-            shared.append(tested.filter("known").drop("known"))
-        merged = _union(shared).groupBy("slot", "digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("copies").alias("copies"))
-        rows = materialize(_union([merged, *alone]).sortWithinPartitions("digest"), "lsm-run")
-        bits = materialize(_union([r.filter for r in old]).groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "lsm-filter")
-        self.runs = [r for r in self.runs if r not in old] + [Run(1 + max(r.level for r in old), rows, bits)]
-        for run in old:
-            discard(run.rows)
-            discard(run.filter)
+        rows = _union([r.rows.withColumn("run", F.lit(k)) for k, r in enumerate(old)])
+        bits = _union([r.filter.withColumn("run", F.lit(k)) for k, r in enumerate(old)])
+        # for each slot the filters of all runs: a row asks those of the others
+        every = materialize(bits.groupBy("slot").agg(*[F.max(F.when(F.col("run") == k, F.col("bits"))).alias(f"bits{k}") for k in range(len(old))]), "lsm-filters")
+        known = F.lit(False)
+        for k in range(len(old)):
+            known = known | ((F.col("run") != k) & _known(F.col("digest"), F.col(f"bits{k}")))
+        tested = rows.join(_few(every), "slot").withColumn("known", known).drop("run", *[f"bits{k}" for k in range(len(old))])
+        shared = tested.filter("known").groupBy("slot", "digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("copies").alias("copies"))
+        new = materialize(_union([shared, tested.filter(~F.col("known")).drop("known")]).sortWithinPartitions("digest"), "lsm-run")
+        filter_ = materialize(bits.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "lsm-filter")
+        self.runs = [r for r in self.runs if r not in old] + [Run(1 + max(r.level for r in old), new, filter_)]
+        self.merges.append(1 + max(r.level for r in old))
+        for df in (every, *[x for run in old for x in (run.rows, run.filter)]):
+            discard(df)
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(doc_id, digest, smallest, largest, copies) of the rows of batch (doc_id, digest) whose digest a run holds; a row per run."""
@@ -132,23 +130,25 @@ def _normal(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> Da
     return rows.withColumn("digest", F.col("sha") if digest_bits >= 256 else F.unhex(F.substring(F.hex("sha"), 1, digest_bits // 4)))
 
 
-def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtables: int = 4) -> tuple[LsmIndex, DataFrame]:
-    """An index of all rows, and the rows (doc_id, digest, sha)."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "lsm-memtables")
-    rows = _normal(docs, id_col, text_col, digest_bits).select("doc_id", "digest", "sha", F.pmod(F.spark_partition_id(), F.lit(memtables)).alias("memtable"))
-    rows.drop(*(["sha"] if digest_bits >= 256 else [])).write.partitionBy("memtable").parquet(path)
-    fields = "doc_id long, digest binary" + (", sha binary" if digest_bits < 256 else "") + ", memtable int"
-    rows = spark.read.schema(fields).parquet(path)
-    index = LsmIndex(rows.count())
+def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = 16_384, most: int = 64) -> tuple[LsmIndex, DataFrame]:
+    """An index of all rows, and the rows (doc_id, digest, sha).  Beyond `most` memtables they grow, each a fraction of the cluster's work."""
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "lsm-memtables")
+    n = docs.count()
+    memtables = min(most, max(1, -(-n // memtable_rows)))
+    rows = _normal(docs, id_col, text_col, digest_bits).select("doc_id", "digest", *(["sha"] if digest_bits < 256 else []))
+    by_task = memtables <= rows.rdd.getNumPartitions()  # then a task writes one file
+    rows = rows.withColumn("memtable", F.pmod(F.spark_partition_id() if by_task else F.xxhash64(F.monotonically_increasing_id()), F.lit(memtables)).cast("int"))
+    rows.write.partitionBy("memtable").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    index = LsmIndex(n)
     for k in range(memtables):
         index.flush(rows.filter(F.col("memtable") == k).select("digest", "doc_id"))
     return index, rows.select("doc_id", "digest", F.col("digest" if digest_bits >= 256 else "sha").alias("sha"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, memtables: int = 4) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, memtable_rows: int = 16_384) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.  keep: "smallest" or "largest"."""
-    index, rows = index_of(docs, id_col, text_col, digest_bits, memtables)
+    index, rows = index_of(docs, id_col, text_col, digest_bits, memtable_rows)
     hits = materialize(index.compact().filter("copies > 1").select("digest"), "lsm-hits")
     # A verified text that is alone under its digest is decided by the digest; others by their full hash.
     found = _normal(docs, id_col, text_col, digest_bits).join(sized(hits), "digest", "left_semi").groupBy("digest", "norm")

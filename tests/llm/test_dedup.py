@@ -65,6 +65,18 @@ def test_index_merges_levels_and_probes(spark):
     assert len(index.runs) == 1 and not any(os.path.exists(f.removeprefix("file://")) for f in old)
 
 
+@pytest.mark.parametrize("parts", [40])
+def test_many_memtables_make_levels(spark, monkeypatch, parts):
+    """Twenty memtables of ten rows: five merges to level 1, one of these to level 2, and the result is that of one memtable."""
+    made, merge = [], LsmIndex._merge
+    monkeypatch.setattr(LsmIndex, "_merge", lambda self, old: (merge(self, old), made.append(self.merges[-1])) and None)
+    docs = docs_of(spark, [(i, f"Text {i % 71}") for i in range(200)]).repartition(parts)
+    got = sorted(map(tuple, exact_groups(docs, memtable_rows=10).collect()))
+    assert made == [1, 1, 1, 1, 2, 1, 3]
+    made.clear()
+    assert got == sorted(map(tuple, exact_groups(docs).collect())) and made == [] and sum(r[3] for r in got) == 71
+
+
 def test_filters_know_what_runs_hold(spark):
     held, other = [(i, f"a{i}") for i in range(3000)], [(i, f"b{i}") for i in range(3000)]
     index = LsmIndex(expected=3000)
