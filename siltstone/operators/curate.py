@@ -77,6 +77,26 @@ def assert_unique(rows: DataFrame, *keys: str) -> DataFrame:
     return rows
 
 
+def content_manifest(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, sha256) of what each row holds; null content has no hash."""
+    return rows.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
+def manifest_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, change) of two manifests: added, removed, changed; none where both are equal.  Keys are unique in each."""
+    b, a = before.select(key, F.col("sha256").alias("was"), F.lit(True).alias("old")), after.select(key, F.col("sha256").alias("now"), F.lit(True).alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return b.join(a, key, "full_outer").select(key, change.alias("change")).filter("change is not null")
+
+
+def assert_unchanged(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """after; raises if it is not what before was - the end of an audited run."""
+    bad = manifest_changes(before, after, key).limit(1).collect()
+    if bad:
+        raise ValueError(f"inputs changed during the run: {bad[0].asDict()}")
+    return after
+
+
 def components(nodes: DataFrame, keys: list[str], node: str = "sample_id", most_rounds: int = 50) -> DataFrame:
     """(node, component): rows that share a non-null value of any key are connected; the label is the smallest node.
 

@@ -5,7 +5,7 @@ Addresses are reserved names and documentation networks; payloads are letters wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import hash_unit
@@ -30,10 +30,20 @@ PAYLOAD = "".join(chr(c) for k in range(9) for c in ([*range(65, 91)] + [*range(
 
 def fixtures(spark: SparkSession, n: int, seed: str = "fixture") -> DataFrame:
     """(fixture_id, repo, path, technique, is_malicious, content), n rows; the same seed gives the same files."""
+    return fixtures_for(spark.range(n), "id", F.lit(""), seed)
+
+
+def fixtures_for(rows: DataFrame, key: str, text: Column, seed: str = "fixture") -> DataFrame:
+    """A fixture for each row of a table: a template by the hash of the key, with the row's own text behind it as a comment or a last field."""
     texts = F.array(*[F.struct(F.lit(t).cast("string").alias("technique"), F.lit(p.replace("{{", "{").replace("}}", "}")).alias("path"), F.lit(c.replace("{payload}", PAYLOAD).replace("{{", "{").replace("}}", "}")).alias("content")) for t, p, c in TEMPLATES])
     pick = lambda part, size: (hash_unit(F.lit(f"{seed}-{part}"), F.col("id")) % size + 1).cast("int")
     word = lambda part: F.element_at(F.array(*map(F.lit, WORDS)), pick(part, len(WORDS)))
-    rows = spark.range(n).select("id", F.element_at(texts, pick("template", len(TEMPLATES))).alias("t"), word("a").alias("a"), word("b").alias("b"))
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    rows = rows.select(F.col(key).alias("id"), own.alias("own")).select("id", "own", F.element_at(texts, pick("template", len(TEMPLATES))).alias("t"), word("a").alias("a"), word("b").alias("b"))
     filled = lambda c: F.replace(F.replace(F.col(c), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
     path = F.concat(F.lit("f"), F.col("id"), F.lit("/"), filled("t.path"))
-    return rows.select(F.col("id").alias("fixture_id"), F.concat(F.lit("r"), F.col("id") % 10).alias("repo"), path.alias("path"), F.col("t.technique").alias("technique"), F.col("t.technique").isNotNull().alias("is_malicious"), filled("t.content").alias("content"))
+    mark = F.when(F.col("t.path").endswith(".js"), "// ").otherwise("# ")
+    line = F.regexp_replace("own", r"[\r\n]+", " ")
+    json = F.concat(F.regexp_replace(filled("t.content"), r"\}\s*$", ""), F.lit(', "about": '), F.to_json(F.struct(F.col("own").alias("text"))), F.lit("}\n"))
+    content = F.when(F.col("own") == "", filled("t.content")).when(F.col("t.path").endswith(".json"), json).otherwise(F.concat(filled("t.content"), mark, line, F.lit("\n")))
+    return rows.select(F.col("id").alias("fixture_id"), F.concat(F.lit("r"), F.col("id") % 10).alias("repo"), path.alias("path"), F.col("t.technique").alias("technique"), F.col("t.technique").isNotNull().alias("is_malicious"), content.alias("content"))

@@ -57,10 +57,21 @@ def band_candidates(left: DataFrame, right: DataFrame, key: str, place: str, wid
     return a.join(b, [key, "band__"]).filter(F.abs(F.col(place) - F.col(f"{place}_r")) <= width).drop("band__")
 
 
-def greedy_matches(candidates: DataFrame, key: str, left: str, right: str) -> DataFrame:
+def band_pieces(left: DataFrame, right: DataFrame, key: str, place: str, width: int) -> DataFrame:
+    """(key, place, piece): the places of both sides, cut where the next one is more than width away, so that no pair within the band crosses a cut.
+
+    Each different place is one row, so that the order of a key is over its places and not over its rows.
+    """
+    both = left.select(key, place).union(right.select(key, F.col(f"{place}_r"))).distinct()
+    order = W.partitionBy(key).orderBy(place)
+    far = F.coalesce((F.col(place) - F.lag(place).over(order) > width).cast("long"), F.lit(0))
+    return both.withColumn("far", far).withColumn("piece", F.sum("far").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("far")
+
+
+def greedy_matches(candidates: DataFrame, key: str, left: str, right: str, *within: str) -> DataFrame:
     """(key, left, right): each left row, in order, takes the first right row that is still free.
 
-    Sequential inside a key, and matches never cross keys.
+    Sequential inside a key and the columns of within, such as the pieces of band_pieces; matches never cross these.
     """
     import pandas as pd
 
@@ -69,15 +80,14 @@ def greedy_matches(candidates: DataFrame, key: str, left: str, right: str) -> Da
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, done, out = set(), set(), []
-        for row in pdf.sort_values([left, right]).itertuples(index=False):
-            a, b = getattr(row, left), getattr(row, right)
+        for group, a, b in pdf.sort_values([left, right])[[key, left, right]].itertuples(index=False):
             if a not in done and b not in taken:
                 done.add(a)
                 taken.add(b)
-                out.append((getattr(row, key), a, b))
+                out.append((group, a, b))
         return pd.DataFrame(out, columns=[key, left, right])
 
-    return candidates.select(key, left, right).groupBy(key).applyInPandas(match, schema)
+    return candidates.select(key, left, right, *within).groupBy(key, *within).applyInPandas(match, schema)
 
 
 def comparison(ours: DataFrame, theirs: DataFrame, matches: DataFrame, left: str, right: str, cwe: str = "cwe") -> DataFrame:

@@ -19,8 +19,13 @@ def scan_budget(files: DataFrame, most: int, largest: int) -> DataFrame:
     """
     f = files.filter(~among(F.col("path"), SKIPPED_FOLDERS) & (F.size(routes(F.col("path"))) > 0)).withColumn("priority", priority(F.col("path")))
     f = f.withColumn("fits", F.col("size") <= largest)
-    order = W.partitionBy("repo", "fits").orderBy(F.col("priority") > 1, F.col("hits") == 0, "priority", F.desc("hits"), F.lower("path"))
-    return f.withColumn("selected", F.col("fits") & (F.row_number().over(order) <= most)).drop("fits")
+    keys = [(F.col("priority") > 1).cast("int"), (F.col("hits") == 0).cast("int"), F.col("priority"), -F.col("hits"), F.lower("path"), F.col("path")]
+    f = f.withColumn("place", F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)]))
+    # the last place within the budget decides: Spark keeps the first `most` of a task before it shuffles, so that a large repo is sorted nowhere
+    first = top_per(f.filter("fits").select("repo", "place"), ["repo"], most, F.col("place"))
+    last = first.groupBy("repo").agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == most).select(F.col("repo").alias("of"), "last")
+    out = f.join(last, F.col("repo").eqNullSafe(F.col("of")), "left")
+    return out.withColumn("selected", F.col("fits") & (F.col("last").isNull() | (F.col("place") <= F.col("last")))).drop("fits", "place", "of", "last")
 
 
 def hash_order(seed: str, *cols: str) -> list[Column]:
@@ -72,6 +77,31 @@ def capped_round_robin(cases: DataFrame, language: str, repo: str, key: str, n:
     return some.select(language, repo, key).groupBy().applyInPandas(walk, f"{key} {kind}, place long")
 
 
+def few_shots(rows: DataFrame, pool: DataFrame, k: int, seed: str = "shots", key: str = "sample_id") -> DataFrame:
+    """(language, place, sample_id, label): k examples for each language of rows, positives and negatives in turn, from the pool's samples of that language.
+
+    pool: sample_id, language, label.  A language with less than k samples in the pool draws from all of them.  A side that has too few goes round.
+    """
+    languages = rows.select("language").distinct()
+    some = pool.filter(F.col("label").isNotNull() & F.col(key).isNotNull())
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by, "label").orderBy(*hash_order(seed, key)))
+    own = some.withColumn("k", rank("language")).filter(F.col("k") <= k).select(F.col("language").alias("pool"), key, "label", "k")
+    all_ = some.withColumn("k", rank()).filter(F.col("k") <= k).select(F.lit(None).cast("string").alias("pool"), key, "label", "k")
+    enough = some.groupBy(F.col("language").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    source = languages.join(enough, F.col("language") == F.col("of"), "left").select("language", F.col("of").alias("source"))
+    shots = own.unionByName(all_).withColumnRenamed("k", "rank")
+    sides = shots.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("side"))
+    has = sides.groupBy("pool").agg(*[F.max(F.when(F.col("label") == x, F.col("side"))).alias(n) for x, n in ((1, "bad"), (0, "good"))])
+    want = source.join(has, F.col("source").eqNullSafe(F.col("pool"))).drop("pool").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    label = F.when((F.col("place") % 2 == 0) & F.col("bad").isNotNull(), 1).when(F.col("good").isNotNull(), 0).otherwise(1)
+    # the n-th example of a side: all places, if the other is missing
+    alone = F.col("bad").isNull() | F.col("good").isNull()
+    turn = F.when(alone, F.col("place")).otherwise(F.floor(F.col("place") / 2))
+    want = want.withColumn("label", label).withColumn("rank", (turn % F.when(F.col("label") == 1, F.col("bad")).otherwise(F.col("good")) + 1).cast("int"))
+    s = shots.select(F.col("pool").alias("p"), F.col("label").alias("l"), F.col("rank").alias("r"), key)
+    return want.join(s, F.col("source").eqNullSafe(F.col("p")) & (F.col("label") == F.col("l")) & (F.col("rank") == F.col("r"))).select("language", F.col("place").cast("int").alias("place"), key, F.col("label").cast("int").alias("label"))
+
+
 def case_packages(rows: DataFrame, case: list[str], vulnerable: str, key: str, least: int, most: int, ratio: float, seed: str = "case") -> DataFrame:
     """The packages of each synthetic manifest, with their place: as many as the case's hash says, from least to most.
 

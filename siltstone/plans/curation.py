@@ -113,7 +113,16 @@ def d14_duplicate_identity(spark, sf):
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def d15_content_manifest(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return C.content_manifest(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE n_chars % 13 > 0), a AS (SELECT doc_id, sha256(CASE WHEN n_chars % 5 = 0 THEN text || ' ' ELSE text END) AS h FROM documents WHERE n_chars % 11 > 0)
+SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE b.h IS DISTINCT FROM a.h""")
+def d15_manifest_changes(spark, sf):
+    """What differs between two states of the documents: some are new, some are gone, some have another text."""
+    d, n, text = table(spark, sf, "documents"), F.col("n_chars"), F.col("text")
+    later = d.filter(n % 11 > 0).select("doc_id", F.when(n % 5 == 0, F.concat(text, F.lit(" "))).otherwise(text).alias("text"))
+    return C.manifest_changes(C.content_manifest(d.filter(n % 13 > 0), "doc_id", "text"), C.content_manifest(later, "doc_id", "text"), "doc_id")
 
 
 @query("SELECT sample_id, md5(regexp_replace(code, '\\s+', ' ', 'g')) AS body, CASE WHEN loc BETWEEN 3 AND 800 THEN 'kept' WHEN loc < 3 THEN 'short' ELSE 'long' END AS reason FROM corpus", "corpus")

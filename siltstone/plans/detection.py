@@ -10,6 +10,7 @@ from siltstone.operators import detect as D
 from siltstone.operators import parse as P
 from siltstone.operators import records as R
 from siltstone.operators import transform as X
+from siltstone.operators.fixtures import fixtures_for
 from siltstone.operators.rulesets import rules_of
 
 from .registry import query
@@ -409,14 +410,17 @@ def u04_line_cursor(spark, sf):
     return X.line_cursor(lines, ["user_id"], "event_id").drop("raw")
 
 
-@query()
-def u05_fixtures(spark, sf):
-    """As many fixtures as there are samples, with what the rules say of each."""
-    from siltstone.operators.fixtures import fixtures
+_U05 = """t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(('0x' || substr(md5('fixture-template|' || doc_id), 1, 8)) AS BIGINT) % 10 AS k FROM documents)"""
 
-    f = fixtures(spark, table(spark, sf, "labels").count())
-    found = D.scan(f).groupBy("path").agg(F.count(F.lit(1)).alias("findings"))
-    return f.join(found, "path", "left").select("fixture_id", "technique", "is_malicious", F.coalesce("findings", F.lit(0).cast("long")).alias("findings"))
+
+@query(f"""WITH {_U05} SELECT doc_id AS fixture_id, ['exfiltrate-sensitive-data', 'suspicious-network', 'obfuscation', 'code-execution', 'code-execution'][k + 1] AS technique, k < 5 AS is_malicious, k < 5 AS found FROM t""")
+def u05_fixtures(spark, sf):
+    """A fixture for each document, which holds its whole text, and whether the rules find what the template is about."""
+    f = fixtures_for(table(spark, sf, "documents"), "doc_id", _literal(F.col("text")))
+    kinds = F.create_map(*[F.lit(x) for kv in {"exfiltrate-sensitive-data": "network", "suspicious-network": "network", "obfuscation": "obfuscation", "code-execution": "install_hook"}.items() for x in kv])
+    found = D.scan(f).select(F.col("path").alias("at"), "kind").distinct()
+    out = f.join(found, F.col("path") == F.col("at"), "left").groupBy("fixture_id", "technique", "is_malicious")
+    return out.agg(F.coalesce(F.bool_or(F.when(F.col("technique").isNull(), F.col("kind").isNotNull()).otherwise(F.col("kind") == kinds[F.col("technique")])), F.lit(False)).alias("found"))
 
 
 @query("SELECT sample_id, 'Is the following code vulnerable?' || chr(10) || 'Language: ' || language || chr(10) || code || chr(10) || 'Answer with JSON: {\"vulnerable\": true or false, \"cwe\": \"CWE-n\" or null, \"reason\": \"...\"}' AS prompt FROM corpus", "corpus")

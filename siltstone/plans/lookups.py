@@ -77,10 +77,16 @@ def j10_range_containment(spark, sf):
 _BAND = "SELECT a.file, a.event_id AS ai, s.event_id AS static FROM findings a JOIN findings s ON a.file = s.file AND a.event_type = 'click' AND s.event_type = 'error' AND abs(a.line - s.line) <= 12"
 
 
-def _candidates(spark, sf):
+def _sides(spark, sf):
     f = findings(spark, sf)
     s = f.filter("event_type = 'error'").select("file", F.col("event_id").alias("static"), F.col("line").alias("line_r"), F.col("cwe").alias("cwe_r"))
-    return L.band_candidates(f.filter("event_type = 'click'").select("file", F.col("event_id").alias("ai"), "line", "cwe"), s, "file", "line", 12)
+    return f.filter("event_type = 'click'").select("file", F.col("event_id").alias("ai"), "line", "cwe"), s
+
+
+def _candidates(spark, sf, pieces=False):
+    a, s = _sides(spark, sf)
+    c = L.band_candidates(a, s, "file", "line", 12)
+    return c.join(L.band_pieces(a, s, "file", "line", 12), ["file", "line"]) if pieces else c
 
 
 @query(_BAND, "findings")
@@ -90,7 +96,7 @@ def j11_band_candidates(spark, sf):
 
 @query()
 def j11_greedy_match(spark, sf):
-    return L.greedy_matches(_candidates(spark, sf), "file", "ai", "static")
+    return L.greedy_matches(_candidates(spark, sf, True), "file", "ai", "static", "piece")
 
 
 @query("""WITH k AS (SELECT 'n' || n_nationkey AS cls, 'Class' AS kind FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey = 0 THEN 'Pillar' ELSE 'Class' END FROM region), e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation),
@@ -198,8 +204,8 @@ def r14_agreement(spark, sf):
     f = findings(spark, sf)
     ours = f.filter("event_type = 'click'").select(F.col("event_id").alias("ai"), "cwe")
     theirs = f.filter("event_type = 'error'").select(F.col("event_id").alias("static"), "cwe")
-    same = _candidates(spark, sf).filter(F.col("cwe") == F.col("cwe_r"))
-    return L.comparison(ours, theirs, L.greedy_matches(same, "file", "ai", "static"), "ai", "static")
+    same = _candidates(spark, sf, True).filter(F.col("cwe") == F.col("cwe_r"))
+    return L.comparison(ours, theirs, L.greedy_matches(same, "file", "ai", "static", "piece"), "ai", "static")
 
 
 @query("SELECT conv_id, turn, ('0x' || substr(md5(coalesce(text, '')), 1, 2))::INT % 2 = 1 AS vulnerable FROM conversations")

@@ -66,11 +66,15 @@ def k09_balanced_sample(spark, sf):
     return S.balanced(corpus(spark, sf).filter("label is not null").select("sample_id", "label"), "label", "sample_id", 41)
 
 
-@query(f"WITH r AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY {_H % ('shots', 'sample_id')}, sample_id) AS k FROM corpus WHERE label IS NOT NULL AND language = 'en') SELECT sample_id, 2 * k - label AS place FROM r WHERE k <= 4", "corpus")
+@query(f"""WITH p AS (SELECT sample_id, language, label FROM corpus WHERE label IS NOT NULL AND NOT (language = 'de' AND loc < 40)), n AS (SELECT language AS pool, sample_id, label, row_number() OVER (PARTITION BY language, label ORDER BY {_H % ('shots', 'sample_id')}, sample_id) AS r FROM p UNION ALL SELECT NULL, sample_id, label, row_number() OVER (PARTITION BY label ORDER BY {_H % ('shots', 'sample_id')}, sample_id) FROM p),
+l AS (SELECT language, CASE WHEN (SELECT count(*) FROM p WHERE p.language = c.language) >= 6 THEN language END AS source FROM (SELECT DISTINCT language FROM corpus) c), k AS (SELECT l.*, i AS place FROM l, (SELECT unnest(range(6)) AS i)),
+h AS (SELECT pool, least(count(*) FILTER (label = 1), 6) AS bad, least(count(*) FILTER (label = 0), 6) AS good FROM n GROUP BY 1), t AS (SELECT k.*, bad, good, CASE WHEN place % 2 = 0 AND bad > 0 THEN 1 WHEN good > 0 THEN 0 ELSE 1 END AS label, CASE WHEN bad = 0 OR good = 0 THEN place ELSE place // 2 END AS turn FROM k JOIN h ON h.pool IS NOT DISTINCT FROM k.source)
+SELECT t.language, CAST(t.place AS INTEGER) AS place, n.sample_id, CAST(n.label AS INTEGER) AS label FROM t JOIN n ON n.pool IS NOT DISTINCT FROM t.source AND n.label = t.label AND n.r = t.turn % CASE WHEN t.label = 1 THEN bad ELSE good END + 1""", "corpus")
 def k10_few_shot(spark, sf):
-    c = corpus(spark, sf).filter("label is not null and language = 'en'").select("sample_id", "label")
-    k = F.row_number().over(W.partitionBy("label").orderBy(*S.hash_order("shots", "sample_id")))
-    return c.withColumn("k", k.cast("long")).filter("k <= 4").select("sample_id", (2 * F.col("k") - F.col("label")).alias("place"))
+    """Six examples for each language; one language has few samples of its own in the pool, and none of some sizes."""
+    c = corpus(spark, sf)
+    pool = c.filter("label is not null and not (language = 'de' and loc < 40)").select("sample_id", "language", "label")
+    return S.few_shots(c.select("language"), pool, 6)
 
 
 @query(f"SELECT sample_id FROM corpus ORDER BY {_H % ('limit', 'sample_id')}, sample_id LIMIT 50", "corpus")

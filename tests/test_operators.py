@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -589,3 +590,53 @@ def test_fixtures_are_what_they_look_like(spark):
     found = {r.path for r in D.scan(f).select("path").distinct().collect()}
     assert all((r.path in found) == r.is_malicious and "{" not in r.path for r in f.collect())
     assert f.select(F.regexp_replace("path", "^f[0-9]+/", "")).distinct().count() > len(TEMPLATES) and fixtures(spark, 0).count() == 0
+
+
+def test_few_shots_of_small_pools(spark):
+    """A language with too few samples draws from all; a missing side is made up by the other, going round."""
+    rows = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "language string")
+    pool = spark.createDataFrame([(k, "a", int(k % 3 == 0)) for k in range(20)] + [(100, "b", 1), (101, "b", None)], "sample_id int, language string, label int")
+    got = {}
+    for r in S.few_shots(rows, pool, 4).collect():
+        got.setdefault(r.language, {})[r.place] = (r.label, r.sample_id)
+    assert set(got) == {"a", "b", None} and all([x[k][0] for k in range(4)] == [1, 0, 1, 0] for x in got.values()) and got["b"] == got[None]
+    assert all(s < 100 for _, s in got["a"].values()) and len(set(got["a"].values())) == 4
+    ones = S.few_shots(rows, pool.filter("label = 1 and sample_id < 7"), 5).filter("language = 'a'").collect()
+    assert [x.label for x in ones] == [1] * 5 and len({x.sample_id for x in ones}) == 3
+    assert S.few_shots(rows, pool.limit(0), 3).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_in_pieces_is_plain_greedy(spark, seed):
+    """Half of all rows lie in one file; pieces cut it, and the matches stay those of the whole file."""
+    rng = random.Random(seed)
+    row = lambda k: ("hot" if rng.random() < 0.5 else f"f{rng.randint(0, 4)}", k, rng.choice([0, 300, 700, 2000]) + rng.randint(0, 25))
+    a = spark.createDataFrame([row(k) for k in range(150)], "file string, ai int, line int")
+    b = spark.createDataFrame([row(1000 + k) for k in range(150)], "file string, static int, line_r int")
+    c = L.band_candidates(a, b, "file", "line", 3)
+    pieces = L.band_pieces(a, b, "file", "line", 3)
+    got = L.greedy_matches(c.join(pieces, ["file", "line"]), "file", "ai", "static", "piece")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.greedy_matches(c, "file", "ai", "static").collect()))
+    assert pieces.filter("file = 'hot'").select("piece").distinct().count() >= 4
+
+
+def test_audit_of_inputs(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, t string")
+    m = C.content_manifest(df, "k", "t")
+    assert C.manifest_changes(m, m, "k").isEmpty() and C.assert_unchanged(m, m, "k") is m
+    later = C.content_manifest(spark.createDataFrame([(2, ""), (3, "c"), (4, "d")], "k int, t string"), "k", "t")
+    assert sorted(map(tuple, C.manifest_changes(m, later, "k").collect())) == [(1, "removed"), (2, "changed"), (4, "added")]
+    with pytest.raises(ValueError, match="changed during the run"):
+        C.assert_unchanged(m, later, "k")
+
+
+def test_own_names_in_any_scope(spark):
+    rows = spark.createDataFrame([("r", "Pkg"), ("r", "other"), ("s", "pkg"), ("r", "deep")], "repo string, name string")
+    names = spark.createDataFrame([("r", "@Org/pkg"), ("r", "@a/b/deep"), ("s", None)], "repo string, name string")
+    assert sorted(map(tuple, L.not_own(rows, names, "name").collect())) == [("r", "other"), ("s", "pkg")]
+
+
+def test_budget_of_tied_paths(spark):
+    files = spark.createDataFrame([("r", p, 0, 1) for p in ("B.py", "b.py", "a.py", "c.py")] + [(None, "d.py", 0, 1)], "repo string, path string, hits int, size int")
+    got = {r.path: r.selected for r in S.scan_budget(files, 2, 10).collect()}
+    assert got == {"a.py": True, "B.py": True, "b.py": False, "c.py": False, "d.py": True}
