@@ -15,7 +15,7 @@ from siltstone.operators.rulesets import rules_of
 
 from .registry import query
 from .sampling import _BASE, _CODE, _EXT, _MANIFEST, _SECRET, PRIORITY_SQL
-from .views import corpus, files, findings, replies, table
+from .views import corpus, files, findings, plain, replies, table
 
 
 def _flaw_records(spark, sf):
@@ -27,15 +27,15 @@ def _flaw_records(spark, sf):
         q('", "tags": ["Patch"]}, {"url": "https://github.com/org/fix'), i % 3, q('/commit/1234567", "tags": ["x", "Patch"]}')))
     metrics = F.when(i % 4 == 0, '"cvssMetricV31": [{"cvssData": {"baseScore": 9.8, "baseSeverity": "CRITICAL"}}]').when(i % 4 == 1, '"cvssMetricV2": [{"cvssData": {"baseScore": 7.5}, "baseSeverity": "HIGH"}]').otherwise("")
     record = F.concat(
-        q('{"id": "CVE-2024-'), i, q('", "published": "2024-01-01", "vulnStatus": "'), F.when(i % 11 == 0, "Rejected").otherwise("Analyzed"), q('", "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "flaw '), i,
+        q('{"id": "CVE-2024-'), i, q('", "published": "2024-01-01", "vulnStatus": "'), F.when(i % 11 == 0, "Rejected").otherwise("Analyzed"), q('", "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "flaw in '), F.col("p_name"), q(" of "), F.col("p_brand"),
         q('"}], "weaknesses": [{"description": ['), classes, q(']}], "references": ['), refs, q('], "metrics": {'), metrics, q("}}"))
     return table(spark, sf, "part").select(record.alias("record"))
 
 
-_USABLE = "FROM (SELECT p_partkey AS i FROM part) WHERE i % 11 <> 0 AND i % 5 <> 0 AND i % 13 <> 0"
+_USABLE = "FROM (SELECT p_partkey AS i, p_name, p_brand FROM part) WHERE i % 11 <> 0 AND i % 5 <> 0 AND i % 13 <> 0"
 
 
-@query(f"SELECT 'CVE-2024-' || i AS cve_id, 'flaw ' || i AS description, 'fix' || (i % 3) AS first_repo, CAST(2 AS INTEGER) AS n_commits {_USABLE}")
+@query(f"SELECT 'CVE-2024-' || i AS cve_id, 'flaw in ' || p_name || ' of ' || p_brand AS description, 'fix' || (i % 3) AS first_repo, CAST(2 AS INTEGER) AS n_commits {_USABLE}")
 def p01_flaws(spark, sf):
     f = R.flaws(_flaw_records(spark, sf))
     return f.select("cve_id", "description", F.regexp_extract(F.col("commit_refs")[0]["repo"], "/(.*)$", 1).alias("first_repo"), F.size("commit_refs").alias("n_commits"))
@@ -60,8 +60,8 @@ def _advisory_records(spark, sf):
     eco = F.element_at(F.array(*map(F.lit, ["PyPI", "npm", "Maven", "Go"])), (i % 4 + 1).cast("int"))
     versions = F.array_join(F.transform(F.when(i % 40 > 0, F.sequence(F.lit(0).cast("long"), i % 40 - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: F.concat(q('"1.'), k, q('"'))), ", ")
     record = F.concat(
-        q('{"id": "GHSA-'), i, q('", "published": "2024-02-02", "summary": "s '), i, q('", "aliases": ['), aliases, q('], "database_specific": {"cwe_ids": ['), F.when(i % 7 == 0, "").otherwise(F.concat(q('"CWE-'), i % 50, q('", "x"'))),
-        q('], "severity": "'), severity, q('"}, "references": [{"type": "WEB", "url": "https://github.com/o/w/commit/0123456"}, {"type": "FIX", "url": "https://github.com/o/fix'), i % 9, q('/commit/89abcde"}], "affected": [{"package": {"name": "pkg'), i % 500,
+        q('{"id": "GHSA-'), i, q('", "published": "2024-02-02", "summary": "s '), F.col("p_name"), q('", "aliases": ['), aliases, q('], "database_specific": {"cwe_ids": ['), F.when(i % 7 == 0, "").otherwise(F.concat(q('"CWE-'), i % 50, q('", "x"'))),
+        q('], "severity": "'), severity, q('"}, "references": [{"type": "WEB", "url": "https://github.com/o/w/commit/0123456"}, {"type": "FIX", "url": "https://github.com/o/fix'), i % 9, q('/commit/89abcde"}], "affected": [{"package": {"name": "pkg-'), F.replace("p_name", q(" "), q("-")), q("-"), i % 500,
         q('", "ecosystem": "'), eco, q('"}, "versions": ['), versions, q('], "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.'), i % 9, q('"}]}, {"type": "GIT", "events": [{"fixed": "abc"}]}]}]}'))
     return table(spark, sf, "part").select(record.alias("record"))
 
@@ -75,10 +75,10 @@ def p04_advisories(spark, sf):
     return a.select("cve_id", "osv_id", F.col("cwe_primary").alias("cwe"), F.col("cvss_score").alias("score"), F.col("cvss_severity").alias("severity"), F.col("commit_refs")[0]["repo"].alias("first_repo"))
 
 
-_AFFECTED = "FROM (SELECT p_partkey AS i FROM part) WHERE i % 4 <> 3 AND i % 40 > 0"
+_AFFECTED = "FROM (SELECT p_partkey AS i, p_name FROM part) WHERE i % 4 <> 3 AND i % 40 > 0"
 
 
-@query(f"SELECT 'GHSA-' || i AS advisory_id, ['PyPI', 'npm', 'Maven'][i % 4 + 1] AS ecosystem, ['python', 'javascript', 'java'][i % 4 + 1] AS language, 'pkg' || (i % 500) AS package, '1.' || unnest(range(greatest(i % 40 - 25, 0), i % 40)) AS version {_AFFECTED}")
+@query(f"SELECT 'GHSA-' || i AS advisory_id, ['PyPI', 'npm', 'Maven'][i % 4 + 1] AS ecosystem, ['python', 'javascript', 'java'][i % 4 + 1] AS language, 'pkg-' || replace(p_name, ' ', '-') || '-' || (i % 500) AS package, '1.' || unnest(range(greatest(i % 40 - 25, 0), i % 40)) AS version {_AFFECTED}")
 def p05_affected_packages(spark, sf):
     return R.affected_packages(_advisory_records(spark, sf)).select("advisory_id", "ecosystem", "language", "package", F.explode("vulnerable_versions").alias("version"))
 
@@ -288,8 +288,9 @@ def g02_dependency_reply(spark, sf):
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true END AS malicious, CASE WHEN doc_id % 6 = 0 THEN 'shell' || doc_id END AS technique, doc_id % 6 < 2 AS parsed FROM documents""")
 def g03_malware_reply(spark, sf):
     i = F.col("doc_id")
-    reply = (F.when(i % 6 == 0, F.concat(F.lit('{"malicious": true, "technique": "shell'), i, F.lit('"}'))).when(i % 6 == 1, '```\n{"malicious": false, "technique": "none"}\n```').when(i % 6 == 2, "Malicious? malicious: YES")
-             .when(i % 6 == 3, "It looks benign").when(i % 6 == 4, '{"malicious": "true"}x').otherwise("no idea"))
+    text = plain(F.col("text"))
+    reply = (F.when(i % 6 == 0, F.concat(F.lit('{"malicious": true, "why": "'), text, F.lit('", "technique": "shell'), i, F.lit('"}'))).when(i % 6 == 1, F.concat(text, F.lit('\n```\n{"malicious": false, "technique": "none"}\n```'))).when(i % 6 == 2, F.concat(text, F.lit(" Malicious? malicious: YES")))
+             .when(i % 6 == 3, F.concat(text, F.lit(" It looks benign"))).when(i % 6 == 4, F.concat(F.lit('{"malicious": "true"}x '), text)).otherwise(text))
     r = table(spark, sf, "documents").select("doc_id", P.malware_reply(reply).alias("r"))
     return r.select("doc_id", "r.*")
 
@@ -297,7 +298,8 @@ def g03_malware_reply(spark, sf):
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM documents")
 def g04_strict_boolean(spark, sf):
     i = F.col("doc_id") % 4
-    raw = F.when(i == 0, '{"flag": true}').when(i == 1, '{"flag": false}').when(i == 2, '{"flag": "false"}').otherwise("flag is true")
+    own = F.concat(F.lit(', "why": "'), plain(F.col("text")), F.lit('"}'))
+    raw = F.when(i == 0, F.concat(F.lit('{"flag": true'), own)).when(i == 1, F.concat(F.lit('{"flag": false'), own)).when(i == 2, F.concat(F.lit('{"flag": "false"'), own)).otherwise(F.concat(F.lit("flag is true "), plain(F.col("text"))))
     return table(spark, sf, "documents").select("doc_id", P.strict_boolean(raw, "flag").alias("flag"))
 
 
@@ -351,7 +353,7 @@ def g11_extract_functions(spark, sf):
 
 
 def _functions(spark, sf):
-    i, text = F.col("doc_id"), _literal(F.col("text"))
+    i, text = F.col("doc_id"), plain(F.col("text"))
     java = F.concat(F.lit("class A { // } {\n  int g_"), i, F.lit('(int a) {\n    if (a > 0) { return 1; }\n    String s = "}'), text, F.lit('";\n  }\n  void h() {}\n}\n'))
     c = table(spark, sf, "documents").select(i, F.when(i % 2 == 0, _code()).otherwise(java).alias("code"), F.when(i % 2 == 0, "python").otherwise("java").alias("language"))
     return c
@@ -363,13 +365,8 @@ def g11_functions_in_sql(spark, sf):
     return spark.sql("SELECT c.doc_id, f.* FROM {code} c, LATERAL code_functions(c.code, language => c.language) f", code=_functions(spark, sf))
 
 
-def _literal(text):
-    """Whole texts without what would end a string literal."""
-    return F.regexp_replace(text, r"[^\p{L}\p{N} .,;:]", " ")
-
-
 def _code():
-    return F.concat(F.lit("def f_"), F.col("doc_id"), F.lit('(a):\n    """doc"""\n    total = a\n    return "'), _literal(F.col("text")), F.lit('" + str(total)\n'))
+    return F.concat(F.lit("def f_"), F.col("doc_id"), F.lit('(a):\n    """doc"""\n    total = a\n    return "'), plain(F.col("text")), F.lit('" + str(total)\n'))
 
 
 def _python(spark, sf):
@@ -416,7 +413,7 @@ _U05 = """t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(('0x' || substr(
 @query(f"""WITH {_U05} SELECT doc_id AS fixture_id, ['exfiltrate-sensitive-data', 'suspicious-network', 'obfuscation', 'code-execution', 'code-execution'][k + 1] AS technique, k < 5 AS is_malicious, k < 5 AS found FROM t""")
 def u05_fixtures(spark, sf):
     """A fixture for each document, which holds its whole text, and whether the rules find what the template is about."""
-    f = fixtures_for(table(spark, sf, "documents"), "doc_id", _literal(F.col("text")))
+    f = fixtures_for(table(spark, sf, "documents"), "doc_id", plain(F.col("text")))
     kinds = F.create_map(*[F.lit(x) for kv in {"exfiltrate-sensitive-data": "network", "suspicious-network": "network", "obfuscation": "obfuscation", "code-execution": "install_hook"}.items() for x in kv])
     found = D.scan(f).select(F.col("path").alias("at"), "kind").distinct()
     out = f.join(found, F.col("path") == F.col("at"), "left").groupBy("fixture_id", "technique", "is_malicious")

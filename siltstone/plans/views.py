@@ -112,22 +112,24 @@ def dependencies(spark: SparkSession, sf: str) -> DataFrame:
 DEPENDENCIES = """deps AS (SELECT l_orderkey AS manifest, l_linenumber AS number, p_type AS ecosystem, l_partkey % 700 AS package, CASE WHEN l_partkey % 5 <> 0 THEN l_linenumber END AS version FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+def plain(text):
+    """Whole texts without what would end a string literal or an object."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N} .,;:]", " ")
+
+
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Model replies in six shapes: strict, fenced, truncated, verdict cues, garbage."""
-    i = F.col("doc_id")
+    """Model replies in six shapes, each with a whole document as its prose: strict, fenced, truncated, verdict cues, no verdict."""
+    i, q, text = F.col("doc_id"), F.lit, plain(F.col("text"))
     bad = F.when(i % 3 == 0, "true").otherwise("false")
-    shape = (F.when(i % 6 == 0, F.concat(F.lit('{"vulnerable": '), bad, F.lit(', "cwe": "CWE-'), i % 900, F.lit('", "reason": "x"}')))
-             .when(i % 6 == 1, F.concat(F.lit('Here:\n```json\n{"vulnerable": '), bad, F.lit(', "cwe": null}\n```')))
-             .when(i % 6 == 2, F.concat(F.lit('{"vulnerable": '), bad, F.lit(', "cwe": "CWE-'), i % 90, F.lit('", "reason": "cut of')))
-             .when(i % 6 == 3, F.concat(F.lit("Vulnerability: NO. It is vulnerable to CWE-"), i % 50))
-             .when(i % 6 == 4, F.concat(F.lit("Vulnerability: YES, type CWE-0"), i % 50)).otherwise("I cannot tell."))
+    shape = (F.when(i % 6 == 0, F.concat(q('{"vulnerable": '), bad, q(', "cwe": "CWE-'), i % 900, q('", "reason": "'), text, q('"}')))
+             .when(i % 6 == 1, F.concat(text, q('\n```json\n{"vulnerable": '), bad, q(', "cwe": null}\n```\n'), text))
+             .when(i % 6 == 2, F.concat(q('{"vulnerable": '), bad, q(', "cwe": "CWE-'), i % 90, q('", "reason": "'), text))
+             .when(i % 6 == 3, F.concat(text, q(" Vulnerability: NO. It is vulnerable to CWE-"), i % 50))
+             .when(i % 6 == 4, F.concat(q("Vulnerability: YES, type CWE-0"), i % 50, q(". "), text)).otherwise(text))
     return table(spark, sf, "documents").select(i, shape.alias("reply"))
 
 
-REPLIES = """replies AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"vulnerable": ' || bad || ', "cwe": "CWE-' || (doc_id % 900) || '", "reason": "x"}'
- WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || '{"vulnerable": ' || bad || ', "cwe": null}' || chr(10) || '```'
- WHEN 2 THEN '{"vulnerable": ' || bad || ', "cwe": "CWE-' || (doc_id % 90) || '", "reason": "cut of' WHEN 3 THEN 'Vulnerability: NO. It is vulnerable to CWE-' || (doc_id % 50)
- WHEN 4 THEN 'Vulnerability: YES, type CWE-0' || (doc_id % 50) ELSE 'I cannot tell.' END AS reply FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END AS bad FROM documents))"""
+REPLIES = "replies AS (SELECT doc_id FROM documents)"  # what a reply says follows from its document's id
 
 VIEWS = {"corpus": CORPUS, "preds": PREDICTIONS, "findings": FINDINGS, "files": FILES, "advisories": ADVISORIES, "deps": DEPENDENCIES, "replies": REPLIES}
 
