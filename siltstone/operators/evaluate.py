@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.metrics import binary_metrics, confusion
 from siltstone.functions.text import hash_unit
 
+from .curate import written
+
 
 def confusion_by(preds: DataFrame, *keys: str, null_as_negative: bool = False) -> DataFrame:
     return preds.groupBy(*keys).agg(*confusion(F.col("pred"), F.col("truth"), null_as_negative))
@@ -86,20 +88,43 @@ def holm(tests: DataFrame, key: str, p: str = "p", alpha: float = 0.05) -> DataF
     return t.withColumn("adjusted", F.max(F.least(F.lit(1.0), F.col(p) * F.col("left"))).over(run)).withColumn("rejected", F.min((F.col(p) <= alpha / F.col("left")).cast("int")).over(run) == 1).drop("left")
 
 
-def resampled_cells(preds: DataFrame, reps: int, draws: int = 65_536) -> DataFrame:
+def binomial(size: Column, share: Column, unit: Column) -> Column:
+    """The value of a binomial distribution at a place 0 < unit < 1 of its distribution function.
+
+    Terms follow from each other; beyond ten deviations from the mean they are below 1e-20 and left out, so that a draw takes a
+    number of steps that grows as the root of size.
+    """
+    n, p = size.cast("double"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    far = 10 * F.sqrt(n * p * (1 - p)) + 12
+    low, high = F.greatest(F.lit(0), F.floor(n * p - far)).cast("long"), F.least(size, F.ceil(n * p + far)).cast("long")
+    first = F.exp(log_factorial(size) - log_factorial(low) - log_factorial(size - low) + low * F.log(p) + (size - low) * F.log1p(-p))
+    start = F.struct(first.alias("term"), first.alias("sum"), low.alias("k"))
+
+    def step(s: Column, k: Column) -> Column:
+        more = s["sum"] < unit
+        term = s["term"] * ((n - k + 1) / k) * (p / (1 - p))
+        return F.when(more, F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), k.alias("k"))).otherwise(s)
+
+    inner = F.aggregate(F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["k"])
+    return F.when(p <= 0, F.lit(0).cast("long")).when(p >= 1, size.cast("long")).otherwise(inner)
+
+
+def resampled_cells(preds: DataFrame, reps: int) -> DataFrame:
     """(config, rep, n, tp, fp, tn, fn) of each bootstrap replicate of a configuration.
 
-    Confusion cells are sufficient: draw s of replicate r takes the row at hash(r, s) mod n in id order, and only its
-    cell matters.  A row makes `draws` draws, which partial counts reduce where they are made.
+    Confusion cells are sufficient, and those of a replicate are multinomial: each is a binomial draw from what the cells before it
+    have left, at the place that a hash of the replicate and the cell gives.  No row is drawn.
     """
     cells = confusion_by(preds, "config", null_as_negative=True).withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).filter("n > 0")
-    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / draws)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    # replicates are dealt over all tasks before they draw
-    slots = F.sequence(F.col("part") * draws, F.least(F.col("n"), (F.col("part") + 1) * draws) - 1)
-    drawn = parts.repartition("config", "rep", "part").withColumn("slot", F.explode(slots)).withColumn("at", hash_unit(F.col("rep"), F.col("slot")) % F.col("n"))
-    a, b, c = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("tn")
-    sums = drawn.groupBy("config", "rep", "n").agg(*(F.count_if(F.col("at") < bound).alias(name) for name, bound in (("a", a), ("b", b), ("c", c))))
-    return sums.select("config", "rep", "n", F.col("a").alias("tp"), (F.col("b") - F.col("a")).alias("fp"), (F.col("c") - F.col("b")).alias("tn"), (F.col("n") - F.col("c")).alias("fn"))
+    drawn = written(cells, "cells").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("config", "rep")
+    left, whole = F.col("n"), F.col("n")
+    for k, name in enumerate(("tp", "fp", "tn")):
+        unit = (hash_unit(F.col("rep"), F.lit(k)) + 0.5) / 2.0**32
+        share = F.when(whole > 0, F.col(name) / whole).otherwise(0.0)
+        drawn = drawn.withColumns({f"left{k}": left, f"share{k}": share, f"unit{k}": unit})
+        drawn = drawn.withColumn(f"drawn{k}", binomial(F.col(f"left{k}"), F.col(f"share{k}"), F.col(f"unit{k}")))
+        left, whole = F.col(f"left{k}") - F.col(f"drawn{k}"), whole - F.col(name)
+    return drawn.select("config", "rep", "n", *[F.col(f"drawn{k}").alias(name) for k, name in enumerate(("tp", "fp", "tn"))], left.alias("fn"))
 
 
 def bootstrap(preds: DataFrame, metrics: tuple[str, ...] = ("f1",), reps: int = 200, alpha: float = 0.05) -> DataFrame:

@@ -208,10 +208,17 @@ def a25_rollup_breakdown(spark, sf):
 _DRAW = "CAST(('0x' || substr(md5(%s), 1, 8)) AS BIGINT)"
 
 
-@query(f"""WITH c AS (SELECT config, {CELLS}, count(*) AS n FROM (SELECT config, truth, coalesce(pred, 0) AS pred FROM preds) GROUP BY 1),
-d AS (SELECT config, tp, fp, tn, rep, {_DRAW % "rep || '|' || slot"} % n AS spot FROM c, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(c.n)) AS slot)),
-f AS (SELECT config, rep, 2.0 * count(*) FILTER (spot < tp) / greatest(2 * count(*) FILTER (spot < tp) + count(*) FILTER (spot >= tp AND spot < tp + fp) + count(*) FILTER (spot >= tp + fp + tn), 1) AS f1 FROM d GROUP BY 1, 2),
-l AS (SELECT config, list_sort(list(f1)) AS s FROM f GROUP BY 1) SELECT config, round(s[6], 6) AS low, round(s[195], 6) AS high FROM l""", "preds")
+def _binomial(cell: int, name: str, left: str, whole: str, source: str) -> str:
+    """b<cell>: source with the draw of a cell, by the whole distribution function."""
+    inner = f"""SELECT *, {left} AS m, CASE WHEN {whole} > 0 THEN {name} / CAST({whole} AS DOUBLE) ELSE 0.0 END AS p, ({_DRAW % f"rep || '|{cell}'"} + 0.5) / 4294967296.0::DOUBLE AS u FROM {source}"""
+    mass = "CASE WHEN p <= 0 THEN CAST(k = 0 AS DOUBLE) WHEN p >= 1 THEN CAST(k = m AS DOUBLE) ELSE exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)) END"
+    return f"""p{cell} AS (SELECT config, rep, min(k) AS drawn{cell} FROM (SELECT config, rep, k, u, sum({mass}) OVER (PARTITION BY config, rep ORDER BY k) AS upto FROM ({inner}) s, LATERAL (SELECT unnest(range(s.m + 1)) AS k)) WHERE upto >= u GROUP BY 1, 2),
+b{cell} AS (SELECT s.*, drawn{cell} FROM {source} s JOIN p{cell} USING (config, rep))"""
+
+
+@query(f"""WITH c AS (SELECT config, {CELLS}, count(*) AS n FROM (SELECT config, truth, coalesce(pred, 0) AS pred FROM preds) GROUP BY 1), b AS (SELECT c.*, rep FROM c, (SELECT unnest(range(200)) AS rep)),
+{_binomial(0, "tp", "n", "n", "b")}, {_binomial(1, "fp", "n - drawn0", "(n - tp)", "b0")}, {_binomial(2, "tn", "n - drawn0 - drawn1", "(n - tp - fp)", "b1")},
+f AS (SELECT config, rep, 2.0 * drawn0 / greatest(2 * drawn0 + drawn1 + (n - drawn0 - drawn1 - drawn2), 1) AS f1 FROM b2), l AS (SELECT config, list_sort(list(f1)) AS s FROM f GROUP BY 1) SELECT config, round(s[6], 6) AS low, round(s[195], 6) AS high FROM l""", "preds")
 def x01_bootstrap_ci(spark, sf):
     return E.bootstrap_f1(predictions(spark, sf))
 

@@ -640,3 +640,26 @@ def test_budget_of_tied_paths(spark):
     files = spark.createDataFrame([("r", p, 0, 1) for p in ("B.py", "b.py", "a.py", "c.py")] + [(None, "d.py", 0, 1)], "repo string, path string, hits int, size int")
     got = {r.path: r.selected for r in S.scan_budget(files, 2, 10).collect()}
     assert got == {"a.py": True, "B.py": True, "b.py": False, "c.py": False, "d.py": True}
+
+
+def test_binomial_draws(spark):
+    """Against the whole distribution function, and within bounds for sizes that no row could be drawn for."""
+    cases = [(n, p, u) for n in (1, 2, 7, 50, 400) for p in (0.0, 0.01, 0.3, 0.5, 0.97, 1.0) for u in (1e-9, 0.02, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9)]
+    got = spark.createDataFrame(cases, "n long, p double, u double").withColumn("k", E.binomial(F.col("n"), F.col("p"), F.col("u"))).collect()
+    for r in got:
+        mass = [math.comb(r.n, k) * r.p**k * (1 - r.p) ** (r.n - k) for k in range(r.n + 1)]
+        assert r.k == next((k for k in range(r.n + 1) if sum(mass[: k + 1]) >= r.u), r.n), r
+    big = spark.createDataFrame([(10**8, 0.25, 0.5), (10**8, 0.25, 0.975)], "n long, p double, u double").select(E.binomial(F.col("n"), F.col("p"), F.col("u")).alias("k")).collect()
+    assert abs(big[0].k - 25_000_000) <= 1 and abs(big[1].k - 25_000_000 - 1.96 * math.sqrt(10**8 * 0.25 * 0.75)) < 30
+
+
+def test_resampled_cells_have_the_shares_of_the_rows(spark):
+    preds = spark.createDataFrame([("a", k, int(k % 4 == 0), int(k % 3 == 0)) for k in range(600)] + [("b", 1, 1, 1)], "config string, sample_id int, pred int, truth int")
+    cells = [r for r in E.resampled_cells(preds, 300).collect()]
+    assert len(cells) == 600 and all(r.tp + r.fp + r.tn + r.fn == r.n and min(r.tp, r.fp, r.tn, r.fn) >= 0 for r in cells)
+    for name, want in (("tp", 50), ("fp", 100), ("tn", 300), ("fn", 150)):
+        own = [r[name] for r in cells if r.config == "a"]
+        mean = sum(own) / 300
+        spread = math.sqrt(sum((x - mean) ** 2 for x in own) / 299)
+        assert abs(mean - want) < 4 * math.sqrt(want * (1 - want / 600) / 300) and 0.8 < spread / math.sqrt(want * (1 - want / 600)) < 1.2
+    assert all((r.tp, r.n) == (1, 1) for r in cells if r.config == "b")
