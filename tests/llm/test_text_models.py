@@ -284,6 +284,24 @@ def test_quality(spark):
     assert drop_low(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.xfail(strict=True, reason="four bytes of context do not see the order of words; see the README")
+def test_quality_knows_the_order_of_words(spark):
+    """Hundreds of rare words that trusted documents share are words of the model; the same words shuffled are not clean."""
+    rng = random.Random(13)
+    lines = [" ".join("".join(rng.choice("abdegilnorstu") for _ in range(7)) for _ in range(10)) for _ in range(150)]
+    clean = lambda: " ".join(rng.choice(lines) for _ in range(5))
+
+    def shuffled():
+        w = clean().split()
+        rng.shuffle(w)
+        return " ".join(w)
+
+    rows = [(i, clean()) for i in range(400)] + [(i, shuffled()) for i in range(400, 440)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in classify(docs_of(spark, rows), labels).collect()}
+    assert sum(got[i] for i in range(300, 400)) >= 95 and not any(got[i] for i in range(400, 440))
+
+
 def brute_kneser_ney(rows, learned, order):
     """Interpolated modified Kneser-Ney in plain Python: logp and number of tokens of each row; checks that probabilities add up."""
 
