@@ -284,7 +284,6 @@ def test_quality(spark):
     assert drop_low(docs, labels.limit(0)).count() == len(rows)
 
 
-@pytest.mark.xfail(strict=True, reason="four bytes of context do not see the order of words; see the README")
 def test_quality_knows_the_order_of_words(spark):
     """Hundreds of rare words that trusted documents share are words of the model; the same words shuffled are not clean."""
     rng = random.Random(13)
