@@ -286,9 +286,9 @@ def x13_entropy(spark, sf):
 
 
 @query(f"""WITH c AS (SELECT config, {CELLS}, count(*) AS n FROM (SELECT config, truth, coalesce(pred, 0) AS pred FROM preds) GROUP BY 1),
-d AS (SELECT config, tp, fp, tn, rep, {_DRAW % "rep || '|' || slot"} % n AS spot FROM c, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(c.n)) AS slot)),
-b AS (SELECT config, rep, count(*) FILTER (spot < any_tp) AS tp, count(*) FILTER (spot >= any_tp AND spot < any_tp + any_fp) AS fp, count(*) FILTER (spot >= any_tp + any_fp AND spot < any_tp + any_fp + any_tn) AS tn, count(*) FILTER (spot >= any_tp + any_fp + any_tn) AS fn FROM (SELECT config, rep, spot, tp AS any_tp, fp AS any_fp, tn AS any_tn FROM d) GROUP BY 1, 2),
-m AS (SELECT *, {_metrics()} FROM b), l AS (SELECT config, metric, list_sort(list(value)) AS s FROM (SELECT config, rep, f1, mcc, balanced_accuracy FROM m) UNPIVOT (value FOR metric IN (f1, mcc, balanced_accuracy)) GROUP BY 1, 2),
+b AS (SELECT c.*, rep FROM c, (SELECT unnest(range(200)) AS rep)), {_binomial(0, "tp", "n", "n", "b")}, {_binomial(1, "fp", "n - drawn0", "(n - tp)", "b0")}, {_binomial(2, "tn", "n - drawn0 - drawn1", "(n - tp - fp)", "b1")},
+d AS (SELECT config, rep, drawn0 AS tp, drawn1 AS fp, drawn2 AS tn, n - drawn0 - drawn1 - drawn2 AS fn FROM b2),
+m AS (SELECT *, {_metrics()} FROM d), l AS (SELECT config, metric, list_sort(list(value)) AS s FROM (SELECT config, rep, f1, mcc, balanced_accuracy FROM m) UNPIVOT (value FOR metric IN (f1, mcc, balanced_accuracy)) GROUP BY 1, 2),
 q AS (SELECT config, metric, value AS point FROM (SELECT config, f1, mcc, balanced_accuracy FROM (SELECT *, {_metrics()} FROM c)) UNPIVOT (value FOR metric IN (f1, mcc, balanced_accuracy))), u AS (SELECT config, count(*) AS n, round(avg(CAST(pred IS NULL AS INTEGER)), 4) AS parse_fail_rate FROM preds GROUP BY 1)
 SELECT u.config, u.n, u.parse_fail_rate, q.metric, q.point, round(s[6], 6) AS low, round(s[195], 6) AS high FROM u JOIN q ON q.config = u.config JOIN l ON l.config = q.config AND l.metric = q.metric""", "preds")
 def x09_report(spark, sf):
