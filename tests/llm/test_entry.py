@@ -17,7 +17,7 @@ def test_query(spark, name):
     cols = sorted(got.columns)
     rows = sorted(tuple(map(str, r)) for r in got.select(cols).collect())
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     if name in oracle_sql():
         quoted = ", ".join(f'"{c}"' for c in cols)
