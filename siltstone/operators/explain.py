@@ -43,14 +43,14 @@ MECHANISM = {
 }
 
 
-def code_references(reason: Column) -> Column:
-    """Distinct lower-case references to code, heads of dotted names included."""
+def code_references(reason: Column, stopwords: list[str] = STOPWORDS) -> Column:
+    """Distinct lower-case references to code, heads of dotted names included, less the stopwords."""
     quoted = F.filter(F.transform(F.regexp_extract_all(reason, F.lit(QUOTED), F.lit(1)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)), lambda q: q.rlike(LOOKS_LIKE_CODE))
     names = F.flatten(F.transform(quoted, lambda q: F.regexp_extract_all(q, F.lit(r"([a-zA-Z_]\w*)"), F.lit(1))))
     found = F.concat(names, *[F.regexp_extract_all(reason, F.lit(p), F.lit(1)) for p in SHAPES])
     low = F.transform(found, lambda t: F.lower(t))
     low = F.concat(low, F.transform(low, lambda t: F.element_at(F.split(t, r"\."), 1)))
-    return F.filter(F.array_distinct(low), lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
+    return F.filter(F.array_distinct(low), lambda t: (F.length(t) > 2) & ~t.isin(*stopwords))
 
 
 def present(refs: Column, code: Column) -> Column:
@@ -59,14 +59,14 @@ def present(refs: Column, code: Column) -> Column:
     return F.filter(refs, lambda t: F.array_contains(terms, t) | F.exists(terms, lambda c: (F.length(c) > 3) & (F.contains(t, c) | F.contains(c, t))))
 
 
-def explanation_scores(reason: Column, code: Column, cwe: Column, lines: Column) -> Column:
+def explanation_scores(reason: Column, code: Column, cwe: Column, lines: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """struct(grounded, specific, mechanism, located, invented, n_refs, composite, empty).
 
     mechanism is null for classes without a vocabulary, located without a cited or a true line; an empty
     reason has composite 0 and both null.
     """
     reason = F.trim(F.coalesce(reason, F.lit("")))
-    refs = code_references(reason)
+    refs = code_references(reason, stopwords)
     here = present(refs, code)
     n, empty = F.size(refs), reason == ""
     grounded = F.when(n > 0, F.size(here) / n).otherwise(0.0)
