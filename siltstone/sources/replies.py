@@ -6,7 +6,8 @@ reads the entries which came between, leaves out the keys that these hold, and t
 whoever asks.  Readers see the entries up to a version, never part of a commit.  Entries may also replace files: compact().
 
 Requests are asked in parts by a hash of the key, and each part is a commit: a run that is killed leaves its
-finished parts, and the next one asks only what no commit holds, by an anti-join.  Empty replies are stored as known absences.
+finished parts, and the next one asks only what no commit holds, by an anti-join.  Requests are read, told apart and
+dealt into a folder for each part once; a part then reads its own folder and the commits that others made meanwhile.  Empty replies are stored as known absences.
 Failed ones (ok = false) are returned but not stored, so that they are asked again.
 """
 
@@ -91,10 +92,16 @@ class ReplyStore:
         rows.write.parquet(folder)
         return [f"{folder}/{s.getPath().getName()}" for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
 
-    def commit(self, rows: DataFrame) -> int:
-        """Store the rows whose key no commit holds yet; the version that has them."""
-        base = self.version()
-        fresh = rows.filter(F.col(self.key).isNotNull()).dropDuplicates([self.key]).join(self._read(self.files(last=base)).select(self.key), self.key, "left_anti")
+    def commit(self, rows: DataFrame, base: int | None = None, against: list[str] | None = None) -> int:
+        """Store the rows whose key no commit holds yet; the version that has them.
+
+        against: the files up to version base that may hold keys of rows, all of them by default.
+        """
+        base = self.version() if base is None else base
+        against = self.files(last=base) if against is None else against
+        fresh = rows.filter(F.col(self.key).isNotNull()).dropDuplicates([self.key])
+        if against:
+            fresh = fresh.join(self._read(against).select(self.key), self.key, "left_anti")
         files = self._write(fresh.select(*self._read([]).columns))
         while not self._created(base + 1, {"files": files, "gone": []}):
             now = self.version()
@@ -124,22 +131,36 @@ class ReplyStore:
         known = self._read(self.files(last=before))
         asked = requests.filter(F.col(self.key).isNotNull())
         parts = max(1, math.ceil(asked.count() / part_rows))
-        names = self._read([]).columns
-        failed = []
-        for k in range(parts):
-            part = asked.filter(F.pmod(F.xxhash64(self.key), F.lit(parts)) == k).dropDuplicates([self.key])
-            missing = part.join(self.read().select(self.key), self.key, "left_anti")
-            if missing.isEmpty():
-                continue
-            new = missing.mapInPandas(fetch, self.schema)
-            if largest is not None:
-                new = new.withColumn("reply", F.when(F.octet_length("reply") <= largest, F.col("reply")).otherwise(""))
-            files = self._write(new)  # each request is made once, whatever happens to the commit
-            if "ok" in names:
-                failed += files
-                self.commit(self._read(files).filter("ok"))
-            else:
-                self.commit(self._read(files))
+        names, part, slot = self._read([]).columns, "ask__part", "ask__slot"
+        hashed = F.xxhash64(self.key)
+        missing = asked.dropDuplicates([self.key]).join(known.select(self.key), self.key, "left_anti").select(*asked.columns, F.pmod(hashed, F.lit(parts)).alias(part), F.pmod(F.floor(hashed / parts), F.lit(4)).alias(slot))
+        folder = f"{self.root}/ask/{uuid.uuid4().hex}"
+        missing.repartition(part, slot).drop(slot).write.partitionBy(part).parquet(folder)
+        failed, others, own, seen = [], {}, set(), before
+        try:
+            for k in range(parts):
+                if not self.fs.exists(self._path(f"{folder}/{part}={k}")):
+                    continue
+                now = self.version()
+                for n in range(seen + 1, now + 1):
+                    if n not in own:  # our own commits hold other parts
+                        entry = self._entry(n)
+                        others = {f: None for f in others if f not in set(entry["gone"])} | dict.fromkeys(entry["files"])
+                seen = now
+                rows = self.spark.read.schema(asked.schema).parquet(f"{folder}/{part}={k}")
+                if others:
+                    rows = rows.join(self._read(list(others)).select(self.key), self.key, "left_anti")
+                    if rows.isEmpty():
+                        continue
+                new = rows.mapInPandas(fetch, self.schema)
+                if largest is not None:
+                    new = new.withColumn("reply", F.when(F.octet_length("reply") <= largest, F.col("reply")).otherwise(""))
+                files = self._write(new)  # each request is made once, whatever happens to the commit
+                if "ok" in names:
+                    failed += files
+                own.add(self.commit(self._read(files).filter("ok") if "ok" in names else self._read(files), seen, list(others)))
+        finally:
+            self.fs.delete(self._path(folder), True)
         keys = asked.select(self.key).distinct()
         old, now = known.join(keys, self.key, "left_semi").withColumn("cached", F.lit(True)), self.read().join(keys, self.key, "left_semi").join(known.select(self.key), self.key, "left_anti").withColumn("cached", F.lit(False))
         out = old.unionByName(now)

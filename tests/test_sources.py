@@ -58,6 +58,27 @@ def test_killed_run_goes_on_where_it_stopped(spark, tmp_path):
     assert {k for k in third if third[k] > second[k]} == {r.key for r in got if not r.ok}
 
 
+def test_requests_are_read_a_few_times_whatever_the_parts(spark, tmp_path):
+    """What was asked before was read again for each part, and so was the whole store."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    n, req = 300, requests_of(spark, 300)
+    for part_rows in (300, 15):
+        store = R.ReplyStore(spark, str(tmp_path / f"store{part_rows}"))
+        before, read = seen.value, []
+        real = store._read
+        store._read = lambda files: (read.append(len(files)), real(files))[1]  # noqa: B023
+        got = store.ask(req.mapInPandas(counted, req.schema), R.stub_replies, part_rows=part_rows)
+        assert seen.value - before <= 3 * n, part_rows
+        assert sum(read) <= 20 * store.version(), part_rows
+        assert got.count() == n == store.read().count()
+
+
 def test_two_runs_at_once_store_each_key_once(spark, tmp_path):
     errors, stores = [], [R.ReplyStore(spark, str(tmp_path / "store")) for _ in range(3)]
 
