@@ -50,6 +50,8 @@ BITS = 9
 REPEAT, END, START = 256, 257, 258
 #: How many tokens may follow a context: all but START.
 PREDICTED = 258
+#: Bytes whose n-grams are worked out at once, and distinct n-grams held before equal ones are added up.
+PIECE_BYTES, HELD_KEYS = 250_000, 1_000_000
 SEEN, LEARN, HELD = 0, 1, 2
 BLOCKS = "block long, shard int, doc_ids array<long>, langs array<string>, digests array<long>, roles array<byte>, lens array<int>, text binary, keys binary, counts binary"
 NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
@@ -132,7 +134,7 @@ def _blocks(order: int, shards: int, block_bytes: int):
         for batch in batches:
             data, off = K.utf8(batch.column(4))
             learn = batch.column(3).to_numpy(zero_copy_only=False) == LEARN
-            for a, b in K.pieces(off, 1_000_000):
+            for a, b in K.pieces(off, PIECE_BYTES):
                 t, toff = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 distinct, at = _encoded(ngrams(t, toff, order))
                 meta.append(batch.select([0, 1, 2, 3]).slice(a, b - a))
@@ -141,7 +143,7 @@ def _blocks(order: int, shards: int, block_bytes: int):
                 keys.append(distinct)
                 counts.append(np.bincount(at[np.repeat(learn[a:b], np.diff(toff))], minlength=len(distinct)))
                 size += int(off[b] - off[a]) + b - a
-                if sum(map(len, keys)) > 4_000_000:
+                if len(keys) > 1 and sum(map(len, keys)) - len(keys[0]) > HELD_KEYS:
                     keys, counts = ([x] for x in _added(keys, counts))
                 if size >= block_bytes:
                     yield from flush()
@@ -166,10 +168,12 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
         keys.append(unpack_keys(k).view(np.int64))
         counts.append(unpack(n, np.uint32))
         held += len(keys[-1])
-        if held > 4_000_000:
+        if held > HELD_KEYS:  # beside those that are added up
             keys, counts = ([x] for x in _added(keys, counts))
-            held = len(keys[0])
+            held = 0
     key, c = _added(keys, counts)
+    del keys, counts
+    K.release()
     return pd.DataFrame({"shard": rows["shard"].iloc[0], "key": key, "c": c})
 
 
@@ -178,6 +182,7 @@ def _answer(asks: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(logs["key"].to_numpy())
     key, logp = logs["key"].to_numpy()[order], logs["logp"].to_numpy(np.float32)[order]
     out = [(b, s, pack(logp[np.searchsorted(key, unpack_keys(k).view(np.int64))])) for b, s, k in zip(asks["block"], asks["shard"], asks["keys"])]
+    K.release()
     return pd.DataFrame(out, columns=["block", "shard", "logs"])
 
 
@@ -189,7 +194,7 @@ def _tell(order: int, shards: int):
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
             off = np.append(0, np.cumsum(row["lens"], dtype=np.int64))
             found, n, sums = [], [], []
-            for a, b in K.pieces(off, 1_000_000):
+            for a, b in K.pieces(off, PIECE_BYTES):
                 t, toff = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 found.append((*_encoded(ngrams(t, toff, order)), toff[:-1]))
                 n.append(np.diff(toff))
