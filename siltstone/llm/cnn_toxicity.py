@@ -1,4 +1,4 @@
-"""Toxicity: a convolutional text classifier with hashed word embeddings, trained in numpy.
+"""Toxicity: a convolutional text classifier with hashed word embeddings, trained over Spark's partitions.
 
 Words are runs of letters (bytes of non-ASCII characters count as letters) after lower-casing
 A-Z, hashed into `buckets`; buckets seen in fewer than `min_docs` training documents share one
@@ -6,10 +6,13 @@ embedding, so that words met once teach nothing.  Filters of widths 1, 2 and 3,
 max-pooled over the whole text, feed one logistic unit.  Adagrad on balanced batches, with
 decay and word dropout, which keep single documents from being learned by heart.
 
-Training uses at most about `sample_docs` labelled documents of each class (chosen by a hash of
-the id, a documented bound), whole texts.  A fifth of them calibrates: the threshold, overall
-and for each language with enough documents, is the logit that parts the classes best (a false
-alarm's share weighs four times a miss's), and is subtracted, so that 0.5 is the threshold of every score.
+Training reads the whole text of every labelled document, at least twice.  Rows are dealt into
+shards of SHARD_ROWS or more (SHARDS at most) and turns by hashes; in a turn each shard goes on
+from the common parameters over its own rows, in chunks of bounded size, and the parameters and
+Adagrad's sums are averaged, weighted by rows.  A fifth of the labelled ids is kept from training and
+calibrates: the threshold, overall and for each language with enough documents, is the logit
+that parts all of these documents best (a false alarm's share weighs four times a miss's), found
+exactly from sums by bins and within them, and is subtracted, so that 0.5 is the threshold of every score.
 
 Semantics: a null or empty text, or one without letters, is one padding word and gets a score
 like any other.  Every row gives one row.  Labels that are null or belong to no document are
@@ -21,20 +24,27 @@ from every score is 0.0.  Texts and ids may repeat.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fresh, prepare, remainder
+from .common import discard, fresh, materialize, prepare, remainder, sized
 from .langmask import LETTER, predicted
 from .langmask import train as train_languages
 
 WIDTHS, DIM, FILTERS = (1, 2, 3), 16, 16
 BUCKETS_LOG2 = 18
 PAD, RARE = 0, 1
+#: Rows of a shard at least, shards at most, turns that a pass over the rows takes when there are several shards.
+SHARD_ROWS, SHARDS, SLICES = 16_000, 64, 2
+#: Words of the documents that a task holds at once, words of a step worked out at once, numbers in a row of parameters.
+CHUNK_WORDS, STEP_WORDS, PIECE = 8_000_000, 200_000, 1 << 16
 
 
 def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,20 +54,20 @@ def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucketed(languages):
-    """(part, label, text, lang) -> (part, label, lang, words); languages: a broadcast model that names the language, or None."""
+    """(roll, hold, label, text, lang) -> (roll, hold, label, lang, words); languages: a broadcast model that names the language, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = K.utf8(batch.column(2))
+            data, off = K.utf8(batch.column(3))
             w, woff = buckets(data, off)
-            lang = batch.column(3) if languages is None else pa.array(predicted(*languages.value, data, off)[0], pa.string())
+            lang = batch.column(4) if languages is None else pa.array(predicted(*languages.value, data, off)[0], pa.string())
             yield _bucket_rows(batch, lang, w, woff)
 
     return run
 
 
 def _bucket_rows(batch: pa.RecordBatch, lang: pa.Array, w: np.ndarray, woff: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lang, pa.array([w[a:b].tobytes() for a, b in zip(woff, woff[1:])], pa.binary())], ["part", "label", "lang", "words"])
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], lang, pa.array([w[a:b].tobytes() for a, b in zip(woff, woff[1:])], pa.binary())], ["roll", "hold", "label", "lang", "words"])
 
 
 def padded(words: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +90,20 @@ class TextCnn:
         self.p["e"][PAD] = 0
         for w in WIDTHS:
             self.p[f"w{w}"] = rng.normal(0, 1 / np.sqrt(DIM * w), (w, DIM, FILTERS)).astype(np.float32)
+        self.sums = {k: np.full_like(x[:, :1] if k == "e" else x, 1e-4) for k, x in self.p.items()}  # Adagrad's, one for an embedding; only while training
         self.threshold, self.by_language = 0.0, {}
 
+    def vector(self) -> np.ndarray:
+        """Parameters and sums in one row."""
+        return np.concatenate([x.ravel() for part in (self.p, self.sums) for x in part.values()])
+
+    def put(self, vector: np.ndarray) -> None:
+        at = 0
+        for part in (self.p, self.sums):
+            for k, x in part.items():
+                part[k] = vector[at : at + x.size].reshape(x.shape).copy()
+                at += x.size
+
     def tables(self) -> list[list[np.ndarray]]:
         """For each width and offset, every embedding row's response to the filters."""
         return [[self.p["e"] @ self.p[f"w{w}"][o] for o in range(w)] for w in WIDTHS]
@@ -105,47 +127,63 @@ class TextCnn:
             a = b
         return np.concatenate(out) if out else np.zeros(0)
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, steps: int = 700, batch: int = 32, rate: float = 0.1, decay: float = 0.02, drop: float = 0.3, seed: int = 11) -> None:
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, passes: int = 1, batch: int = 32, drop: float = 0.3, seed: int | tuple[int, ...] = 11) -> None:
+        """Balanced batches: in a pass each document of the larger class comes once, one of the smaller at least once."""
         rng = np.random.default_rng(seed)
-        sums = {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
-        classes = [np.flatnonzero(labels == k) for k in (0, 1)]
-        for _ in range(steps):
-            at = np.concatenate([rng.choice(c, batch // 2) for c in classes])
-            y = labels[at].astype(np.float32)
+        half = batch // 2
+        classes = [c for k in (0, 1) if len(c := np.flatnonzero(labels == k))]
+        steps = passes * -(-max(map(len, classes)) // half)
+        order = [np.concatenate([rng.permutation(c) for _ in range(-(-steps * half // len(c)))]) for c in classes]
+        for s in range(0, steps * half, half):
+            at = np.concatenate([o[s : s + half] for o in order])
+            self.step([docs[i] for i in at], labels[at].astype(np.float32), batch, drop, rng)
+
+    def step(self, docs: list[np.ndarray], y: np.ndarray, batch: int, drop: float, rng: np.random.Generator, rate: float = 0.1, decay: float = 0.02) -> None:
+        grad = {k: np.zeros_like(x) for k, x in self.p.items()}
+        part = np.cumsum([len(d) for d in docs]) // STEP_WORDS  # long texts a few at a time
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
             woff = np.cumsum([0, *(len(docs[i]) for i in at)])
             tokens, first, windows = padded(self.index[np.concatenate([docs[i] for i in at])], woff)
             tokens[(tokens > RARE) & (rng.random(len(tokens)) < drop)] = RARE
-            x = self.p["e"][tokens]
-            peaks, features = [], []
-            for k, w in enumerate(WIDTHS):
-                h = x[: len(x) - w + 1] @ self.p[f"w{w}"][0]
-                for o in range(1, w):
-                    h += x[o : len(x) - w + 1 + o] @ self.p[f"w{w}"][o]
-                top = np.array([h[a : a + n].argmax(0) + a for a, n in zip(first, windows)])
-                peaks.append(top)
-                features.append(h[top, np.arange(FILTERS)] + self.p["b"][k])
-            raw = np.concatenate(features, axis=1)
-            z = np.maximum(raw, 0)
-            g = 1 / (1 + np.exp(-(z @ self.p["v"] + self.p["c"]))) - y
-            grad = {"v": z.T @ g / batch, "c": np.array([g.mean()]), "e": np.zeros_like(self.p["e"]), "b": np.zeros_like(self.p["b"])}
-            back = (raw > 0) * g[:, None] * self.p["v"] / batch
-            for k, w in enumerate(WIDTHS):
-                d = back[:, k * FILTERS : (k + 1) * FILTERS]
-                grad["b"][k] = d.sum(0)
-                grad[f"w{w}"] = np.zeros_like(self.p[f"w{w}"])
-                for o in range(w):
-                    rows = peaks[k] + o
-                    grad[f"w{w}"][o] = np.einsum("bfd,bf->df", x[rows], d)
-                    np.add.at(grad["e"], tokens[rows], d[:, :, None] * self.p[f"w{w}"][o].T[None])
-            for k, x in self.p.items():
-                step = grad[k] + decay * x
-                sums[k] += step * step
-                x -= rate * step / np.sqrt(sums[k])
-            self.p["e"][PAD] = 0
+            self._gradient(tokens, first, windows, y[at], batch, grad)
+        for k, x in self.p.items():
+            g, total = grad[k], self.sums[k]
+            for a in range(0, len(x), 4096):  # rows that fit in a cache
+                at = slice(a, a + 4096)
+                d = g[at] + decay * x[at]
+                total[at] += (d * d).mean(1, keepdims=True) if k == "e" else d * d
+                x[at] -= rate * d / np.sqrt(total[at])
+        self.p["e"][PAD] = 0
+
+    def _gradient(self, tokens: np.ndarray, first: np.ndarray, windows: np.ndarray, y: np.ndarray, batch: int, grad: dict[str, np.ndarray]) -> None:
+        """Adds these documents' part of a batch's gradient."""
+        x = self.p["e"][tokens]
+        peaks, features = [], []
+        for k, w in enumerate(WIDTHS):
+            h = x[: len(x) - w + 1] @ self.p[f"w{w}"][0]
+            for o in range(1, w):
+                h += x[o : len(x) - w + 1 + o] @ self.p[f"w{w}"][o]
+            top = np.array([h[a : a + n].argmax(0) + a for a, n in zip(first, windows)])
+            peaks.append(top)
+            features.append(h[top, np.arange(FILTERS)] + self.p["b"][k])
+        raw = np.concatenate(features, axis=1)
+        z = np.maximum(raw, 0)
+        g = 1 / (1 + np.exp(-(z @ self.p["v"] + self.p["c"]))) - y
+        grad["v"] += z.T @ g / batch
+        grad["c"] += g.sum() / batch
+        back = (raw > 0) * g[:, None] * self.p["v"] / batch
+        for k, w in enumerate(WIDTHS):
+            d = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grad["b"][k] += d.sum(0)
+            for o in range(w):
+                rows = peaks[k] + o
+                grad[f"w{w}"][o] += np.einsum("bfd,bf->df", x[rows], d)
+                np.add.at(grad["e"], tokens[rows], d[:, :, None] * self.p[f"w{w}"][o].T[None])
 
 
 def best_threshold(logits: np.ndarray, labels: np.ndarray, alarm: float = 4.0) -> float:
-    """The middle of the widest gap among cuts with the least missed share + alarm * false-alarm share."""
+    """The middle of the widest gap among cuts with the least missed share + alarm * false-alarm share; cut_points() over one array."""
     order = np.argsort(logits, kind="stable")
     x, y = logits[order].astype(np.float64), labels[order]
     clean, toxic = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
@@ -159,45 +197,144 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, alarm: float = 4.0) -
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, label_col: str = "toxic", sample_docs: int = 1500, min_docs: int = 5, least_language: int = 60, languages=None) -> TextCnn | None:
-    """Fit and calibrate on a bounded sample of the labelled rows of docs; languages: a broadcast (filter, default) in place of lang_col."""
-    prepare(docs.sparkSession)
+def cut_points(scored: DataFrame, least: int = 60, alarm: float = 4.0) -> dict[str | None, float]:
+    """best_threshold() of all rows of (lang, label, logit), under None, and of each language with both labels and `least` rows.  Exact.
+
+    Equal logits are one cell; cells are summed by bin, so that no task sees more than a bin's cells or a language's bins.
+    """
+    of = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))).alias("of")
+    cells = scored.select(of, "logit", "label").groupBy("of", "logit").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
+    cells = materialize(cells.withColumn("bin", F.floor(F.col("logit") * 1024)), "toxicity-cells")
+    bins = cells.groupBy("of", "bin").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.min("logit").alias("least"))
+    up, all_bins, own = W.partitionBy("of").orderBy("bin"), W.partitionBy("of"), W.partitionBy("of", "bin").orderBy("logit")
+    bins = bins.select("of", "bin", "least", F.lead("least").over(up).alias("later"), F.row_number().over(up).alias("at"), (F.sum("c").over(up) - F.col("c")).alias("c0"), (F.sum("t").over(up) - F.col("t")).alias("t0"), F.sum("c").over(all_bins).alias("cs"), F.sum("t").over(all_bins).alias("ts"))
+    # cuts: low, high, clean and toxic rows up to the cut
+    after = cells.join(bins, ["of", "bin"]).select("of", "cs", "ts", F.col("logit").alias("low"), F.coalesce(F.lead("logit").over(own), "later", F.col("logit") + 1).alias("high"), (F.col("c0") + F.sum("clean").over(own)).alias("c"), (F.col("t0") + F.sum("toxic").over(own)).alias("t"))
+    before = bins.filter("at = 1").select("of", "cs", "ts", (F.col("least") - 1).alias("low"), F.col("least").alias("high"), F.lit(0).alias("c"), F.lit(0).alias("t"))
+    # shares times both classes' sizes: whole numbers, so that ties are ties
+    wrong = F.col("t") * F.greatest("cs", F.lit(1)) + alarm * (F.col("cs") - F.col("c")) * F.greatest("ts", F.lit(1))
+    cuts = after.unionByName(before).select("of", "cs", "ts", F.struct(wrong.alias("wrong"), (F.col("low") - F.col("high")).alias("gap"), "low", "high").alias("cut"))
+    best = cuts.groupBy("of", "cs", "ts").agg(F.min("cut").alias("cut")).filter((F.col("of") == "") | (F.col("cs") + F.col("ts") >= least) & (F.col("cs") > 0) & (F.col("ts") > 0))
+    out = {r.of[1:] if r.of else None: (r.cut.low + r.cut.high) / 2 for r in best.collect()}  # a row per language
+    discard(cells)
+    return out
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words) -> (bucket, docs) of a partition."""
+    seen = np.zeros(1 << BUCKETS_LOG2, np.int64)
+    for batch in batches:
+        for b in batch.column(0):
+            seen[np.unique(np.frombuffer(b.as_py(), np.int32))] += 1
+    own = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[own])], ["bucket", "docs"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[int]]]:
+    """(shard, label, words) in order of shards -> documents of one shard, as many as a task may hold."""
+    shard, docs, labels, size = None, [], [], 0
+    for batch in batches:
+        for of, label, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if docs and (of != shard or size > CHUNK_WORDS):
+                yield shard, docs, labels
+                docs, labels, size = [], [], 0
+            shard = of
+            docs.append(np.frombuffer(words.as_py(), np.int32))
+            labels.append(label)
+            size += len(docs[-1])
+    if docs:
+        yield shard, docs, labels
+
+
+def _turn(shared, turn: int, passes: int):
+    """(shard, label, words) -> (shard, rows, piece, data): each shard's parameters after its rows, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, chunks in groupby(_chunks(batches), key=lambda c: c[0]):
+            index, vector = shared.value
+            model, rows = TextCnn(index, int(index.max()) + 1), 0
+            model.put(vector)
+            for k, (_, docs, labels) in enumerate(chunks):
+                model.fit(docs, np.array(labels), passes, seed=(11, turn, shard, k))
+                rows += len(docs)
+            vector = model.vector()
+            for piece, a in enumerate(range(0, len(vector), PIECE)):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([rows], pa.int64()), pa.array([piece], pa.int64()), pa.array([vector[a : a + PIECE].tobytes()], pa.binary())], ["shard", "rows", "piece", "data"])
+
+    return run
+
+
+def _mean(pieces: pd.DataFrame) -> pd.DataFrame:
+    """One piece of all shards -> their mean by rows."""
+    pieces = pieces.sort_values("shard")
+    data = np.average([np.frombuffer(b, np.float32) for b in pieces["data"]], axis=0, weights=pieces["rows"])
+    return pd.DataFrame({"piece": pieces["piece"].iloc[:1], "data": [data.astype(np.float32).tobytes()]})
+
+
+def _fit(rows: DataFrame, counts: dict[int, int], index: np.ndarray, steps: int = 700, batch: int = 32) -> TextCnn:
+    """The model of all rows of (roll, label, words): `steps` one after the other at least, and two passes."""
+    spark = rows.sparkSession
+    model = TextCnn(index, int(index.max()) + 1)
+    shards = min(SHARDS, max(1, sum(counts.values()) // SHARD_ROWS))
+    passes = max(2, -(-steps // -(-max(counts.values()) // (shards * batch // 2))))
+    slices, turns, passes = (1, 1, passes) if shards == 1 else (SLICES, SLICES * passes, 1)
+    place = F.xxhash64("roll", "words")
+    dealt = rows.select(F.pmod(place, shards).alias("shard"), F.pmod(F.xxhash64(F.lit("slice"), place), slices).alias("slice"), F.xxhash64(F.lit("order"), place).alias("order"), "label", "words")
+    for turn in range(turns):
+        shared = spark.sparkContext.broadcast((index, model.vector()))  # of fixed size
+        mine = dealt.filter(F.col("slice") == turn % slices).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order", "words", "label")
+        fitted = mine.select("shard", "label", "words").mapInArrow(_turn(shared, turn, passes), "shard long, rows long, piece long, data binary")
+        mean = fitted.groupBy("piece").applyInPandas(_mean, "piece long, data binary").toPandas().sort_values("piece")
+        if len(mean):
+            model.put(np.frombuffer(b"".join(mean["data"]), np.float32))
+        shared.destroy()
+    model.sums = {}
+    return model
+
+
+def _logits(shared):
+    """(label, lang, words) -> (label, lang, logit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: TextCnn = shared.value
+        tables = model.tables()
+        for batch in batches:
+            docs = [np.frombuffer(b.as_py(), np.int32) for b in batch.column(2)]
+            z = model.logits(np.concatenate([np.zeros(0, np.int32), *docs]), np.cumsum([0, *map(len, docs)]), tables)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z.astype(np.float64))], ["label", "lang", "logit"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, label_col: str = "toxic", min_docs: int = 5, least_language: int = 60, languages=None) -> TextCnn | None:
+    """Fit and calibrate on all labelled rows of docs; languages: a broadcast (filter, default) in place of lang_col."""
+    spark = docs.sparkSession
+    prepare(spark)
     marks = labels.select(labels[id_col].alias("label__id"), labels[label_col].cast("int").alias("label")).filter("label in (0, 1) and label__id is not null")
-    counts = dict(marks.groupBy("label").count().collect())
-    if len(counts) < 2:
-        return None
-    roll = F.pmod(F.xxhash64(F.lit("toxicity"), "label__id"), 1_000_000)
-    chosen = marks.filter(roll / 1e6 < F.when(F.col("label") == 1, sample_docs / counts[1]).otherwise(sample_docs / counts[0]))
     lang = F.lit(None).cast("string") if lang_col is None else docs[lang_col].cast("string")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
-    # the chosen labels are bounded by sample_docs per class
-    rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label__id")).select(F.pmod(F.xxhash64(F.lit("part"), "id"), 5).alias("part"), "label", "text", "lang")
-    got = rows.mapInArrow(_bucketed(languages), "part long, label int, lang string, words binary").toPandas()
-    got = got.sort_values(["part", "label", "words"], kind="stable")
-    words = [np.frombuffer(b, np.int32) for b in got["words"]]
-    y, hold = got["label"].to_numpy(np.int64), got["part"].to_numpy() == 0
-    if len({*y[~hold]}) < 2:
-        return None
-    seen = np.zeros(1 << BUCKETS_LOG2, np.int32)
-    for w, h in zip(words, hold):
-        if not h:
-            seen[np.unique(w)] += 1
-    index = np.full(1 << BUCKETS_LOG2, RARE, np.int32)
-    own = np.flatnonzero(seen >= min_docs)
-    index[own] = np.arange(2, len(own) + 2)
-    model = TextCnn(index, len(own) + 2)
-    model.fit([w for w, h in zip(words, hold) if not h], y[~hold])
-    use = hold if len({*y[hold]}) == 2 else ~hold
-    held = [w for w, u in zip(words, use) if u]
-    woff = np.cumsum([0, *map(len, held)])
-    logits = model.logits(np.concatenate(held), woff, model.tables())
-    model.threshold = best_threshold(logits, y[use])
-    langs = got["lang"].to_numpy()[use]
-    for x in {*langs} - {None}:
-        mine = langs == x
-        if mine.sum() >= least_language and len({*y[use][mine]}) == 2:
-            model.by_language[x] = best_threshold(logits[mine], y[use][mine])
-    return model
+    hold = F.pmod(F.xxhash64(F.lit("part"), "id"), 5) == 0
+    rows = rows.join(sized(marks), F.col("id") == F.col("label__id")).select(F.xxhash64(F.lit("toxicity"), "id").alias("roll"), hold.alias("hold"), "label", "text", "lang")
+    rows = materialize(rows.mapInArrow(_bucketed(languages), "roll long, hold boolean, label int, lang string, words binary"), "toxicity-words")
+    try:
+        counts = {False: {}, True: {}}
+        for r in rows.groupBy("hold", "label").count().collect():
+            counts[r[0]][r[1]] = r[2]
+        if len(counts[False]) < 2:
+            return None
+        learn = rows.filter("not hold")
+        own = learn.select("words").mapInArrow(_seen, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("bucket").toPandas()  # of 2 ** BUCKETS_LOG2 at most
+        index = np.full(1 << BUCKETS_LOG2, RARE, np.int32)
+        index[np.sort(own["bucket"])] = np.arange(2, len(own) + 2)
+        model = _fit(learn, counts[False], index)
+        use = rows.filter("hold") if len(counts[True]) == 2 else learn
+        shared = spark.sparkContext.broadcast(model)
+        model.by_language = cut_points(use.select("label", "lang", "words").mapInArrow(_logits(shared), "label int, lang string, logit double"), least_language)
+        model.threshold = model.by_language.pop(None)
+        shared.destroy()
+        return model
+    finally:
+        discard(rows)
 
 
 def _score(shared, text_at: int, lang_at: int | None, name: str, languages=None):
@@ -240,7 +377,7 @@ def toxicity_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A score sees the text alone: its threshold is that of the language which the text seems to have.
     """
     away = F.coalesce(remainder(docs["doc_id"]) == 0, F.lit(False))
-    languages = docs.sparkSession.sparkContext.broadcast(train_languages(docs.filter(~away)))  # of fixed size
+    languages = docs.sparkSession.sparkContext.broadcast(train_languages(docs.filter(~away), sample_docs=None))  # of fixed size
     model = train(docs, labels.filter(remainder(labels["doc_id"]) != 0), languages=languages)
     held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
