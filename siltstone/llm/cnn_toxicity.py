@@ -7,12 +7,12 @@ max-pooled over the whole text, feed one logistic unit.  Adagrad on balanced bat
 decay and word dropout, which keep single documents from being learned by heart.
 
 Training reads the whole text of every labelled document, at least twice.  Rows are dealt into
-shards of SHARD_ROWS or more (SHARDS at most) and turns by hashes; in a turn each shard goes on
-from the common parameters over its own rows, in chunks of bounded size, and the parameters and
-Adagrad's sums are averaged, weighted by rows.  A fifth of the labelled ids is kept from training and
-calibrates: the threshold, overall and for each language with enough documents, is the logit
-that parts all of these documents best (a false alarm's share weighs four times a miss's), found
-exactly from sums by bins and within them, and is subtracted, so that 0.5 is the threshold of every score.
+shards and turns by hashes; in a turn each shard goes on from the common parameters over its own
+rows, in chunks of bounded size, and the parameters and Adagrad's sums are averaged, weighted by
+rows.  A fifth of the labelled ids is kept from training and calibrates: the threshold, overall
+and for each language with enough documents, is the logit that parts all of these documents best
+(a false alarm's share weighs four times a miss's), found exactly from sums by bins and within
+them, and is subtracted, so that 0.5 is the threshold of every score.
 
 Semantics: a null or empty text, or one without letters, is one padding word and gets a score
 like any other.  Every row gives one row.  Labels that are null or belong to no document are
@@ -41,8 +41,8 @@ from .langmask import train as train_languages
 WIDTHS, DIM, FILTERS = (1, 2, 3), 16, 16
 BUCKETS_LOG2 = 18
 PAD, RARE = 0, 1
-#: Rows of a shard at least, shards at most, turns that a pass over the rows takes when there are several shards.
-SHARD_ROWS, SHARDS, SLICES = 16_000, 64, 2
+#: Up to FEW shards have SHARD_ROWS rows at least; more, SHARDS at most, FULL_ROWS, whose words outweigh the parameters that a shard sends.
+SHARD_ROWS, FEW, FULL_ROWS, SHARDS = 3_000, 4, 16_000, 64
 #: Words of the documents that a task holds at once, words of a step worked out at once, numbers in a row of parameters.
 CHUNK_WORDS, STEP_WORDS, PIECE = 8_000_000, 200_000, 1 << 16
 
@@ -275,9 +275,11 @@ def _fit(rows: DataFrame, counts: dict[int, int], index: np.ndarray, steps: int
     """The model of all rows of (roll, label, words): `steps` one after the other at least, and two passes."""
     spark = rows.sparkSession
     model = TextCnn(index, int(index.max()) + 1)
-    shards = min(SHARDS, max(1, sum(counts.values()) // SHARD_ROWS))
+    n = sum(counts.values())
+    shards = min(SHARDS, max(1, min(FEW, n // SHARD_ROWS), n // FULL_ROWS))
     passes = max(2, -(-steps // -(-max(counts.values()) // (shards * batch // 2))))
-    slices, turns, passes = (1, 1, passes) if shards == 1 else (SLICES, SLICES * passes, 1)
+    slices = 2 if shards > 1 and passes < 4 else 1  # parameters are averaged four times or more
+    turns, passes = (1, passes) if shards == 1 else (slices * passes, 1)
     place = F.xxhash64("roll", "words")
     dealt = rows.select(F.pmod(place, shards).alias("shard"), F.pmod(F.xxhash64(F.lit("slice"), place), slices).alias("slice"), F.xxhash64(F.lit("order"), place).alias("order"), "label", "words")
     for turn in range(turns):
