@@ -43,8 +43,10 @@ BUCKETS_LOG2 = 18
 PAD, RARE = 0, 1
 #: Up to FEW shards have SHARD_ROWS rows at least; more, SHARDS at most, FULL_ROWS, whose words outweigh the parameters that a shard sends.
 SHARD_ROWS, FEW, FULL_ROWS, SHARDS = 3_000, 4, 16_000, 64
-#: Words of the documents that a task holds at once, words of a step worked out at once, numbers in a row of parameters.
-CHUNK_WORDS, STEP_WORDS, PIECE = 8_000_000, 200_000, 1 << 16
+#: Words of the documents that a task holds at once, words of a step and of a score worked out at once, numbers in a row of parameters.
+CHUNK_WORDS, STEP_WORDS, BLOCK, PIECE = 8_000_000, 200_000, 4096, 1 << 16
+#: Rows of scalars that fit in a cache; steps after which embeddings whose mean square has sunk below TINY become 0, long before slow denormal numbers.
+ROWS, SETTLE, TINY = 16_384, 32, 1e-24
 
 
 def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +55,19 @@ def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (K.span_hashes(data, start, end) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32), woff
 
 
-def _bucketed(languages):
-    """(roll, hold, label, text, lang) -> (roll, hold, label, lang, words); languages: a broadcast model that names the language, or None."""
+def _bucketed(languages, held: bool):
+    """(roll, hold, label, text, lang) -> (roll, hold, label, lang, words); languages: a broadcast model that names the language, of rows with hold only if held, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.utf8(batch.column(3))
             w, woff = buckets(data, off)
-            lang = batch.column(4) if languages is None else pa.array(predicted(*languages.value, data, off)[0], pa.string())
+            lang = batch.column(4)
+            if languages is not None:
+                at = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False)) if held else np.arange(len(batch))
+                names = np.full(len(batch), None, object)
+                names[at] = predicted(*languages.value, *K.utf8(batch.column(3).take(pa.array(at))))[0]
+                lang = pa.array(names, pa.string())
             yield _bucket_rows(batch, lang, w, woff)
 
     return run
@@ -104,19 +111,22 @@ class TextCnn:
                 part[k] = vector[at : at + x.size].reshape(x.shape).copy()
                 at += x.size
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """For each width and offset, every embedding row's response to the filters."""
-        return [[self.p["e"] @ self.p[f"w{w}"][o] for o in range(w)] for w in WIDTHS]
+    def filters(self) -> np.ndarray:
+        """All filters side by side, by offset and width."""
+        return np.concatenate([self.p[f"w{w}"][o] for o in range(max(WIDTHS)) for w in WIDTHS if o < w], axis=1)
 
-    def pooled(self, tokens: np.ndarray, first: np.ndarray, windows: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
-        where = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-        out = []
-        for k, w in enumerate(WIDTHS):
-            h = tables[k][0][tokens[where]]
-            for o in range(1, w):
-                h += tables[k][o][tokens[where + o]]
-            out.append(np.maximum.reduceat(h, np.cumsum(windows) - windows, axis=0) + self.p["b"][k])
-        return np.maximum(np.concatenate(out, axis=1), 0)
+    def tables(self) -> np.ndarray:
+        """Every embedding row's response to the filters."""
+        return self.p["e"] @ self.filters()
+
+    def pooled(self, tokens: np.ndarray, first: np.ndarray, windows: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        last, top = first + windows, np.full((len(first), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        for a in range(0, int(last[-1]), BLOCK):
+            b = min(a + BLOCK, int(last[-1]))
+            h = _responses(tables.take(tokens[a : b + max(WIDTHS) - 1], axis=0))
+            for d in range(int(np.searchsorted(last, a, "right")), int(np.searchsorted(first, b))):
+                np.maximum(top[d], h[max(first[d] - a, 0) : last[d] - a].max(0), out=top[d])
+        return np.maximum(top + self.p["b"].ravel(), 0)
 
     def logits(self, words: np.ndarray, woff: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         out, a, n = [], 0, len(woff) - 1
@@ -134,52 +144,80 @@ class TextCnn:
         classes = [c for k in (0, 1) if len(c := np.flatnonzero(labels == k))]
         steps = passes * -(-max(map(len, classes)) // half)
         order = [np.concatenate([rng.permutation(c) for _ in range(-(-steps * half // len(c)))]) for c in classes]
-        for s in range(0, steps * half, half):
+        # while fitting, an embedding is its row of e times its scale, so that decay alone moves one number of it; square: its mean square
+        self.scale, self.square = np.ones(len(self.p["e"]), np.float32), np.square(self.p["e"]).mean(1)
+        for k, s in enumerate(range(0, steps * half, half)):
+            if k % SETTLE == 0:
+                self.scale[self.square < TINY] = self.square[self.square < TINY] = 0
             at = np.concatenate([o[s : s + half] for o in order])
             self.step([docs[i] for i in at], labels[at].astype(np.float32), batch, drop, rng)
+        self.p["e"] *= self.scale[:, None]
+        del self.scale, self.square
 
     def step(self, docs: list[np.ndarray], y: np.ndarray, batch: int, drop: float, rng: np.random.Generator, rate: float = 0.1, decay: float = 0.02) -> None:
-        grad = {k: np.zeros_like(x) for k, x in self.p.items()}
+        grad, own = {k: np.zeros_like(x) for k, x in self.p.items() if k != "e"}, []
         part = np.cumsum([len(d) for d in docs]) // STEP_WORDS  # long texts a few at a time
         for k in np.unique(part):
             at = np.flatnonzero(part == k)
             woff = np.cumsum([0, *(len(docs[i]) for i in at)])
             tokens, first, windows = padded(self.index[np.concatenate([docs[i] for i in at])], woff)
             tokens[(tokens > RARE) & (rng.random(len(tokens)) < drop)] = RARE
-            self._gradient(tokens, first, windows, y[at], batch, grad)
-        for k, x in self.p.items():
-            g, total = grad[k], self.sums[k]
-            for a in range(0, len(x), 4096):  # rows that fit in a cache
-                at = slice(a, a + 4096)
-                d = g[at] + decay * x[at]
-                total[at] += (d * d).mean(1, keepdims=True) if k == "e" else d * d
-                x[at] -= rate * d / np.sqrt(total[at])
-        self.p["e"][PAD] = 0
-
-    def _gradient(self, tokens: np.ndarray, first: np.ndarray, windows: np.ndarray, y: np.ndarray, batch: int, grad: dict[str, np.ndarray]) -> None:
-        """Adds these documents' part of a batch's gradient."""
-        x = self.p["e"][tokens]
-        peaks, features = [], []
-        for k, w in enumerate(WIDTHS):
-            h = x[: len(x) - w + 1] @ self.p[f"w{w}"][0]
-            for o in range(1, w):
-                h += x[o : len(x) - w + 1 + o] @ self.p[f"w{w}"][o]
-            top = np.array([h[a : a + n].argmax(0) + a for a, n in zip(first, windows)])
-            peaks.append(top)
-            features.append(h[top, np.arange(FILTERS)] + self.p["b"][k])
-        raw = np.concatenate(features, axis=1)
+            own += self._gradient(tokens, first, windows, y[at], batch, grad)
+        for k, g in grad.items():
+            d = g + decay * self.p[k]
+            self.sums[k] += d * d
+            self.p[k] -= rate * d / np.sqrt(self.sums[k])
+        self._embed(np.concatenate([t for t, _ in own]), np.concatenate([g for _, g in own]), rate, decay)
+
+    def _embed(self, rows: np.ndarray, grad: np.ndarray, rate: float, decay: float) -> None:
+        """Adagrad's step of all embeddings: decay shrinks each as a whole, and those of `rows` move by their gradients besides."""
+        order = np.argsort(rows, kind="stable")
+        start = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        rows, e, sums = rows[order[start]], self.p["e"], self.sums["e"][:, 0]
+        x, total = e[rows] * self.scale[rows, None], sums[rows]
+        d = np.add.reduceat(grad[order], start, axis=0) + decay * x
+        for a in range(0, len(e), ROWS):
+            at = slice(a, a + ROWS)
+            sums[at] += decay * decay * self.square[at]
+            shrink = 1 - rate * decay / np.sqrt(sums[at])
+            self.scale[at] *= shrink
+            self.square[at] *= shrink * shrink
+        total += (d * d).mean(1)
+        x -= rate * d / np.sqrt(total)[:, None]
+        x[rows == PAD] = 0
+        e[rows], sums[rows], self.scale[rows], self.square[rows] = x, total, 1, np.square(x).mean(1)
+
+    def _gradient(self, tokens: np.ndarray, first: np.ndarray, windows: np.ndarray, y: np.ndarray, batch: int, grad: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Adds these documents' part of a batch's gradient; rows of embeddings and their gradients are returned."""
+        x, own = self.p["e"].take(tokens, axis=0) * self.scale.take(tokens)[:, None], []
+        h = _responses((self.filters().T @ x.T).T).T
+        peaks = np.array([h[:, a : a + n].argmax(1) + a for a, n in zip(first, windows)])
+        raw = h[np.arange(len(h)), peaks] + self.p["b"].ravel()
         z = np.maximum(raw, 0)
         g = 1 / (1 + np.exp(-(z @ self.p["v"] + self.p["c"]))) - y
         grad["v"] += z.T @ g / batch
         grad["c"] += g.sum() / batch
         back = (raw > 0) * g[:, None] * self.p["v"] / batch
         for k, w in enumerate(WIDTHS):
-            d = back[:, k * FILTERS : (k + 1) * FILTERS]
+            at = slice(k * FILTERS, (k + 1) * FILTERS)
+            d = back[:, at]
             grad["b"][k] += d.sum(0)
             for o in range(w):
-                rows = peaks[k] + o
+                rows = peaks[:, at] + o
                 grad[f"w{w}"][o] += np.einsum("bfd,bf->df", x[rows], d)
-                np.add.at(grad["e"], tokens[rows], d[:, :, None] * self.p[f"w{w}"][o].T[None])
+                own.append((tokens[rows].ravel(), (d[:, :, None] * self.p[f"w{w}"][o].T).reshape(-1, DIM)))
+        return own
+
+
+def _responses(r: np.ndarray) -> np.ndarray:
+    """Responses of the tokens to filters() -> responses of each width's filters to the windows that begin there."""
+    n, at = len(r) - max(WIDTHS) + 1, FILTERS * len(WIDTHS)
+    h = r[:n, :at].copy(order="K")
+    for o in range(1, max(WIDTHS)):
+        own = h[:, FILTERS * sum(w <= o for w in WIDTHS) :]  # those wide enough
+        own += r[o : o + n, at : at + own.shape[1]]
+        at += own.shape[1]
+    return h
 
 
 def best_threshold(logits: np.ndarray, labels: np.ndarray, alarm: float = 4.0) -> float:
@@ -316,14 +354,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lang = F.lit(None).cast("string") if lang_col is None else docs[lang_col].cast("string")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
     hold = F.pmod(F.xxhash64(F.lit("part"), "id"), 5) == 0
-    rows = rows.join(sized(marks), F.col("id") == F.col("label__id")).select(F.xxhash64(F.lit("toxicity"), "id").alias("roll"), hold.alias("hold"), "label", "text", "lang")
-    rows = materialize(rows.mapInArrow(_bucketed(languages), "roll long, hold boolean, label int, lang string, words binary"), "toxicity-words")
+    marked = rows.join(sized(marks), F.col("id") == F.col("label__id")).select(F.xxhash64(F.lit("toxicity"), "id").alias("roll"), hold.alias("hold"), "label", "text", "lang")
+
+    def written(held: bool) -> DataFrame:
+        return materialize(marked.mapInArrow(_bucketed(languages, held), "roll long, hold boolean, label int, lang string, words binary"), "toxicity-words")
+
+    rows = written(True)
     try:
         counts = {False: {}, True: {}}
         for r in rows.groupBy("hold", "label").count().collect():
             counts[r[0]][r[1]] = r[2]
         if len(counts[False]) < 2:
             return None
+        if len(counts[True]) < 2 and languages is not None:  # calibrates on what it learns from, whose languages are not named yet
+            discard(rows)
+            rows = written(False)
         learn = rows.filter("not hold")
         own = learn.select("words").mapInArrow(_seen, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("bucket").toPandas()  # of 2 ** BUCKETS_LOG2 at most
         index = np.full(1 << BUCKETS_LOG2, RARE, np.int32)

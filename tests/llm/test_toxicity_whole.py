@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import cnn_toxicity
 from siltstone.llm import kernels as K
-from siltstone.llm.cnn_toxicity import RARE, best_threshold, buckets, cut_points, train
+from siltstone.llm.cnn_toxicity import PAD, RARE, TextCnn, best_threshold, buckets, cut_points, train
 from siltstone.llm.langmask import train as train_languages
 
 from .conftest import docs_of
@@ -67,3 +67,80 @@ def test_languages_of_all_documents(spark):
 
     known = grams(*K.utf8(pa.array(["gamma"])))[0]
     assert model.masks(known).all()
+
+
+def plain_fit(model, docs, labels, passes, batch=32, drop=0.3, seed=11, rate=0.1, decay=0.02):
+    """fit() with the whole gradient of every embedding in each step, window by window, in doubles."""
+    rng, half = np.random.default_rng(seed), batch // 2
+    p, sums = ({k: x.astype(float) for k, x in part.items()} for part in (model.p, model.sums))
+    classes = [np.flatnonzero(labels == k) for k in (0, 1)]
+    steps = passes * -(-max(map(len, classes)) // half)
+    order = [np.concatenate([rng.permutation(c) for _ in range(-(-steps * half // len(c)))]) for c in classes]
+    for s in range(0, steps * half, half):
+        at, grad = np.concatenate([o[s : s + half] for o in order]), {k: np.zeros_like(x) for k, x in p.items()}
+        tokens = np.concatenate([[*model.index[docs[i]], PAD, PAD] for i in at])
+        tokens[(tokens > RARE) & (rng.random(len(tokens)) < drop)] = RARE
+        begin = 0
+        for i in at:
+            t, features, places = tokens[begin : begin + len(docs[i]) + 2], [], []
+            begin += len(t)
+            for k, w in enumerate((1, 2, 3)):
+                h = sum(p["e"][t[o : len(t) - 2 + o]] @ p[f"w{w}"][o] for o in range(w))
+                places.append(h.argmax(0))
+                features.append(h.max(0) + p["b"][k])
+            raw = np.concatenate(features)
+            g = (1 / (1 + np.exp(-(np.maximum(raw, 0) @ p["v"] + p["c"][0]))) - labels[i]) / batch
+            grad["v"] += np.maximum(raw, 0) * g
+            grad["c"] += g
+            for k, w in enumerate((1, 2, 3)):
+                for f in range(16):
+                    d = g * p["v"][k * 16 + f] * (raw[k * 16 + f] > 0)
+                    grad["b"][k, f] += d
+                    for o in range(w):
+                        row = t[places[k][f] + o]
+                        grad[f"w{w}"][o][:, f] += d * p["e"][row]
+                        grad["e"][row] += d * p[f"w{w}"][o][:, f]
+        for k, x in p.items():
+            d = grad[k] + decay * x
+            sums[k] += (d * d).mean(1, keepdims=True) if k == "e" else d * d
+            x -= rate * d / np.sqrt(sums[k])
+        p["e"][PAD] = 0
+    return p, sums
+
+
+def test_training_equals_plain_steps():
+    """Each step moves all embeddings, those that no text of the batch has by decay alone."""
+    rng = np.random.default_rng(6)
+    index = np.append(RARE, np.arange(2, 400)).astype(np.int32)
+    docs = [rng.zipf(1.3, n).astype(np.int64) % 300 for n in rng.integers(1, 30, 60)]  # the last hundred buckets are in no text
+    labels = np.array([int(3 in d) for d in docs])
+    model, plain = TextCnn(index, 400), TextCnn(index, 400)
+    p, sums = plain_fit(plain, docs, labels, 12)
+    model.fit(docs, labels, 12)
+    for k in p:
+        assert np.allclose(model.p[k], p[k], atol=2e-3) and np.allclose(model.sums[k], sums[k], rtol=2e-2, atol=1e-5), k
+    untouched = np.arange(302, 400)
+    assert np.allclose(model.p["e"][untouched], p["e"][untouched], rtol=1e-3, atol=1e-9) and p["e"][untouched].any()
+
+
+def test_embeddings_in_no_text_do_not_slow_training():
+    """Decay ends at 0, not in denormal numbers, on which every operation takes many times as long."""
+    rng = np.random.default_rng(7)
+    index = np.append(RARE, np.arange(2, 5000)).astype(np.int32)
+    docs = [rng.integers(0, 50, 8) for _ in range(64)]
+    model = TextCnn(index, 5000)
+    model.fit(docs, np.arange(64) % 2, 250)
+    e = np.abs(model.p["e"])
+    assert e[:50].any() and not ((e > 0) & (e < np.finfo(np.float32).tiny)).any()
+
+
+def test_thresholds_by_language_of_rows_learned_from(spark):
+    """Too few rows are kept back: languages of all others are named after all."""
+    texts = {"en": "the quick brown fox runs over the lazy dog", "de": "der schnelle braune fuchs springt hinweg"}
+    lang = {i: ("en", "de")[i // 2 % 2] for i in range(300)}
+    hold = {r.id for r in spark.range(300).filter(F.pmod(F.xxhash64(F.lit("part"), "id"), 5) == 0).collect()}
+    docs = spark.createDataFrame([(i, texts[x] + (" blarg zorp" if i % 2 else ""), x) for i, x in lang.items()], "doc_id long, text string, lang string")
+    languages = spark.sparkContext.broadcast(train_languages(docs, sample_docs=None))
+    for away in (set(), hold):
+        model = train(docs, spark.createDataFrame([(i, i % 2) for i in lang if i not in away], "doc_id long, toxic int"), least_language=5, languages=languages)
+        assert {*model.by_language} == {"en", "de"}
